@@ -16,12 +16,12 @@ def _words(c: str) -> Column:
 
 
 def _shingles(words: str, n: int, of) -> Column:
-    """``of`` n consecutive words at each place; a shorter, non-empty text has one shingle, all its words."""
-    size = F.size(words)
-    places = F.sequence(F.lit(0), F.greatest(size - n, F.lit(0)))
-    return F.when(size == 0, F.array().cast(f"array<{'bigint' if of is F.xxhash64 else 'string'}>")).otherwise(
-        F.array_distinct(F.transform(places, lambda i: of(*[F.coalesce(F.get(words, i + k), F.lit("")) for k in range(n)])))
-    )
+    """``of`` n consecutive words at each place, distinct; a shorter, non-empty text has one
+    shingle, all its words. The lambda sees only zipped words, never the whole array."""
+    padded = F.concat(F.col(words), F.array_repeat(F.lit(""), n - F.size(words)))
+    places = F.greatest(F.size(words) - n, F.lit(0)) + 1
+    zipped = F.arrays_zip(*[F.slice(padded, k + 1, places).alias(f"w{k}") for k in range(n)])
+    return F.array_distinct(F.transform(zipped, lambda x: of(*[x[f"w{k}"] for k in range(n)])))
 
 
 def _text(*words: Column) -> Column:
@@ -64,7 +64,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
 
     sized = docs.select(F.col(id_col).alias("doc_id"), _words(text_col).alias("w")).where("doc_id is not null and size(w) > 0")
     sized = sized.select("doc_id", _shingles("w", n, F.xxhash64).alias("hashes"))
-    probes = sized.select("doc_id", F.size("hashes").alias("m"), F.explode("hashes").alias("h"))
+    probes = sized.select("doc_id", F.size("hashes").alias("m"), F.explode_outer("hashes").alias("h"))
     found = probes.join(broadcast_if_small(sketch, 64), "h").where((F.col("m") >= F.col("least")) & (F.col("m") >= F.col("need")))
     found = cut(found.select("doc_id", "item_id").distinct(), "candidates")
 

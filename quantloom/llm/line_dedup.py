@@ -39,11 +39,11 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     """
     base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body"))
     lines = F.split("body", "\n", -1)
-    keys = base.select(F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
+    keys = base.select(F.explode_outer(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
     frequent = keys.select(*_hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     frequent = cut(frequent, "frequent-lines")
 
-    placed = base.select("doc_id", F.xxhash64("body").alias("body_hash"), F.posexplode(F.transform(lines, line_key)).alias("pos", "key"))
+    placed = base.select("doc_id", F.xxhash64("body").alias("body_hash"), F.posexplode_outer(F.transform(lines, line_key)).alias("pos", "key"))
     placed = placed.where(F.char_length("key") >= min_chars).select("doc_id", "body_hash", "pos", *_hashed(F.col("key")))
     hits = placed.join(broadcast_if_small(frequent, 64), ["h1", "h2"])
     hits = cut(hits.groupBy("doc_id", "body_hash").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
