@@ -195,15 +195,15 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     ranked = ranked.join(broadcast_if_small(sizes, 48), ["length", "__bucket"])
     ranked = ranked.select(*pieces.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
     # One sorted key for length and rank; ranks stay below 2^48.
-    keys = (runs[:, 0] << 48) + runs[:, 1]
+    keys, names = (runs[:, 0] << 48) + runs[:, 1], pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
             run = runs[np.searchsorted(keys, (length << 48) + rank, "right") - 1].reshape(-1, 5)
             q = rank - run[:, 1]
-            out = [batch.column(c) for c in pieces.columns] + [pa.array(run[:, 2] + q // np.maximum(run[:, 3], 1)), pa.array(run[:, 4] + q % np.maximum(run[:, 3], 1) * length)]
-            yield pa.record_batch(out, names=[*pieces.columns, "sequence_id", "offset"])
+            out = [batch.column(c) for c in names] + [pa.array(run[:, 2] + q // np.maximum(run[:, 3], 1)), pa.array(run[:, 4] + q % np.maximum(run[:, 3], 1) * length)]
+            yield pa.record_batch(out, names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, packing, token_store
+from quantloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, minhash, packing, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,26 @@ FROM f GROUP BY conv_id
 """
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM words WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r) AS component_id, min(r) = d.doc_id AS kept
+FROM documents d JOIN reach ON reach.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(_table(spark, sf_dir, "documents")))
 
@@ -102,5 +122,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_decontaminate, op5_chat_format, op8_token_store, op9_line_dedup, op10_exact_dedup)}
-SQL = {"op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_decontaminate, op5_chat_format, op6_minhash_near_dedup, op8_token_store, op9_line_dedup, op10_exact_dedup)}
+SQL = {"op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
