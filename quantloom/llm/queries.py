@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, decontaminate, exact_dedup, line_dedup, minhash, packing, token_store
+from quantloom.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, minhash, packing, quality, secret_scan, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op2_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(_table(spark, sf_dir, "documents")))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_guess", "max_cost")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +100,10 @@ FROM documents d JOIN reach ON reach.id = d.doc_id LEFT JOIN sizes s ON s.doc_id
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, token_store.write_store(_table(spark, sf_dir, "documents")))
 
@@ -122,5 +135,5 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_pack, op4_decontaminate, op5_chat_format, op6_minhash_near_dedup, op8_token_store, op9_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_pack, op3_secret_scan, op4_decontaminate, op5_chat_format, op6_minhash_near_dedup, op7_quality, op8_token_store, op9_line_dedup, op10_exact_dedup)}
 SQL = {"op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
