@@ -8,6 +8,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from quantloom.llm.shingles import shingle_sets
 COORDINATES, MISS = 32, 1e-6
 #: A coordinate value that more classes have is posted only where a document has nothing rarer.
 HOT = 64
+#: Documents of a family of near copies that a task compares with as many others.
+BLOCK = 200
 #: Shingles that are hashed at a time.
 ROWS = 8192
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -93,6 +96,65 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of a block's sets, by products of parts of its incidence matrix."""
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times > 1
+    column, row = (np.cumsum(shared) - 1)[column[shared[column]]], row[shared[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), "f4")
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(column, (at, at + 4096))
+        part = np.zeros((len(sets), 4096), "f4")
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def family_links(lists: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) across components within long lists (token, rep, component), one for each two components and block at least.
+
+    Long lists that share classes make a family. Its classes are dealt into blocks, those
+    of a large component into blocks of their own, and each two blocks that may hold
+    different components meet once in a task of bounded size, which compares the full
+    sets. So pairs are neither emitted nor left out, and pairs within a large component
+    are never compared.
+    """
+    long = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where(F.col("n") > HOT).select("token", "hub")
+    rows = cut(lists.join(long, "token").select("hub", "rep", "component").distinct(), "long-lists")
+    if rows.isEmpty():
+        return rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    family = components(rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("family"))
+    members = cut(rows.select("rep", "component").distinct().join(family, "rep"), "families")
+    parts = members.groupBy("family", "component").agg(F.when(F.count("*") >= BLOCK, F.col("component")).otherwise(-1).alias("part"))
+    members = members.join(parts, ["family", "component"])
+    sizes = members.groupBy("family", "part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = cut(members.join(sizes, ["family", "part"]).withColumn("cell", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))).select("rep", "component", "family", "cell"), "members")
+    cells = members.select("family", "cell").distinct()
+    u, v = cells.select("family", F.col("cell").alias("u")), cells.select(F.col("family").alias("family2"), F.col("cell").alias("v"))
+    meet = u.join(v, F.col("family") == F.col("family2")).where((F.col("u") <= F.col("v")) & ((F.col("u.part") != F.col("v.part")) | (F.col("u.part") == -1)))
+    meet = cut(meet.select("family", "u", "v"), "block-pairs")
+    sides = members.join(meet.select("family", "v", F.col("u").alias("cell"), F.col("u").alias("u")), ["family", "cell"]).select("rep", "component", "family", "u", "v")
+    sides = sides.unionByName(members.join(meet.where("u <> v").select("family", "u", F.col("v").alias("cell"), F.col("v").alias("v")), ["family", "cell"]).select("rep", "component", "family", "u", "v"))
+    texts = docs.join(broadcast_if_small(members.select(F.col("rep").alias("doc_id")), 64), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    met = sides.join(cut(texts.withColumnRenamed("doc_id", "rep"), "family-texts"), "rep").select("family", F.col("u.part").alias("p"), F.col("u.block").alias("q"), F.col("v.part").alias("r"), F.col("v.block").alias("s"), "rep", "component", "body")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        ids, own = rows["rep"].to_numpy(), rows["component"].to_numpy()
+        shared = overlaps(list(shingle_sets([t.encode() for t in rows["body"]], n)))
+        size = np.diag(shared)
+        good = (100 * shared >= percent * (size[:, None] + size - shared)) & (own[:, None] != own)
+        a, b = np.nonzero(np.triu(good))
+        out = pd.DataFrame({"a": ids[a], "b": ids[b], "x": own[a], "y": own[b]})
+        return out.drop_duplicates(["x", "y"])[["a", "b"]]
+
+    return met.groupBy("family", "p", "q", "r", "s").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose sets of ``n``-word shingles have a Jaccard similarity of ``percent`` or more.
 
@@ -107,9 +169,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
        lists are skipped wherever a document has enough rarer values.
     3. Of each posting list, every class is paired with the list's smallest. Pairs with T
        matches over all coordinates are confirmed on the full sets and joined into components.
-    4. Lists with classes of several components are joined with themselves across
-       components; pairs within a component need no test, as a link there changes nothing. So a list of near copies
-       costs a pair a member, not their square, and none is left out.
+    4. Lists with classes of several components are compared across components; pairs
+       within one need no test, as a link there changes nothing. Lists of up to HOT classes are
+       joined with themselves; longer ones go block by block (family_links). So a list of near copies costs a
+       pair a member, and no candidate is left out.
 
     Returns a row per row: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
@@ -151,12 +214,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     found = components(links)
 
     labelled = posted.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    labelled = cut(labelled.join(mixed, "token"), "mixed-postings")
-    x = labelled.where("rep <> first").select("token", F.col("rep").alias("a"), F.col("component").alias("p"))
-    y = labelled.where("rep <> first").select("token", F.col("rep").alias("b"), F.col("component").alias("q"))
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("token", "n")
+    labelled = cut(labelled.join(mixed, "token").select("token", "rep", "first", "component", "n"), "mixed-postings")
+    short = labelled.where((F.col("n") <= HOT) & (F.col("rep") != F.col("first")))
+    x = short.select("token", F.col("rep").alias("a"), F.col("component").alias("p"))
+    y = short.select("token", F.col("rep").alias("b"), F.col("component").alias("q"))
     across = x.join(y, "token").where("a < b and p <> q").select("a", "b").distinct()
-    more = cut(confirmed(cut(likely(across), "pairs"), base, n, percent), "cross-links")
+    more = confirmed(cut(likely(across), "pairs"), base, n, percent)
+    more = cut(more.union(family_links(labelled.where(F.col("n") > HOT).select("token", "rep", "component"), base, n, percent)), "cross-links")
     if not more.isEmpty():
         found = components(links.union(more))
 
