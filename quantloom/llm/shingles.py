@@ -13,7 +13,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @lru_cache(1)

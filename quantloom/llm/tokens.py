@@ -4,11 +4,32 @@ from __future__ import annotations
 
 import os
 import re
-
-#: Entries of a worker's cache; beyond, it starts anew.
-CACHE_WORDS = 600_000
-#: Splits as the vocabulary's own rules do, for a lower-case ASCII word.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+from array import array
+
+#: Entries of a worker's cache of words and of its smaller one of other pieces. A full cache stays, as frequent words come early, until
+#: 16 times as many look-ups have missed it; then it starts anew.
+CACHE_WORDS, CACHE_PIECES = 550_000, 100_000
+
+
+class Cache(dict):
+    def __init__(self, most: int) -> None:
+        self.most, self.missed = most, 0
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) < self.most:
+            self[key] = value
+        else:
+            self.missed += 1
+            if self.missed > 16 * self.most:
+                self.clear()
+                self.missed = 0
+        return value
+#: Words of printable ASCII and the accented letters of Latin-1, and how the vocabulary's own rules split them in lower case.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level vocabularies write a byte as itself if it is printable Latin-1, else as one of the characters from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_CHAR = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: White space to str.split() but not to the vocabulary's rules.
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \t-\r\x85\xa0  -     　]+")
@@ -25,9 +46,9 @@ class WordCoder:
     """Encodes a text as little-endian unsigned 32-bit ids, equal to the library's own for the whole text.
 
     For a vocabulary that drops white space and never looks across it, a text's ids are its
-    words' ids in a row, so each word is encoded once and kept. Words of plain ASCII are
-    cut into pieces here and the pieces go to the library's model; any other word, or one
-    with a special token, goes through the whole library. Other kinds of vocabulary are
+    words' ids in a row, so each word is encoded once and kept. Latin words are cut into
+    pieces here and the pieces go to the library's model; any other word goes through its
+    normalizer and splitter first, one with a special token through the whole library. Other kinds of vocabulary are
     encoded text by text.
     """
 
@@ -39,23 +60,30 @@ class WordCoder:
         self.model = self.coder.model
         self.by_word = [self._whole("a b\n c"), self._whole("it's  ok")] == [self._whole("a") + self._whole("b") + self._whole("c"), self._whole("it's") + self._whole("ok")] and path.rsplit("/", 1)[-1].startswith("word_bpe")
         self.specials = tuple(t.content for t in self.coder.get_added_tokens_decoder().values())
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Cache(CACHE_WORDS), Cache(CACHE_PIECES)
 
     def _whole(self, text: str) -> bytes:
         ids = self.coder.encode(text, add_special_tokens=False).ids
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _latin(self, piece: str) -> bytes:
+        if (out := self.words.get(piece)) is None:
+            out = self.words.keep(piece, self._ids(piece.encode().decode("latin-1").translate(_AS_CHAR)))
+        return out
+
     def _piece(self, piece: str) -> bytes:
         if (out := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            out = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
+            out = self.pieces.keep(piece, self._ids(piece))
         return out
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable() and "<|" not in word:
-            return b"".join([self._piece(p) for p in _PIECES.findall(word.lower())])
+        # A piece is a word with the same ids, so both share a cache.
+        if _LATIN.fullmatch(word) and "<|" not in word:
+            low = word.lower()
+            return self._latin(low) if low.isalpha() else b"".join([self._latin(p) for p in _PIECES.findall(low)])
         if any(s in word for s in self.specials):
             return self._whole(word)
         return b"".join([self._piece(p) for p, _ in self.coder.pre_tokenizer.pre_tokenize_str(self.coder.normalizer.normalize_str(word))])
@@ -69,14 +97,10 @@ class WordCoder:
             return b"".join([words[w] for w in split])
         except KeyError:
             pass
-        if len(words) >= CACHE_WORDS:
-            words.clear()
         out = []
         for w in split:
             if (ids := words.get(w)) is None:
-                ids = self._word(w)
-                if len(words) < CACHE_WORDS:
-                    words[w] = ids
+                ids = words.keep(w, self._word(w))
             out.append(ids)
         return b"".join(out)
 
