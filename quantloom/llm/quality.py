@@ -17,6 +17,8 @@ from quantloom.llm.shingles import _BYTE, CHUNK, _powers, mix
 #: Hashed features; behind them stand BINS one-hot bins for each of SHAPES measures of the whole text.
 DIMS, BINS, SHAPES = 1 << 18, 24, 7
 PREFIXES = (4, 5, 6)
+#: Labelled rows that a shard has at least; a smaller sample is gone over in fewer shards.
+LEAST_ROWS = 1500
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _GAP = np.zeros(256, bool)
@@ -106,22 +108,25 @@ def _fit_shard(rows: pd.DataFrame, model: Model, epochs: int, rate: float, decay
     return Model(w, theta), moved
 
 
-def _trainer(model: Model, epochs: int, rate: float, decay: float, seed: int):
+def _trainer(model: Model, common: np.ndarray, epochs: int, rate: float, decay: float, seed: int):
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        own, moved = _fit_shard(rows.sort_values("doc_id", kind="stable"), model, epochs, rate, decay, seed)
+        rows = rows.sort_values("doc_id", kind="stable")
+        rows["indices"] = [x[common[x]] for x in map(np.asarray, rows["indices"])]
+        own, moved = _fit_shard(rows, model, epochs, rate, decay, seed)
         at = np.flatnonzero(moved)
         return pd.DataFrame({"at": [at.astype("i4").tobytes()], "w": [own.weights[at].tobytes()], "t": [own.thresholds.tobytes()]})
 
     return train
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int = 8, rounds: int = 5, epochs: int = 3, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int = 8, rounds: int = 5, epochs: int = 3, rate: float = 0.2, decay: float = 1e-3, least_docs: int = 3) -> Model:
     """Fit on ``sample`` labelled rows at most, those whose ids have the smallest hashes.
 
     ``docs`` (doc_id, body) and ``grades`` (doc_id, grade 0..2). Features are made in Spark
-    and written once. In each round, each of ``shards`` tasks goes over its share of the
-    sample from the same model; a weight becomes the mean over the shards that moved it.
-    What reaches the driver is ``shards`` models a round, whatever the input's size. Without
+    and written once. In each round, each of up to ``shards`` tasks goes over its share of the
+    sample from the same model; a weight becomes the mean over the shards that moved it. Features in fewer than
+    ``least_docs`` documents of the sample get no weight, as they would only learn rows by heart.
+    What reaches the driver is a list of features and ``shards`` models a round, each bounded by DIMS, whatever the input's size. Without
     labelled rows the model stays neutral.
     """
     ids = cut(grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "graded")
@@ -132,10 +137,13 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int =
             yield pa.record_batch({"doc_id": b.column("doc_id"), "grade": b.column("grade"), "indices": pa.array([features(t) for t in b.column("body").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))})
 
     table = cut(rows.select("doc_id", "grade", "body").mapInArrow(index, "doc_id long, grade int, indices array<bigint>"), "grade-features")
+    shards = max(1, min(shards, ids.count() // LEAST_ROWS))
     table = table.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")).repartition(shards, "shard")
-    model = Model()
+    model, common = Model(), np.zeros(DIMS + BINS * SHAPES, bool)
+    often = table.select(F.explode("indices").alias("i")).groupBy("i").count().where(F.col("count") >= least_docs).select("i")
+    common[often.toArrow().column(0).to_numpy()] = True
     for k in range(rounds):
-        train = _trainer(model, epochs, rate / (1 + k / 2), decay, k)
+        train = _trainer(model, common, epochs, rate / (1 + k / 2), decay, k)
         parts = sorted(table.groupBy("shard").applyInPandas(train, "at binary, w binary, t binary").collect(), key=lambda r: bytes(r["t"]))
         if not parts:
             return model

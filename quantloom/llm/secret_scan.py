@@ -23,7 +23,7 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 #: Other places of credentials: names beyond those above, headers, and URLs with a password.
 _CONTEXT = re.compile(
-    rb"""(?:(?:pwd|passphrase|pass|credentials?|auth|private_key|access_key|secret_key|client_id|session_?id|cookie|signature)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']?"""
+    rb"""(?:(?:pwd|passphrase|pass|credentials?|auth|private_key|access_key|secret_key|client_id|session_?id|cookie|signature)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']?(?:(?:bearer|basic)\x20+)?"""
     rb"""|bearer\x20+|authorization["']?\s{0,3}[:=]\s{0,3}["']?(?:basic\x20+)?|://[A-Za-z0-9._-]{1,64}:)([^\s"'<>@,;]{6,})""",
     re.I,
 )
