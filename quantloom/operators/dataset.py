@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +113,24 @@ def common_features(df: DataFrame, cols: list[str]) -> list[str]:
     """The columns that have a value in every symbol: one aggregate, one row."""
     has = df.groupBy("symbol").agg(*[(F.count(c) > 0).alias(c) for c in cols]).agg(*[F.bool_and(c).alias(c) for c in cols]).first()
     return [c for c in cols if has[c]]
+
+
+def score_sequences(df: DataFrame, keys: list[str], model: Callable[[], Callable[[np.ndarray], np.ndarray]], horizons: int = 5) -> DataFrame:
+    """A row a (keys, horizon) with pred, from a model on the ``features`` of sequences(): ``model()`` is made once a task
+    and maps an array (rows, steps, features) to (rows, horizons). Sequences of one batch have one shape."""
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", horizon int, pred double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = model()
+        for rows in batches:
+            if len(rows):
+                out = np.asarray(score(np.array([[list(step) for step in seq] for seq in rows["features"]], float)), float)
+                long = rows[keys].loc[rows.index.repeat(horizons)].reset_index(drop=True)
+                yield long.assign(horizon=np.tile(np.arange(1, horizons + 1), len(rows)).astype("int32"), pred=out[:, :horizons].ravel())
+
+    return df.select(*keys, "features").mapInPandas(run, schema)
+
+
+def momentum(steps: int = 5) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
+    """The default sequence model: the mean change of the last feature, carried on."""
+    return lambda: lambda x: np.diff(x[:, :, -1], axis=1).mean(1, keepdims=True) * np.arange(1, steps + 1)

@@ -73,3 +73,28 @@ def to_wide(df: DataFrame, keys: list[str], value: str, days: int = 5) -> DataFr
     days = days if days > 0 else 5
     out = df.groupBy(*keys).pivot("horizon", list(range(1, days + 1))).agg(F.first(value))
     return out.select(*keys, *[F.col(f"`{h}`").alias(f"forecast_close_t{h}") for h in range(1, days + 1)])
+
+
+def anchor_close(bars: DataFrame) -> DataFrame:
+    """The close before each bar, which a forecast of that bar starts from."""
+    return bars.withColumn("anchor_close", F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))
+
+
+def backtest_table(bars: DataFrame, pred: DataFrame, split_end: str, horizons: int = 5) -> DataFrame:
+    """Forecasts (symbol, date, horizon, q50) with anchor and realised closes: a row a (symbol, date, horizon) with predicted and
+    realised return and price, the day of the outcome, and whether that is within the split. Outcomes not yet known are null."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    outcome = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(w).alias("realised_date"), F.lead("close", h).over(w).alias("realised_price")) for h in range(1, horizons + 1)])
+    wide = bars.select("symbol", "date", F.col("close").alias("anchor"), outcome.alias("outcomes"))
+    long = wide.select("symbol", "date", "anchor", F.explode("outcomes").alias("o")).select("symbol", "date", "anchor", "o.*")
+    out = long.join(pred.select("symbol", "date", "horizon", "q50"), ["symbol", "date", "horizon"])
+    return out.withColumns({
+        "predicted_price": to_price(F.col("anchor"), F.col("q50")), "realised_return": F.ln(F.col("realised_price") / F.nullif(F.col("anchor"), F.lit(0.0))),
+        "in_split": F.coalesce(F.col("realised_date") <= F.to_date(F.lit(split_end)), F.lit(False)),
+    })
+
+
+def join_actuals(pred: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Forecast prices next to the closes of their day, within a range of days."""
+    days = F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+    return pred.join(bars.select("symbol", "date", F.col("close").alias("actual")), ["symbol", "date"]).where(days)

@@ -177,3 +177,25 @@ def a33_fifo(spark, sf_dir):
     t = t.withColumn("symbol", F.col("l_suppkey"))
     t = t.select("symbol", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.row_number().over(w).alias("seq"))
     return metrics.fifo_pnl(t)
+
+
+@query("r6_j13_backtest_table", f"""WITH {PREDICTIONS}, o AS (SELECT symbol, date, close, {', '.join(f'lead(date, {h}) OVER ({_W}) AS d{h}, lead(close, {h}) OVER ({_W}) AS c{h}' for h in range(1, 6))} FROM bars),
+l AS ({' UNION ALL '.join(f'SELECT symbol, date, {h} AS horizon, close AS anchor, d{h} AS realised_date, c{h} AS realised_price FROM o' for h in range(1, 6))})
+SELECT symbol, date, horizon, CAST(realised_date AS VARCHAR) AS realised_date, {_r('anchor * exp(q50)', 'predicted_price')}, {_r('realised_price', 'realised_price')}, {_r('ln(realised_price / anchor)', 'realised_return')},
+  coalesce(realised_date <= DATE '2000-12-31', false) AS in_split FROM l JOIN pred USING (symbol, date, horizon)""")
+def r6_backtest(spark, sf_dir):
+    out = forecast.backtest_table(bars(spark, sf_dir), predictions(spark, sf_dir), "2000-12-31")
+    return rounded(out, "realised_date", "predicted_price", "realised_price", "realised_return", "in_split", keys=("symbol", "date", "horizon"))
+
+
+@query("j14_r7_predicted_vs_actual", f"""WITH {BARS} SELECT symbol, date, {_r('abs(close - close * 1.01)', 'abs_error')}, {_r('abs((close - close * 1.01) / close) * 100', 'pct_error')} FROM bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'""")
+def j14_actuals(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    df = forecast.join_actuals(b.select("symbol", "date", (F.col("close") * 1.01).alias("pred")), b, "1997-01-01", "1997-12-31")
+    return rounded(forecast.errors(df, "actual", "pred"), "abs_error", "pct_error")
+
+
+@query("t1_t2_t11_sequences")
+def t1_sequences(spark, sf_dir):
+    """The last five of twenty steps that end at each bar."""
+    return dataset.tail(dataset.sequences(bars(spark, sf_dir), ["open", "high", "low", "close"], 20), 5).select("symbol", "date", "features")

@@ -203,3 +203,28 @@ def w29_decision(spark, sf_dir):
 @query("w29_decision_table")
 def w29_table(spark, sf_dir):
     return decision.decision_features(bars(spark, sf_dir))
+
+
+@query("a24_liveness", f"""WITH {BARS}, k AS (SELECT *, CASE WHEN symbol % 4 <> 0 OR year(date) < 1999 THEN close END AS live, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars)
+SELECT symbol, count(*) AS n_rows, CASE WHEN count(live) = 0 THEN 'live' ELSE '' END AS dead_columns FROM k WHERE k <= 5 GROUP BY symbol""", dated=False)
+def a24_liveness(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("live", F.when((F.col("symbol") % 4 != 0) | (F.year("date") < 1999), F.col("close")))
+    return clean.liveness_report(b, ["open", "live"])
+
+
+@query("a27_status", f"""WITH {BARS}, s AS (SELECT symbol, count(*) AS fetched, sum((year(date) > 2000 AND symbol % 3 <> 0)::INT) AS fresh, sum((symbol % 10 = 7)::INT) AS failed FROM bars GROUP BY symbol),
+e AS (SELECT symbol, fetched, fresh, CASE WHEN failed > 0 THEN 'error' WHEN fresh > 0 THEN 'updated' WHEN fetched > 0 THEN 'duplicate_only' ELSE 'no_new_data' END AS status FROM s)
+SELECT symbol::VARCHAR AS symbol, fetched, fresh::BIGINT AS fresh, status FROM e UNION ALL SELECT 'run', sum(fetched)::BIGINT, sum(fresh)::BIGINT, CASE WHEN count(*) FILTER (status = 'error') = count(*) THEN 'error' WHEN count(*) FILTER (status = 'error') > 0 THEN 'partial_error' WHEN sum(fresh) > 0 THEN 'ok' ELSE 'no_new_data' END FROM e""", dated=False)
+def a27_status(spark, sf_dir):
+    flag = lambda c: c.cast("int")
+    df = bars(spark, sf_dir).select("symbol", F.lit(1).alias("fetched"), flag((F.year("date") > 2000) & (F.col("symbol") % 3 != 0)).alias("fresh"), flag(F.col("symbol") % 10 == 7).alias("failed"))
+    return clean.status_rollup(df).withColumn("symbol", F.coalesce(F.col("symbol").cast("string"), F.lit("run")))
+
+
+@query("a28_dataset_summary", f"""WITH {BARS}, p AS (SELECT *, CASE WHEN symbol % 5 = 0 THEN 'replay' WHEN year(date) > 2000 THEN 'validation' WHEN symbol % 7 <> 0 THEN 'train' ELSE 'replay' END AS part FROM bars),
+g AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'validation') AS n_validation, count(*) FILTER (part = 'replay') AS n_replay, CAST(max(date) AS VARCHAR) AS last_date FROM p GROUP BY symbol)
+SELECT *, CASE WHEN n_train + n_validation = 0 THEN 'no new rows' WHEN n_train < 1 THEN 'too few rows' END AS skip_reason FROM g""", dated=False)
+def a28_summary(spark, sf_dir):
+    s = F.col("symbol")
+    df = bars(spark, sf_dir).withColumn("part", F.when(s % 5 == 0, "replay").when(F.year("date") > 2000, "validation").when(s % 7 != 0, "train").otherwise("replay"))
+    return clean.dataset_summary(df).withColumn("last_date", F.col("last_date").cast("string"))

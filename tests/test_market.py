@@ -98,3 +98,18 @@ def test_weights_are_shares_of_the_models_at_hand(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0)], "k int, model string, pred double")
     assert forecast.ensemble(df, {"a": 1.0, "b": 3.0, "c": 6.0}, ["k"]).first()["pred"] == pytest.approx(2.5)
     assert forecast.ensemble(df, {}, ["k"]).first()["pred"] == pytest.approx(2.0)
+
+
+def test_sequence_model_hook(spark):
+    seq = dataset.sequences(_bars(spark, 30, 1), ["open", "close"], 20)
+    out = dataset.score_sequences(seq, ["symbol", "date"], dataset.momentum())
+    assert out.count() == 11 * 5
+    row = seq.orderBy("date").first()
+    step = np.diff([x[1] for x in row["features"]]).mean()
+    got = {r["horizon"]: r["pred"] for r in out.where(F.col("date") == F.lit(row["date"])).collect()}
+    assert got == pytest.approx({h: step * h for h in range(1, 6)})
+
+
+def test_common_features(spark):
+    df = spark.sql("select * from values (1, 1.0, null), (2, 2.0, 3.0) as t(symbol, a, b)")
+    assert dataset.common_features(df, ["a", "b"]) == ["a"]
