@@ -62,7 +62,7 @@ def whole(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of few rows, as a row holds a whole text; a setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
