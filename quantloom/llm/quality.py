@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, small_batches, whole
+from quantloom.llm.shared import cut, small_batches, smallest_hashes, whole
 from quantloom.llm.shingles import _BYTE, CHUNK, _powers, mix
 
 #: Hashed features; behind them stand BINS one-hot bins for each of SHAPES measures of the whole text.
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int =
     What reaches the driver is a list of features and ``shards`` models a round, each bounded by DIMS, whatever the input's size. Without
     labelled rows the model stays neutral.
     """
-    ids = cut(grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "graded")
+    ids = cut(smallest_hashes(cut(grades, "grades"), "doc_id", sample), "graded")
     rows = docs.join(F.broadcast(ids), "doc_id")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

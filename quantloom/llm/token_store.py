@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, new_path, small_batches, whole
+from quantloom.llm.shared import cut, new_path, small_batches, smallest_hashes, whole
 from quantloom.llm.tokens import coder, default_path
 
 MAGIC = b"QLTOK001"
@@ -47,7 +47,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample_docs:
     import zstandard
 
     width = _width(vocabulary, end_id)
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(sample_docs)
+    ids = smallest_hashes(docs.select("doc_id"), "doc_id", sample_docs).distinct()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
