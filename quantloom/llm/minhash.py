@@ -124,7 +124,7 @@ def family_links(lists: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     are never compared.
     """
     long = lists.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where(F.col("n") > HOT).select("token", "hub")
-    rows = cut(lists.join(long, "token").select("hub", "rep", "component").distinct(), "long-lists")
+    rows = cut(lists.join(broadcast_if_small(cut(long, "long-tokens"), 48), "token").select("hub", "rep", "component").distinct(), "long-lists")
     if rows.isEmpty():
         return rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     family = components(rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("family"))
