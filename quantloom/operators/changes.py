@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by
+from quantloom.functions.schemas import drop_labels
 
 
 def sheet_hash(rows: DataFrame) -> DataFrame:
@@ -58,3 +59,10 @@ def with_context(live: DataFrame, history: DataFrame) -> DataFrame:
     first = live.groupBy("symbol").agg(F.min("date").alias("__first"))
     old = history.join(first, "symbol").where(F.col("date") < F.col("__first")).drop("__first")
     return old.withColumn("source", F.lit("history")).unionByName(live.withColumn("source", F.lit("live")))
+
+
+def engineered_with_predictions(df: DataFrame, pred: DataFrame) -> DataFrame:
+    """Feature rows with their forecasts for export: labels and internal columns go, doubles have six digits."""
+    out = drop_labels(merge_predictions(df, pred))
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns if not c.startswith("__")])

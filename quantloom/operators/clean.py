@@ -127,3 +127,8 @@ def dataset_summary(examples: DataFrame, minimum: int = 1) -> DataFrame:
     """By symbol from part (train, validation, replay): counts, last date and why a symbol is skipped."""
     out = examples.groupBy("symbol").agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "replay")], F.max("date").alias("last_date"))
     return out.withColumn("skip_reason", F.when(F.col("n_train") + F.col("n_validation") == 0, "no new rows").when(F.col("n_train") < minimum, "too few rows"))
+
+
+def drop_blank_rows(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows in which any of the text columns has more than white space."""
+    return df.where(F.exists(F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in cols]), lambda x: x != ""))

@@ -44,3 +44,14 @@ def attach_fundamentals(bars: DataFrame, flat: DataFrame) -> DataFrame:
 
 def sector_rank(df: DataFrame, col: str = "pe") -> DataFrame:
     return pct_rank(df, col, "sector", f"{col}_sector_rank")
+
+
+def encode_financials(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The statement's items as one JSON text, for tables whose items vary."""
+    return df.withColumn("financials", F.to_json(F.struct(*cols))).drop(*cols)
+
+
+def decode_financials(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Doubles from the JSON text; absent or invalid text gives nulls."""
+    kind = "struct<" + ",".join(f"{c}:double" for c in cols) + ">"
+    return df.withColumn("__f", F.from_json("financials", kind)).select(*df.columns, *[F.col(f"__f.{c}").alias(c) for c in cols]).drop("financials")

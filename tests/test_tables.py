@@ -109,3 +109,16 @@ def test_streams(spark, tmp_path):
     q = flows.daily_counts(items).writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination(60)
     assert spark.table("daily").first()["n"] == 2
+
+
+def test_export_blank_rows_and_nested_financials(spark):
+    from quantloom.operators import fundamentals
+
+    rows = spark.sql("select * from values ('a', 1, 0, cast(null as double), 1.23456789D, 9.0D), ('a', 2, 1, 5.0D, 2.0D, 9.0D) as t(symbol, row_no, predicted, forecast, x, y_logret_h1)")
+    pred = spark.sql("select * from values ('a', 1, 7.0D) as t(symbol, row_no, forecast)")
+    out = {r["row_no"]: r.asDict() for r in changes.engineered_with_predictions(rows, pred).collect()}
+    assert out[1] == {"symbol": "a", "row_no": 1, "predicted": 1, "forecast": 7.0, "x": 1.234568} and out[2]["forecast"] == 5.0
+    assert clean.drop_blank_rows(spark.sql("select * from values ('', ' '), (null, 'x') as t(a, b)"), ["a", "b"]).count() == 1
+    df = spark.sql("select 1 as id, 2.5D as debt, cast(null as double) as equity")
+    back = fundamentals.decode_financials(fundamentals.encode_financials(df, ["debt", "equity"]).unionByName(spark.sql("select 2 as id, 'bad' as financials")), ["debt", "equity"])
+    assert sorted(((r["id"], r["debt"], r["equity"]) for r in back.collect()), key=str) == [(1, 2.5, None), (2, None, None)]
