@@ -134,9 +134,9 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int =
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "grade": b.column("grade"), "indices": pa.array([features(t) for t in b.column("body").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "grade": b.column("grade"), "indices": pa.array([features(t).astype("i4") for t in b.column("body").cast(pa.binary()).to_pylist()], pa.list_(pa.int32()))})
 
-    table = cut(rows.select("doc_id", "grade", "body").mapInArrow(index, "doc_id long, grade int, indices array<bigint>"), "grade-features")
+    table = cut(rows.select("doc_id", "grade", "body").mapInArrow(index, "doc_id long, grade int, indices array<int>"), "grade-features")
     shards = max(1, min(shards, ids.count() // LEAST_ROWS))
     table = table.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)).cast("int")).repartition(shards, "shard")
     model, common = Model(), np.zeros(DIMS + BINS * SHAPES, bool)
