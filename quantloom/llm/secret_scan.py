@@ -21,10 +21,16 @@ KINDS = ("assign", "access", "hex", "guess")
 LEAST_COST = 8.0
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-#: Other places of credentials: names beyond those above, headers, and URLs with a password.
+#: Other places of credentials: names, headers, and URLs with a password. The names above are here
+#: too, for values that _ASSIGN can't take. A quoted value ends at its quote. A value that is itself
+#: a name with a separator and a value apart isn't one, as finditer() would pass over the inner value.
+_NAME, _SEP = rb"(?:password|passwd|secret|token|api_?key|pwd|passphrase|pass|credentials?|auth|private_key|access_key|secret_key|client_id|session_?id|cookie|signature)[\"']?", rb"\s*(?::=|=>|[:=])"
+_FREE = rb"""[^\s"'<>@,;]{6,}"""
 _CONTEXT = re.compile(
-    rb"""(?:(?:pwd|passphrase|pass|credentials?|auth|private_key|access_key|secret_key|client_id|session_?id|cookie|signature)["']?\s{0,3}(?::=|=>|[:=])\s{0,3}["']?(?:(?:bearer|basic)\x20+)?"""
-    rb"""|bearer\x20+|authorization["']?\s{0,3}[:=]\s{0,3}["']?(?:basic\x20+)?|://[A-Za-z0-9._-]{1,64}:)([^\s"'<>@,;]{6,})""",
+    rb"(?:" + _NAME + _SEP + rb"""\s*["']?(?:(?:bearer|basic)\x20+)?"""
+    rb"""|bearer\x20+|authorization["']?\s*[:=]\s*["']?(?:basic\x20+)?|://[A-Za-z0-9._-]{1,64}:)"""
+    rb"(?![\w.-]{0,32}?" + _NAME + _SEP + rb"""(?:\s+["']?|["'])""" + _FREE + rb")"
+    rb"""((?<=")[^\s"]{6,}(?=")|(?<=')[^\s']{6,}(?=')|""" + _FREE + rb")",
     re.I,
 )
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -108,7 +114,7 @@ def find(text: bytes) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int,
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if len(text) >= 24:
         found += [(s, e, 2) for s, e in _runs(_HEX[np.frombuffer(text, "u1")], 24)]
-    if any(k in low for k in (b"pwd", b"pass", b"cred", b"auth", b"_key", b"client_id", b"session", b"cookie", b"signature", b"bearer", b"://")):
+    if any(k in low for k in (b"pwd", b"pass", b"cred", b"auth", b"_key", b"client_id", b"session", b"cookie", b"signature", b"bearer", b"://", b"secret", b"token", b"api")):
         told_of = [[x for x in found if x[2] == k] for k in (0, 1)]  # in order, without overlap
         for m in _CONTEXT.finditer(text):
             before = [own[bisect_right(own, (m.start(1), math.inf, 0)) - 1] for own in told_of if own and own[0][0] <= m.start(1)]
@@ -136,8 +142,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     highest guess cost (log10) of a value in a credential's place.
 
     Assignments span the whole match, name and value. Three kinds are patterns alone; the
-    fourth, ``guess``, are values in further places of credentials whose cheapest
-    way to guess costs LEAST_COST or more; so placeholders and words aren't told.
+    fourth, ``guess``, are values in any place of credentials, beyond what the first three
+    tell, whose cheapest way to guess costs LEAST_COST or more; so placeholders and words aren't told.
 
     Null text counts as empty: no spans, null max_cost. Repeated rows give repeated
     results; an empty table an empty one. Other columns are ignored.

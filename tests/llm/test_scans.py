@@ -75,6 +75,22 @@ def test_guess_costs_rank_values():
     assert [k for _, _, k in spans] == [3, 3] and len(costs) == 2
 
 
+def test_values_that_the_base_pattern_cannot_take():
+    """After every name, whatever the separator, the blanks around it and the value's characters."""
+    value = "k8#Zq1!vTx9$"
+    for name in "password passwd secret client_secret token api_key apikey pwd pass passphrase auth secret_key cookie".split():
+        for sep in "=", ":", ":=", "=>", " = ", ":\t", " " * 9 + "=" + " " * 7, "\t\t:=\t\t\t\t", " =\n        ":
+            for quote in "", '"', "'":
+                text = f"x {name}{sep}{quote}{value}{quote} y"
+                assert (text.index(value), text.index(value) + len(value), 3) in secret_scan.find(text.encode())[0], text
+    for text, inner in {
+        'token => "9fK2xQ7mZt4Lw8"': "9fK2xQ7mZt4Lw8", "secret := 9fK2xQ7mZt4Lw8": "9fK2xQ7mZt4Lw8", "client_secret: '$9fK2xQ7mZt4!'": "$9fK2xQ7mZt4!", "{'password': 'q@9f,K2x;Q7m'}": "q@9f,K2x;Q7m",
+        "secret: passphrase: k8#Zq1!vTx9$": value, "auth: client_secret = k8#Zq1!vTx9$": value, 'password: token:"k8#Zq1!vTx9$"': value,
+    }.items():
+        assert [text[s:e] for s, e, k in secret_scan.find(text.encode())[0] if k == 3] == [inner], text
+    assert secret_scan.find(b"token=24be64439e3e49cf46b2d7c9 password: abcdefgh12, secret = changeme")[0] == [(0, 30, 0), (6, 30, 2), (31, 51, 0), (53, 70, 0)]
+
+
 def test_ordinal_model_tells_grades_apart(spark):
     rng = np.random.default_rng(1)
     texts, labels = [], []
