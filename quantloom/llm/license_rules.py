@@ -1,4 +1,4 @@
-"""License signature rules: a keyword that must be there, a regex over lower-case text, a label, a priority, a score."""
+"""License signature rules: a keyword that must be there once blanks are single spaces, a regex over lower-case text, a label, a priority, a score."""
 
 from __future__ import annotations
 
@@ -118,13 +118,62 @@ sleepycat | sleepycat | sleepycat\s+licen[cs]e | 0.9
 lppl-1.3c | latex project | latex\s+project\s+public\s+licen[cs]e | 0.9
 hpnd | historical permission | historical\s+permission\s+notice\s+and\s+disclaimer | 0.95
 cecill | cecill | \bcecill(?:-[bc])?\s+licen[cs]e | 0.85
+aal | attribution assurance | attribution\s+assurance\s+licen[cs]e | 0.95
+agpl-3.0-or-later | affero | affero\s+general\s+public\s+licen[cs]e.{0,200}?either\s+version\s+3\b.{0,60}?any\s+later\s+version | 0.97
+agpl-3.0-or-later | agpl | \bagpl\s*v?\.?\s*3(?:\.0)?(?:\+|\s+or\s+(?:any\s+)?later\b) | 0.95
+agpl-3.0-only | affero | affero\s+general\s+public\s+licen[cs]e{V}3(?:\.0)?\s+only\b | 0.97
+agpl-3.0-only | agpl | \bagpl\s*v?\.?\s*3(?:\.0)?\s+only\b | 0.95
+apsl-2.0 | apple public | apple\s+public\s+source\s+licen[cs]e{V}2(?:\.0)?\b | 0.95
+apsl | apple public | apple\s+public\s+source\s+licen[cs]e | 0.85
+artistic-1.0 | artistic | artistic\s+licen[cs]e{V}1(?:\.0)?\b | 0.95
+artistic-1.0 | intent of this | the\s+intent\s+of\s+this\s+document\s+is\s+to\s+state\s+the\s+conditions\s+under\s+which\s+a\s+package\s+may\s+be\s+copied | 0.9
+bsd-1-clause | bsd | \b(?:1|one)[\s-]*clause\s+bsd\b | 0.95
+bsd-1-clause | bsd | \bbsd[\s-]*(?:1|one)[\s-]*clause\b | 0.95
+bsd-2-clause-patent | bsd | \bbsd[\s-]*(?:2|two)[\s-]*clause\s+plus\s+patent\b | 0.97
+bsd-2-clause-patent | bsd | \bbsd\s*\+\s*patent\b | 0.95
+bsd-3-clause-clear | clear bsd | \bclear\s+bsd\s+licen[cs]e | 0.95
+bsd-3-clause-clear | no express | no\s+express\s+or\s+implied\s+licen[cs]es\s+to\s+any\s+party's\s+patent\s+rights\s+are\s+granted\s+by\s+this\s+licen[cs]e | 0.9
+cddl-1.0 | common development | common\s+development\s+and\s+distribution\s+licen[cs]e(?:\s*\(cddl\))?{V}1\.0\b | 0.95
+cddl-1.1 | common development | common\s+development\s+and\s+distribution\s+licen[cs]e(?:\s*\(cddl\))?{V}1\.1\b | 0.95
+cddl-1.0 | cddl | \bcddl\s*v?\.?\s*1\.0\b | 0.85
+cddl-1.1 | cddl | \bcddl\s*v?\.?\s*1\.1\b | 0.85
+cecill-2.1 | cecill | \bcecill(?:\s+free\s+software)?(?:\s+licen[cs]e)?(?:\s+agreement)?{V}2\.1\b | 0.95
+cecill-b | cecill | \bcecill-b(?:\s+free\s+software)?\s+licen[cs]e | 0.95
+eupl-1.1 | european union | european\s+union\s+public\s+licen[cs]e(?:\s*\(eupl\))?{V}1\.1\b | 0.95
+eupl-1.2 | european union | european\s+union\s+public\s+licen[cs]e(?:\s*\(eupl\))?{V}1\.2\b | 0.95
+eupl-1.1 | eupl | \beupl\s*v?\.?\s*1\.1\b | 0.85
+eupl-1.2 | eupl | \beupl\s*v?\.?\s*1\.2\b | 0.85
+gfdl-1.2 | free documentation | gnu\s+free\s+documentation\s+licen[cs]e{V}1\.2\b | 0.95
+gpl-2.0-only | general public | gnu\s+general\s+public\s+licen[cs]e{V}2(?:\.0)?\s+only\b | 0.97
+gpl-2.0-only | gpl | \bgpl\s*v?\.?\s*2(?:\.0)?\s+only\b | 0.95
+gpl-2.0-or-later | gpl | \bgpl\s*v?\.?\s*2(?:\.0)?(?:\+|\s+or\s+(?:any\s+)?later\b) | 0.95
+gpl-3.0-only | general public | gnu\s+general\s+public\s+licen[cs]e{V}3(?:\.0)?\s+only\b | 0.97
+gpl-3.0-only | gpl | \bgpl\s*v?\.?\s*3(?:\.0)?\s+only\b | 0.95
+gpl-3.0-or-later | gpl | \bgpl\s*v?\.?\s*3(?:\.0)?(?:\+|\s+or\s+(?:any\s+)?later\b) | 0.95
+ipl-1.0 | ibm public | \bibm\s+public\s+licen[cs]e | 0.95
+lgpl-2.1-only | lesser general | gnu\s+lesser\s+general\s+public\s+licen[cs]e{V}2\.1\s+only\b | 0.97
+lgpl-2.1-only | lgpl | \blgpl\s*v?\.?\s*2\.1\s+only\b | 0.95
+lgpl-2.1-or-later | lesser general | lesser\s+general\s+public\s+licen[cs]e.{0,200}?either\s+version\s+2\.1\b.{0,60}?any\s+later\s+version | 0.97
+lgpl-2.1-or-later | lgpl | \blgpl\s*v?\.?\s*2\.1(?:\+|\s+or\s+(?:any\s+)?later\b) | 0.95
+lgpl-3.0-only | lesser general | gnu\s+lesser\s+general\s+public\s+licen[cs]e{V}3(?:\.0)?\s+only\b | 0.97
+lgpl-3.0-only | lgpl | \blgpl\s*v?\.?\s*3(?:\.0)?\s+only\b | 0.95
+lgpl-3.0-or-later | lesser general | lesser\s+general\s+public\s+licen[cs]e.{0,200}?either\s+version\s+3\b.{0,60}?any\s+later\s+version | 0.97
+lgpl-3.0-or-later | lgpl | \blgpl\s*v?\.?\s*3(?:\.0)?(?:\+|\s+or\s+(?:any\s+)?later\b) | 0.95
+mpl-1.0 | mozilla | mozilla\s+public\s+licen[cs]e{V}1\.0\b | 0.95
+mpl-2.0-no-copyleft-exception | incompatible with | incompatible\s+with\s+secondary\s+licen[cs]es["']?,?\s+as\s+defined\s+by\s+the\s+mozilla\s+public\s+licen[cs]e | 0.97
+psf-2.0 | python software | python\s+software\s+foundation\s+licen[cs]e{V}2\b | 0.95
+psf-2.0 | psf | \bpsf\s+licen[cs]e(?:\s+agreement)? | 0.85
+tcl | tcl/tk | \btcl/tk\s+licen[cs]e | 0.9
+vim | vim | \bvim\s+licen[cs]e\b | 0.9
+zpl-2.1 | zope | zope\s+public\s+licen[cs]e(?:\s*\(zpl\))?{V}2\.1\b | 0.95
+zpl | zope | zope\s+public\s+licen[cs]e | 0.85
 cc0-1.0 | cc0 | \bcc0(?:\s+1\.0)?\b | 0.9
 cc0-1.0 | creative commons | creative\s+commons\s+zero\b | 0.9
 cc0-1.0 | publicdomain | creativecommons\.org/publicdomain/zero/1\.0 | 0.97
 public-domain | public domain | (?:in|into|to)\s+the\s+public\s+domain | 0.6
 proprietary | all rights reserved | \ball\s+rights\s+reserved\b | 0.5
 proprietary | proprietary | \bproprietary\s+and\s+confidential\b | 0.8
-proprietary | without permission | may\s+not\s+be\s+(?:reproduced|copied|distributed)[^.]{0,80}without\s+(?:prior\s+)?(?:written\s+)?permission | 0.7
+proprietary | may not be | may\s+not\s+be\s+(?:reproduced|copied|distributed)[^.]{0,80}without\s+(?:prior\s+)?(?:written\s+)?permission | 0.7
 """
 #: Creative Commons: label part | words of the long name after "attribution" | letters.
 CC = (("by-nc-nd", r"non-?commercial[\s-]*no-?deriv\w*", "by-nc-nd"), ("by-nc-sa", r"non-?commercial[\s-]*share-?alike", "by-nc-sa"), ("by-nc", r"non-?commercial", "by-nc"), ("by-nd", r"no-?deriv\w*", "by-nd"), ("by-sa", r"share-?alike", "by-sa"), ("by", "", "by"))
@@ -143,7 +192,7 @@ def rules() -> list[Rule]:
         out.append(Rule(name, "spdx", rf"spdx-license-identifier:\s*\(?{own}{end}", 90, 1.0))
         out.append(Rule(name, "spdx.org", rf"spdx\.org/licenses/{own}{end}", 85, 0.97))
         out.append(Rule(name, "opensource.org", rf"opensource\.org/licen[cs]es?/{own}{end}", 85, 0.97))
-        out.append(Rule(name, "license", rf"\blicen[cs]e[\"']?\s*[:=]\s*[\"']?{own}{end}", 80, 0.9))
+        out.append(Rule(name, "licen", rf"\blicen[cs]e[\"']?\s*[:=]\s*[\"']?{own}{end}", 80, 0.9))
     for part, words, letters in CC:
         gap = re.escape(letters).replace(r"\-", r"[\s-]+")
         out.append(Rule(f"cc-{part}", "creative commons", rf"creative\s+commons\s+attribution[\s-]*{words}", 50, 0.85))

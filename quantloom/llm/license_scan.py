@@ -60,9 +60,10 @@ def unsuppressed(found: list[tuple[int, int, int, str, float]]) -> list[tuple[in
 
 
 def detections(low: str, gate, by) -> list[tuple[int, int, int, str, float]]:
-    """What the rules find in lower-case text; only rules whose keyword is there are run."""
+    """What the rules find in lower-case text; only rules whose keyword is there are run. Keywords are
+    looked up with each run of white space as one space, as the rules take any run."""
     found = []
-    for keyword in {k for _, k in gate.iter(low)}:
+    for keyword in {k for _, k in gate.iter(" ".join(low.split()))}:
         for rule, regex in by[keyword]:
             found += [(m.start(), m.end(), rule.priority, rule.label, rule.score) for m in regex.finditer(low)]
     return unsuppressed(found)

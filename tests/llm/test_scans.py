@@ -1,4 +1,6 @@
+import random
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -16,6 +18,64 @@ def test_rules_are_hundreds_and_their_keywords_stand_in_what_they_find():
         assert label in {d[3] for d in license_scan.detections(text, gate, by)}, text
 
 
+def _sample(tree, rng):
+    """A text that a parsed regex finds, as parts; None for white space."""
+    out = []
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "ANY":
+            out.append("-")
+        elif op == "IN":
+            sub = [x for x in arg if str(x[0]) != "NEGATE"]
+            negated, kinds = len(sub) < len(arg), {str(x[1]) for x in sub}
+            out.append("-" if negated or "CATEGORY_NOT_SPACE" in kinds else None if "CATEGORY_SPACE" in kinds else "s" if "CATEGORY_WORD" in kinds else chr(rng.choice([x[1] for x in sub])))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            space = str(arg[2][0][0]) == "IN" and "CATEGORY_SPACE" in str(arg[2][0][1])
+            if space:
+                out.append(None)
+            else:
+                least = max(arg[0], str(arg[2][0][0]) == "ANY")
+                for _ in range(rng.choice([least, min(int(arg[1]), least + 1)])):
+                    out += _sample(arg[2], rng)
+        elif op == "SUBPATTERN":
+            out += _sample(arg[3], rng)
+        elif op == "BRANCH":
+            out += _sample(rng.choice(arg[1]), rng)
+    return out
+
+
+def test_no_rule_is_lost_to_its_keyword():
+    """Texts of each rule, wrapped at each of their spaces: the gate lets the rule run."""
+    gate, by, _ = license_scan._compiled()
+    rng = random.Random(4)
+    for rule, regex in [x for own in by.values() for x in own]:
+        for _ in range(3):
+            parts = _sample(re._parser.parse(rule.regex, re.S), rng)
+            spaces = [i for i, x in enumerate(parts) if x is None]
+            for wrapped in ([], spaces, *([i] for i in spaces)):
+                for blank in ("\n", "  ", "\r\n\t ")[: 3 if len(wrapped) > 1 else 1]:
+                    text = "".join((blank if i in wrapped else " ") if x is None else x for i, x in enumerate(parts)).lower()
+                    assert regex.search(text), (rule, text)
+                    assert {d[3] for d in license_scan.detections(text, gate, defaultdict(list, {rule.keyword: [(rule, regex)]}))} == {rule.label}, (rule, text)
+
+
+def test_wrapped_names_keep_their_labels():
+    gate, by, _ = license_scan._compiled()
+    for text, label in {
+        "gnu general\npublic license, version 3": "gpl-3.0", "permission is\nhereby granted, free of charge, to any person\nobtaining a copy": "mit", "creative\ncommons attribution 4.0": "cc-by-4.0", "all  rights\n reserved": "proprietary",
+        "licence: isc": "isc", "may not be copied without prior written permission": "proprietary", "gnu lesser general\npublic license, either version 2.1 of the license, or any later version": "lgpl-2.1-or-later", "zope public\nlicense (zpl) version 2.1": "zpl-2.1", "the vim license": "vim",
+        "gpl v2 or later": "gpl-2.0-or-later", "gplv3+": "gpl-3.0-or-later", "common development and distribution license (cddl), version 1.1": "cddl-1.1", "eupl v1.2": "eupl-1.2",
+    }.items():
+        assert label in {d[3] for d in license_scan.detections(text, gate, by)}, text
+
+
+def test_every_identifier_has_a_written_name():
+    written = {line.split(" | ")[0] for line in license_rules.WRITTEN.strip().splitlines()}
+    assert [x for x in license_rules.IDENTIFIERS if x not in written and not x.startswith("cc-by")] == []
+
+
 def test_contained_detections_of_lower_priority_go():
     found = [(0, 50, 60, "gpl-3.0", 0.9), (4, 20, 40, "gpl", 0.8), (0, 10, 90, "spdx", 1.0), (30, 60, 40, "mit", 0.8), (0, 50, 60, "also", 0.9)]
     assert {d[3] for d in license_scan.unsuppressed(found)} == {"gpl-3.0", "also", "spdx", "mit"}
