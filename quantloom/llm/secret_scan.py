@@ -48,8 +48,17 @@ _LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm")
 _NEXT = {x + y for row in _ROWS for a in (row, row[::-1]) for x, y in zip(a, a[1:])}
-_DATE = re.compile(r"(?:19|20)\d\d(?:[-./_]?(?:0[1-9]|1[0-2])(?:[-./_]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d")
-_REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+_DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+#: The forms of dates, each of one length at a place, and their costs.
+_DATES = [
+    (re.compile(x), 2.1 if x == _YEAR else 4.6)
+    for x in (
+        _YEAR, rf"{_YEAR}[-./_]?{_MONTH}", rf"{_YEAR}[-./_]?{_MONTH}[-./_]?{_DAY}",
+        *(rf"{d}[-./_]{m}[-./_]{y}" for d in (r"[1-9]", _DAY) for m in (r"[1-9]", _MONTH) for y in (r"\d\d", _YEAR)),
+    )
+]
+#: The longest unit of a repeat.
+_UNIT = 8
 #: log10 of what each segment of a split adds, as its place must be guessed too.
 SEGMENT = 0.5
 
@@ -62,8 +71,10 @@ def guess_cost(value: str) -> float:
     """log10 of the guesses that find ``value``, at the cheapest split into words (plain, capital or
     with digits for letters), dates, repeats, keyboard or alphabet walks, and brute force.
 
-    Dynamic programming over end places; each place looks back over its own matches
-    only, so the work is linear in the length but for the bounded word length."""
+    Dynamic programming over end places, over all segments. Words and dates are of bounded
+    length. Repeats of a unit and walks go on from any start to any end; as only the log of
+    their length counts, the cheapest start is kept in a queue (_Starts). So the work is
+    near linear in the length."""
     n = len(value)
     low = value.lower()
     plain = low.translate(_LEET)
@@ -74,25 +85,74 @@ def guess_cost(value: str) -> float:
                 if rank := _RANK.get(text[i : i + k]):
                     ends[i + k].append((i, math.log10(rank + 1) + more + (0.3 if value[i : i + k] != low[i : i + k] else 0)))
                     break
-    for m in _DATE.finditer(value):
-        ends[m.end()].append((m.start(), 2.1 if m.end() - m.start() == 4 else 4.6))
-    for m in _REPEAT.finditer(value):
-        ends[m.end()].append((m.start(), sum(map(_spread, m[1])) + math.log10(m.end() - m.start())))
-    i = 0
-    while i < n - 2:
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _NEXT:
-            j += 1
-        if j - i >= 3:
-            ends[j].append((i, 1.7 + math.log10(j - i)))
-        i = max(j - 1, i + 1)
+        if value[i].isdigit():
+            for form, cost in _DATES:
+                if m := form.match(value, i):
+                    ends[m.end()].append((i, cost))
+    cost_to = [0.0]
+    for x in value:
+        cost_to.append(cost_to[-1] + _spread(x))
     best, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
+    walks = _Starts()
+    repeats: list[dict[int, _Starts]] = [{} for _ in range(_UNIT + 1)]  # by unit, then by place modulo the unit
     for e in range(1, n + 1):
         brute[e] = min(brute[e - 1], best[e - 1] + SEGMENT) + _spread(value[e - 1])
-        best[e] = min([brute[e], *(best[s] + c + SEGMENT for s, c in ends.get(e, ()))])
+        found = [brute[e], *(best[s] + c + SEGMENT for s, c in ends.get(e, ()))]
+        step = low[e - 2 : e] in _NEXT if e > 1 else False
+        if not step and walks.kept:
+            walks = _Starts()
+        if step and e > 2 and low[e - 3 : e - 1] in _NEXT:
+            walks.add(e - 3, best[e - 3])
+            found.append(walks.cheapest(e) + 1.7 + SEGMENT)
+        for u in range(1, min(_UNIT, e // 2) + 1):
+            s, of = e - 2 * u, repeats[u]
+            if value[e - 1] != value[e - 1 - u]:
+                of.clear()
+            elif value[s : s + u] == value[s + u : e]:
+                starts = of.setdefault(e % u, _Starts())
+                starts.add(s, best[s] + cost_to[s + u] - cost_to[s])
+                found.append(starts.cheapest(e) + SEGMENT)
+        best[e] = min(found)
     return best[n]
 
 
+class _Starts:
+    """Starts s with a cost c each: the least c + log10(e - s) for ends e that only grow.
+
+    Of two starts the later one gains less by each further end, as the log's slope falls
+    with the length: once the earlier one is no dearer, it stays so. So starts are kept
+    in order as a stack whose last is the cheapest, each with the end from which the
+    one before it takes over."""
+
+    def __init__(self) -> None:
+        self.kept: list[tuple[int, float, float]] = []
+
+    def add(self, s: int, c: float) -> None:
+        """A new start; ends asked for afterwards lie beyond it."""
+        while self.kept:
+            last, cost, until = self.kept[-1]
+            at = self._over(last, cost, s, c)
+            if at <= s + 1:
+                return
+            if at < until:
+                break
+            self.kept.pop()
+        self.kept.append((s, c, self._over(*self.kept[-1][:2], s, c) if self.kept else math.inf))
+
+    @staticmethod
+    def _over(early: int, a: float, late: int, b: float) -> float:
+        """The end from which ``early`` with cost a is no dearer than ``late`` with cost b."""
+        k = 10 ** min(a - b, 300)
+        # a + log(e - early) <= b + log(e - late)  <=>  k (e - early) <= e - late
+        return math.inf if k >= 1 else (late - k * early) / (1 - k)
+
+    def cheapest(self, e: int) -> float:
+        while len(self.kept) > 1 and self.kept[-1][2] <= e:
+            self.kept.pop()
+        s, c, _ = self.kept[-1]
+        return c + math.log10(e - s)
+
+
 def _runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
     edge = np.diff(flags.view("i1"), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

@@ -135,6 +135,42 @@ def test_guess_costs_rank_values():
     assert [k for _, _, k in spans] == [3, 3] and len(costs) == 2
 
 
+def _cost_over_all_segments(value):
+    n, low, c = len(value), value.lower(), secret_scan
+    plain, spread = low.translate(c._LEET), [c._spread(x) for x in value]
+    date = r"(?:19|20)\d\d(?:[-./_]?(?:0[1-9]|1[0-2])(?:[-./_]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d"
+    best = [0.0]
+    for e in range(1, n + 1):
+        of = []
+        for s in range(e):
+            x, costs = value[s:e], [sum(spread[s:e])]
+            if rank := c._RANK.get(low[s:e]):
+                costs.append(np.log10(rank + 1) + 0.3 * (x != low[s:e]))
+            elif rank := c._RANK.get(plain[s:e]):
+                costs.append(np.log10(rank + 1) + 0.7 + 0.3 * (x != low[s:e]))
+            if re.fullmatch(date, x):
+                costs.append(2.1 if e - s == 4 else 4.6)
+            costs += [sum(spread[s : s + u]) + np.log10(e - s) for u in range(1, 9) if (e - s) % u == 0 and e - s >= 2 * u and x == x[:u] * ((e - s) // u)]
+            if e - s >= 3 and all(low[i : i + 2] in c._NEXT for i in range(s, e - 1)):
+                costs.append(1.7 + np.log10(e - s))
+            of.append(best[s] + min(costs) + c.SEGMENT)
+        best.append(min(of))
+    return best[n]
+
+
+def test_guess_costs_are_least_over_all_segments():
+    cost = secret_scan.guess_cost
+    assert cost("aabaabaabaab") < 6 < 8 < secret_scan._spread("a") * 12
+    rng = random.Random(7)
+    pieces = ["aab", "abc", "xyzw", "qwert", "1234", "4321", "2019", "2024-01-31", "31.12.99", "1/2/2003", "1999123", "pass", "P@ss", "k8#", "Z", "aa", "\u00e9", "abcabd", "00", "7"]
+    values = ["aabaabaabaab", "2019-12-311", "12019", "abcdefabcxyzabcdef", "aaaaabaaaaab", "qwertyqwe123qwe"]
+    for _ in range(400):
+        values.append("".join(rng.choice(pieces) * rng.choice([1, 1, 2, 3]) for _ in range(rng.randrange(1, 6))))
+        values.append("".join(rng.choice(rng.choice(["ab", "abc", "0129", "a1"])) for _ in range(rng.randrange(1, 26))))
+    for value in values:
+        assert abs(cost(value) - _cost_over_all_segments(value)) < 1e-9, value
+
+
 def test_values_that_the_base_pattern_cannot_take():
     """After every name, whatever the separator, the blanks around it and the value's characters."""
     value = "k8#Zq1!vTx9$"
