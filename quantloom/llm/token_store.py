@@ -42,19 +42,20 @@ def _width(vocabulary: str, end_id: int) -> int:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample_docs: int = 1000, sample_bytes: int = 65536, size: int = 65536) -> bytes:
     """The dictionary: trained on the id arrays of ``sample_docs`` documents, those whose
-    ids have the smallest hashes, of each at most ``sample_bytes``. So what reaches the
-    driver is bounded by these parameters. Empty if there are too few samples."""
+    ids have the smallest hashes, of each at most ``sample_bytes``. Null ids don't count, and
+    of a repeated id only the least text does; so what reaches the driver is bounded by
+    these parameters. Empty if there are too few samples."""
     import zstandard
 
     width = _width(vocabulary, end_id)
-    ids = smallest_hashes(docs.select("doc_id"), "doc_id", sample_docs).distinct()
+    ids = smallest_hashes(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
         for batch in batches:
             yield pa.record_batch({"ids": pa.array([_narrow(own.encode(t), width)[:sample_bytes] for t in batch.column(0).to_pylist()], pa.binary())})
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("body").mapInArrow(encode, "ids binary").collect()
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")).select("body").mapInArrow(encode, "ids binary").collect()
     samples = sorted(bytes(r[0]) for r in rows if r[0])
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""

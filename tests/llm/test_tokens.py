@@ -53,6 +53,16 @@ def _check_packing(pieces, capacity):
     return len(by)
 
 
+def test_dictionary_s_sample_leaves_out_nulls_and_repeats(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"w{rng.randrange(300)} some words" for _ in range(200))) for i in range(60)]
+    train = lambda rows: token_store.train_dictionary(spark.createDataFrame(rows, "doc_id long, body string"), tokens.default_path(), 2, sample_docs=20, size=2048)
+    plain = train(texts)
+    assert plain
+    assert train(texts + [(None, "nothing")] * 100) == plain
+    assert train(texts + texts[:30] * 20 + [(i, texts[i][1] + " later") for i in range(60)]) == plain
+
+
 @pytest.mark.parametrize("bucket", [20_000, 5])
 def test_packing_of_documents(spark, docs, rows, none, bucket, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", bucket)
