@@ -64,7 +64,8 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple
                     if t >= a + b:
                         fix(max(1, most(j, t)), j, t)
                     elif a == t and least <= b:
-                        fix(1, j, a, b)
+                        # The conditions see counts up to 3 beside j only, so they hold as they are while each is above.
+                        fix(max(1, min((int(counts[x]) - 4) // (j, a, b).count(x) + 1 for x in (j, a, b))), j, a, b)
                     else:
                         break
                 else:

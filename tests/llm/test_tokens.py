@@ -121,6 +121,13 @@ def test_reduction_keeps_an_optimum():
         assert all(sum(x * k for x, k in own) <= capacity for _, own in fixed)
 
 
+def test_equal_triples_are_one_run():
+    for counts, capacity, bins in (({1365: 30_000}, 4096, 10_000), ({40: 9_000, 33: 9_000, 26: 9_000}, 100, 9_000)):
+        runs, n = packing.plan(counts, capacity)
+        assert n == bins and len(runs) < 40
+        assert all(sum(each * length for length, _, first, each, _ in runs.tolist() if first == b) <= capacity for b in set(runs[:, 2].tolist()))
+
+
 def test_plan_places_every_item_once():
     rng = random.Random(6)
     counts = {x: rng.randint(1, 400) for x in rng.sample(range(1, 513), 200)}
