@@ -72,5 +72,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup() keeps, with the input's columns."""
+    """The rows of ``docs`` that exact_dedup() keeps, with the input's columns, whatever their names. Null, empty and
+    blank texts are at most two groups (empty, one space); a row without an id stays only if its group has none with one."""
     return exact_dedup(docs, id_col, text_col, carry=True).where("kept").select("row.*")

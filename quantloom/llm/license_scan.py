@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.license_rules import Rule, rules
-from quantloom.llm.shared import small_batches, whole
+from quantloom.llm.shared import slices, whole
 
 #: Phrases that are always reported, by the place of their words, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -43,19 +44,20 @@ def _compiled():
 def unsuppressed(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
     """Of detections (start, end, priority, label, score) those that lie within no other that is
     of higher priority, or of equal priority and longer. Of equal ones one label each stays."""
-    kept, starts, reach = [], [], []
-    for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
-        k = bisect_right(starts, d[0])
-        if k and reach[k - 1] >= d[1] and not any(o[:3] == d[:3] for o in kept[-3:]):
-            continue
-        kept.append(d)
-        insort(starts, d[0])
-        at = bisect_right(starts, d[0]) - 1
-        reach.insert(at, max(d[1], reach[at - 1] if at else 0))
-        for i in range(at + 1, len(reach)):
-            if reach[i] >= d[1]:
-                break
-            reach[i] = d[1]
+    kept: list[tuple[int, int, int, str, float]] = []
+    above: list[tuple[int, int]] = []  # spans of all higher priorities
+    starts: list[int] = []
+    reach: list[int] = []  # the furthest end of the spans above up to each start
+    for _, level in groupby(sorted(set(found), key=lambda d: (-d[2], d[0], -d[1], d[3])), key=lambda d: d[2]):
+        furthest, spans = -1, []
+        for (start, end), same in groupby(level, key=lambda d: d[:2]):  # by start, the longest first
+            k = bisect_right(starts, start)
+            if furthest < end and not (k and reach[k - 1] >= end):
+                kept += same
+            furthest = max(furthest, end)
+            spans.append((start, end))
+        above = sorted(above + spans)
+        starts, reach = [s for s, _ in above], list(accumulate((e for _, e in above), max))
     return sorted(kept)
 
 
@@ -82,13 +84,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null text counts as empty: no words, null first and last, empty labels, score 0.
     Repeated rows give repeated results; an empty table an empty one. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64()), ("priority", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gate, by, base = _compiled()
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, 1)):
             out = defaultdict(list)
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 low = text.translate(_LOWER)

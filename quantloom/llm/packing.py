@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import broadcast_if_small, cut, small_batches, whole
+from quantloom.llm.shared import cut, join_hot, slices, whole
 from quantloom.llm.tokens import coder, default_path
 
 #: Rows of one length and bucket that a task ranks together, about.
@@ -150,17 +150,20 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids with ``end_id``, cut into pieces of ``capacity``: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
+    """Each document's ids with ``end_id``, cut into pieces of ``capacity``: doc_id, piece, start, length, ids_crc32.
+
+    Null and empty texts are one piece, the end id alone. A null id is kept, repeated rows give their
+    pieces again, an empty table gives none. Other columns are ignored.
+    """
     vocabulary = vocabulary or default_path()
     kind = docs.schema[id_col].dataType
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
-        for batch in batches:
+        for rows in (part for batch in batches for part in slices(batch, 1)):
             place, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(rows.column(1).to_pylist()):
                 ids = own.encode(text) + end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -169,7 +172,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pa.record_batch([batch.column(0).take(pa.array(place, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([rows.column(0).take(pa.array(place, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body")).mapInArrow(encode, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
@@ -182,29 +185,31 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     fixed (reduce_dominated), the rest is packed best-fit, and the plan is runs of
     places by length and rank. Items get their ranks in Spark, hashed into buckets that
     grow in number with the rows, so that a length which most rows have is ranked by many tasks. An
-    empty table gives an empty result; repeated rows are items of their own.
+    empty table gives an empty result; repeated rows are items of their own. Other columns go through as they
+    are, but for ones named sequence_id and offset, which are replaced. A length outside 1..capacity, or null, is an error.
     """
-    items = cut(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
-    counts = {int(r[0]): int(r[1]) for r in items.groupBy("length").count().collect()}
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    items = cut(pieces.select(F.struct(*names).alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("uid")), "pieces")
+    counts = {r[0]: int(r[1]) for r in items.groupBy("length").count().collect()}
+    if bad := [x for x in counts if x is None or not 0 < x <= capacity]:
+        raise ValueError(f"lengths outside 1..{capacity}: {bad[:5]}")
     runs, _ = plan(counts, capacity)
     buckets = max(8, min(1 << 16, -(-sum(counts.values()) // BUCKET_ROWS) * 8))
-    items = items.withColumn("__bucket", F.pmod(F.xxhash64("__uid"), F.lit(buckets)))
-    sizes = items.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut(sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")), "ranks")
-    ranked = items.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy("__uid")) - 1)
-    ranked = ranked.join(broadcast_if_small(sizes, 48), ["length", "__bucket"])
-    ranked = ranked.select(*pieces.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
+    sizes = items.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut(sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
+    ranked = items.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid")) - 1)
+    ranked = join_hot(ranked, sizes, ["length", "bucket"], 48).select("row", "length", (F.col("own") + F.col("before")).alias("rank"))
     # One sorted key for length and rank; ranks stay below 2^48.
-    keys, names = (runs[:, 0] << 48) + runs[:, 1], pieces.columns
+    keys = (runs[:, 0] << 48) + runs[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             run = runs[np.searchsorted(keys, (length << 48) + rank, "right") - 1].reshape(-1, 5)
             q = rank - run[:, 1]
-            out = [batch.column(c) for c in names] + [pa.array(run[:, 2] + q // np.maximum(run[:, 3], 1)), pa.array(run[:, 4] + q % np.maximum(run[:, 3], 1) * length)]
-            yield pa.record_batch(out, names=[*names, "sequence_id", "offset"])
+            yield pa.record_batch([batch.column("row"), pa.array(run[:, 2] + q // np.maximum(run[:, 3], 1)), pa.array(run[:, 4] + q % np.maximum(run[:, 3], 1) * length)], names=["row", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"row {items.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return placed.select("row.*", "sequence_id", "offset")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, small_batches, smallest_hashes, whole
+from quantloom.llm.shared import cut, slices, smallest_hashes, whole
 from quantloom.llm.shingles import _BYTE, CHUNK, _powers, mix
 
 #: Hashed features; behind them stand BINS one-hot bins for each of SHAPES measures of the whole text.
@@ -80,6 +80,15 @@ class Model:
         return _sigmoid(self.weights[indices].sum() - self.thresholds)
 
 
+def loss_and_slopes(score: float, thresholds: np.ndarray, grade: int) -> tuple[float, float, list[tuple[int, float]]]:
+    """-ln P(grade), its derivative by the score, and by each threshold beside the grade as (place, slope)."""
+    up = _sigmoid(thresholds[grade] - score) if grade < len(thresholds) else 1.0
+    down = _sigmoid(thresholds[grade - 1] - score) if grade else 0.0
+    p = max(1e-9, up - down)
+    slopes = [(grade, -up * (1 - up) / p), (grade - 1, down * (1 - down) / p)]
+    return float(-np.log(p)), float(1 - up - down), [(k, x) for k, x in slopes if 0 <= k < len(thresholds)]
+
+
 def _fit_shard(rows: pd.DataFrame, model: Model, epochs: int, rate: float, decay: float, seed: int) -> tuple[Model, np.ndarray]:
     """AdaGrad steps over a shard's rows from ``model`` on; also which weights moved."""
     w, theta = model.weights.copy(), model.thresholds.copy()
@@ -89,21 +98,16 @@ def _fit_shard(rows: pd.DataFrame, model: Model, epochs: int, rate: float, decay
     index, grade = [np.asarray(x) for x in rows["indices"]], rows["grade"].to_numpy()
     for _ in range(epochs):
         for k in rng.permutation(len(grade)).tolist():
-            x, y = index[k], int(grade[k])
-            s = w[x].sum()
-            up = _sigmoid(theta[y] - s) if y < len(theta) else 1.0
-            down = _sigmoid(theta[y - 1] - s) if y else 0.0
-            p = max(1e-9, up - down)
-            g = 1 - up - down  # d loss / d score
+            x = index[k]
+            _, g, slopes = loss_and_slopes(w[x].sum(), theta, int(grade[k]))
             step = g + decay * w[x]
             seen[x] += step * step
             w[x] -= rate * step / np.sqrt(seen[x])
             moved[x] = True
-            for at, slope in ((y, -up * (1 - up) / p), (y - 1, down * (1 - down) / p)):
-                if 0 <= at < len(theta):
-                    slope = float(np.clip(slope, -2, 2))
-                    seen_t[at] += slope * slope
-                    theta[at] -= rate * slope / np.sqrt(seen_t[at])
+            for at, slope in slopes:
+                slope = float(np.clip(slope, -2, 2))
+                seen_t[at] += slope * slope
+                theta[at] -= rate * slope / np.sqrt(seen_t[at])
             theta = np.maximum.accumulate(theta + np.array([0, 1e-3]) * (np.diff(theta, prepend=theta[0] - 1) <= 0))
     return Model(w, theta), moved
 
@@ -133,7 +137,7 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = 24_000, shards: int =
     rows = docs.join(F.broadcast(ids), "doc_id")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "body")):
             yield pa.record_batch({"doc_id": b.column("doc_id"), "grade": b.column("grade"), "indices": pa.array([features(t).astype("i4") for t in b.column("body").cast(pa.binary()).to_pylist()], pa.list_(pa.int32()))})
 
     table = cut(rows.select("doc_id", "grade", "body").mapInArrow(index, "doc_id long, grade int, indices array<int>"), "grade-features")
@@ -163,13 +167,12 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, **how) -> DataFrame:
-    """Grade every document: doc_id, expected_grade (0 to 2), p_not_toxic (grade 1 or more),
+    """Grade every document: doc_id (cast to long), expected_grade (0 to 2), p_not_toxic (grade 1 or more),
     p_good (grade 2), kept (p_good of ``keep_from`` or more); with ``carry`` a struct ``row`` of the input's columns.
 
     Null text counts as empty and is graded by its shape alone. Repeated rows are graded alike. With no labels
     every grade comes from the neutral thresholds, and all is kept. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body"), *([F.struct("*").alias("row")] if carry else []))
     model = fit(base.select("doc_id", "body"), graded(labels), **how)
     weights, thresholds = model.weights.astype("f4"), model.thresholds
@@ -177,7 +180,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, id_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = own.value
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, "body")):
             s = np.array([w[features(t)].sum(dtype="f8") for t in b.column("body").cast(pa.binary()).to_pylist()])
             some, good = (_sigmoid(s - t) for t in thresholds)
             cols = {"doc_id": b.column("doc_id"), "expected_grade": pa.array(some + good), "p_not_toxic": pa.array(some), "p_good": pa.array(good), "kept": pa.array(good >= keep_from)}
@@ -188,5 +191,6 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, id_col:
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that classify() keeps, with the input's columns."""
+    """The rows of ``docs`` that classify() keeps, with the input's columns, whatever their names. Null and empty
+    texts and null ids are graded like any other row; repeated rows stay or go together; an empty table gives an empty one."""
     return classify(docs, labels, carry=True, **how).where("kept").select("row.*")

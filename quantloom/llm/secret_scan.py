@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import small_batches, whole
+from quantloom.llm.shared import slices, whole
 
 #: Kinds in the order in which spans of one start are told.
 KINDS = ("assign", "access", "hex", "guess")
@@ -36,15 +39,13 @@ _CONTEXT = re.compile(
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _HEX = np.zeros(256, bool)
 _HEX[[*range(48, 58), *range(97, 103)]] = True
-#: Words that people use in passwords, most frequent first.
+#: Words that people use in passwords, most frequent first; behind them stand those of a vocabulary (words()).
 WORDS = """password love admin welcome secret login qwerty monkey dragon master hello letmein sunshine princess football
 test user guest root token example change changeme default pass demo sample dummy temp private public server access system manager
 service super shadow summer winter spring autumn monday sunday january december money happy angel baby soccer baseball hunter killer
 orange apple banana cookie coffee cheese pepper ginger silver golden purple yellow computer internet google office mobile world
 freedom forever friend family mother father michael daniel jordan thomas robert charlie jennifer jessica ashley batman superman
 pokemon starwars trust enter the and you for one two three your key api data base local host null none true false value string""".split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 _ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm")
 _NEXT = {x + y for row in _ROWS for a in (row, row[::-1]) for x, y in zip(a, a[1:])}
@@ -67,7 +68,30 @@ def _spread(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def guess_cost(value: str) -> float:
+@dataclass(frozen=True)
+class Words:
+    """Words by rank, from 1 on, and the length of the longest."""
+
+    rank: dict[str, int]
+    longest: int
+
+
+@lru_cache(4)
+def words(vocabulary: str | None = None) -> Words:
+    """WORDS, then the whole words of 3 letters a-z or more of a BPE vocabulary with word ends, whose ids are in order
+    of frequency: some 30,000 for the default one. Made once a worker."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    whole_words = [t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>")]
+    ranked = dict.fromkeys([*WORDS, *(w for w in whole_words if len(w) > 2 and w.isascii() and w.isalpha())])
+    return Words({w: i for i, w in enumerate(ranked, 1)}, max(map(len, ranked)))
+
+
+def guess_cost(value: str, known: Words | None = None) -> float:
     """log10 of the guesses that find ``value``, at the cheapest split into words (plain, capital or
     with digits for letters), dates, repeats, keyboard or alphabet walks, and brute force.
 
@@ -75,14 +99,15 @@ def guess_cost(value: str) -> float:
     length. Repeats of a unit and walks go on from any start to any end; as only the log of
     their length counts, the cheapest start is kept in a queue (_Starts). So the work is
     near linear in the length."""
+    known = known or words()
     n = len(value)
     low = value.lower()
     plain = low.translate(_LEET)
     ends: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for i in range(n):
-        for k in range(3, min(_LONGEST, n - i) + 1):
+        for k in range(3, min(known.longest, n - i) + 1):
             for text, more in ((low, 0.0), (plain, 0.7)):
-                if rank := _RANK.get(text[i : i + k]):
+                if rank := known.rank.get(text[i : i + k]):
                     ends[i + k].append((i, math.log10(rank + 1) + more + (0.3 if value[i : i + k] != low[i : i + k] else 0)))
                     break
         if value[i].isdigit():
@@ -160,7 +185,7 @@ def _runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(start[long].tolist(), end[long].tolist(), strict=True))
 
 
-def find(text: bytes) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], float]]:
+def find(text: bytes, known: Words | None = None) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], float]]:
     """Spans (start, end, kind) in code points, sorted, and the guess cost of the values in credentials' places."""
     low = text.translate(_LOWER)
     found: list[tuple[int, int, int]] = []
@@ -169,7 +194,7 @@ def find(text: bytes) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int,
         for m in _ASSIGN.finditer(text):
             if len(m[2]) >= 6:
                 found.append((m.start(), m.end(), 0))
-                costs[found[-1]] = guess_cost(m[2].decode())
+                costs[found[-1]] = guess_cost(m[2].decode(), known)
     if b"AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if len(text) >= 24:
@@ -180,7 +205,7 @@ def find(text: bytes) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int,
             before = [own[bisect_right(own, (m.start(1), math.inf, 0)) - 1] for own in told_of if own and own[0][0] <= m.start(1)]
             if any(m.end(1) <= e for _, e, _ in before):
                 continue
-            cost = guess_cost(m[1].decode("utf-8", "replace"))
+            cost = guess_cost(m[1].decode("utf-8", "replace"), known)
             if cost >= LEAST_COST:
                 found.append((m.start(1), m.end(1), 3))
                 costs[found[-1]] = cost
@@ -196,24 +221,25 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Secrets in whole texts: doc_id, n_assign, n_access, n_hex, n_guess (long), base_spans, spans
     (strings of kind:start:end in code points, by start, then kind), and max_cost, the
     highest guess cost (log10) of a value in a credential's place.
 
     Assignments span the whole match, name and value. Three kinds are patterns alone; the
     fourth, ``guess``, are values in any place of credentials, beyond what the first three
-    tell, whose cheapest way to guess costs LEAST_COST or more; so placeholders and words aren't told.
+    tell, whose cheapest way to guess costs LEAST_COST or more; so placeholders and words aren't told. Words
+    come from the file ``vocabulary`` (words()), which every worker must reach.
 
     Null text counts as empty: no spans, null max_cost. Repeated rows give repeated
     results; an empty table an empty one. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [find(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        known = words(vocabulary)
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, 1)):
+            out = [find(t, known) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             counts = [pa.array([sum(x[2] == k for x in spans) for spans, _ in out], pa.int64()) for k in range(4)]
             base, every = pa.array([told([x for x in spans if x[2] < 3]) for spans, _ in out], pa.string()), pa.array([told(spans) for spans, _ in out], pa.string())
             cost = pa.array([max(c.values(), default=None) for _, c in out], pa.float64())

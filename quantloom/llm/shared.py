@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only while its measured size is below this many bytes.
 BROADCAST_BYTES = 32 << 20
+#: Parts that the rows of a hot key are dealt to, each with its own copy of the key's row on the other side.
+SALTS = 16
+#: Bytes of text that a Python worker turns into objects at a time.
+SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The six ASCII white-space characters.
 BLANK = " \t\n\x0b\x0c\r"
@@ -32,7 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the run's own folder, quantloom-<application id>, of the shared one."""
+    return f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all that this application wrote to the shared folder, once no result that is still to be read needs it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -44,11 +59,44 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint if the measured rows times ``row_bytes`` stay below ``limit``;
+def fits(size: int) -> bool:
+    """Whether so many measured bytes may be broadcast."""
+    return size <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """A broadcast hint if the measured rows times ``row_bytes`` stay below BROADCAST_BYTES;
     otherwise ``df`` as it is, for a shuffled join. ``df`` should be a table made by cut()."""
     rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows * row_bytes <= limit else df
+    return F.broadcast(df) if fits(rows * row_bytes) else df
+
+
+def join_hot(df: DataFrame, keyed: DataFrame, on: list[str], row_bytes: int) -> DataFrame:
+    """Inner join of ``df``, whose keys may be hot, with ``keyed``, a table of one row a key:
+    a broadcast if that is small, else a shuffle in which the rows of a key go to SALTS
+    parts and the key's row to each of them, so that no task gets a hot key whole."""
+    rows = keyed.count()
+    if fits(rows * row_bytes):
+        return df.join(F.broadcast(keyed), on)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    copies = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def repeated(df: DataFrame, *cols: str) -> DataFrame:
+    """What stands on several rows: the non-null ``cols``, written as a table; counts are pre-aggregated."""
+    return cut(df.select(*cols).na.drop().groupBy(*cols).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated")
+
+
+def slices(batch: pa.RecordBatch, column: int | str) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of an Arrow batch with SLICE_BYTES of text in ``column`` at most, or one row.
+    Spark itself ends a batch at spark.sql.execution.arrow.maxBytesPerBatch."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
 
 
 def ascii_lower(c: Column) -> Column:
@@ -62,13 +110,6 @@ def whole(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Arrow batches of few rows, as a row holds a whole text; a setting of the user's stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def smallest_hashes(df: DataFrame, key: str, n: int, rows: int | None = None) -> DataFrame:
     """The ``n`` rows with the smallest hashes of ``key``. Of a large table only about 1.2 n rows
     pass a first filter by hash, so what meets in one task doesn't grow with the partitions."""
