@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, new_path, small_batches, smallest_hashes, whole
+from quantloom.llm.shared import cut, new_path, slices, smallest_hashes, whole
 from quantloom.llm.tokens import coder, default_path
 
 MAGIC = b"QLTOK001"
+#: zstandard ignores raw content of fewer than 8 bytes, so shorter content is repeated up to this length.
+LEAST_DICTIONARY = 64
+#: How zstandard's trained dictionaries begin; raw content must not.
+TRAINED = b"\x37\xa4\x30\xec"
 MANIFEST = "path string, first_id long, n_docs long, n_tokens long, id_bytes int, dictionary string"
 
 
@@ -42,25 +46,32 @@ def _width(vocabulary: str, end_id: int) -> int:
 
 def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample_docs: int = 1000, sample_bytes: int = 65536, size: int = 65536) -> bytes:
     """The dictionary: trained on the id arrays of ``sample_docs`` documents, those whose
-    ids have the smallest hashes, of each at most ``sample_bytes``. Null ids don't count, and
-    of a repeated id only the least text does; so what reaches the driver is bounded by
-    these parameters. Empty if there are too few samples."""
+    ids have the smallest hashes, of each at most ``sample_bytes``. Null ids count only where there are no
+    others, and of a repeated id only the least text does; so what reaches the driver is bounded by
+    these parameters. Where the samples are too few or too short to train on, their own bytes are the
+    dictionary (zstandard's raw content form), so only an empty table has none."""
     import zstandard
 
     width = _width(vocabulary, end_id)
+    end = end_id.to_bytes(4, "little")
     ids = smallest_hashes(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", sample_docs)
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")).select("body")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary)
         for batch in batches:
-            yield pa.record_batch({"ids": pa.array([_narrow(own.encode(t), width)[:sample_bytes] for t in batch.column(0).to_pylist()], pa.binary())})
+            for part in slices(batch, 0):
+                yield pa.record_batch({"ids": pa.array([_narrow(own.encode(t) + end, width)[:sample_bytes] for t in part.column(0).to_pylist()], pa.binary())})
 
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("body").alias("body")).select("body").mapInArrow(encode, "ids binary").collect()
-    samples = sorted(bytes(r[0]) for r in rows if r[0])
+    samples = sorted(bytes(r[0]) for r in rows.mapInArrow(encode, "ids binary").collect())
+    if not samples:  # no ids but null ones: the least text, if there is a row
+        samples = [bytes(r[0]) for r in docs.agg(F.min("body").alias("body")).where("body is not null").mapInArrow(encode, "ids binary").collect()]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        raw = b"".join(samples)[-size:]
+        raw *= -(-LEAST_DICTIONARY // len(raw)) if raw else 0
+        return b"\0" + raw if raw.startswith(TRAINED) else raw
 
 
 def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,12 +82,11 @@ def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     manifest names count, and Spark commits one attempt of each task to it, so a task that
     is run again leaves no trace in the result. Null text counts as empty and gives just
     ``end_id``; rows with a null id come first; repeated ids stand next to each other, ordered
-    by text. An empty table gives an empty manifest. Other columns are ignored.
+    by text. Ids are cast to long. An empty table gives an empty manifest. Other columns are ignored.
     """
     import zstandard
 
     spark = docs.sparkSession
-    small_batches(spark)
     vocabulary = vocabulary or default_path()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body"))
     dictionary, width = train_dictionary(base, vocabulary, end_id), _width(vocabulary, end_id)
@@ -98,14 +108,15 @@ def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
             if out is None and batch.num_rows:
                 out = files.open_output_stream(f"{at}/{name}")
                 out.write(MAGIC + digest)
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = _narrow(own.encode(text) + end, width)
-                frame = packer.compress(raw)
-                out.write(frame)
-                place += len(frame)
-                ids.append(doc)
-                tokens.append(len(raw) // width)
-                ends.append(place)
+            for part in slices(batch, 1):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = _narrow(own.encode(text) + end, width)
+                    frame = packer.compress(raw)
+                    out.write(frame)
+                    place += len(frame)
+                    ids.append(doc)
+                    tokens.append(len(raw) // width)
+                    ends.append(place)
         if out is not None:
             valid = np.array([i is not None for i in ids], "u1")
             for part in (valid, np.array([i or 0 for i in ids], "<i8"), np.array(tokens, "<u4"), np.array(ends, "<u8"), np.array([len(ids), width], "<u8")):
@@ -157,7 +168,9 @@ class Shard:
 
 def read_store(spark: SparkSession, manifest: DataFrame, ids: bool = False, wanted: list[int] | None = None) -> DataFrame:
     """All documents of a store, or those with the ``wanted`` ids: doc_id, start, n_tokens,
-    ids_crc32 (of the ids as little-endian unsigned 32 bits), and with ``ids`` the ids."""
+    ids_crc32 (of the ids as little-endian unsigned 32 bits), and with ``ids`` the ids.
+    ``start`` counts the ids of all documents before it, in the order of ids, null first. Rows of one
+    id are rows of their own; a null id is read with all, not as wanted. Wanted ids that aren't there give no row."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids
 
