@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import BLANK, BROADCAST_BYTES, ascii_lower, broadcast_if_small, cut, whole
+from quantloom.llm.shared import BLANK, ascii_lower, broadcast_if_small, cut, fits, repeated, whole
 
 
 def line_key(line: Column) -> Column:
@@ -23,7 +23,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     1. Lines are normalised, made distinct within their document, exploded and hashed;
        documents are counted per hash, pre-aggregated before the shuffle, so a line that
-       all documents share costs a row a partition.
+       all documents share costs a row a partition. Only ids that stand on several rows, which a
+       look at the ids alone finds, have their lines made distinct by id first.
     2. Lines are exploded with their positions and joined with the frequent hashes: a
        broadcast while their measured size is bounded, else a shuffled join that Spark
        splits at hot keys. Only positions to drop go on.
@@ -33,14 +34,21 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     Returns a row per row: doc_id, n_lines, n_dropped (long), kept_text.
 
     Null text counts as empty, and an empty text is one empty line. Keys under
-    ``min_chars`` code points always stay. Rows with the same id and text each count as a
-    document. A document that loses all its lines has the empty text. An empty table gives
+    ``min_chars`` code points always stay. Rows of one id count as one document; each
+    row with a null id counts as one of its own. A document that loses all its lines has the empty text. An empty table gives
     an empty result; other columns are ignored.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body"))
     lines = F.split("body", "\n", -1)
-    keys = base.select(F.explode_outer(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
-    frequent = keys.select(*_hashed(F.col("key"))).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
+    def keys(rows: DataFrame) -> DataFrame:
+        own = rows.select("doc_id", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
+        return own.select("doc_id", *_hashed(F.col("key")))
+
+    twice, once = repeated(base, "doc_id"), keys(base)
+    if not twice.isEmpty():
+        some = broadcast_if_small(twice, 64)
+        once = keys(base.join(some, "doc_id", "left_anti")).union(keys(base.join(some, "doc_id", "left_semi")).distinct())
+    frequent = once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     frequent = cut(frequent, "frequent-lines")
 
     placed = base.select("doc_id", F.xxhash64("body").alias("body_hash"), F.posexplode_outer(F.transform(lines, line_key)).alias("pos", "key"))
@@ -50,7 +58,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     size = hits.agg(F.sum(F.size("dropped") * 8 + 64)).first()[0] or 0
 
     split = base.select(F.col("doc_id").alias("id"), F.xxhash64("body").alias("hash"), lines.alias("lines"))
-    joined = split.join(F.broadcast(hits) if size <= BROADCAST_BYTES else hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("body_hash")), "left")
+    joined = split.join(F.broadcast(hits) if fits(size) else hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("body_hash")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     return joined.select(
         F.col("id").alias("doc_id"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), "lines", kept.alias("places")
