@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import BROADCAST_BYTES, broadcast_if_small, cut, whole
+from quantloom.llm.shared import broadcast_if_small, cut, fits, whole
 
 #: All that stands between words, after lower().
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -28,6 +28,15 @@ def _text(*words: Column) -> Column:
     return F.concat_ws(" ", *words)
 
 
+def passed(probes: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The rows whose hash ``h`` may be in the sketches, by a bitmap of 2^24 bits: a broadcast of at most 2^18 words of 64 bits."""
+    slot = F.shiftrightunsigned("h", 40)
+    word, bit = F.shiftright(slot, 6).alias("word"), slot.bitwiseAND(63).cast("int").alias("bit")
+    bitmap = cut(sketch.select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")), "sketch-bitmap")
+    hits = probes.withColumns({"word": word, "bit": bit}).join(F.broadcast(bitmap), "word")
+    return hits.where(F.getbit("bits", "bit") == 1).select(*probes.columns)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a test item of whose word shingles it has ``percent`` or more.
 
@@ -35,15 +44,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
     binary logarithm of their number s of shingles. A fixed-length MinHash signature of a
     document can't show a short item inside a long text (their Jaccard similarity is near
     0), so the sketch of an item is its bottom-k MinHash, the k shingles of smallest
-    hash, and a document is probed with all its shingles. For s shingles of which m must
-    be found, k is s - m + 1, so that at least one of the k is in any document that
-    contains the item: no such document is missed, whatever its length. A
-    class also has the least number of shingles that a document must have; smaller
-    documents aren't compared with it.
+    hash. For s shingles of which m must be found, k is s - m + 1, so that at least one of the k is in any
+    document that contains the item: no such document is missed, whatever its length. Each
+    class has bounds of its own: the least number of shingles that a document must have, and the
+    greatest hash in its sketches. A document probes the classes that it can hold, with
+    those of its shingles whose hash is within the greatest of their bounds; all others are
+    dropped where they are made, before anything is joined.
 
     Documents meet the sketches in a broadcast join while the sketches' measured size is
-    bounded, else in a shuffled join with split hot keys; there each shingle stands once a
-    document. Candidates are then verified on the shingles themselves, as strings.
+    bounded. Else shingles first pass a bitmap of the sketches' hashes (of fixed size), and what is left,
+    each shingle once a document, goes to a shuffled join with split hot keys. Candidates are then
+    verified on the shingles themselves, as strings.
 
     Returns doc_id, item_id, shared, item_shingles (long), containment (double); one row
     a pair. Words are runs of letters and digits (any character beyond ASCII counts as one),
@@ -59,13 +70,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
     items = items.withColumns({"need": need, "class": F.floor(F.log2(F.size("grams"))).cast("int")})
     items = cut(items, "items")
     sketch = items.select("class", "item_id", "need", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.size("hashes") - F.col("need") + 1)).alias("h"))
-    least = items.groupBy("class").agg(F.min("need").alias("least"))
-    sketch = cut(sketch.join(F.broadcast(least), "class").select("h", "item_id", "need", "least"), "sketches")
+    sketch = cut(sketch, "sketches")
+    # At most a row for each power of two.
+    bounds = sketch.groupBy("class").agg(F.min("need").alias("least"), F.max("h").alias("bound")).orderBy("class").collect()
 
     sized = docs.select(F.col(id_col).alias("doc_id"), _words(text_col).alias("w")).where("doc_id is not null and size(w) > 0")
-    sized = sized.select("doc_id", _shingles("w", n, F.xxhash64).alias("hashes"))
-    probes = sized.select("doc_id", F.size("hashes").alias("m"), F.explode_outer("hashes").alias("h"))
-    found = probes.join(broadcast_if_small(sketch, 64), "h").where((F.col("m") >= F.col("least")) & (F.col("m") >= F.col("need")))
+    sized = sized.select("doc_id", _shingles("w", n, F.xxhash64).alias("hashes")).withColumn("m", F.size("hashes"))
+    bound = F.greatest(F.lit(-(1 << 63)), *[F.when(F.col("m") >= r["least"], F.lit(r["bound"])) for r in bounds], F.lit(-(1 << 63)))
+    probes = sized.select("doc_id", "m", bound.alias("bound"), F.explode("hashes").alias("h")).where("h <= bound").drop("bound")
+    own = F.broadcast(sketch) if fits(sketch.count() * 64) else None
+    found = (probes if own is not None else passed(probes, sketch)).join(sketch if own is None else own, "h").where(F.col("m") >= F.col("need"))
     found = cut(found.select("doc_id", "item_id").distinct(), "candidates")
 
     ids = cut(found.select("doc_id").distinct(), "candidate-docs")
@@ -73,13 +87,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
     grams = texts.select("doc_id", _words("body").alias("w")).select("doc_id", _shingles("w", n, _text).alias("doc_grams"))
     full = items.select("item_id", "grams", "need")
     size = items.agg(F.sum(F.size("grams") * 16 + F.octet_length(F.array_join("grams", "")))).first()[0] or 0
-    pairs = grams.join(broadcast_if_small(found, 64), "doc_id").join(F.broadcast(full) if size <= BROADCAST_BYTES else full, "item_id")
+    pairs = grams.join(broadcast_if_small(found, 64), "doc_id").join(F.broadcast(full) if fits(size) else full, "item_id")
     pairs = pairs.select("doc_id", "item_id", "need", F.size("grams").alias("size"), F.size(F.array_intersect("grams", "doc_grams")).alias("shared"))
     pairs = pairs.where("shared >= need").groupBy("doc_id", "item_id").agg(F.max("shared").cast("long").alias("shared"), F.max("size").cast("long").alias("item_shingles"))
     return pairs.withColumn("containment", F.col("shared") / F.col("item_shingles"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with the input's columns. Rows with a null id stay."""
-    bad = cut(contaminated(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad, 64), docs[id_col] == F.col("__bad"), "left_anti")
+    """The rows of ``docs`` that hold no test item, with the input's columns, whatever their names. Rows with a null id
+    or an empty text stay; all rows of an id stay or go together; without items all stay."""
+    bad = broadcast_if_small(cut(contaminated(docs, benchmark, id_col=id_col, **how).select("doc_id").distinct(), "contaminated"), 64)
+    return docs.join(bad, docs[id_col] == bad["doc_id"], "left_anti")
