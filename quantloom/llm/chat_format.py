@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +95,8 @@ def canonical(df: DataFrame, record: str, mappings: tuple[Mapping, ...] = MAPPIN
     The nested paths of a row's non-null fields are hashed and select a declarative
     mapping; a row whose layout no mapping has keeps its fingerprint and gets null turns,
     so unknown layouts can be counted and mapped. JSON text can be read with from_json()
-    into a struct of all known fields first. Null texts and roles count as empty.
+    into a struct of all known fields first. Null texts and roles count as empty. A null record has the layout of no
+    fields and null turns. Columns of the input named ``layout`` or ``turns`` are replaced, all others stay.
     """
     kind = df.schema[record].dataType
     turns = F.lit(None).cast(TURNS)
@@ -130,31 +131,48 @@ def format_chats(df: DataFrame, key: str, turns: str = "turns", loss_role: str =
     Each turn is ``<|turn|>role``, a line break, its text, ``<|end|>`` and a line break,
     with control strings in role and text escaped. ``loss`` has the (start, length) in
     code points of every text of ``loss_role``, in order. Starts are running sums over the
-    turns as rows, so the work is linear in the turns. ``key`` must be unique. A
-    conversation without turns is the empty text with an empty mask.
+    turns as rows, so the work is linear in the turns. Rows of one key, null included, are conversations of their own, and
+    repeated rows, which are counted before they are shuffled, come out as often as they went in. A
+    conversation without turns, or with null ones, is the empty text with an empty mask. Null roles and
+    texts inside count as empty. Other columns aren't kept; an empty table gives an empty one.
     """
-    role, text = _escape_role(F.col("turn.role")), escape(F.col("turn.text"))
+    role, text = _escape_role(F.coalesce("turn.role", F.lit(""))), escape(F.coalesce("turn.text", F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
-    rows = df.select(F.col(key).alias("key"), F.posexplode_outer(turns).alias("pos", "turn"))
-    rows = rows.select("key", "pos", F.col("turn.role").eqNullSafe(loss_role).alias("learn"), F.char_length(head).alias("before"), F.char_length(text).alias("length"), F.concat(head, text, F.lit(CLOSE)).alias("piece"))
-    from pyspark.sql import Window
-
-    ends = F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.select(F.col(key).alias("key"), F.col(turns).alias("turns")).groupBy("key", "turns").agg(F.count("*").cast("int").alias("times"))
+    rows = rows.select("key", F.xxhash64("turns").alias("own"), "times", F.posexplode_outer("turns").alias("pos", "turn")).where("pos is null or turn is not null")
+    rows = rows.select("key", "own", "times", "pos", F.col("turn.role").eqNullSafe(loss_role).alias("learn"), F.char_length(head).alias("before"), F.char_length(text).alias("length"), F.concat(head, text, F.lit(CLOSE)).alias("piece"))
+    ends = F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("start", ends - F.char_length("piece") + F.col("before"))
-    grouped = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("pos", "piece", "learn", "start", "length")))).alias("all"))
+    grouped = rows.groupBy("key", "own").agg(F.first("times").alias("times"), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece", "learn", "start", "length")))).alias("all"))
     return grouped.select(
         F.col("key").alias(key), F.array_join(F.transform("all", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("all", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss"),
-    )
-
-
-def read_back(df: DataFrame, formatted: str = "formatted", loss: str = "loss") -> DataFrame:
-    """Adds ``turns`` parsed from the formatted text, and ``loss_text``, the unescaped text under the mask."""
-    pieces = F.filter(F.split(formatted, "<\\|end\\|>\\n", -1), lambda p: p != "")
-    body = lambda p: F.substring(p, F.lit(len(OPEN) + 1), F.char_length(p))
-    turns = F.transform(F.transform(pieces, body), lambda p: F.struct(
-        _unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
-        unescape(F.substring(p, F.char_length(F.substring_index(p, "\n", 1)) + 2, F.char_length(p))).alias("text"),
-    ))
-    under = F.array_join(F.transform(loss, lambda x: unescape(F.substring(F.col(formatted), (x["start"] + 1).cast("int"), x["length"].cast("int")))), "")
-    return df.withColumn("turns", turns).withColumn("loss_text", under)
+        F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"),
+    ).drop("copy")
+
+
+def read_back(df: DataFrame, key: str, formatted: str = "formatted", loss: str = "loss") -> DataFrame:
+    """What format_chats() made, read again: key, formatted, turns, and loss_text, the unescaped text under the mask.
+
+    Turns become rows with their places, and each span of the mask is looked up in the turn that
+    it lies in by a window over both in order of their places; so the work is linear in the turns, as
+    no text is gone through once a span. Rows with one key and text are read as one. A null text
+    gives no turns and an empty loss_text.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(formatted).alias("text"), F.xxhash64(formatted, loss).alias("own"), F.col(loss).alias("spans"))
+    pieces = F.filter(F.split("text", "<\\|end\\|>\\n", -1), lambda p: p != "")
+    places = Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    turns = rows.select("key", "own", F.posexplode(pieces).alias("pos", "piece"))
+    turns = turns.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long") + len(CLOSE)).over(places), F.lit(0)))
+    spans = rows.select("key", "own", F.posexplode("spans").alias("span", "s")).select("key", "own", F.col("s.start").cast("long").alias("at"), "span", F.col("s.length").alias("length"))
+    both = turns.select("key", "own", "at", "pos", "piece").unionByName(spans, allowMissingColumns=True)
+    upto = Window.partitionBy("key", "own").orderBy("at", F.col("span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")), ignorenulls=True).over(upto)
+    both = both.withColumn("held", F.when(F.col("span").isNotNull(), held))
+    told = unescape(F.substring("held.piece", (F.col("at") - F.col("held.at") + 1).cast("int"), F.col("length").cast("int")))
+    body = F.substring("piece", F.lit(len(OPEN) + 1), F.char_length("piece"))
+    role = F.substring_index(body, "\n", 1)
+    turn = F.struct(_unescape_role(role).alias("role"), unescape(F.substring(body, F.char_length(role) + 2, F.char_length(body))).alias("text"))
+    both = both.select("key", "own", F.when(F.col("piece").isNotNull(), F.struct("pos", turn.alias("turn"))).alias("turn"), F.when(F.col("span").isNotNull(), F.struct("span", told.alias("told"))).alias("under"))
+    read = both.unionByName(rows.select("key", "own", "text"), allowMissingColumns=True).groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
+    return read.select(F.col("key").alias(key), F.col("text").alias(formatted), F.transform("turns", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("under", lambda x: x["told"]), "").alias("loss_text"))

@@ -55,7 +55,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("</s>[INST] ok [/INST]")
     own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.struct(F.lit(None).cast(kind).alias("messages"), said.alias("prompt"), said.alias("response")).alias("record"))
     made = chat_format.format_chats(chat_format.canonical(told.unionByName(own), "record"), "conv_id")
-    read = chat_format.read_back(made)
+    read = chat_format.read_back(made, "conv_id")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -137,6 +137,7 @@ def test_guess_costs_rank_values():
 
 def _cost_over_all_segments(value):
     n, low, c = len(value), value.lower(), secret_scan
+    known = c.words()
     plain, spread = low.translate(c._LEET), [c._spread(x) for x in value]
     date = r"(?:19|20)\d\d(?:[-./_]?(?:0[1-9]|1[0-2])(?:[-./_]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d"
     best = [0.0]
@@ -144,9 +145,9 @@ def _cost_over_all_segments(value):
         of = []
         for s in range(e):
             x, costs = value[s:e], [sum(spread[s:e])]
-            if rank := c._RANK.get(low[s:e]):
+            if rank := known.rank.get(low[s:e]):
                 costs.append(np.log10(rank + 1) + 0.3 * (x != low[s:e]))
-            elif rank := c._RANK.get(plain[s:e]):
+            elif rank := known.rank.get(plain[s:e]):
                 costs.append(np.log10(rank + 1) + 0.7 + 0.3 * (x != low[s:e]))
             if re.fullmatch(date, x):
                 costs.append(2.1 if e - s == 4 else 4.6)

@@ -168,8 +168,8 @@ def test_formatting_is_reversible(spark):
     some = lambda n: "".join(rng.choice(bits) for _ in range(rng.randrange(n)))
     convs = [(i, [(rng.choice(["user", "assistant", some(4)]), some(9)) for _ in range(rng.randrange(6))]) for i in range(300)]
     df = spark.createDataFrame(convs, "k long, turns array<struct<role:string,text:string>>")
-    out = {r["k"]: r for r in chat_format.read_back(chat_format.format_chats(df, "k")).collect()}
+    out = {r["k"]: r for r in chat_format.read_back(chat_format.format_chats(df, "k"), "k").collect()}
     for k, turns in convs:
         assert [tuple(t) for t in out[k]["turns"]] == turns
         assert out[k]["loss_text"] == "".join(t for r, t in turns if r == "assistant")
-    assert chat_format.read_back(chat_format.format_chats(df.limit(0), "k")).count() == 0
+    assert chat_format.read_back(chat_format.format_chats(df.limit(0), "k"), "k").count() == 0
