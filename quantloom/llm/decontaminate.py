@@ -74,10 +74,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int
     # At most a row for each power of two.
     bounds = sketch.groupBy("class").agg(F.min("need").alias("least"), F.max("h").alias("bound")).orderBy("class").collect()
 
-    sized = docs.select(F.col(id_col).alias("doc_id"), _words(text_col).alias("w")).where("doc_id is not null and size(w) > 0")
-    sized = sized.select("doc_id", _shingles("w", n, F.xxhash64).alias("hashes")).withColumn("m", F.size("hashes"))
+    # Neither a filter on the words nor an inner explode, whose implied filter would be pushed down: both would cut the
+    # texts twice. A text without words has m = 0, which no class can be held by.
+    sized = docs.select(F.col(id_col).alias("doc_id"), _words(text_col).alias("w")).where("doc_id is not null")
+    sized = sized.select("doc_id", F.size("w").alias("words"), _shingles("w", n, F.xxhash64).alias("hashes"))
+    sized = sized.select("doc_id", F.when(F.col("words") > 0, F.size("hashes")).otherwise(0).alias("m"), "hashes")
     bound = F.greatest(F.lit(-(1 << 63)), *[F.when(F.col("m") >= r["least"], F.lit(r["bound"])) for r in bounds], F.lit(-(1 << 63)))
-    probes = sized.select("doc_id", "m", bound.alias("bound"), F.explode("hashes").alias("h")).where("h <= bound").drop("bound")
+    probes = sized.select("doc_id", "m", bound.alias("bound"), F.explode_outer("hashes").alias("h")).where("h <= bound").drop("bound")
     own = F.broadcast(sketch) if fits(sketch.count() * 64) else None
     found = (probes if own is not None else passed(probes, sketch)).join(sketch if own is None else own, "h").where(F.col("m") >= F.col("need"))
     found = cut(found.select("doc_id", "item_id").distinct(), "candidates")

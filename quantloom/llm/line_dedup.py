@@ -41,7 +41,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body"))
     lines = F.split("body", "\n", -1)
     def keys(rows: DataFrame) -> DataFrame:
-        own = rows.select("doc_id", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
+        own = rows.select("doc_id", F.explode_outer(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
         return own.select("doc_id", *_hashed(F.col("key")))
 
     twice, once = repeated(base, "doc_id"), keys(base)
