@@ -26,11 +26,15 @@ def ffill(c: str, keys: list[str], order: str) -> Column:
     return F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0))
 
 
-def clean_cell(c: Column) -> Column:
-    """Text for export: "" for null, nan, none and nat of any case and infinities; 1 and 0 for booleans."""
+def clean_cell(c: Column, booleans: str = "number") -> Column:
+    """Text for export: "" for null, nan, none and nat of any case and infinities; booleans as 1 and 0, or as True and
+    False where ``booleans`` is "text", as decision columns have them."""
     s = F.trim(c.cast("string"))
     low = F.lower(s)
-    return F.when(s.isNull() | low.isin("nan", "none", "nat", "infinity", "-infinity", "inf", "-inf"), "").when(low == "true", "1").when(low == "false", "0").otherwise(s)
+    out = F.when(s.isNull() | low.isin("nan", "none", "nat", "infinity", "-infinity", "inf", "-inf"), "")
+    if booleans == "text":
+        return out.when(low.isin("true", "false"), F.initcap(low)).otherwise(s)
+    return out.when(low == "true", "1").when(low == "false", "0").otherwise(s)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -3,38 +3,51 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.scalars import parse_date
+
 CANONICAL = ("Date", "Open", "High", "Low", "Close", "Adj Close", "Volume")
-DATES = ("date", "datetime", "timestamp", "trading date", "date str")
+#: Names of date columns, the preferred first.
+DATES = ("date", "datetime", "timestamp", "trading date", "date str", "time")
 
 
 class FeatureError(ValueError):
     """Columns that an operator needs are missing; the message lists those at hand."""
 
 
-def header_key(name: str) -> str:
-    return " ".join(name.strip().replace("_", " ").split()).lower()
+def name_words(name: str) -> tuple[str, ...]:
+    """A header as its words in lower case; blanks and underscores part words."""
+    return tuple(re.findall(r"[^\s_]+", name.lower()))
 
 
 def resolve_schema(names: list[str], symbol: str | None = None) -> tuple[dict[str, str], list[str]]:
-    """Canonical name to header, and the canonical names without one: exact key, then with the
-    symbol behind it, then the only header that begins with it; dates have synonyms."""
-    keys = {}
-    for n in names:
-        keys.setdefault(header_key(n), n)
-    found = {}
+    """Canonical name to header, and the canonical names without one.
+
+    Each header gets a grade for a canonical name: the name itself, the name with the
+    symbol (or symbol.NS) behind it, a date synonym in order, or any words behind the name. The
+    best grade wins, the first header on ties; the last grade counts only where one free header has it."""
+    parsed = [(name_words(n), n) for n in names]
+    tails = {(), *(((symbol.lower(),), (f"{symbol.lower()}.ns",)) if symbol else ())}
+    found: dict[str, str] = {}
     for c in CANONICAL:
-        k = header_key(c)
-        tries = [k] + ([f"{k} {symbol.lower()}.ns", f"{k} {symbol.lower()}"] if symbol else []) + (list(DATES) if c == "Date" else [])
-        hit = next((keys[t] for t in tries if t in keys), None)
-        if hit is None:
-            starts = [v for key, v in keys.items() if key.startswith(k + " ") and v not in found.values()]
-            hit = starts[0] if len(starts) == 1 else None
-        if hit is not None:
-            found[c] = hit
+        stem = name_words(c)
+        graded = []
+        for at, (words, header) in enumerate(parsed):
+            tail = words[len(stem) :] if words[: len(stem)] == stem else None
+            if tail in tails:
+                graded.append((0 if not tail else 1, at, header))
+            elif c == "Date" and " ".join(words) in DATES:
+                graded.append((2 + DATES.index(" ".join(words)), at, header))
+            elif tail:
+                graded.append((99, at, header))
+        sure = [g for g in graded if g[0] < 99]
+        loose = [g for g in graded if g[0] == 99 and g[2] not in found.values()]
+        if sure or len(loose) == 1:
+            found[c] = min(sure or loose)[2]
     return found, [c for c in CANONICAL if c not in found and c != "Adj Close"]
 
 
@@ -56,21 +69,34 @@ def find_ohlcv(names: list[str]) -> dict[str, str]:
     return out
 
 
-def find_date(names: list[str]) -> str | None:
-    low = {header_key(n): n for n in names}
-    return next((low[d] for d in DATES if d in low), None) or next((n for k, n in low.items() if "date" in k or "time" in k), None)
-
-
-def dedupe_headers(names: list[str]) -> list[str]:
-    """Blank headers become Column_n, repeated ones get _2, _3; blanks at the end go."""
-    names = [n.strip() for n in names]
-    while names and not names[-1]:
-        names.pop()
-    seen, out = {}, []
-    for k, n in enumerate(names, 1):
-        n = n or f"Column_{k}"
-        seen[n] = seen.get(n, 0) + 1
-        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+def find_close(names: list[str]) -> str | None:
+    """The header close, else the first whose first word is close."""
+    heads = [(name_words(n), n) for n in names]
+    return next((n for w, n in heads if w == ("close",)), None) or next((n for w, n in heads if w[:1] == ("close",)), None)
+
+
+def find_date(names: list[str], df: DataFrame | None = None) -> str | None:
+    """A preferred name, else one that tells of date or time, else (given the table) the first column if all its values are days."""
+    by_name = {" ".join(name_words(n)): n for n in reversed(names)}
+    named = next((by_name[d] for d in DATES if d in by_name), None) or next((n for n in names if re.search("date|time", n, re.I)), None)
+    if named or df is None or not names:
+        return named
+    first = F.col(f"`{names[0]}`").cast("string")
+    bad = df.where(first.isNotNull() & parse_date(first).isNull())
+    return names[0] if bad.isEmpty() and not df.where(first.isNotNull()).isEmpty() else None
+
+
+def clean_headers(names: list[str]) -> list[str]:
+    """Distinct, non-blank headers: blanks at the end go, others are called Column_n by their place, and of equal ones
+    the second and later get their number behind them."""
+    filled = [n.strip() for n in names]
+    filled = filled[: max((k for k, n in enumerate(filled, 1) if n), default=0)]
+    filled = [n if n else f"Column_{k}" for k, n in enumerate(filled, 1)]
+    times: Counter[str] = Counter()
+    out = []
+    for n in filled:
+        times[n] += 1
+        out.append(f"{n}_{times[n]}" if times[n] > 1 else n)
     return out
 
 

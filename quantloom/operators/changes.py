@@ -10,7 +10,8 @@ from quantloom.functions.schemas import drop_labels
 
 
 def sheet_hash(rows: DataFrame) -> DataFrame:
-    """One hash a sheet over its rows' hashes in row order. A sheet is one document of bounded rows, like a spreadsheet."""
+    """One hash a sheet over its rows' hashes in row order. A sheet is one document of bounded rows, like a spreadsheet; larger
+    tables are told apart by blocks of rows as sheets of their own."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row_hash"))), lambda x: F.concat(x["row_no"].cast("string"), F.lit(":"), x["row_hash"]))
     return rows.groupBy("sheet").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sheet_hash"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by, parse_date, to_number
+from quantloom.functions.schemas import FeatureError
 
 
 def typed(raw: DataFrame) -> DataFrame:
@@ -21,22 +22,50 @@ def flag_malformed(bars: DataFrame) -> DataFrame:
     return bars.withColumn("reason", reason)
 
 
+def valid_ohlcv(bars: DataFrame, check: bool = False) -> DataFrame:
+    """The bars without a reason against them; with ``check`` an error if none remain."""
+    good = flag_malformed(bars).where("reason is null").drop("reason")
+    if check and good.isEmpty():
+        raise FeatureError("no valid dated OHLCV rows remain")
+    return good
+
+
+def repaired_cells(raw: DataFrame) -> DataFrame:
+    """Adds the number of a text row's cells whose text isn't the one that its value is written with: the day as
+    yyyy-MM-dd, prices as doubles, the volume as a whole number, thousands separators aside."""
+    text = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), ",", ""))
+    own = [F.trim("date") != parse_date(F.col("date")).cast("string")]
+    own += [text(F.col(c)) != to_number(F.col(c)).cast("string") for c in ("open", "high", "low", "close")]
+    own += [text(F.col("volume")) != to_number(F.col("volume")).cast("long").cast("string")]
+    return raw.withColumn("repaired", sum((F.coalesce(x, F.lit(False)).cast("int") for x in own), F.lit(0)))
+
+
 def repair(bars: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Good bars, the last of each (symbol, date), and a report by symbol: rows before and after, malformed, duplicates, whether dates were in order, status."""
+    """Good bars, the last of each (symbol, date), and a report by symbol: rows before and after, malformed, duplicates,
+    whether dates were in order, repaired cells of valid rows (from a column ``repaired``, if there is one), status."""
     flagged = flag_malformed(bars)
+    fixed = F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("repaired"))), F.lit(0)) if "repaired" in bars.columns else F.lit(0).cast("long")
     w = Window.partitionBy("symbol", "date").orderBy(F.col(order).desc())
     by_order = Window.partitionBy("symbol").orderBy(order)
     flagged = flagged.withColumn("__k", F.when(F.col("reason").isNull(), F.row_number().over(w.partitionBy("symbol", "date", F.col("reason").isNull()))))
     flagged = flagged.withColumn("__down", (F.col("date") < F.lag("date").over(by_order)))
     report = flagged.groupBy("symbol").agg(
-        F.count("*").alias("before"), F.count_if(F.col("__k") == 1).alias("after"), F.count_if(F.col("reason").isNotNull()).alias("malformed"), F.count_if(F.col("__k") > 1).alias("duplicates"), (F.count_if(F.col("__down")) == 0).alias("was_sorted")
+        F.count("*").alias("before"), F.count_if(F.col("__k") == 1).alias("after"), F.count_if(F.col("reason").isNotNull()).alias("malformed"), F.count_if(F.col("__k") > 1).alias("duplicates"), (F.count_if(F.col("__down")) == 0).alias("was_sorted"), fixed.alias("repaired_cells"),
     )
-    report = report.withColumn("status", F.when(F.col("before") == F.col("after"), F.when(F.col("was_sorted"), "clean").otherwise("sorted")).otherwise("repaired"))
-    return flagged.where("__k = 1").drop("__k", "__down", "reason"), report
+    same = (F.col("before") == F.col("after")) & (F.col("repaired_cells") == 0)
+    report = report.withColumn("status", F.when(F.col("after") == 0, "error").when(same, F.when(F.col("was_sorted"), "clean").otherwise("sorted")).otherwise("repaired"))
+    return flagged.where("__k = 1").drop("__k", "__down", "reason", "repaired"), report
 
 
-def select_symbols(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.where(F.upper("symbol").isin([n.upper() for n in names]))
+#: Names of tables that hold no stock.
+NON_STOCK = ("SUMMARY", "META", "METADATA", "CONFIG", "DASHBOARD", "INDEX", "SHEET1")
+
+
+def select_symbols(df: DataFrame, names: list[str] | None = None, exclude: tuple[str, ...] = NON_STOCK) -> DataFrame:
+    """The rows of the named symbols in any case, of all without names; never of ``exclude``."""
+    own = F.upper(F.trim(F.col("symbol").cast("string")))
+    df = df.where(~own.isin(*exclude)) if exclude else df
+    return df if names is None else df.where(own.isin([n.strip().upper() for n in names]))
 
 
 def missing_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -49,12 +78,16 @@ def newer_than(df: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return df.join(checkpoints.select("symbol", "last_date"), "symbol", "left").where(F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))).drop("last_date")
 
 
-def eligible(df: DataFrame, mode: str = "default", start: int = 20) -> DataFrame:
-    """Rows to forecast: beyond position ``start`` and not yet predicted or with a null forecast; all beyond it
-    (all_eligible), all (force_all), or the last eligible row (latest_only). Needs pos, predicted, forecast."""
-    ok = F.col("pos") > start
-    open_ = (F.coalesce("predicted", F.lit(0)) == 0) | F.col("forecast").isNull()
-    rows = df if mode == "force_all" else df.where(ok if mode == "all_eligible" else ok & open_)
+def eligible(df: DataFrame, mode: str = "default", start: int = 20, refresh: bool = False) -> DataFrame:
+    """Rows to forecast, from pos, predicted and forecast.
+
+    They lie beyond a checkpoint, position ``start`` or a symbol's first predicted row if that is later, and
+    aren't predicted or have a null forecast, or any of them with ``refresh``. all_eligible takes
+    ``start`` alone as the checkpoint, force_all also every row beyond it, latest_only the last of the default ones."""
+    first = F.min(F.when(F.col("predicted") == 1, F.col("pos"))).over(Window.partitionBy("symbol"))
+    mark = F.lit(start) if mode in ("all_eligible", "force_all") else F.greatest(F.coalesce(first, F.lit(start)), F.lit(start))
+    wanted = (F.coalesce("predicted", F.lit(0)) == 0) | F.col("forecast").isNull() | F.lit(refresh or mode == "force_all")
+    rows = df.withColumn("__mark", mark).where((F.col("pos") > F.col("__mark")) & wanted).drop("__mark")
     return last_by(rows, ["symbol"], ["pos"]) if mode == "latest_only" else rows
 
 
@@ -72,12 +105,23 @@ def split_rolling(df: DataFrame, keep: int = 30) -> tuple[DataFrame, DataFrame]:
 
 
 def archive_report(df: DataFrame, archive: DataFrame, keep: int = 30) -> DataFrame:
-    """By symbol: candidates, those appended, those that the archive has, oldest and newest, status."""
-    _, old = split_rolling(df, keep)
-    seen = archive.select("symbol", "date", F.lit(True).alias("__seen"))
-    rows = old.join(seen, ["symbol", "date"], "left")
-    out = rows.groupBy("symbol").agg(F.count("*").alias("candidates"), F.count_if(F.col("__seen").isNull()).alias("appended"), F.count_if("__seen").alias("duplicates"), F.min("date").alias("oldest"), F.max("date").alias("newest"))
-    return out.withColumn("status", F.when(F.col("appended") > 0, "archived").otherwise("nothing_new"))
+    """By symbol: rows seen, undated ones (which stay), candidates beyond the newest ``keep``, those appended, those that the archive or a
+    later row of the same day has, rows removed, oldest and newest appended day (of all candidates if none is), status and reason."""
+    w = Window.partitionBy("symbol").orderBy(F.col("date").desc_nulls_last(), F.col("seq").desc())
+    rows = df.withColumn("__k", F.row_number().over(w))
+    old = F.col("date").isNotNull() & (F.col("__k") > keep)
+    rows = rows.join(archive.select("symbol", "date", F.lit(True).alias("__seen")), ["symbol", "date"], "left").withColumn("__old", old)
+    # Of a day with rows on both sides of the limit, the last one beyond it counts.
+    rows = rows.withColumn("__new", F.col("__old") & F.col("__seen").isNull() & (F.row_number().over(Window.partitionBy("symbol", "date", "__old").orderBy(F.col("seq").desc())) == 1))
+    over = lambda f, c: F.coalesce(f(F.when(F.col("__new"), F.col("date"))), f(F.when(F.col("__old"), F.col("date")))).alias(c)
+    out = rows.groupBy("symbol").agg(
+        F.count("*").alias("rows_seen"), F.count_if(F.col("date").isNull()).alias("undated"), F.count_if("__old").alias("candidates"), F.count_if("__new").alias("appended"), over(F.min, "oldest"), over(F.max, "newest")
+    )
+    none, fresh = F.col("candidates") == 0, F.col("appended") > 0
+    return out.withColumns({
+        "duplicates": F.col("candidates") - F.col("appended"), "removed": F.col("candidates"), "status": F.when(none, "skipped").otherwise("ok"),
+        "reason": F.when(none, "within the rolling window").when(fresh, "archived").otherwise("archive had all"),
+    })
 
 
 def unseen(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,31 +142,55 @@ def detect_new(df: DataFrame, as_of: Column) -> DataFrame:
     return last_dates(df).withColumn("gap_days", F.datediff(as_of, "last_date")).withColumn("expect_new", F.col("gap_days") > 0)
 
 
-def integrity_report(df: DataFrame) -> DataFrame:
-    """By symbol in row order: dates, duplicate dates, whether they ascend, and the problems as text."""
+def _listed(flags: dict[str, Column]) -> Column:
+    return F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in flags.items()])), ",")
+
+
+def integrity_report(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
+    """By symbol in row order: required columns without any value (or absent), dates, duplicate dates, whether they ascend, the problems as text, and ok."""
     w = Window.partitionBy("symbol").orderBy("seq")
     rows = df.withColumn("__down", F.col("date") < F.lag("date").over(w))
-    out = rows.groupBy("symbol").agg(F.count("date").alias("n_dates"), (F.count("date") - F.count_distinct("date")).alias("duplicate_dates"), (F.count_if("__down") == 0).alias("chronological"), (F.count("*") - F.count("date")).alias("blank_dates"))
-    problems = F.array_join(F.array_compact(F.array(F.when(F.col("duplicate_dates") > 0, "duplicates"), F.when(~F.col("chronological"), "order"), F.when(F.col("blank_dates") > 0, "blanks"))), ",")
-    return out.withColumn("problems", problems)
+    lacks = {c: F.count(c) == 0 if c in df.columns else F.count("*") >= 0 for c in required}
+    out = rows.groupBy("symbol").agg(
+        (_listed(lacks) if lacks else F.lit("")).alias("missing_columns"), F.count("date").alias("n_dates"), (F.count("date") - F.count_distinct("date")).alias("duplicate_dates"),
+        (F.count_if("__down") == 0).alias("chronological"), (F.count("*") - F.count("date")).alias("blank_dates"),
+    )
+    problems = _listed({"columns": F.col("missing_columns") != "", "duplicates": F.col("duplicate_dates") > 0, "order": ~F.col("chronological"), "blanks": F.col("blank_dates") > 0})
+    return out.withColumn("problems", problems).withColumn("ok", F.col("problems") == "")
 
 
-def liveness_report(df: DataFrame, cols: list[str], last: int = 5) -> DataFrame:
-    """By symbol the columns that are null in all of the last rows."""
+def liveness_report(df: DataFrame, cols: list[str], labels: tuple[str, ...] = (), last: int = 5) -> DataFrame:
+    """By symbol the required columns that the table lacks, those that are null in all of the last rows, whether any label
+    column has a value, and ok."""
     w = Window.partitionBy("symbol").orderBy(F.col("date").desc())
-    rows = df.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= last)
-    dead = rows.groupBy("symbol").agg(*[(F.count(c) == 0).alias(c) for c in cols], F.count("*").alias("n_rows"))
-    return dead.select("symbol", "n_rows", F.array_join(F.array_compact(F.array(*[F.when(F.col(c), c) for c in cols])), ",").alias("dead_columns"))
+    rows = df.withColumn("__k", F.row_number().over(w))
+    have, told = [c for c in cols if c in df.columns], [c for c in labels if c in df.columns]
+    recent = lambda c: F.count(F.when(F.col("__k") <= last, F.col(c)))
+    out = rows.groupBy("symbol").agg(
+        F.count_if(F.col("__k") <= last).alias("n_rows"), F.lit(",".join(c for c in cols if c not in have)).alias("missing_columns"),
+        (_listed({c: recent(c) == 0 for c in have}) if have else F.lit("")).alias("dead_columns"), (sum((F.count(c) for c in told), F.lit(0)) > 0).alias("has_labels"),
+    )
+    return out.withColumn("ok", (F.col("missing_columns") == "") & (F.col("dead_columns") == ""))
 
 
 def status_rollup(df: DataFrame) -> DataFrame:
-    """By symbol from fetched, fresh and failed counts: a status; by run: all of them as one row, symbol null."""
-    status = F.when(F.sum("failed") > 0, "error").when(F.sum("fresh") > 0, "updated").when(F.sum("fetched") > 0, "duplicate_only").otherwise("no_new_data")
+    """By symbol from fetched, fresh, failed and skipped counts: a status; by run: all of them as one row, symbol null."""
+    status = F.when(F.sum("failed") > 0, "error").when(F.sum("skipped") > 0, "skipped").when(F.sum("fresh") > 0, "updated").when(F.sum("fetched") > 0, "duplicate_only").otherwise("no_new_data")
     each = df.groupBy("symbol").agg(F.sum("fetched").alias("fetched"), F.sum("fresh").alias("fresh"), status.alias("status"))
     run = each.agg(F.sum("fetched").alias("fetched"), F.sum("fresh").alias("fresh"), F.when(F.count_if(F.col("status") == "error") == F.count("*"), "error").when(F.count_if(F.col("status") == "error") > 0, "partial_error").when(F.sum("fresh") > 0, "ok").otherwise("no_new_data").alias("status"))
     return each.unionByName(run.select(F.lit(None).cast(each.schema["symbol"].dataType).alias("symbol"), "fetched", "fresh", "status"))
 
 
+def forecast_rollup(df: DataFrame) -> DataFrame:
+    """By symbol from n_rows, n_eligible and n_written counts of a forecast run, with ``start`` the first position that has a
+    full window: ok, no_new_data, or no_valid_start_point if the rows end before it; by run as one row, symbol null."""
+    status = F.when(F.col("n_rows") <= F.col("start") + 1, "no_valid_start_point").when(F.col("n_written") > 0, "ok").otherwise("no_new_data")
+    each = df.withColumn("status", status).select("symbol", "n_rows", "n_eligible", "n_written", "status")
+    all_of = lambda s: F.count_if(F.col("status") == s)
+    run = each.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_eligible").alias("n_eligible"), F.sum("n_written").alias("n_written"), F.when(all_of("ok") > 0, "ok").when(all_of("no_valid_start_point") == F.count("*"), "no_valid_start_point").otherwise("no_new_data").alias("status"))
+    return each.unionByName(run.select(F.lit(None).cast(each.schema["symbol"].dataType).alias("symbol"), "n_rows", "n_eligible", "n_written", "status"))
+
+
 def dataset_summary(examples: DataFrame, minimum: int = 1) -> DataFrame:
     """By symbol from part (train, validation, replay): counts, last date and why a symbol is skipped."""
     out = examples.groupBy("symbol").agg(F.count("*").alias("n_rows"), *[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "replay")], F.max("date").alias("last_date"))

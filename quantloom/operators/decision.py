@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
@@ -31,13 +31,14 @@ def rsi_bin(col: str) -> Column:
 
 def decision_features(bars: DataFrame) -> DataFrame:
     """Eleven columns of states."""
-    df = bars
-    for n in (12, 26, 50):
-        df = ind.ema(df, "close", n, f"__ema_{n}")
-    df = ind.bollinger(ind.rsi(ind.rsi(df, 7), 14)).withColumns({f"__sma_{n}": ind.sma(n) for n in (5, 20, 50)})
+    df = ind.bollinger(ind.rsi(ind.rsi(bars, 7), 14)).withColumns({f"__sma_{n}": ind.sma(n) for n in (5, 20, 50)})
+    df = ind.Ema(df).add("close", {f"__ema_{n}": n for n in (12, 26, 50)}).done()
     width = F.col("bb_upper") - F.col("bb_lower")
     df = df.withColumns({"__pb": (F.col("close") - F.col("bb_lower")) / F.nullif(width, F.lit(0.0)), "__bw": width / F.nullif(F.col("bb_middle"), F.lit(0.0))})
-    df = df.join(thresholds(df, ["rsi_7", "rsi_14", "__bw"]), "symbol")
+    # The thresholds of thresholds(), over each symbol's rows where they are.
+    own, cols = Window.partitionBy("symbol"), ("rsi_7", "rsi_14", "__bw")
+    df = df.withColumns({f"{c}_enough": F.count(c).over(own) >= LEAST for c in cols} | {f"{c}_p": F.percentile(c, [0.25, 0.5, 0.75]).over(own) for c in cols})
+    df = df.withColumns({f"{c}_p{q}": F.when(F.col(f"{c}_enough"), F.col(f"{c}_p")[k]).otherwise(FALLBACK[k]) for c in cols for k, q in enumerate((25, 50, 75))})
     trend = F.when(F.col("__pb").isNull(), "").when(F.col("__pb") > 0.6, "bullish").when(F.col("__pb") < 0.4, "bearish").otherwise("neutral")
     obos = F.when(F.col("__pb").isNull(), "").when(F.col("__pb") >= 1.0, "overbought").when(F.col("__pb") <= 0.0, "oversold").otherwise("neutral")
     vol = F.when(F.col("__bw").isNull(), "").when(~F.col("__bw_enough"), "normal volatility").when(F.col("__bw") > F.col("__bw_p75"), "high volatility").when(F.col("__bw") < F.col("__bw_p25"), "low volatility").otherwise("normal volatility")

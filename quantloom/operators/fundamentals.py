@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,30 @@ def last_quarters(df: DataFrame, n: int = 4) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def best_source(frames: list[DataFrame], n: int = 4) -> DataFrame:
+    """The last ``n`` quarters (ticker, quarter_end, rank, source) that the statement with the most usable dates of a ticker has; the first of equal ones."""
+    tagged = [f.select("ticker", "quarter_end", F.lit(k).alias("source")) for k, f in enumerate(frames)]
+    dates = reduce(DataFrame.unionByName, tagged).where(F.col("quarter_end").isNotNull()).distinct()
+    counts = dates.groupBy("ticker", "source").agg(F.count("*").alias("__n"))
+    best = counts.groupBy("ticker").agg(F.max_by("source", F.struct("__n", -F.col("source"))).alias("source"))
+    return last_quarters(dates.join(best, ["ticker", "source"]), n)
+
+
+def flat_fundamentals(quarters: DataFrame, info: DataFrame, events: DataFrame, as_of: Column) -> DataFrame:
+    """One row a ticker from its newest quarter: growth over four quarters back, margins, and the market's own figures.
+
+    ``info`` (ticker, sector, market_cap, pe_trailing, pe_forward, pb, return_on_equity, debt_to_equity in percent)
+    goes before the ratios of the statements where it has a value; the cash flow yield is by market_cap."""
+    rows = growth(quarter_financials(quarters))
+    rows = last_quarters(rows, 1).drop("rank").withColumnsRenamed({"roe": "__roe", "debt_to_equity": "__de"})
+    out = rows.join(info.withColumnRenamed("debt_to_equity", "__percent"), "ticker", "left").join(next_event(events, as_of), "ticker", "left")
+    return out.select(
+        "ticker", as_of.alias("as_of_date"), "sector", F.col("revenue").alias("revenue_ttm_proxy"), "revenue_yoy", F.col("income_yoy").alias("net_income_yoy"), ratio(F.col("operating_income"), F.col("revenue")).alias("operating_margin"), "net_margin",
+        F.coalesce("return_on_equity", "__roe").alias("roe"), F.coalesce(F.col("__percent") / 100.0, F.col("__de")).alias("debt_to_equity"), "asset_turnover", ratio(F.col("free_cash_flow"), F.col("market_cap")).alias("fcf_yield"),
+        "pe_trailing", "pe_forward", "pb", "market_cap", F.col("next_date").alias("next_earnings_date"), F.col("days_to").alias("days_to_earnings"), F.coalesce("in_window", F.lit(0)).alias("in_earnings_window_5d"),
+    )
+
+
 def next_event(events: DataFrame, as_of: Column) -> DataFrame:
     """The first event after a day, the days to it, and whether it is at most five away."""
     out = events.groupBy("ticker").agg(F.min(F.when(F.col("event_date") > as_of, F.col("event_date"))).alias("next_date"))

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def by_symbol():
     """The window of a symbol's bars in order of their dates."""
     return Window.partitionBy("symbol").orderBy("date")
@@ -115,39 +116,66 @@ def williams_r(bars: DataFrame, n: int = 14) -> DataFrame:
     return bars.withColumn(f"williams_r_{n}", -100.0 * (hh - F.col("close")) / F.nullif(hh - ll, F.lit(0.0)))
 
 
-def ema(df: DataFrame, col: str, span: int, out: str, block: int = 128) -> DataFrame:
-    """y0 = x0, y = a x + (1 - a) y', a = 2 / (span + 1), without a sequential pass.
+class Ema:
+    """Exponential means of columns of bars, y0 = x0, y = a x + (1 - a) y', a = 2 / (span + 1), without a sequential pass.
 
     A linear recurrence scans in two levels: each block of rows sums its inputs with
     their decay; ends of blocks are carried into later ones by a few lags, as the decay over
-    whole blocks soon is below the precision of a double. ``col`` must have no nulls.
-    """
-    a = 2.0 / (span + 1)
-    r = 1.0 - a
-    lags = max(1, math.ceil(math.log(1e-18) / (block * math.log(r)))) if r > 0 else 1
-    pos = F.row_number().over(by_symbol()) - 1
-    df = df.withColumn("__pos", pos).withColumn("__block", F.floor(F.col("__pos") / block)).withColumn("__k", F.col("__pos") % block)
-    term = F.when(F.col("__pos") == 0, F.col(col)).otherwise(a * F.col(col)) * F.pow(F.lit(r), -F.col("__k"))
-    inner = Window.partitionBy("symbol", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__own", F.sum(term).over(inner) * F.pow(F.lit(r), F.col("__k")))
-    ends = sum((F.coalesce(lag("__own", block * j), F.lit(0.0)) * r ** (block * j) for j in range(1, lags)), F.col("__own"))
-    df = df.withColumn("__end", F.when(F.col("__k") == block - 1, ends))
-    carried = F.coalesce(F.last("__end", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return df.withColumn(out, F.col("__own") + F.pow(F.lit(r), F.col("__k") + 1) * carried).drop("__pos", "__block", "__k", "__own", "__end")
+    whole blocks soon is below the precision of a double. Positions and blocks are made once for all
+    spans, and all windows share the order (symbol, block, date). Columns must have no nulls."""
+
+    def __init__(self, bars: DataFrame, block: int = 128) -> None:
+        self.block = block
+        pos = F.row_number().over(by_symbol()) - 1
+        df = bars.withColumn("__pos", pos)
+        self.df = df.withColumns({"__block": F.floor(F.col("__pos") / block), "__k": F.col("__pos") % block})
+        self.rows = Window.partitionBy("symbol").orderBy("__block", "date")
+
+    def add(self, col: str, spans: dict[str, int]) -> Ema:
+        """Adds the means of ``col`` under the names of ``spans``."""
+        inner = Window.partitionBy("symbol", "__block").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        before = self.rows.rowsBetween(Window.unboundedPreceding, -1)
+        k, n = F.col("__k"), self.block
+        decay = {out: 1.0 - 2.0 / (span + 1) for out, span in spans.items()}
+        first = F.col("__pos") == 0
+        own = {f"__own_{out}": F.sum(F.when(first, F.col(col)).otherwise((1.0 - r) * F.col(col)) * F.pow(F.lit(r), -k)).over(inner) * F.pow(F.lit(r), k) for out, r in decay.items()}
+        df = self.df.withColumns(own)
+        ends = {}
+        for out, r in decay.items():
+            lags = max(1, math.ceil(math.log(1e-18) / (n * math.log(r)))) if r > 0 else 1
+            ends[f"__end_{out}"] = F.when(k == n - 1, sum((F.coalesce(F.lag(f"__own_{out}", n * j).over(self.rows), F.lit(0.0)) * r ** (n * j) for j in range(1, lags)), F.col(f"__own_{out}")))
+        df = df.withColumns(ends)
+        carried = lambda out: F.coalesce(F.last(f"__end_{out}", ignorenulls=True).over(before), F.lit(0.0))
+        self.df = df.withColumns({out: F.col(f"__own_{out}") + F.pow(F.lit(r), k + 1) * carried(out) for out, r in decay.items()}).drop(*own, *ends)
+        return self
+
+    def done(self) -> DataFrame:
+        return self.df.drop("__pos", "__block", "__k")
+
+
+def ema(df: DataFrame, col: str, span: int, out: str, block: int = 128) -> DataFrame:
+    return Ema(df, block).add(col, {out: span}).done()
+
+
+def _macd(e: Ema, fast: str, slow: str, signal: int = 9) -> Ema:
+    """Adds macd, its signal and their difference from two means at hand."""
+    e.df = e.df.withColumn("macd", F.col(fast) - F.col(slow))
+    e.add("macd", {"macd_signal": signal})
+    e.df = e.df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return e
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ema(ema(bars, "close", fast, "__fast"), "close", slow, "__slow").withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    return ema(df, "macd", signal, "macd_signal").withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return _macd(Ema(bars).add("close", {"__fast": fast, "__slow": slow}), "__fast", "__slow", signal).done().drop("__fast", "__slow")
 
 
 def indicators(bars: DataFrame, shift: int = 1) -> DataFrame:
-    """The whole table of indicators, lagged ``shift`` bars so that a row knows only earlier ones; bars as they are."""
-    df = macd(bars)
-    for n in (26, 50):
-        df = ema(df, "close", n, f"ema_{n}")
-    df = ema(df, "close", 12, "ema_12").withColumns({f"sma_{n}": sma(n) for n in (5, 20, 50)})
+    """The whole table of indicators, lagged ``shift`` bars so that a row knows only earlier ones; bars as they are. All
+    that needs rows by (symbol, date) comes first, the exponential means after it, so there are one exchange and two sorts."""
+    df = bars.withColumns({f"sma_{n}": sma(n) for n in (5, 20, 50)})
     for step in (rsi, stochastic, adx, bollinger, atr, obv, vwap, returns, roc, cci, williams_r):
         df = step(df)
-    new = [c for c in df.columns if c not in bars.columns]
-    return df.select(*bars.columns, *[(lag(c, shift) if shift else F.col(c)).alias(c) for c in new])
+    e = Ema(df).add("close", {f"ema_{n}": n for n in (12, 26, 50)})
+    e = _macd(e, "ema_12", "ema_26")
+    new = [c for c in e.df.columns if c not in (*bars.columns, "__pos", "__block", "__k")]
+    return e.df.select(*bars.columns, *[(F.lag(c, shift).over(e.rows) if shift else F.col(c)).alias(c) for c in new])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import median, ranked
 from quantloom.operators.regime import pct_rank
 
 
@@ -60,28 +61,40 @@ def decile_lift(df: DataFrame, order: list[str]) -> DataFrame:
     """Means of the outcome in the top and bottom tenth by q50, ties in ``order``; null under 10 rows.
 
     A rank r of n is in tenth ceil((r - 1) * 10 / (n - 1)) - 1, which is where equal-width
-    quantile edges over 1..n put it."""
-    rows = df.where("y is not null and q50 is not null")
-    w = Window.partitionBy("horizon")
-    rows = rows.withColumns({"__r": F.row_number().over(w.orderBy("q50", *order)), "__n": F.count("*").over(w)})
-    tenth = F.greatest(F.ceil((F.col("__r") - 1) * 10 / F.nullif(F.col("__n") - 1, F.lit(0))) - 1, F.lit(0))
-    mean = lambda k: F.avg(F.when((F.col("__n") >= 10) & (tenth == k), F.col("y")))
-    out = rows.groupBy("horizon").agg(F.count("*").alias("n"), mean(9).alias("top_decile_mean"), mean(0).alias("bottom_decile_mean"), F.avg(F.when(F.col("__n") >= 10, F.col("y"))).alias("overall_mean"))
+    quantile edges over 1..n put it. Ranks come from ranges of q50, so a horizon isn't one task."""
+    rows = ranked(df.where("y is not null and q50 is not null").select("horizon", "q50", "y", *order), ["horizon"], ["q50", *order])
+    tenth = F.greatest(F.ceil(F.col("rank") * 10 / F.nullif(F.col("total") - 1, F.lit(0))) - 1, F.lit(0))
+    mean = lambda k: F.avg(F.when((F.col("total") >= 10) & (tenth == k), F.col("y")))
+    out = rows.groupBy("horizon").agg(F.count("*").alias("n"), mean(9).alias("top_decile_mean"), mean(0).alias("bottom_decile_mean"), F.avg(F.when(F.col("total") >= 10, F.col("y"))).alias("overall_mean"))
     return out.withColumns({"top_vs_overall": F.col("top_decile_mean") - F.col("overall_mean"), "top_vs_bottom": F.col("top_decile_mean") - F.col("bottom_decile_mean")})
 
 
-def validation_score(df: DataFrame, tilt: float = 1.0, horizons: int = 5) -> DataFrame:
-    """One row: horizon-weighted rmse and mae, directional accuracy, the median absolute outcome as normaliser, and the score
-    0.4 rmse + 0.3 mae (normalised) - 0.3 accuracy. Weights go evenly from 1 to max(0.2, tilt), with mean 1."""
+def validation_score(df: DataFrame, tilt: float = 1.0, horizons: int = 5, by_volatility: bool = False, windows: int = 0, least: int = 1) -> DataFrame:
+    """Horizon-weighted rmse and mae, directional accuracy, a normaliser, and the score 0.4 rmse + 0.3 mae (normalised) - 0.3 accuracy:
+    a row with window null over all, and one for each of ``windows`` equal runs of (symbol, date) rows in order of their dates.
+
+    Weights go evenly from 1 to max(0.2, tilt), with mean 1. The normaliser, the same for all rows, is the median absolute outcome or,
+    ``by_volatility``, the median over (symbol, date) of the spread of their absolute outcomes over the horizons; 1e-4 at
+    least. Fewer than ``least`` outcomes are an error. Medians and windows come from counts of ranges."""
     top = max(0.2, tilt)
     raw = [1.0 + (top - 1.0) * k / max(1, horizons - 1) for k in range(horizons)]
     mean = sum(raw) / horizons
     weight = F.element_at(F.array(*[F.lit(x / mean) for x in raw]), F.col("horizon").cast("int"))
     e = F.col("y") - F.col("q50")
-    out = df.where("y is not null and q50 is not null").agg(
-        F.sqrt(F.avg(e * e * weight)).alias("rmse"), F.avg(F.abs(e) * weight).alias("mae"), F.avg((F.signum("y") == F.signum("q50")).cast("double")).alias("directional_accuracy"),
-        F.greatest(F.percentile(F.abs("y"), 0.5), F.lit(1e-4)).alias("normalizer"),
-    )
+    rows = df.where("y is not null and q50 is not null")
+    if least > 1 and (n := rows.count()) < least:
+        raise ValueError(f"too few validation points: {n}")
+    size = F.abs("y").alias("v")
+    usual = median(rows.groupBy("symbol", "date").agg(F.stddev_pop(F.abs("y")).alias("v")) if by_volatility else rows.select(size), "v")
+    rows = rows.withColumn("window", F.lit(None).cast("int"))
+    if windows:
+        days = ranked(df.select("symbol", "date").distinct(), [], ["date", "symbol"])
+        # The first total % windows runs have one row more.
+        each, more = F.floor(F.col("total") / windows), F.col("total") % windows
+        at = F.when(F.col("rank") < more * (each + 1), F.floor(F.col("rank") / (each + 1))).otherwise(more + F.floor((F.col("rank") - more * (each + 1)) / F.greatest(each, F.lit(1))))
+        rows = rows.unionByName(rows.drop("window").join(days.select("symbol", "date", (at + 1).cast("int").alias("window")), ["symbol", "date"]))
+    out = rows.groupBy("window").agg(F.sqrt(F.avg(e * e * weight)).alias("rmse"), F.avg(F.abs(e) * weight).alias("mae"), F.avg((F.signum("y") == F.signum("q50")).cast("double")).alias("directional_accuracy"))
+    out = out.withColumn("normalizer", F.greatest(usual.scalar(), F.lit(1e-4)))
     return out.withColumn("score", 0.4 * F.col("rmse") / F.col("normalizer") + 0.3 * F.col("mae") / F.col("normalizer") - 0.3 * F.col("directional_accuracy"))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.indicators import by_symbol, full, lag, mean, trailing
+from quantloom.operators.indicators import by_symbol, full, lag, trailing
 
 
 def days():
@@ -42,8 +42,8 @@ def regime(index: DataFrame) -> DataFrame:
 
 
 def attach_regime(bars: DataFrame, index: DataFrame) -> DataFrame:
-    """A row a day is a few thousand rows for decades of data, so it is broadcast."""
-    return bars.join(F.broadcast(index), "date", "left")
+    """A row a day; Spark broadcasts it as long as it is small."""
+    return bars.join(index, "date", "left")
 
 
 def relative_strength(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -73,15 +73,20 @@ def pct_rank(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFr
 
 
 def trailing_stats(bars: DataFrame, n: int = 20) -> DataFrame:
-    """Last finite close, mean of the last n volumes, and median relative range of the last n, held to .005-.05."""
-    rng = (F.col("high") - F.col("low")) / F.nullif(F.col("close"), F.lit(0.0))
-    df = bars.withColumn("__range", rng)
-    median = F.percentile("__range", 0.5).over(trailing(n))
-    return df.withColumns({
-        "last_close": F.last("close", ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)),
-        "mean_volume": F.avg("volume").over(trailing(n)),
-        "median_range": F.coalesce(F.least(F.greatest(median, F.lit(0.005)), F.lit(0.05)), F.lit(0.02)),
-    }).drop("__range")
-
+    """Last finite close, mean of the last n finite volumes, and median relative range of the last n valid bars, held to .005-.05.
 
-__all__ = ["attach_regime", "beta", "calendar", "mean", "merge_indices", "pct_rank", "regime", "relative_strength", "trailing_stats"]
+    A bar is valid with high, low and a positive close, and high no less than low; others take no place among the n."""
+    df = bars.withColumns({
+        "__range": F.when((F.col("close") > 0) & (F.col("high") >= F.col("low")), (F.col("high") - F.col("low")) / F.col("close")),
+        "__volume": F.when(~F.isnan("volume") & (F.abs("volume") < float("inf")), F.col("volume").cast("double")),
+    })
+    df = df.withColumns({"__r": F.col("__range").isNotNull(), "__v": F.col("__volume").isNotNull()})
+    # Rows with a value are a sequence of their own; the others take the last one's result.
+    own = lambda flag: Window.partitionBy("symbol", flag).orderBy("date").rowsBetween(-(n - 1), 0)
+    df = df.withColumns({"__median": F.when(F.col("__r"), F.percentile("__range", 0.5).over(own("__r"))), "__mean": F.when(F.col("__v"), F.avg("__volume").over(own("__v")))})
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(upto)
+    return df.withColumns({
+        "last_close": last(F.when(~F.isnan("close") & (F.abs("close") < float("inf")), F.col("close"))), "mean_volume": last("__mean"),
+        "median_range": F.coalesce(F.least(F.greatest(last("__median"), F.lit(0.005)), F.lit(0.05)), F.lit(0.02)),
+    }).drop("__range", "__volume", "__r", "__v", "__median", "__mean")

@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.scalars import last_by
+
 
 def tag_entities(posts: DataFrame, aliases: DataFrame, key: str, text: str, default: str | None = "GENERAL") -> DataFrame:
     """A row per (post, ticker) whose text holds one of the ticker's terms between non-alphanumerics, in any case.
 
-    Texts are cut into tokens that meet the terms' first tokens in an equi-join, so the
-    number of aliases doesn't multiply the texts; the whole term is then looked for with its
-    boundaries. Posts without a hit get ``default``, or go if it is None."""
+    Tokens, without their texts, meet the terms' first tokens in an equi-join; only what meets fetches its text by ``key``, which is
+    unique, and looks for the whole term with its boundaries. Posts without a hit get ``default``, or go if it is None."""
     tokens = lambda c: F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
     terms = aliases.select("ticker", F.lower("term").alias("term"), F.element_at(tokens(F.col("term")), 1).alias("__t"))
-    hits = posts.select(key, text, F.explode_outer(F.array_distinct(tokens(F.col(text)))).alias("__t")).join(terms, "__t")
+    near = posts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__t")).join(terms, "__t").select(key, "ticker", "term")
+    hits = posts.select(key, text).join(near, key)
     found = F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace("term", "([^a-z0-9 ])", "\\\\$1"), F.lit("($|[^a-z0-9])"))
     hits = hits.where(F.regexp_like(F.lower(text), found)).select(key, "ticker").distinct()
     out = posts.join(hits, key, "left" if default is not None else "inner")
@@ -36,9 +38,14 @@ def retain(df: DataFrame, ts: str, cutoff) -> DataFrame:
 
 
 def take_until_old(df: DataFrame, feed: str, seq: str, ts: str, cutoff) -> DataFrame:
-    """Of each feed in order, the rows before its first one older than ``cutoff``."""
-    upto = Window.partitionBy(feed).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__old", F.sum(F.when(F.col(ts) < cutoff, 1).otherwise(0)).over(upto)).where("__old = 0").drop("__old")
+    """Of each feed in order, the rows before its first one older than ``cutoff``: one aggregate a feed, then a filter."""
+    first = df.where(F.col(ts) < cutoff).groupBy(feed).agg(F.min(seq).alias("__first"))
+    return df.join(first, feed, "left").where(F.col("__first").isNull() | (F.col(seq) < F.col("__first"))).drop("__first")
+
+
+def latest_sentiment(df: DataFrame) -> DataFrame:
+    """The last day's row of each (ticker, source)."""
+    return last_by(df, ["ticker", "source"], ["date"])
 
 
 def prepare_text(df: DataFrame, channel: str) -> DataFrame:
@@ -140,9 +147,12 @@ def lexicon_scores(df: DataFrame, text: str, positive: list[str], negative: list
     return df.withColumns({"neutral": 1.0 - F.col("positive") - F.col("negative"), "polarity": F.col("positive") - F.col("negative")})
 
 
-def documents(df: DataFrame, key: str, item: str, fields: list[str], order: str) -> DataFrame:
-    """One row a key with a map of its items, the last of each item winning; rows without item key are left out.
-    Keys have bounded items (a retention window); a map is what a document sink takes."""
-    w = Window.partitionBy(key, item).orderBy(F.col(order).desc())
-    rows = df.where(F.col(item).isNotNull()).withColumn("__k", F.row_number().over(w)).where("__k = 1")
-    return rows.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(item), F.struct(*fields))))).alias("items"), F.max(order).alias("scrape_date"))
+def documents(df: DataFrame, key: str, item: str, fields: list[str], order: str, most: int = 1000) -> DataFrame:
+    """Documents of a key, each a map of its items, the last of each item winning; rows without item key are left out. A
+    document has about ``most`` items: a key with more has several, numbered by ``part``, to which items are dealt by hash."""
+    rows = df.where(F.col(item).isNotNull())
+    parts = rows.groupBy(key).agg(F.ceil(F.count("*") / most).alias("__parts"))
+    rows = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(item), F.col("__parts")).cast("int"))
+    w = Window.partitionBy(key, "part", item).orderBy(F.col(order).desc())
+    rows = rows.withColumn("__k", F.row_number().over(w)).where("__k = 1")
+    return rows.groupBy(key, "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(item), F.struct(*fields))))).alias("items"), F.max(order).alias("scrape_date"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.operators.bars import bars_from_trades
+
 SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
 
 
@@ -16,13 +18,6 @@ def trades(spark: SparkSession, sf_dir: str, symbol: str = "l_suppkey") -> DataF
     return table(spark, sf_dir, "lineitem").select(F.expr(symbol).alias("symbol"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"), F.struct(*SEQ).alias("seq"))
 
 
-def bars_from_trades(t: DataFrame) -> DataFrame:
-    """Open and close are the prices of the first and last trade in order, high and low the extremes."""
-    return t.groupBy("symbol", "date").agg(
-        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume")
-    )
-
-
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_trades(trades(spark, sf_dir))
 
@@ -46,6 +41,16 @@ def _bars_sql(symbol: str, name: str) -> str:
   sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
 
 
+def ema_sql(name: str, span: int, src: str = "num", x: str = "close") -> str:
+    """An exponential mean as a recursive table (symbol, n, x, y) over numbered rows."""
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"""{name} AS (SELECT symbol, n, {x} AS x, {x} AS y FROM {src} WHERE n = 1 UNION ALL
+  SELECT b.symbol, b.n, b.{x}, {a} * b.{x} + (1 - {a}) * e.y FROM {name} e JOIN {src} b ON b.symbol = e.symbol AND b.n = e.n + 1)"""
+
+
+NUMBERED = "num AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars)"
+EMA_ROWS = f"{NUMBERED}, {ema_sql('e12', 12)}, {ema_sql('e26', 26)}, {ema_sql('e50', 50)}"
+MACD_ROWS = f"{EMA_ROWS}, m AS (SELECT a.symbol, a.n, a.y - b.y AS close FROM e12 a JOIN e26 b ON a.symbol = b.symbol AND a.n = b.n), {ema_sql('s', 9, 'm')}"
 BARS = _bars_sql("l_suppkey", "bars")
 DEEP = _bars_sql("l_suppkey % 5", "bars")
 INDEX = """idx AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS mkt_close,

@@ -30,11 +30,11 @@ def predictions(spark, sf_dir) -> DataFrame:
 _ERR = "avg((y - q50) * (y - q50))"
 
 
-@query("a1_regression_metrics", f"""WITH {PREDICTIONS}, v AS (SELECT * FROM pred WHERE horizon = 1 AND y IS NOT NULL AND q50 IS NOT NULL),
+@query("a1_regression_metrics", f"""WITH {PREDICTIONS}, v AS (SELECT * FROM pred WHERE y IS NOT NULL AND q50 IS NOT NULL),
 g AS (SELECT symbol, count(*) AS n, {_ERR} AS mse, avg(abs(y - q50)) AS mae, CASE WHEN count(*) > 1 AND min(y) < max(y) THEN 1 - {_ERR} / var_pop(y) END AS r2, avg(abs((y - q50) / nullif(y, 0))) * 100 AS mape FROM v GROUP BY ROLLUP (symbol))
 SELECT coalesce(symbol::VARCHAR, 'all') AS symbol, n, {_r('mse', 'mse')}, {_r('sqrt(mse)', 'rmse')}, {_r('mae', 'mae')}, {_r('r2', 'r2')}, {_r('CASE WHEN n > 11 THEN 1 - (1 - r2) * (n - 1) / (n - 11) END', 'adjusted_r2')}, {_r('mape', 'mape', 1)} FROM g""", dated=False)
 def a1_metrics(spark, sf_dir):
-    out = metrics.regression_metrics(predictions(spark, sf_dir).where("horizon = 1"), "y", "q50", "symbol", p=10)
+    out = metrics.regression_metrics(predictions(spark, sf_dir), "y", "q50", "symbol", p=10)
     return out.select(
         F.coalesce(F.col("symbol").cast("string"), F.lit("all")).alias("symbol"), "n", *[(F.round(F.col(c) + 3e-7, 1 if c == "mape" else 4) + 0.0).alias(c) for c in ("mse", "rmse", "mae", "r2", "adjusted_r2", "mape")])
 
@@ -73,28 +73,42 @@ def a6_lift(spark, sf_dir):
     return rounded(metrics.decile_lift(predictions(spark, sf_dir), ["symbol", "date"]), "n", "top_decile_mean", "bottom_decile_mean", "overall_mean", "top_vs_overall", "top_vs_bottom", keys=("horizon",))
 
 
-@query("a8_validation_score", f"""WITH {PREDICTIONS}, v AS (SELECT *, (1.0 + (0.5 - 1.0) * (horizon - 1) / 4.0) / 0.75 AS w FROM pred WHERE y IS NOT NULL AND q50 IS NOT NULL),
-g AS (SELECT sqrt(avg((y - q50) * (y - q50) * w)) AS rmse, avg(abs(y - q50) * w) AS mae, avg((sign(y) = sign(q50))::INT::DOUBLE) AS directional_accuracy, greatest(quantile_cont(abs(y), 0.5), 0.0001) AS normalizer FROM v)
-SELECT {_r('rmse', 'rmse')}, {_r('mae', 'mae')}, {_r('directional_accuracy', 'directional_accuracy')}, {_r('normalizer', 'normalizer')}, {_r('0.4 * rmse / normalizer + 0.3 * mae / normalizer - 0.3 * directional_accuracy', 'score')} FROM g""", dated=False)
+_SCORE = ", ".join([*(_r(c, c) for c in ("rmse", "mae", "directional_accuracy", "normalizer")), _r("0.4 * rmse / normalizer + 0.3 * mae / normalizer - 0.3 * directional_accuracy", "score")])
+_SCORED = f"""WITH {PREDICTIONS}, v AS (SELECT *, (1.0 + (0.5 - 1.0) * (horizon - 1) / 4.0) / 0.75 AS w FROM pred WHERE y IS NOT NULL AND q50 IS NOT NULL),
+days AS (SELECT symbol, date, ntile(7) OVER (ORDER BY date, symbol) AS run FROM (SELECT DISTINCT symbol, date FROM pred)), r AS (SELECT v.*, NULL AS run FROM v UNION ALL SELECT v.*, run FROM v JOIN days USING (symbol, date)),
+g AS (SELECT run, sqrt(avg((y - q50) * (y - q50) * w)) AS rmse, avg(abs(y - q50) * w) AS mae, avg((sign(y) = sign(q50))::INT::DOUBLE) AS directional_accuracy, (SELECT greatest({{}}, 0.0001)) AS normalizer FROM r GROUP BY run)
+SELECT coalesce(run::VARCHAR, 'all') AS run, {_SCORE} FROM g"""
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return rounded(df.withColumn("run", F.coalesce(F.col("window").cast("string"), F.lit("all"))), "rmse", "mae", "directional_accuracy", "normalizer", "score", keys=("run",))
+
+
+@query("a8_validation_score", _SCORED.format("(SELECT quantile_cont(abs(y), 0.5) FROM v)"), dated=False)
 def a8_score(spark, sf_dir):
-    return rounded(metrics.validation_score(predictions(spark, sf_dir), tilt=0.5), "rmse", "mae", "directional_accuracy", "normalizer", "score", keys=())
+    return _scored(metrics.validation_score(predictions(spark, sf_dir), tilt=0.5, windows=7))
+
+
+@query("a8_score_by_volatility", _SCORED.format("(SELECT quantile_cont(s, 0.5) FROM (SELECT stddev_pop(abs(y)) AS s FROM v GROUP BY symbol, date))"), dated=False)
+def a8_volatility(spark, sf_dir):
+    return _scored(metrics.validation_score(predictions(spark, sf_dir), tilt=0.5, windows=7, by_volatility=True))
 
 
 def _models(spark, sf_dir) -> DataFrame:
-    p = predictions(spark, sf_dir).where("horizon = 1 and y is not null")
+    p = predictions(spark, sf_dir).where("y is not null")
     return p.withColumns({"model_a": F.col("q50") * 0.9, "model_b": F.col("q50"), "model_c": F.col("q50") * 1.1})
 
 
-@query("a34_model_comparison", f"""WITH {PREDICTIONS}, v AS (SELECT symbol, y, unnest(['model_a', 'model_b', 'model_c']) AS model, unnest([q50 * 0.9, q50, q50 * 1.1]) AS p FROM pred WHERE horizon = 1 AND y IS NOT NULL)
+@query("a34_model_comparison", f"""WITH {PREDICTIONS}, v AS (SELECT symbol, y, unnest(['model_a', 'model_b', 'model_c']) AS model, unnest([q50 * 0.9, q50, q50 * 1.1]) AS p FROM pred WHERE y IS NOT NULL)
 SELECT symbol, model, count(*) AS n, {_r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {_r('avg(abs(y - p))', 'mae')}, {_r('CASE WHEN count(*) > 1 AND min(y) < max(y) THEN 1 - avg((y - p) * (y - p)) / var_pop(y) END', 'r2')} FROM v GROUP BY symbol, model""", dated=False)
 def a34_comparison(spark, sf_dir):
     return rounded(metrics.model_comparison(_models(spark, sf_dir), "y", ["model_a", "model_b", "model_c"]), "n", "rmse", "mae", "r2", keys=("symbol", "model"))
 
 
-@query("a31_r1_ensemble", f"WITH {PREDICTIONS} SELECT symbol, date, {_r('(0.2 * q50 * 0.9 + 0.3 * q50 + 0.5 * q50 * 1.1) / 1.0', 'pred', 6)} FROM pred WHERE horizon = 1 AND y IS NOT NULL")
+@query("a31_r1_ensemble", f"WITH {PREDICTIONS} SELECT symbol, date, horizon, {_r('(0.2 * q50 * 0.9 + 0.3 * q50 + 0.5 * q50 * 1.1) / 1.0', 'pred', 6)} FROM pred WHERE y IS NOT NULL")
 def r1_ensemble(spark, sf_dir):
-    long = _models(spark, sf_dir).select("symbol", "date", F.explode(F.create_map(*[x for m in ("model_a", "model_b", "model_c") for x in (F.lit(m), F.col(m))])).alias("model", "pred"))
-    return rounded(forecast.ensemble(long, {"model_a": 0.2, "model_b": 0.3, "model_c": 0.5}, ["symbol", "date"]), "pred", digits=6)
+    long = _models(spark, sf_dir).select("symbol", "date", "horizon", F.explode(F.create_map(*[x for m in ("model_a", "model_b", "model_c") for x in (F.lit(m), F.col(m))])).alias("model", "pred"))
+    return rounded(forecast.ensemble(long, {"model_a": 0.2, "model_b": 0.3, "model_c": 0.5}, ["symbol", "date", "horizon"]), "pred", digits=6, keys=("symbol", "date", "horizon"))
 
 
 @query("r2_r3_quantiles_prices", f"WITH {PREDICTIONS} SELECT symbol, date, horizon, {_r('close * exp(least(q10, q90))', 'p10')}, {_r('close * exp(q50)', 'p50')}, {_r('close * exp(greatest(least(q50, 0.08), -0.08))', 'p50_clipped')} FROM pred")
@@ -119,7 +133,7 @@ def r9_wide(spark, sf_dir):
     return rounded(forecast.to_wide(df, ["symbol", "date"], "price"), *[f"forecast_close_t{h}" for h in range(1, 6)])
 
 
-@query("r5_c5_next_bar", f"""WITH {DEEP}, s AS (SELECT *, avg(volume) {_F20} AS v, coalesce(least(greatest(quantile_cont((high - low) / nullif(close, 0), 0.5) {_F20}, 0.005), 0.05), 0.02) AS rng, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars),
+@query("r5_c5_next_bar", f"""WITH {DEEP}, s AS (SELECT *, avg(volume) {_F20} AS v, coalesce(least(greatest(quantile_cont((high - low) / close, 0.5) {_F20}, 0.005), 0.05), 0.02) AS rng, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars),
 n AS (SELECT symbol, date, close AS o, close * exp(0.01) AS c, rng, v, greatest(greatest(abs(close), abs(close * exp(0.01)), 1.0) * rng * 0.5, abs(close - close * exp(0.01)) * 0.25) AS m FROM s WHERE k = 1)
 SELECT symbol, (date + CASE isodow(date) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS date, {_r('o', 'open')}, {_r('least(greatest(o, c) + m, greatest(o, c) * 1.08)', 'high')}, {_r('greatest(least(o, c) - m, least(o, c) * 0.92, 0.01)', 'low')}, {_r('c', 'close')}, {_r('v', 'volume')} FROM n""")
 def r5_next_bar(spark, sf_dir):
@@ -193,9 +207,3 @@ def j14_actuals(spark, sf_dir):
     b = bars(spark, sf_dir)
     df = forecast.join_actuals(b.select("symbol", "date", (F.col("close") * 1.01).alias("pred")), b, "1997-01-01", "1997-12-31")
     return rounded(forecast.errors(df, "actual", "pred"), "abs_error", "pct_error")
-
-
-@query("t1_t2_t11_sequences")
-def t1_sequences(spark, sf_dir):
-    """The last five of twenty steps that end at each bar."""
-    return dataset.tail(dataset.sequences(bars(spark, sf_dir), ["open", "high", "low", "close"], 20), 5).select("symbol", "date", "features")

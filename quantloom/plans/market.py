@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import indicators as ind
 from quantloom.operators import labels, regime
-from quantloom.plans.fixtures import BARS, DEEP, INDEX, bars, deep_bars, index
+from quantloom.plans.fixtures import BARS, DEEP, INDEX, MACD_ROWS, bars, deep_bars, index
 from quantloom.plans.registry import query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
@@ -52,23 +52,11 @@ def w3_w15(spark, sf_dir):
     return rounded(ind.williams_r(ind.stochastic(deep_bars(spark, sf_dir))), "stoch_k", "stoch_d", "williams_r_14")
 
 
-_EMA = """{name} AS (SELECT symbol, n, {x} AS x, {x} AS y FROM {src} WHERE n = 1 UNION ALL
-  SELECT b.symbol, b.n, b.{x}, {a} * b.{x} + (1 - {a}) * e.y FROM {name} e JOIN {src} b ON b.symbol = e.symbol AND b.n = e.n + 1)"""
-_NUMBERED = f"num AS (SELECT *, row_number() OVER ({_W}) AS n FROM bars)"
-
-
-def _ema_sql(name: str, span: int, src: str = "num", x: str = "close") -> str:
-    return _EMA.format(name=name, x=x, src=src, a=f"(2.0::DOUBLE / {span + 1})")
-
-
-@query("w5_ema_w2_macd", f"""WITH RECURSIVE {DEEP}, {_NUMBERED}, {_ema_sql('e12', 12)}, {_ema_sql('e26', 26)}, {_ema_sql('e50', 50)},
-m AS (SELECT a.symbol, a.n, a.y - b.y AS close FROM e12 a JOIN e26 b ON a.symbol = b.symbol AND a.n = b.n), {_ema_sql('s', 9, 'm')}
+@query("w5_ema_w2_macd", f"""WITH RECURSIVE {DEEP}, {MACD_ROWS}
 SELECT num.symbol, num.date, {_r('e12.y', 'ema_12')}, {_r('e26.y', 'ema_26')}, {_r('e50.y', 'ema_50')}, {_r('m.close', 'macd')}, {_r('s.y', 'macd_signal')}, {_r('m.close - s.y', 'macd_hist')}
 FROM num JOIN e12 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN e50 USING (symbol, n) JOIN m USING (symbol, n) JOIN s USING (symbol, n)""")
 def w5_w2(spark, sf_dir):
-    df = ind.macd(deep_bars(spark, sf_dir))
-    for n in (12, 26, 50):
-        df = ind.ema(df, "close", n, f"ema_{n}")
+    df = ind.Ema(ind.macd(deep_bars(spark, sf_dir))).add("close", {f"ema_{n}": n for n in (12, 26, 50)}).done()
     return rounded(df, "ema_12", "ema_26", "ema_50", "macd", "macd_signal", "macd_hist")
 
 
@@ -163,13 +151,43 @@ def w30_rank(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("long") for c in ("day_of_week", "day_of_month", "days_to_month_end")})
 
 
-@query("w32_trailing_stats", f"""WITH {DEEP}, r AS (SELECT *, (high - low) / nullif(close, 0) AS rng FROM bars)
-SELECT symbol, date, {_r('close', 'last_close')}, {_r(f'avg(volume) {_t(20)}', 'mean_volume')}, {_r(f'coalesce(least(greatest(quantile_cont(rng, 0.5) {_t(20)}, 0.005), 0.05), 0.02)', 'median_range')} FROM r""")
-def w32_trailing(spark, sf_dir):
-    return rounded(regime.trailing_stats(deep_bars(spark, sf_dir)), "last_close", "mean_volume", "median_range")
+#: Bars of which some are invalid (high under low, or a close of 0) and some have no volume.
+FLAWED = f"""{DEEP.replace('bars AS', 'b0 AS', 1)}, bars AS (SELECT symbol, date, open, CASE WHEN day(date) % 7 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN day(date) % 11 = 0 THEN 0 ELSE close END AS close, CASE WHEN day(date) % 5 <> 0 THEN volume END AS volume FROM b0)"""
+_UPTO = f"OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+STATS = f"""valid AS (SELECT symbol, date, quantile_cont((high - low) / close, 0.5) {_t(20)} AS med FROM bars WHERE close > 0 AND high >= low), full_ AS (SELECT symbol, date, avg(volume) {_t(20)} AS vol FROM bars WHERE volume IS NOT NULL),
+stats AS (SELECT symbol, date, close AS last_close, last_value(vol IGNORE NULLS) {_UPTO} AS mean_volume, coalesce(least(greatest(last_value(med IGNORE NULLS) {_UPTO}, 0.005), 0.05), 0.02) AS median_range FROM bars LEFT JOIN valid USING (symbol, date) LEFT JOIN full_ USING (symbol, date))"""
+
 
+def flawed_bars(spark, sf_dir):
+    d = F.dayofmonth("date")
+    return deep_bars(spark, sf_dir).withColumns({"high": F.when(d % 7 == 0, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(d % 11 == 0, 0.0).otherwise(F.col("close")), "volume": F.when(d % 5 != 0, F.col("volume"))})
 
-@query("w25_indicator_table")
+
+@query("w32_trailing_stats", f"WITH {FLAWED}, {STATS} SELECT symbol, date, {_r('last_close', 'last_close')}, {_r('mean_volume', 'mean_volume')}, {_r('median_range', 'median_range')} FROM stats")
+def w32_trailing(spark, sf_dir):
+    return rounded(regime.trailing_stats(flawed_bars(spark, sf_dir)), "last_close", "mean_volume", "median_range")
+
+
+_P = f"lag(close, 1) OVER ({_W})"
+#: Each indicator over tables that come one from another; all are lagged one bar at the end.
+_TABLE = {
+    "ema_12": "e12.y", "ema_26": "e26.y", "ema_50": "e50.y", "macd": "m.close", "macd_signal": "s.y", "macd_hist": "m.close - s.y",
+    **{f"sma_{n}": f"sma_{n}" for n in (5, 20, 50)}, "rsi_14": "100 - 100 / (1 + gain14 / nullif(loss14, 0))", "stoch_k": "k", "stoch_d": "d", "adx_14": "adx", "bb_upper": "sma_20 + 2 * sd", "bb_middle": "sma_20", "bb_lower": "sma_20 - 2 * sd",
+    "atr_14": "atr", "obv": "obv", "vwap": "vwap", "daily_return_pct": "(close0 / p - 1) * 100", "log_return_pct": "ln(close0 / p) * 100", "roc_12": "(close0 - p12) / nullif(p12, 0) * 100",
+    "cci_20": "(tp - tm) / nullif(0.015 * list_avg(list_transform(tl, lambda x: abs(x - tm))), 0)", "williams_r_14": "-100 * (hh - close0) / nullif(hh - ll, 0)",
+}
+_W25 = f"""WITH RECURSIVE {BARS}, {MACD_ROWS},
+a AS (SELECT *, {_P} AS p, lag(close, 12) OVER ({_W}) AS p12, (high + low + close) / 3 AS tp, high - lag(high) OVER ({_W}) AS up, lag(low) OVER ({_W}) - low AS down, {_TR} AS tr FROM num),
+b AS (SELECT *, CASE WHEN close > p THEN close - p ELSE 0 END AS gain, CASE WHEN close < p THEN p - close ELSE 0 END AS loss, CASE WHEN up > 0 AND up > greatest(down, 0) THEN up ELSE 0 END AS pm, CASE WHEN down > 0 AND down > greatest(up, 0) THEN down ELSE 0 END AS qm, coalesce(sign(close - p), 0) * volume AS sv,
+  {_full('min(low)', 'low', 14)} AS ll, {_full('max(high)', 'high', 14)} AS hh, {_full('avg(tp)', 'tp', 20)} AS tm, list(tp) {_t(20)} AS tl FROM a),
+c AS (SELECT *, {', '.join(f"{_full('avg(close)', 'close', n)} AS sma_{n}" for n in (5, 20, 50))}, {_full('stddev_samp(close)', 'close', 20)} AS sd, {_full('avg(gain)', 'gain', 14)} AS gain14, {_full('avg(loss)', 'loss', 14)} AS loss14, 100 * (close - ll) / nullif(hh - ll, 0) AS k,
+  100 * ({_full('sum(pm)', 'pm', 14)}) / nullif({_full('sum(tr)', 'tr', 14)}, 0) AS pdi, 100 * ({_full('sum(qm)', 'qm', 14)}) / nullif({_full('sum(tr)', 'tr', 14)}, 0) AS mdi, {_full('avg(tr)', 'tr', 14)} AS atr, sum(sv) OVER ({_W}) AS obv, sum(tp * volume) OVER ({_W}) / nullif(sum(volume) OVER ({_W}), 0) AS vwap FROM b),
+x AS (SELECT *, close AS close0, 100 * abs(pdi - mdi) / nullif(abs(pdi + mdi), 0) AS dx, {_full('avg(k)', 'k', 3)} AS d FROM c), z AS (SELECT *, {_full('avg(dx)', 'dx', 14)} AS adx FROM x),
+t AS (SELECT z.symbol, z.date, z.open, z.high, z.low, close0 AS close, z.volume, {', '.join(f'{x} AS {c}' for c, x in _TABLE.items())} FROM z JOIN e12 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN e50 USING (symbol, n) JOIN m USING (symbol, n) JOIN s USING (symbol, n))
+SELECT symbol, date, {', '.join(_r(c, c) for c in ('open', 'high', 'low', 'close', 'volume'))}, {', '.join(_r(f'lag({c}) OVER ({_W})', c) for c in _TABLE)} FROM t"""
+
+
+@query("w25_indicator_table", _W25)
 def w25_indicators(spark, sf_dir):
     df = ind.indicators(bars(spark, sf_dir))
     return rounded(df, *[c for c in df.columns if c not in ("symbol", "date")])

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None, dated: bool = True):
     return add
 
 
-from quantloom.plans import forecasts, market, tables, texts  # noqa: E402, F401
+from quantloom.plans import forecasts, market, schemas, storage, tables, texts  # noqa: E402, F401

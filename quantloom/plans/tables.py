@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalars
 from quantloom.operators import changes, clean, decision, fundamentals
-from quantloom.plans.fixtures import BARS, DEEP, bars, deep_bars, table
+from quantloom.plans.fixtures import BARS, DEEP, EMA_ROWS, bars, deep_bars, table
 from quantloom.plans.registry import query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
@@ -20,16 +22,19 @@ raw AS (SELECT symbol, n * 2 + k AS seq, CASE WHEN n % 19 = 0 THEN NULL ELSE dat
 flagged AS (SELECT *, CASE WHEN date IS NULL THEN 'date' WHEN high < low THEN 'range' WHEN close <= 0 THEN 'close' END AS reason FROM raw)"""
 
 
-def dirty(spark, sf_dir) -> DataFrame:
+def dirty_text(spark, sf_dir) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     df = bars(spark, sf_dir).withColumn("n", F.row_number().over(w).cast("long"))
     df = df.withColumn("k", F.explode(F.when(F.col("n") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     volume = F.concat(F.lit(" 1,"), F.lpad(F.col("volume").cast("long").cast("string"), 3, "0"))
-    raw = df.select(
+    return df.select(
         "symbol", (F.col("n") * 2 + F.col("k")).alias("seq"), F.when(F.col("n") % 19 == 0, "not a date").otherwise(F.date_format("date", "dd/MM/yyyy")).alias("date"), F.col("open").cast("string").alias("open"),
         F.when(F.col("n") % 17 == 0, F.col("low") - 1).otherwise(F.col("high")).cast("string").alias("high"), F.col("low").cast("string").alias("low"), (F.col("close") + F.col("k")).cast("string").alias("close"), volume.alias("volume"),
     )
-    return clean.typed(raw)
+
+
+def dirty(spark, sf_dir) -> DataFrame:
+    return clean.typed(dirty_text(spark, sf_dir))
 
 
 @query("f1_f2_p6_p7_malformed", f"WITH {DIRTY} SELECT symbol, seq, date, {_r('close', 'close')}, volume, reason FROM flagged")
@@ -40,30 +45,40 @@ def f2_malformed(spark, sf_dir):
 
 @query("a25_a19_repair", f"""WITH {DIRTY}, k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY symbol, date, reason IS NULL ORDER BY seq DESC) END AS k,
   date < lag(date) OVER (PARTITION BY symbol ORDER BY seq) AS down FROM flagged),
-g AS (SELECT symbol, count(*) AS before, count(*) FILTER (k = 1) AS after, count(*) FILTER (reason IS NOT NULL) AS malformed, count(*) FILTER (k > 1) AS duplicates, count(*) FILTER (down) = 0 AS was_sorted FROM k GROUP BY symbol)
-SELECT *, CASE WHEN before = after THEN CASE WHEN was_sorted THEN 'clean' ELSE 'sorted' END ELSE 'repaired' END AS status FROM g""", dated=False)
+g AS (SELECT symbol, count(*) AS before, count(*) FILTER (k = 1) AS after, count(*) FILTER (reason IS NOT NULL) AS malformed, count(*) FILTER (k > 1) AS duplicates, count(*) FILTER (down) = 0 AS was_sorted, count(*) FILTER (reason IS NULL) AS repaired_cells FROM k GROUP BY symbol)
+SELECT *, CASE WHEN after = 0 THEN 'error' WHEN before = after AND repaired_cells = 0 THEN CASE WHEN was_sorted THEN 'clean' ELSE 'sorted' END ELSE 'repaired' END AS status FROM g""", dated=False)
 def a25_repair(spark, sf_dir):
-    return clean.repair(dirty(spark, sf_dir))[1]
+    """The days alone are written otherwise than in the repaired table."""
+    return clean.repair(clean.typed(clean.repaired_cells(dirty_text(spark, sf_dir))))[1]
 
 
-@query("a23_integrity", f"""WITH {DIRTY}, d AS (SELECT *, date < lag(date) OVER (PARTITION BY symbol ORDER BY seq) AS down FROM raw),
-g AS (SELECT symbol, count(date) AS n_dates, count(date) - count(DISTINCT date) AS duplicate_dates, count(*) FILTER (down) = 0 AS chronological, count(*) - count(date) AS blank_dates FROM d GROUP BY symbol)
-SELECT *, concat_ws(',', CASE WHEN duplicate_dates > 0 THEN 'duplicates' END, CASE WHEN NOT chronological THEN 'order' END, CASE WHEN blank_dates > 0 THEN 'blanks' END) AS problems FROM g""", dated=False)
+@query("a23_integrity", f"""WITH {DIRTY}, d AS (SELECT *, CASE WHEN symbol % 6 <> 0 THEN close END AS adj, date < lag(date) OVER (PARTITION BY symbol ORDER BY seq) AS down FROM raw),
+g AS (SELECT symbol, CASE WHEN count(adj) = 0 THEN 'adj,absent' ELSE 'absent' END AS missing_columns, count(date) AS n_dates, count(date) - count(DISTINCT date) AS duplicate_dates, count(*) FILTER (down) = 0 AS chronological, count(*) - count(date) AS blank_dates FROM d GROUP BY symbol)
+SELECT *, concat_ws(',', 'columns', CASE WHEN duplicate_dates > 0 THEN 'duplicates' END, CASE WHEN NOT chronological THEN 'order' END, CASE WHEN blank_dates > 0 THEN 'blanks' END) AS problems, false AS ok FROM g""", dated=False)
 def a23_integrity(spark, sf_dir):
-    return clean.integrity_report(dirty(spark, sf_dir))
+    df = dirty(spark, sf_dir).withColumn("adj", F.when(F.col("symbol") % 6 != 0, F.col("close")))
+    return clean.integrity_report(df, ("close", "adj", "absent"))
 
 
 @query("l2_a26_archive", f"""WITH {DIRTY}, k AS (SELECT *, CASE WHEN date IS NOT NULL THEN row_number() OVER (PARTITION BY symbol ORDER BY date DESC NULLS LAST, seq DESC) END AS k FROM raw),
-o AS (SELECT symbol, date, max(seq) AS seq FROM k WHERE k > 30 GROUP BY symbol, date), a AS (SELECT DISTINCT symbol, date FROM bars WHERE year(date) < 1997)
-SELECT o.symbol, count(*) AS candidates, count(*) FILTER (a.date IS NULL) AS appended, count(a.date) AS duplicates, CAST(min(o.date) AS VARCHAR) AS oldest, CAST(max(o.date) AS VARCHAR) AS newest,
-  CASE WHEN count(*) FILTER (a.date IS NULL) > 0 THEN 'archived' ELSE 'nothing_new' END AS status FROM o LEFT JOIN a ON a.symbol = o.symbol AND a.date = o.date GROUP BY o.symbol""", dated=False)
+a AS (SELECT DISTINCT symbol, date FROM bars WHERE year(date) < 1997), j AS (SELECT k.*, coalesce(k.k > 30, false) AS old, a.date IS NOT NULL AS seen FROM k LEFT JOIN a ON a.symbol = k.symbol AND a.date = k.date),
+n AS (SELECT *, old AND NOT seen AND row_number() OVER (PARTITION BY symbol, date, old ORDER BY seq DESC) = 1 AS new FROM j),
+g AS (SELECT symbol, count(*) AS rows_seen, count(*) - count(date) AS undated, count(*) FILTER (old) AS candidates, count(*) FILTER (new) AS appended, CAST(coalesce(min(date) FILTER (new), min(date) FILTER (old)) AS VARCHAR) AS oldest, CAST(coalesce(max(date) FILTER (new), max(date) FILTER (old)) AS VARCHAR) AS newest FROM n GROUP BY symbol)
+SELECT *, candidates - appended AS duplicates, candidates AS removed, CASE WHEN candidates = 0 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN candidates = 0 THEN 'within the rolling window' WHEN appended > 0 THEN 'archived' ELSE 'archive had all' END AS reason FROM g""", dated=False)
 def l2_archive(spark, sf_dir):
     old = bars(spark, sf_dir).where(F.year("date") < 1997).select("symbol", "date")
     out = clean.archive_report(dirty(spark, sf_dir), old)
     return out.withColumns({c: F.col(c).cast("string") for c in ("oldest", "newest")})
 
 
-@query("j3_s8_s10_append_upsert", f"""WITH {BARS}, a AS (SELECT symbol, date, close, 0 AS batch FROM bars WHERE day(date) % 3 <> 0), b AS (SELECT symbol, date, close + 1 AS close, 1 AS batch FROM bars WHERE day(date) % 2 = 0),
+@query("l2_rolling_split", f"""WITH {DIRTY}, k AS (SELECT *, CASE WHEN date IS NOT NULL THEN row_number() OVER (PARTITION BY symbol ORDER BY date DESC NULLS LAST, seq DESC) END AS k FROM raw)
+SELECT symbol, seq, 'keep' AS part FROM k WHERE k IS NULL OR k <= 30 UNION ALL SELECT symbol, max(seq), 'archive' FROM k WHERE k > 30 GROUP BY symbol, date""", dated=False)
+def l2_split(spark, sf_dir):
+    keep, archive = clean.split_rolling(dirty(spark, sf_dir))
+    return keep.select("symbol", "seq", F.lit("keep").alias("part")).unionByName(archive.select("symbol", "seq", F.lit("archive").alias("part")))
+
+
+@query("j3_append_upsert", f"""WITH {BARS}, a AS (SELECT symbol, date, close, 0 AS batch FROM bars WHERE day(date) % 3 <> 0), b AS (SELECT symbol, date, close + 1 AS close, 1 AS batch FROM bars WHERE day(date) % 2 = 0),
 u AS (SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY batch DESC) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b)),
 n AS (SELECT b.symbol, b.date FROM b LEFT JOIN a ON a.symbol = b.symbol AND a.date = b.date WHERE a.date IS NULL)
 SELECT u.symbol, u.date, {_r('u.close', 'close')}, n.date IS NOT NULL AS appended FROM u LEFT JOIN n ON n.symbol = u.symbol AND n.date = u.date WHERE k = 1""")
@@ -86,15 +101,20 @@ def a14_new(spark, sf_dir):
     return out.select("symbol", F.col("last_date").cast("string").alias("last_date"), F.col("gap_days").cast("long").alias("gap_days"), "expect_new", F.coalesce("n_newer", F.lit(0)).alias("n_newer"))
 
 
-@query("f7_l3_w24_eligible", f"""WITH {BARS}, p AS (SELECT symbol, date, row_number() OVER ({_W}) - 1 AS pos FROM bars), e AS (SELECT *, (pos % 3 = 0)::INT AS predicted, CASE WHEN pos % 9 <> 0 THEN 1.0 END AS forecast FROM p)
-SELECT symbol, date, pos, 'default' AS mode FROM e WHERE pos > 20 AND (predicted = 0 OR forecast IS NULL) UNION ALL
-SELECT symbol, max(date), max(pos), 'latest_only' FROM e WHERE pos > 20 AND (predicted = 0 OR forecast IS NULL) GROUP BY symbol""")
+_OPEN = "(predicted = 0 OR forecast IS NULL)"
+_ELIGIBLE = f"""WITH {BARS}, p AS (SELECT symbol, date, row_number() OVER ({_W}) - 1 AS pos FROM bars), e0 AS (SELECT *, (pos % 3 = 0 AND pos > symbol % 40)::INT AS predicted, CASE WHEN pos % 9 <> 0 THEN 1.0 END AS forecast FROM p),
+e AS (SELECT *, greatest(coalesce(min(pos) FILTER (predicted = 1) OVER (PARTITION BY symbol), 20), 20) AS mark FROM e0)"""
+
+
+@query("f7_l3_w24_eligible", f"""{_ELIGIBLE} SELECT symbol, date, pos, 'default' AS mode FROM e WHERE pos > mark AND {_OPEN} UNION ALL SELECT symbol, max(date), max(pos), 'latest_only' FROM e WHERE pos > mark AND {_OPEN} GROUP BY symbol
+UNION ALL SELECT symbol, date, pos, 'all_eligible' FROM e WHERE pos > 20 AND {_OPEN} UNION ALL SELECT symbol, date, pos, 'force_all' FROM e WHERE pos > 20 UNION ALL SELECT symbol, date, pos, 'refresh' FROM e WHERE pos > mark""")
 def f7_eligible(spark, sf_dir):
     from quantloom.operators.labels import positions
 
-    p = positions(bars(spark, sf_dir)).withColumns({"predicted": (F.col("pos") % 3 == 0).cast("int"), "forecast": F.when(F.col("pos") % 9 != 0, 1.0)})
-    out = [clean.eligible(p, m).select("symbol", "date", F.col("pos").cast("long").alias("pos"), F.lit(m).alias("mode")) for m in ("default", "latest_only")]
-    return rounded(out[0].unionByName(out[1]), "pos", "mode")
+    p = positions(bars(spark, sf_dir))
+    p = p.withColumns({"predicted": ((F.col("pos") % 3 == 0) & (F.col("pos") > F.col("symbol") % 40)).cast("int"), "forecast": F.when(F.col("pos") % 9 != 0, 1.0)})
+    out = [clean.eligible(p, "default" if m == "refresh" else m, refresh=m == "refresh").select("symbol", "date", F.col("pos").cast("long").alias("pos"), F.lit(m).alias("mode")) for m in ("default", "latest_only", "all_eligible", "force_all", "refresh")]
+    return rounded(reduce(DataFrame.unionByName, out), "pos", "mode")
 
 
 @query("f9_safe_market_date", """SELECT event_id, CAST(d AS VARCHAR) AS safe_date, CAST(d - CASE isodow(d) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS VARCHAR) AS safe_weekday
@@ -105,23 +125,33 @@ def f9_market_date(spark, sf_dir):
     return e.select("event_id", scalars.safe_market_date(ts).cast("string").alias("safe_date"), scalars.safe_market_date(ts, weekends=True).cast("string").alias("safe_weekday"))
 
 
-SNAPSHOTS = """n AS (SELECT o_orderpriority AS sheet, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS row_no, * FROM orders),
-prev AS (SELECT sheet, row_no, md5(o_orderstatus || '|' || CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR)) AS h FROM n WHERE o_orderkey % 10 <> 0),
-cur AS (SELECT sheet, row_no, md5(o_orderstatus || '|' || CAST(CAST((o_totalprice + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) * 100 AS BIGINT) AS VARCHAR)) AS h FROM n)"""
+#: A sheet is a priority and a block of order keys, so sheets grow in number, not in size. Every fifth block is new, every fifth gone, every fifth as it was.
+SNAPSHOTS = """n AS (SELECT o_orderpriority || '-' || o_orderkey // 4000 AS sheet, row_number() OVER (PARTITION BY o_orderpriority, o_orderkey // 4000 ORDER BY o_orderkey) AS row_no, o_orderkey // 4000 % 5 AS kind, * FROM orders),
+prev AS (SELECT sheet, row_no, md5(o_orderstatus || '|' || CAST(CAST(o_totalprice * 100 AS BIGINT) AS VARCHAR)) AS h FROM n WHERE kind <> 1 AND (o_orderkey % 10 <> 0 OR kind = 3)),
+cur AS (SELECT sheet, row_no, md5(o_orderstatus || '|' || CAST(CAST((o_totalprice + CASE WHEN o_orderkey % 7 = 0 AND kind <> 3 THEN 1 ELSE 0 END) * 100 AS BIGINT) AS VARCHAR)) AS h FROM n WHERE kind <> 2)"""
 
 
 def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
-    n = table(spark, sf_dir, "orders").withColumns({"sheet": F.col("o_orderpriority"), "row_no": F.row_number().over(w)})
+    k = F.col("o_orderkey")
+    n = table(spark, sf_dir, "orders").withColumns({"sheet": F.concat("o_orderpriority", F.lit("-"), F.floor(k / 4000)), "kind": F.floor(k / 4000) % 5})
+    n = n.withColumn("row_no", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")))
     h = lambda price: F.md5(F.concat_ws("|", "o_orderstatus", F.round(price * 100).cast("long").cast("string")))
-    return n.where("o_orderkey % 10 <> 0").select("sheet", "row_no", h(F.col("o_totalprice")).alias("row_hash")), n.select("sheet", "row_no", h(F.col("o_totalprice") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0)).alias("row_hash"))
+    prev = n.where((F.col("kind") != 1) & ((k % 10 != 0) | (F.col("kind") == 3))).select("sheet", "row_no", h(F.col("o_totalprice")).alias("row_hash"))
+    return prev, n.where("kind <> 2").select("sheet", "row_no", h(F.col("o_totalprice") + F.when((k % 7 == 0) & (F.col("kind") != 3), 1).otherwise(0)).alias("row_hash"))
+
 
+_DIFF = f"""WITH {SNAPSHOTS}, d AS (SELECT sheet, count(*) FILTER (p.h IS NULL) AS added_rows, count(*) FILTER (p.h <> c.h) AS modified_rows, count(*) FILTER (c.h IS NULL) AS removed_rows,
+  CASE WHEN count(p.h) = 0 THEN 'sheet_added' WHEN count(c.h) = 0 THEN 'sheet_removed' WHEN count(*) FILTER (p.h IS NULL OR p.h <> c.h) > 0 THEN 'updated' END AS change FROM prev p FULL JOIN cur c USING (sheet, row_no) GROUP BY sheet)"""
 
-@query("j9_f11_snapshot_diff", f"""WITH {SNAPSHOTS} SELECT sheet, count(*) FILTER (p.h IS NULL) AS added_rows, count(*) FILTER (p.h <> c.h) AS modified_rows, count(*) FILTER (c.h IS NULL) AS removed_rows, 'updated' AS change
-FROM prev p FULL JOIN cur c USING (sheet, row_no) GROUP BY sheet""", dated=False)
+
+@query("j9_u3_snapshot_diff", f"{_DIFF} SELECT * FROM d WHERE change IS NOT NULL", dated=False)
 def j9_diff(spark, sf_dir):
-    prev, cur = snapshots(spark, sf_dir)
-    return changes.actionable(changes.diff_snapshots(prev, cur))
+    return changes.diff_snapshots(*snapshots(spark, sf_dir))
+
+
+@query("j9_f11_snapshot_diff", f"{_DIFF} SELECT * FROM d WHERE change IN ('updated', 'sheet_added')", dated=False)
+def f11_actionable(spark, sf_dir):
+    return changes.actionable(changes.diff_snapshots(*snapshots(spark, sf_dir)))
 
 
 @query("a29_sheet_hash", f"WITH {SNAPSHOTS} SELECT sheet, sha256(string_agg(row_no || ':' || h, chr(10) ORDER BY row_no)) AS sheet_hash FROM cur GROUP BY sheet", dated=False)
@@ -129,7 +159,7 @@ def a29_hash(spark, sf_dir):
     return changes.sheet_hash(snapshots(spark, sf_dir)[1])
 
 
-@query("j6_j15_f10_merge_changed_cells", f"""WITH {BARS}, n AS (SELECT symbol, row_number() OVER ({_W}) AS row_no, close FROM bars)
+@query("j6_j15_merge_changed_cells", f"""WITH {BARS}, n AS (SELECT symbol, row_number() OVER ({_W}) AS row_no, close FROM bars)
 SELECT symbol, row_no, 'forecast' AS "column", CAST(row_no * 2 AS VARCHAR) AS value FROM n WHERE row_no % 4 = 0 UNION ALL SELECT symbol, row_no, 'predicted', '1' FROM n WHERE row_no % 4 = 0 AND row_no % 8 <> 0""", dated=False)
 def j6_cells(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("date")
@@ -138,11 +168,11 @@ def j6_cells(spark, sf_dir):
     return changes.changed_cells(rows, changes.merge_predictions(rows, pred), ["predicted", "forecast"])
 
 
-@query("j10_context", f"""WITH {BARS}, live AS (SELECT symbol, date FROM bars WHERE date >= DATE '2000-06-01' AND symbol % 3 = 0), f AS (SELECT symbol, min(date) AS d FROM live GROUP BY symbol)
+@query("j10_context", f"""WITH {BARS}, live AS (SELECT symbol, date FROM bars WHERE date >= DATE '2000-06-01'), f AS (SELECT symbol, min(date) AS d FROM live GROUP BY symbol)
 SELECT symbol, date, 'live' AS source FROM live UNION ALL SELECT bars.symbol, bars.date, 'history' FROM bars JOIN f USING (symbol) WHERE bars.date < f.d""")
 def j10_context(spark, sf_dir):
     b = bars(spark, sf_dir).select("symbol", "date")
-    return rounded(changes.with_context(b.where("date >= date '2000-06-01' and symbol % 3 = 0"), b), "source")
+    return rounded(changes.with_context(b.where("date >= date '2000-06-01'"), b), "source")
 
 
 STATEMENTS = """st AS (SELECT o_custkey % 20 AS ticker, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_end, round(sum(o_totalprice), 2) AS revenue, round(0.1 * sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END), 2) AS net_income,
@@ -188,39 +218,78 @@ def _full(agg: str, c: str, n: int) -> str:
     return f"CASE WHEN count({c}) {_T.format(n - 1)} = {n} THEN {agg} {_T.format(n - 1)} END"
 
 
-@query("w26_w29_a16_decision", f"""WITH {DEEP}, d AS (SELECT *, close - lag(close) OVER ({_W}) AS d FROM bars), g AS (SELECT *, CASE WHEN d > 0 THEN d ELSE 0 END AS gain, CASE WHEN d < 0 THEN -d ELSE 0 END AS loss FROM d),
-i AS (SELECT *, 100 - 100 / (1 + ({_full('avg(gain)', 'gain', 7)}) / nullif({_full('avg(loss)', 'loss', 7)}, 0)) AS rsi_7, {_full('avg(close)', 'close', 5)} AS s5, {_full('avg(close)', 'close', 20)} AS s20, {_full('stddev_samp(close)', 'close', 20)} AS sd FROM g),
-b AS (SELECT *, (close - (s20 - 2 * sd)) / nullif(4 * sd, 0) AS pb, 4 * sd / nullif(s20, 0) AS bw FROM i),
-q AS (SELECT symbol, quantile_cont(bw, 0.25) AS b25, quantile_cont(bw, 0.75) AS b75, quantile_cont(rsi_7, 0.25) AS r25, quantile_cont(rsi_7, 0.5) AS r50, quantile_cont(rsi_7, 0.75) AS r75 FROM b GROUP BY symbol)
-SELECT symbol, date, CASE WHEN s5 IS NULL OR s20 IS NULL THEN '' WHEN s5 > s20 THEN 'bullish' WHEN s5 < s20 THEN 'bearish' ELSE 'neutral' END AS sma_5_20,
-  CASE WHEN pb IS NULL THEN '' WHEN pb > 0.6 THEN 'bullish' WHEN pb < 0.4 THEN 'bearish' ELSE 'neutral' END AS bb_trend_state, CASE WHEN bw IS NULL THEN '' WHEN bw > b75 THEN 'high volatility' WHEN bw < b25 THEN 'low volatility' ELSE 'normal volatility' END AS bb_volatility_state,
-  CASE WHEN rsi_7 IS NULL THEN '' WHEN rsi_7 > r75 THEN 'highly overbought' WHEN rsi_7 > r50 THEN 'slightly overbought' WHEN rsi_7 < r25 THEN 'highly oversold' WHEN rsi_7 < r50 THEN 'slightly oversold' ELSE 'neutral' END AS rsi_indicator_7
-FROM b JOIN q USING (symbol)""")
-def w29_decision(spark, sf_dir):
-    return rounded(decision.decision_features(deep_bars(spark, sf_dir)), "sma_5_20", "bb_trend_state", "bb_volatility_state", "rsi_indicator_7")
+def _cross(a: str, b: str, up: str, down: str) -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN '' WHEN {a} > {b} THEN '{up}' WHEN {a} < {b} THEN '{down}' ELSE 'neutral' END"
 
 
-@query("w29_decision_table")
+def _bin(c: str) -> str:
+    p = lambda k: f"CASE WHEN {c}_n >= 30 THEN {c}_p[{k + 1}] ELSE {(30.0, 50.0, 70.0)[k]} END"
+    return f"CASE WHEN {c} IS NULL THEN '' WHEN {c} > {p(2)} THEN 'highly overbought' WHEN {c} > {p(1)} THEN 'slightly overbought' WHEN {c} < {p(0)} THEN 'highly oversold' WHEN {c} < {p(1)} THEN 'slightly oversold' ELSE 'neutral' END"
+
+
+_STATES = {
+    "sma_5_20": _cross("s5", "s20", "bullish", "bearish"), "sma_20_50": _cross("s20", "s50", "strong bullish", "strong bearish"), "ema_12_26": _cross("e12", "e26", "bullish", "bearish"), "ema_26_50": _cross("e26", "e50", "long-term bullish", "long-term bearish"),
+    "bb_trend_state": "CASE WHEN pb IS NULL THEN '' WHEN pb > 0.6 THEN 'bullish' WHEN pb < 0.4 THEN 'bearish' ELSE 'neutral' END",
+    "bb_overbought_oversold": "CASE WHEN pb IS NULL THEN '' WHEN pb >= 1.0 THEN 'overbought' WHEN pb <= 0.0 THEN 'oversold' ELSE 'neutral' END",
+    "bb_volatility_state": "CASE WHEN bw IS NULL THEN '' WHEN bw_n < 30 THEN 'normal volatility' WHEN bw > bw_p[3] THEN 'high volatility' WHEN bw < bw_p[1] THEN 'low volatility' ELSE 'normal volatility' END",
+    "rsi_indicator_7": _bin("rsi_7"), "rsi_indicator_14": _bin("rsi_14"),
+}
+
+
+def _decision_sql(source: str) -> str:
+    """All eleven columns over bars of a fixture."""
+    rsi = lambda n: f"100 - 100 / (1 + ({_full('avg(gain)', 'gain', n)}) / nullif({_full('avg(loss)', 'loss', n)}, 0)) AS rsi_{n}"
+    cuts = lambda c: f"quantile_cont({c}, [0.25, 0.5, 0.75]) AS {c}_p, count({c}) AS {c}_n"
+    return f"""WITH RECURSIVE {source}, {EMA_ROWS}, d AS (SELECT *, close - lag(close) OVER ({_W}) AS d FROM num), g AS (SELECT *, CASE WHEN d > 0 THEN d ELSE 0 END AS gain, CASE WHEN d < 0 THEN -d ELSE 0 END AS loss FROM d),
+i AS (SELECT *, {rsi(7)}, {rsi(14)}, {', '.join(f"{_full('avg(close)', 'close', k)} AS s{k}" for k in (5, 20, 50))}, {_full('stddev_samp(close)', 'close', 20)} AS sd FROM g),
+b AS (SELECT i.*, e12.y AS e12, e26.y AS e26, e50.y AS e50, (close - (s20 - 2 * sd)) / nullif(4 * sd, 0) AS pb, 4 * sd / nullif(s20, 0) AS bw FROM i JOIN e12 USING (symbol, n) JOIN e26 USING (symbol, n) JOIN e50 USING (symbol, n)),
+q AS (SELECT symbol, {cuts('rsi_7')}, {cuts('rsi_14')}, {cuts('bw')} FROM b GROUP BY symbol),
+s AS (SELECT b.symbol, b.date, round(rsi_7 + 3e-7, 2) + 0.0::DOUBLE AS rsi_7, {', '.join(f'{x} AS {c}' for c, x in _STATES.items())} FROM b JOIN q USING (symbol))
+SELECT *, array_to_string(list_filter([bb_trend_state, bb_overbought_oversold, bb_volatility_state], lambda x: x <> ''), ' | ') AS bb_indicator FROM s"""
+
+
+@query("w26_w28_a16_decision_states", _decision_sql(DEEP))
+def w26_states(spark, sf_dir):
+    return _decided(deep_bars(spark, sf_dir))
+
+
+@query("w29_decision_table", _decision_sql(BARS))
 def w29_table(spark, sf_dir):
-    return decision.decision_features(bars(spark, sf_dir))
+    return _decided(bars(spark, sf_dir))
+
 
+def _decided(df: DataFrame) -> DataFrame:
+    out = decision.decision_features(df.withColumn("close", F.col("close")))
+    return rounded(out.drop("open", "high", "low", "close", "volume", "rsi_7"), *_STATES, "bb_indicator").join(
+        out.select("symbol", F.col("date").cast("string").alias("date"), (F.round(F.col("rsi_7") + 3e-7, 2) + 0.0).alias("rsi_7")), ["symbol", "date"])
 
-@query("a24_liveness", f"""WITH {BARS}, k AS (SELECT *, CASE WHEN symbol % 4 <> 0 OR year(date) < 1999 THEN close END AS live, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars)
-SELECT symbol, count(*) AS n_rows, CASE WHEN count(live) = 0 THEN 'live' ELSE '' END AS dead_columns FROM k WHERE k <= 5 GROUP BY symbol""", dated=False)
+
+@query("a24_liveness", f"""WITH {BARS}, k AS (SELECT *, CASE WHEN symbol % 4 <> 0 OR year(date) < 1999 THEN close END AS live, CASE WHEN symbol % 3 = 0 AND year(date) < 1997 THEN 1.0 END AS y, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars),
+g AS (SELECT symbol, count(*) FILTER (k <= 5) AS n_rows, 'absent' AS missing_columns, CASE WHEN count(live) FILTER (k <= 5) = 0 THEN 'live' ELSE '' END AS dead_columns, count(y) > 0 AS has_labels FROM k GROUP BY symbol) SELECT *, false AS ok FROM g""", dated=False)
 def a24_liveness(spark, sf_dir):
-    b = bars(spark, sf_dir).withColumn("live", F.when((F.col("symbol") % 4 != 0) | (F.year("date") < 1999), F.col("close")))
-    return clean.liveness_report(b, ["open", "live"])
+    b = bars(spark, sf_dir).withColumns({"live": F.when((F.col("symbol") % 4 != 0) | (F.year("date") < 1999), F.col("close")), "y_logret_h1": F.when((F.col("symbol") % 3 == 0) & (F.year("date") < 1997), 1.0)})
+    return clean.liveness_report(b, ["open", "live", "absent"], ("y_logret_h1", "y_logret_h2"))
 
 
-@query("a27_status", f"""WITH {BARS}, s AS (SELECT symbol, count(*) AS fetched, sum((year(date) > 2000 AND symbol % 3 <> 0)::INT) AS fresh, sum((symbol % 10 = 7)::INT) AS failed FROM bars GROUP BY symbol),
-e AS (SELECT symbol, fetched, fresh, CASE WHEN failed > 0 THEN 'error' WHEN fresh > 0 THEN 'updated' WHEN fetched > 0 THEN 'duplicate_only' ELSE 'no_new_data' END AS status FROM s)
+@query("a27_status", f"""WITH {BARS}, s AS (SELECT symbol, count(*) AS fetched, sum((year(date) > 2000 AND symbol % 3 <> 0)::INT) AS fresh, sum((symbol % 10 = 7)::INT) AS failed, sum((symbol % 10 = 4)::INT) AS skipped FROM bars GROUP BY symbol),
+e AS (SELECT symbol, fetched, fresh, CASE WHEN failed > 0 THEN 'error' WHEN skipped > 0 THEN 'skipped' WHEN fresh > 0 THEN 'updated' WHEN fetched > 0 THEN 'duplicate_only' ELSE 'no_new_data' END AS status FROM s)
 SELECT symbol::VARCHAR AS symbol, fetched, fresh::BIGINT AS fresh, status FROM e UNION ALL SELECT 'run', sum(fetched)::BIGINT, sum(fresh)::BIGINT, CASE WHEN count(*) FILTER (status = 'error') = count(*) THEN 'error' WHEN count(*) FILTER (status = 'error') > 0 THEN 'partial_error' WHEN sum(fresh) > 0 THEN 'ok' ELSE 'no_new_data' END FROM e""", dated=False)
 def a27_status(spark, sf_dir):
     flag = lambda c: c.cast("int")
-    df = bars(spark, sf_dir).select("symbol", F.lit(1).alias("fetched"), flag((F.year("date") > 2000) & (F.col("symbol") % 3 != 0)).alias("fresh"), flag(F.col("symbol") % 10 == 7).alias("failed"))
+    df = bars(spark, sf_dir).select("symbol", F.lit(1).alias("fetched"), flag((F.year("date") > 2000) & (F.col("symbol") % 3 != 0)).alias("fresh"), flag(F.col("symbol") % 10 == 7).alias("failed"), flag(F.col("symbol") % 10 == 4).alias("skipped"))
     return clean.status_rollup(df).withColumn("symbol", F.coalesce(F.col("symbol").cast("string"), F.lit("run")))
 
 
+@query("a27_forecast_run", f"""WITH {BARS}, c AS (SELECT symbol, count(*) FILTER (symbol % 8 <> 1 OR day(date) = 1) AS n_rows, count(*) FILTER (day(date) = 3) AS n_eligible, CASE WHEN symbol % 5 = 2 THEN 0 ELSE count(*) FILTER (day(date) = 3) END AS n_written FROM bars GROUP BY symbol),
+s AS (SELECT *, CASE WHEN n_rows <= 20 THEN 'no_valid_start_point' WHEN n_written > 0 THEN 'ok' ELSE 'no_new_data' END AS status FROM c)
+SELECT symbol::VARCHAR AS symbol, n_rows, n_eligible, n_written, status FROM s UNION ALL SELECT 'run', sum(n_rows)::BIGINT, sum(n_eligible)::BIGINT, sum(n_written)::BIGINT, CASE WHEN count(*) FILTER (status = 'ok') > 0 THEN 'ok' WHEN count(*) FILTER (status = 'no_valid_start_point') = count(*) THEN 'no_valid_start_point' ELSE 'no_new_data' END FROM s""", dated=False)
+def a27_forecast_run(spark, sf_dir):
+    s, d = F.col("symbol"), F.dayofmonth("date")
+    c = bars(spark, sf_dir).groupBy("symbol").agg(F.count_if((s % 8 != 1) | (d == 1)).alias("n_rows"), F.count_if(d == 3).alias("n_eligible"))
+    c = c.withColumns({"n_written": F.when(s % 5 == 2, F.lit(0).cast("long")).otherwise(F.col("n_eligible")), "start": F.lit(19)})
+    return clean.forecast_rollup(c).withColumn("symbol", F.coalesce(F.col("symbol").cast("string"), F.lit("run")))
+
+
 @query("a28_dataset_summary", f"""WITH {BARS}, p AS (SELECT *, CASE WHEN symbol % 5 = 0 THEN 'replay' WHEN year(date) > 2000 THEN 'validation' WHEN symbol % 7 <> 0 THEN 'train' ELSE 'replay' END AS part FROM bars),
 g AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'validation') AS n_validation, count(*) FILTER (part = 'replay') AS n_replay, CAST(max(date) AS VARCHAR) AS last_date FROM p GROUP BY symbol)
 SELECT *, CASE WHEN n_train + n_validation = 0 THEN 'no new rows' WHEN n_train < 1 THEN 'too few rows' END AS skip_reason FROM g""", dated=False)

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import cut, new_path
 from quantloom.operators import text
 from quantloom.plans.fixtures import table
 from quantloom.plans.registry import query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
+from quantloom.sources import sinks
 
 ALIASES = ("thing", "attion", "thatin", "ononst", "inoran", "hehely", "orantion")
 POSTS = """posts AS (SELECT doc_id, ['news', 'reddit', 'x'][doc_id % 3 + 1] AS channel, TIMESTAMP '2024-01-01' + to_days((doc_id * 37 % 90)::INT) + to_hours(doc_id % 24) AS ts,
-  CAST(DATE '2024-01-01' + (doc_id * 37 % 90)::INT AS DATE) AS date, text AS body, source AS source_label, n_chars % 500 AS score, n_chars % 1000 AS followers,
+  CAST(DATE '2024-01-01' + (doc_id * 37 % 90)::INT AS DATE) AS date, text AS body, source AS source_label, 'Post ' || doc_id || ' of ' || source AS title, n_chars % 500 AS score, n_chars % 1000 AS followers,
   CASE WHEN doc_id % 17 <> 0 THEN 'user' END AS display_name, 'http://e/' || doc_id AS url, (doc_id * 7 % 10) / 20.0::DOUBLE AS positive, (doc_id * 3 % 10) / 20.0::DOUBLE AS negative FROM documents)"""
 TAGS = f"""al AS (SELECT unnest({list(ALIASES)}) AS term), tags AS (SELECT DISTINCT doc_id, upper(term) AS ticker FROM posts JOIN al ON regexp_matches(lower(body), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')),
 tagged AS (SELECT posts.*, coalesce(ticker, 'GENERAL') AS ticker FROM posts LEFT JOIN tags USING (doc_id))"""
@@ -24,7 +26,7 @@ def posts(spark, sf_dir) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.element_at(F.array(F.lit("news"), F.lit("reddit"), F.lit("x")), (d % 3 + 1).cast("int")).alias("channel"), F.date_add(F.lit("2024-01-01").cast("date"), (d * 37 % 90).cast("int")).alias("date"),
-        F.col("text").alias("body"), F.col("source").alias("source_label"), (F.col("n_chars") % 500).alias("score"), (F.col("n_chars") % 1000).alias("followers"), F.when(d % 17 != 0, "user").alias("display_name"),
+        F.col("text").alias("body"), F.col("source").alias("source_label"), F.concat(F.lit("Post "), d, F.lit(" of "), "source").alias("title"), (F.col("n_chars") % 500).alias("score"), (F.col("n_chars") % 1000).alias("followers"), F.when(d % 17 != 0, "user").alias("display_name"),
         F.concat(F.lit("http://e/"), d).alias("url"), ((d * 7 % 10) / 20.0).alias("positive"), ((d * 3 % 10) / 20.0).alias("negative"),
     )
 
@@ -52,13 +54,13 @@ def f3_f4(spark, sf_dir):
 def weighted(spark, sf_dir) -> DataFrame:
     names = spark.sql("SELECT * FROM VALUES ('src0', 1.0D), ('SRC1', 0.8D) AS t(name, weight)")
     df = tagged(spark, sf_dir)
-    parts = [text.prepare_text(df.where(F.col("channel") == c).withColumn("title", F.substring("body", 1, 60)), c) for c in ("news", "reddit", "x")]
+    parts = [text.prepare_text(df.where(F.col("channel") == c), c) for c in ("news", "reddit", "x")]
     df = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("neutral", 1.0 - F.col("positive") - F.col("negative"))
     df = text.source_quality(df, names).withColumn("source_weight", F.when(F.col("channel") == "x", 1.0).otherwise(F.col("source_weight")))
     return text.importance(df).withColumns({"polarity": F.col("positive") - F.col("negative"), "source": F.col("channel")})
 
 
-@query("c1_c4_importance_p19_text", f"""WITH {POSTS}, {TAGS} SELECT doc_id, ticker, {_r(_IMPORTANCE, 'weight')}, md5(CASE channel WHEN 'news' THEN left(body, 60) WHEN 'reddit' THEN trim(left(body, 60) || chr(10) || body, ' ' || chr(9) || chr(10) || chr(13)) ELSE body END) AS text_md5 FROM tagged""", dated=False)
+@query("c1_c4_importance_p19_text", f"""WITH {POSTS}, {TAGS} SELECT doc_id, ticker, {_r(_IMPORTANCE, 'weight')}, md5(CASE channel WHEN 'news' THEN title WHEN 'reddit' THEN trim(title || chr(10) || body, ' ' || chr(9) || chr(10) || chr(13)) ELSE body END) AS text_md5 FROM tagged""", dated=False)
 def c1_c4(spark, sf_dir):
     return rounded(weighted(spark, sf_dir).withColumn("text_md5", F.md5("text")), "weight", "text_md5", keys=("doc_id", "ticker"))
 
@@ -83,8 +85,11 @@ def a13_sentiment(spark, sf_dir):
 
 @query("a20_s9_latest_sentiment", f"WITH {SENTIMENT}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker, source ORDER BY date DESC) AS k FROM sent) SELECT ticker, date, source, {_r('sent_mean_7d', 'sent_mean_7d')}, n_7d FROM k WHERE k = 1")
 def a20_latest(spark, sf_dir):
-    df = text.aggregate_sentiment(weighted(spark, sf_dir))
-    last = df.groupBy("ticker", "source").agg(F.max_by(F.struct("date", "sent_mean_7d", "n_7d"), "date").alias("r")).select("ticker", "source", "r.*")
+    """The sink keeps the last day of each (ticker, source) of an earlier, shorter table and of the whole one, which replaces it."""
+    df, path = cut(text.aggregate_sentiment(weighted(spark, sf_dir)), "sentiment"), new_path(spark, "latest")
+    for rows in (df.where("date < date '2024-02-01'"), df):
+        sinks.replace_latest(rows, path, ["ticker", "source"], ["date"])
+    last = spark.read.parquet(path).join(text.latest_sentiment(df).select("ticker", "source", "date"), ["ticker", "source", "date"])
     return rounded(last, "sent_mean_7d", "n_7d", keys=("ticker", "date", "source"))
 
 
@@ -94,14 +99,15 @@ def l4_early_stop(spark, sf_dir):
     return text.take_until_old(df, "channel", "seq", "date", F.lit("2024-01-03").cast("date")).select("doc_id", "channel")
 
 
-@query("a22_s12_nested_documents", f"WITH {POSTS}, {TAGS} SELECT ticker, count(*) AS n_items, CAST(max(date) AS VARCHAR) AS scrape_date, min(left(sha256(url), 16)) AS first_key FROM tagged GROUP BY ticker", dated=False)
+@query("a22_nested_documents", f"WITH {POSTS}, {TAGS} SELECT ticker, count(*) AS n_items, CAST(max(date) AS VARCHAR) AS scrape_date, min(left(sha256(url), 16)) AS first_key FROM tagged WHERE date >= DATE '2024-02-01' GROUP BY ticker", dated=False)
 def a22_documents(spark, sf_dir):
     df = tagged(spark, sf_dir).withColumn("url_hash", text.hash_key(F.col("url")))
-    out = text.documents(df, "ticker", "url_hash", ["url", "score"], "date")
-    return out.select("ticker", F.size("items").cast("long").alias("n_items"), F.col("scrape_date").cast("string").alias("scrape_date"), F.array_min(F.map_keys("items")).alias("first_key"))
+    out = text.documents(text.retain(df, "date", F.lit("2024-02-01").cast("date")), "ticker", "url_hash", ["url", "score"], "date")
+    return out.groupBy("ticker").agg(F.sum(F.size("items")).alias("n_items"), F.max("scrape_date").cast("string").alias("scrape_date"), F.min(F.array_min(F.map_keys("items"))).alias("first_key"))
 
 
-@query("j7_u3_page_texts")
+@query("j7_u3_page_texts", r"""WITH t AS (SELECT url, max(trim(regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\s+', ' ', 'g'))) AS content FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT page_id, pages.url, content FROM pages LEFT JOIN t USING (url)""", dated=False)
 def j7_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     read = lambda urls: urls.join(pages.select("url", "html"), "url").groupBy("url").agg(F.max(text.page_text(F.col("html"))).alias("content"))

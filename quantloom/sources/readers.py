@@ -34,9 +34,10 @@ _POST = "data struct<title:string,selftext:string,score:bigint,num_comments:bigi
 LISTING = f"data struct<children:array<struct<{_POST.replace('data struct', 'data:struct', 1)}>>>"
 
 
-def posts_from_listing(spark: SparkSession, path: str, cutoff) -> DataFrame:
-    """Posts of ``data.children[].data`` from ``cutoff`` (a timestamp column) on, with absolute links."""
-    rows = spark.read.schema(LISTING).option("multiLine", True).json(path).select(F.explode("data.children.data").alias("p")).select("p.*")
+def posts_from_listing(spark: SparkSession, path: str, cutoff, multi_line: bool = True) -> DataFrame:
+    """Posts of ``data.children[].data`` from ``cutoff`` (a timestamp column) on, with absolute links. A file is one
+    listing, or one a line without ``multi_line``."""
+    rows = spark.read.schema(LISTING).option("multiLine", multi_line).json(path).select(F.explode("data.children.data").alias("p")).select("p.*")
     ts = F.timestamp_seconds("created_utc")
     link = F.concat(F.lit("https://www.reddit.com"), "permalink")
     return rows.select("title", F.col("selftext").alias("body"), "score", "num_comments", ts.alias("ts"), link.alias("url"), "subreddit").where(F.col("ts") >= cutoff)
@@ -50,11 +51,11 @@ def news_from_items(df: DataFrame, raw: str = "raw") -> DataFrame:
     return out.where("title is not null and url is not null and ts is not null")
 
 
-def alias_dim(spark: SparkSession, path: str) -> DataFrame:
-    """(ticker, name, sector, term) from a JSON object of tickers; empty if the file is missing or invalid."""
+def alias_dim(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """(ticker, name, sector, term) from a JSON object of tickers (a file, or a line without ``whole_file``); empty if the file is missing or invalid."""
     schema = "ticker string, name string, sector string, term string"
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=whole_file)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -1,55 +1,150 @@
-"""Sinks: staged tables with upserts, aligned appends, per-symbol files, nested documents, and a retry inbox.
+"""Sinks: an inbox of staged batches, upserted tables, aligned appends, per-symbol files and nested documents.
 
-A Spark job can't overwrite what it reads, so a merged table goes to a new version folder;
-a small pointer row then names the version that counts.
+A Spark job can't overwrite what it reads, so data goes to new folders, and small log rows
+then say which folders count. What a failed job leaves is never named by the log.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by
+from quantloom.functions.tables import remove
 from quantloom.operators.changes import upsert
 
+_LOG = "folder string, part string, seq long, live boolean"
 
-def stage(df: DataFrame, path: str) -> bool:
-    """Overwrite ``path``, unless there are no rows."""
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """The log of a root: one row a change of a folder; empty if there is none."""
+    try:
+        return spark.read.schema(_LOG).parquet(f"{root}/_log")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def _append_log(spark: SparkSession, root: str, rows: list[tuple[str, str, bool]]) -> None:
+    """Rows (folder, part, live), all with the next number of the log, in one file, so that they count together."""
+    seq = (_log(spark, root).agg(F.max("seq")).first()[0] or 0) + 1
+    spark.createDataFrame([(f, p, seq, live) for f, p, live in rows], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_log")
+
+
+def _batches(spark: SparkSession, root: str) -> list[str]:
+    """Staged folders that aren't delivered yet, in order."""
+    rows = _log(spark, root).groupBy("folder").agg(F.min("seq").alias("seq"), F.bool_and("live").alias("live")).where("live")
+    return [r["folder"] for r in rows.orderBy("seq", "folder").collect()]
+
+
+def _union(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+    parts = [spark.read.parquet(f"{root}/{f}").withColumn("_batch", F.lit(k)) for k, f in enumerate(folders)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def stage(df: DataFrame, root: str, replace: bool = True) -> bool:
+    """A new pending batch, in place of those before it or (``replace`` off) behind them; nothing without rows."""
     if df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
+    spark, folder = df.sparkSession, f"b-{uuid.uuid4().hex}"
+    old = _batches(spark, root) if replace else []
+    df.write.parquet(f"{root}/{folder}")
+    _append_log(spark, root, [(folder, "", True), *((f, "", False) for f in old)])
     return True
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The version of a merged table that counts, or None."""
-    try:
-        pointers = spark.read.parquet(f"{root}/_pointers")
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+def pending(spark: SparkSession, root: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame | None:
+    """All rows that wait, or None. With ``keys`` the last of each counts, later batches over earlier ones."""
+    folders = _batches(spark, root)
+    if not folders:
+        return None
+    rows = _union(spark, root, folders)
+    return last_by(rows, [k for k in keys if k in rows.columns], ["_batch", *(order or [])]).drop("_batch") if keys else rows.drop("_batch")
+
+
+def drain(spark: SparkSession, root: str, sink: Callable[[DataFrame], int], keys: list[str] | None = None, order: list[str] | None = None) -> int | None:
+    """Hand what waits to ``sink``; just those batches are done if it wrote all their rows, so a batch staged meanwhile
+    waits on. None if nothing waits."""
+    folders = _batches(spark, root)
+    if not folders:
         return None
-    version = pointers.agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{root}/{version}") if version else None
+    rows = _union(spark, root, folders)
+    rows = last_by(rows, [k for k in keys if k in rows.columns], ["_batch", *(order or [])]).drop("_batch") if keys else rows.drop("_batch")
+    n = rows.count()
+    written = sink(rows)
+    if written == n:
+        _append_log(spark, root, [(f, "", False) for f in folders])
+    return written
+
+
+def collect(spark: SparkSession, root: str, fetch: Callable[[], DataFrame], sink: Callable[[DataFrame], int], enabled: bool = True, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame | None:
+    """One ingest run: drain what waits, then, if collection is on, stage what ``fetch`` brings behind
+    what a failed sink left; returns what waits now. Nothing retained is lost, whether a sink fails or not."""
+    drain(spark, root, sink, keys, order)
+    if enabled:
+        stage(fetch(), root, replace=False)
+    return pending(spark, root, keys, order)
+
 
+def _current(spark: SparkSession, root: str) -> dict[str, str]:
+    """The folder that counts for each part of a merged table."""
+    last = _log(spark, root).groupBy("part").agg(F.max_by("folder", F.struct("seq", "folder")).alias("folder"))
+    return {r["part"]: r["folder"] for r in last.collect()}
 
-def _publish(df: DataFrame, root: str) -> int:
-    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    pointer = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    pointer.coalesce(1).write.mode("append").parquet(f"{root}/_pointers")
-    return spark.read.parquet(f"{root}/{version}").count()
 
+def current(spark: SparkSession, root: str, parts: list[str] | None = None) -> DataFrame | None:
+    """The rows of a merged table that count, or those of some parts; None if there are none."""
+    folders = {p: f for p, f in _current(spark, root).items() if parts is None or p in parts}
+    return spark.read.parquet(*[f"{root}/{f}/_part={p}" for p, f in sorted(folders.items())]) if folders else None
 
-def merge_stage(df: DataFrame, root: str, keys: list[str], order: list[str]) -> int:
-    """Upsert into a versioned table: the last of each key wins, fresh rows over retained ones; keys that the rows lack don't count."""
+
+def _part(part: Column | None) -> Column:
+    return F.lit("all") if part is None else F.coalesce(part.cast("string"), F.lit("none"))
+
+
+def _publish(df: DataFrame, root: str, part: Column | None = None) -> int:
+    spark, folder = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    rows = df.withColumn("_part", _part(part))
+    # Few files a part; Spark splits a part that is too large for one task.
+    (rows if part is None else rows.hint("rebalance", "_part")).write.partitionBy("_part").parquet(f"{root}/{folder}")
+    parts = [r[0] for r in spark.read.parquet(f"{root}/{folder}").select(F.col("_part").cast("string")).distinct().collect()]
+    _append_log(spark, root, [(folder, p, True) for p in parts])
+    return spark.read.parquet(f"{root}/{folder}").count() if parts else 0
+
+
+def merge_stage(df: DataFrame, root: str, keys: list[str], order: list[str], part: Column | None = None) -> int:
+    """Upsert into a merged table: the last of each key wins, fresh rows over retained ones; keys that the rows lack don't count.
+
+    With ``part``, an expression over the keys such as a month, only the parts that ``df`` has rows
+    of are read and written anew. Returns the number of rows written."""
+    spark = df.sparkSession
     keys = [k for k in keys if k in df.columns]
-    old = current(df.sparkSession, root)
-    return _publish(last_by(df, keys, order) if old is None else upsert(old, df, keys, order), root)
+    touched = [r[0] for r in df.select(_part(part).alias("p")).distinct().collect()]
+    old = current(spark, root, touched)
+    return _publish(last_by(df, keys, order) if old is None else upsert(old, df, keys, order), root, part) if touched else 0
+
+
+def clear(spark: SparkSession, root: str, schema) -> None:
+    """Make a merged table of one part empty."""
+    folder = f"v-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(f"{root}/{folder}/_part=all")
+    _append_log(spark, root, [(folder, "all", True)])
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete the folders of a merged table or an inbox that no longer count, when no job reads them; returns their number."""
+    rows = _log(spark, root).groupBy("folder").agg(F.max("part").alias("part"), F.bool_and("live").alias("live")).collect()
+    kept = set(_current(spark, root).values())
+    old = [r["folder"] for r in rows if (r["folder"] not in kept if r["part"] else not r["live"])]
+    for folder in old:
+        remove(spark, f"{root}/{folder}")
+    return len(old)
 
 
 def replace_latest(df: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
@@ -75,32 +170,6 @@ def write_features(df: DataFrame, path: str) -> None:
     df.repartition("symbol").write.mode("overwrite").partitionBy("symbol").parquet(path)
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Nested documents as JSON lines."""
-    df.write.mode("overwrite").json(path)
-
-
-def drain(spark: SparkSession, path: str, sink: Callable[[DataFrame], int]) -> int | None:
-    """Hand a pending stage to ``sink``; it is emptied only if the sink wrote all its rows. None without a stage."""
-    try:
-        pending = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-    n = pending.count()
-    written = sink(pending)
-    if written == n:
-        spark.createDataFrame([], pending.schema).write.mode("overwrite").parquet(path)
-    return written
-
-
-def collect(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], sink: Callable[[DataFrame], int], enabled: bool = True) -> DataFrame | None:
-    """One ingest run: drain what is pending, then, if collection is on, stage what ``fetch`` brings; returns the stage."""
-    drain(spark, path, sink)
-    if enabled:
-        stage(fetch(), path)
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def write_documents(df: DataFrame, path: str, key: str) -> None:
+    """Nested documents as JSON lines; rows without key are left out."""
+    df.where(F.col(key).isNotNull()).write.mode("overwrite").json(path)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quantloom.operators.changes import actionable, diff_snapshots
-from quantloom.sources.sinks import _publish, current, merge_stage
+from quantloom.sources.sinks import _publish, clear, current, merge_stage
 
 
 def _run(sdf: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -17,9 +17,11 @@ def _run(sdf: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str
 
 
 def stream_bars(sdf: DataFrame, target: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
-    """Bars without repeats within the watermark, upserted by (symbol, date). A batch that runs again after a failure gives the same table."""
+    """Bars without repeats within the watermark, upserted by (symbol, date). A batch rewrites the
+    months that it has rows of, and one that runs again after a failure gives the same table."""
     fresh = sdf.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "date"])
-    return _run(fresh, lambda batch, _: merge_stage(batch, target, ["symbol", "date"], ["ts"]) and None, checkpoint)
+    month = F.date_format("date", "yyyy-MM")
+    return _run(fresh, lambda batch, _: merge_stage(batch, target, ["symbol", "date"], ["ts"], month) and None, checkpoint)
 
 
 def daily_counts(sdf: DataFrame, late: str = "7 days") -> DataFrame:
@@ -27,9 +29,10 @@ def daily_counts(sdf: DataFrame, late: str = "7 days") -> DataFrame:
     return sdf.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("day"), "ticker").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def weekly_sentiment(sdf: DataFrame, late: str = "7 days") -> DataFrame:
-    """Equal-weight mean and positive share over seven days, every day."""
-    return sdf.withWatermark("ts", late).groupBy(F.window("ts", "7 days", "1 day").alias("week"), "ticker").agg(F.count("*").alias("n_7d"), F.avg("value").alias("mean_7d"), F.avg((F.col("value") > 0.1).cast("double")).alias("pos_share"))
+def sliding_sentiment(sdf: DataFrame, days: int = 7, late: str = "7 days") -> DataFrame:
+    """Equal-weight mean and positive share over ``days`` (3 or 7), every day; items later than the watermark are dropped."""
+    window = F.window("ts", f"{days} days", "1 day").alias("span")
+    return sdf.withWatermark("ts", late).groupBy(window, "ticker").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg((F.col("value") > 0.1).cast("double")).alias("pos_share"))
 
 
 def stream_changes(sdf: DataFrame, state: str, on_change: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
@@ -51,17 +54,24 @@ def stream_changes(sdf: DataFrame, state: str, on_change: Callable[[DataFrame],
 
 
 def stream_watermarks(sdf: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """The last date seen by symbol, as an upserted table."""
-    return _run(sdf, lambda batch, _: merge_stage(batch.groupBy("symbol").agg(F.max("date").alias("last_date")), state, ["symbol"], ["last_date"]) and None, checkpoint)
+    """The last date seen by symbol, as an upserted table; a late batch never moves it back."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("symbol").agg(F.max("date").alias("last_date"))
+        old = current(batch.sparkSession, state)
+        both = last if old is None else last.unionByName(old)
+        merge_stage(both.groupBy("symbol").agg(F.max("last_date").alias("last_date")), state, ["symbol"], ["last_date"])
+
+    return _run(sdf, each, checkpoint)
 
 
-def stream_inbox(sdf: DataFrame, inbox: str, keys: list[str], order: list[str], sink: Callable[[DataFrame], bool], checkpoint: str) -> StreamingQuery:
+def stream_inbox(sdf: DataFrame, inbox: str, keys: list[str], order: list[str | Column], sink: Callable[[DataFrame], bool], checkpoint: str) -> StreamingQuery:
     """Batches join what is retained; a sink that fails (returns False) leaves all for the next batch."""
 
     def each(batch: DataFrame, _: int) -> None:
         merge_stage(batch, inbox, keys, order)
         held = current(batch.sparkSession, inbox)
-        if sink(held):
-            _publish(held.limit(0), inbox)
+        if held is not None and sink(held):
+            clear(batch.sparkSession, inbox, held.schema)
 
     return _run(sdf, each, checkpoint)

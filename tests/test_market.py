@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import dataset, forecast, indicators, labels, metrics
+from quantloom.operators import dataset, decision, forecast, indicators, labels, metrics
 
 
 def _bars(spark, n=300, symbols=2, seed=1):
@@ -49,13 +49,13 @@ def test_no_indicator_sees_its_own_bar_or_later_ones(spark):
     pd.testing.assert_frame_equal(a.loc[rows, new], b.loc[rows, new])
 
 
-def test_the_indicator_stack_has_one_exchange(spark):
+def test_the_indicator_stack_has_one_exchange_and_two_sorts(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = indicators.indicators(_bars(spark, 5))._jdf.queryExecution().executedPlan().toString()
+        plans = [f(_bars(spark, 5))._jdf.queryExecution().executedPlan().toString() for f in (indicators.indicators, decision.decision_features)]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1] and plans[0].count("Sort [") == 2 and plans[1].count("Sort [") <= 3
 
 
 def test_target_labels(spark):

@@ -14,7 +14,9 @@ from quantloom.streaming import flows
 def test_headers():
     found, missing = schemas.resolve_schema(["Date_str", "Open_INFY.NS", "high INFY", "LOW", "Close", "Volume_x"], "INFY")
     assert found["Open"] == "Open_INFY.NS" and found["High"] == "high INFY" and found["Volume"] == "Volume_x" and found["Date"] == "Date_str" and not missing
-    assert schemas.dedupe_headers(["a", "", "a", " "]) == ["a", "Column_2", "a_2"]
+    assert schemas.clean_headers(["a", "", "a", " "]) == ["a", "Column_2", "a_2"] and schemas.clean_headers(["", " "]) == []
+    assert schemas.resolve_schema(["Time", "Open A", "Open B"])[0] == {"Date": "Time"} and schemas.find_close(["x", "close_INFY"]) == "close_INFY" and schemas.find_close(["x"]) is None
+    assert schemas.resolve_schema(["open_x", "OPEN", "Open"])[0]["Open"] == "OPEN"
     with pytest.raises(schemas.FeatureError):
         schemas.assert_no_labels(["rsi", "y_logret_h3"])
     with pytest.raises(schemas.FeatureError):
@@ -24,6 +26,7 @@ def test_headers():
 def test_scalars(spark):
     df = spark.createDataFrame([("1,234.5", "05/03/2024"), ("nan", "2024-03-05"), ("inf", "soon"), (None, None)], "n string, d string")
     rows = df.select(scalars.to_number(F.col("n")).alias("n"), scalars.parse_date(F.col("d")).alias("d"), scalars.clean_cell(F.col("n")).alias("c")).collect()
+    assert [r["c"] for r in spark.sql("select * from values ('TRUE'), ('nan'), ('x') as t(b)").select(scalars.clean_cell(F.col("b"), "text").alias("c")).collect()] == ["True", "", "x"]
     assert [r["n"] for r in rows] == [1234.5, None, None, None]
     assert [r["d"] for r in rows] == [dt.date(2024, 3, 5), dt.date(2024, 3, 5), None, None] and [r["c"] for r in rows] == ["1,234.5", "", "", ""]
     h = spark.sql("select 'a ' x, '' y").select(scalars.row_hash(F.col("x"), F.col("y")).alias("h1"), scalars.row_hash(F.col("x")).alias("h2")).first()
@@ -36,7 +39,10 @@ def test_repair_keeps_the_newer_duplicate(spark):
     good, report = clean.repair(clean.typed(df))
     assert sorted((r["seq"]) for r in good.collect()) == [2, 4]
     r = report.first()
-    assert (r["before"], r["after"], r["malformed"], r["duplicates"], r["was_sorted"], r["status"]) == (4, 2, 1, 1, False, "repaired")
+    assert (r["before"], r["after"], r["malformed"], r["duplicates"], r["was_sorted"], r["repaired_cells"], r["status"]) == (4, 2, 1, 1, False, 0, "repaired")
+    assert clean.repair(clean.typed(df.where("seq = 3")))[1].first()["status"] == "error"
+    with pytest.raises(schemas.FeatureError):
+        clean.valid_ohlcv(clean.typed(df.where("seq = 3")), check=True)
 
 
 def test_snapshot_diff(spark):
@@ -85,10 +91,39 @@ def test_sinks(spark, tmp_path):
     assert sinks.merge_stage(a, root, ["key"], ["v"]) == 2
     assert sinks.merge_stage(spark.createDataFrame([("k", 5), ("k", 3)], "key string, v int"), root, ["key"], ["v"]) == 2
     assert {r["key"]: r["v"] for r in sinks.current(spark, root).collect()} == {"k": 5, "m": 1}
-    path = str(tmp_path / "p")
-    assert sinks.drain(spark, path, lambda df: 0) is None and sinks.stage(a, path) and not sinks.stage(a.limit(0), path)
-    assert sinks.drain(spark, path, lambda df: 1) == 1 and spark.read.parquet(path).count() == 2
-    assert sinks.drain(spark, path, lambda df: df.count()) == 2 and spark.read.parquet(path).count() == 0
+    assert sinks.vacuum(spark, root) == 1 and sinks.current(spark, root).count() == 2
+
+
+def test_a_merge_rewrites_the_parts_that_it_touches(spark, tmp_path):
+    root, month = str(tmp_path / "t"), F.date_format("date", "yyyy-MM")
+    make = lambda rows: spark.createDataFrame(rows, "symbol string, date date, close double")
+    sinks.merge_stage(make([("a", dt.date(2024, 1, 1), 1.0), ("a", dt.date(2024, 2, 1), 1.0), ("a", None, 1.0)]), root, ["symbol", "date"], ["close"], month)
+    first = sinks._current(spark, root)
+    assert sinks.merge_stage(make([("a", dt.date(2024, 2, 1), 5.0), ("b", dt.date(2024, 2, 2), 5.0)]), root, ["symbol", "date"], ["close"], month) == 2
+    second = sinks._current(spark, root)
+    assert set(first) == set(second) == {"2024-01", "2024-02", "none"} and [p for p in first if first[p] != second[p]] == ["2024-02"]
+    assert sorted((str(r["date"]), r["close"]) for r in sinks.current(spark, root).collect()) == [("2024-01-01", 1.0), ("2024-02-01", 5.0), ("2024-02-02", 5.0), ("None", 1.0)]
+    assert sinks.merge_stage(make([]), root, ["symbol", "date"], ["close"], month) == 0
+
+
+def test_a_failing_sink_loses_nothing(spark, tmp_path):
+    root, got = str(tmp_path / "p"), []
+    make = lambda *rows: spark.createDataFrame(rows, "key string, v int")
+    assert sinks.drain(spark, root, lambda df: 0) is None and sinks.stage(make(("k", 1), ("m", 1)), root) and not sinks.stage(make(("k", 9)).limit(0), root)
+    waits = sinks.collect(spark, root, lambda: make(("k", 2), ("n", 2)), lambda df: 0, keys=["key"], order=["v"])
+    assert sorted(map(tuple, waits.collect())) == [("k", 2), ("m", 1), ("n", 2)]
+    # Off, what waits is still drained, once; a batch staged while the sink writes waits on.
+
+    def sink(df):
+        rows = [tuple(r) for r in df.collect()]
+        sinks.stage(make(("late", 3)), root, replace=False)
+        got.extend(rows)
+        return len(rows)
+
+    assert [tuple(r) for r in sinks.collect(spark, root, lambda: 1 / 0, sink, enabled=False, keys=["key"], order=["v"]).collect()] == [("late", 3)]
+    assert sorted(got) == [("k", 2), ("m", 1), ("n", 2)]
+    assert sinks.drain(spark, root, lambda df: df.count()) == 1 and sinks.pending(spark, root) is None
+    assert sinks.stage(make(("x", 1)), root) and sinks.stage(make(("y", 1)), root) and [tuple(r) for r in sinks.pending(spark, root).collect()] == [("y", 1)]
 
 
 def test_streams(spark, tmp_path):
@@ -111,6 +146,33 @@ def test_streams(spark, tmp_path):
     assert spark.table("daily").first()["n"] == 2
 
 
+def test_late_rows_are_dropped(spark, tmp_path):
+    at, seen = lambda d: dt.datetime(2024, 1, d, 5), []
+    for k, rows in enumerate([[("t", 1.0, at(20))], [("t", 1.0, at(21))], [("t", 1.0, at(5)), ("t", 1.0, at(15))]]):
+        spark.createDataFrame(rows, "ticker string, value double, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    feed = spark.readStream.schema("ticker string, value double, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    each = lambda df, _: seen.extend(str(r["day"]["start"].date()) for r in df.collect())
+    flows.daily_counts(feed).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(seen) == ["2024-01-15", "2024-01-20", "2024-01-21"]
+
+
+def test_exact_ranks_and_medians(spark):
+    import random
+
+    from quantloom.functions.tables import median, ranked
+
+    rng = random.Random(1)
+    rows = [(k % 3, rng.randrange(40), k) for k in range(500)]
+    out = ranked(spark.createDataFrame(rows, "g int, v int, k int"), ["g"], ["v", "k"]).collect()
+    for g in range(3):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])
+        assert {r["k"]: (r["rank"], r["total"]) for r in out if r["g"] == g} == {r[2]: (i, len(own)) for i, r in enumerate(own)}
+    for values in ([3.0] * 90 + [1.0] * 5 + [9.0], [1.0, 2.0, 4.0, None, 8.0], [5.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert median(df, "v").first()[0] == pd.Series(values).median()
+    assert median(df.limit(0), "v").first()[0] is None
+
+
 def test_export_blank_rows_and_nested_financials(spark):
     from quantloom.operators import fundamentals
 
