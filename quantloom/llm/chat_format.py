@@ -139,7 +139,8 @@ def format_chats(df: DataFrame, key: str, turns: str = "turns", loss_role: str =
     role, text = _escape_role(F.coalesce("turn.role", F.lit(""))), escape(F.coalesce("turn.text", F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
     rows = df.select(F.col(key).alias("key"), F.col(turns).alias("turns")).groupBy("key", "turns").agg(F.count("*").cast("int").alias("times"))
-    rows = rows.select("key", F.xxhash64("turns").alias("own"), "times", F.posexplode_outer("turns").alias("pos", "turn")).where("pos is null or turn is not null")
+    # The hash in a select of its own: beside a generator it would be computed again for each turn.
+    rows = rows.withColumn("own", F.xxhash64("turns")).select("key", "own", "times", F.posexplode_outer("turns").alias("pos", "turn")).where("pos is null or turn is not null")
     rows = rows.select("key", "own", "times", "pos", F.col("turn.role").eqNullSafe(loss_role).alias("learn"), F.char_length(head).alias("before"), F.char_length(text).alias("length"), F.concat(head, text, F.lit(CLOSE)).alias("piece"))
     ends = F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("start", ends - F.char_length("piece") + F.col("before"))
@@ -156,10 +157,11 @@ def read_back(df: DataFrame, key: str, formatted: str = "formatted", loss: str =
 
     Turns become rows with their places, and each span of the mask is looked up in the turn that
     it lies in by a window over both in order of their places; so the work is linear in the turns, as
-    no text is gone through once a span. Rows with one key and text are read as one. A null text
-    gives no turns and an empty loss_text.
+    no text is gone through once a span. Repeated rows are counted, read once, and come out as often. A null text
+    gives no turns and an empty loss_text; other columns aren't kept.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(formatted).alias("text"), F.xxhash64(formatted, loss).alias("own"), F.col(loss).alias("spans"))
+    rows = df.select(F.col(key).alias("key"), F.col(formatted).alias("text"), F.col(loss).alias("spans")).groupBy("key", "text", "spans").agg(F.count("*").cast("int").alias("times"))
+    rows = rows.withColumn("own", F.xxhash64("text", "spans"))
     pieces = F.filter(F.split("text", "<\\|end\\|>\\n", -1), lambda p: p != "")
     places = Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     turns = rows.select("key", "own", F.posexplode(pieces).alias("pos", "piece"))
@@ -174,5 +176,5 @@ def read_back(df: DataFrame, key: str, formatted: str = "formatted", loss: str =
     role = F.substring_index(body, "\n", 1)
     turn = F.struct(_unescape_role(role).alias("role"), unescape(F.substring(body, F.char_length(role) + 2, F.char_length(body))).alias("text"))
     both = both.select("key", "own", F.when(F.col("piece").isNotNull(), F.struct("pos", turn.alias("turn"))).alias("turn"), F.when(F.col("span").isNotNull(), F.struct("span", told.alias("told"))).alias("under"))
-    read = both.unionByName(rows.select("key", "own", "text"), allowMissingColumns=True).groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
-    return read.select(F.col("key").alias(key), F.col("text").alias(formatted), F.transform("turns", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("under", lambda x: x["told"]), "").alias("loss_text"))
+    read = both.unionByName(rows.select("key", "own", "text", "times"), allowMissingColumns=True).groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.max("times").alias("times"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
+    return read.select(F.col("key").alias(key), F.col("text").alias(formatted), F.transform("turns", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("under", lambda x: x["told"]), "").alias("loss_text"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
