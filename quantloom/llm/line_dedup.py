@@ -38,7 +38,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     row with a null id counts as one of its own. A document that loses all its lines has the empty text. An empty table gives
     an empty result; other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body"))
+    # The hash is a column of its own, as beside a generator it would be computed again for each line.
+    base = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("body")).withColumn("body_hash", F.xxhash64("body"))
     lines = F.split("body", "\n", -1)
     def keys(rows: DataFrame) -> DataFrame:
         own = rows.select("doc_id", F.explode_outer(F.array_distinct(F.transform(lines, line_key))).alias("key")).where(F.char_length("key") >= min_chars)
@@ -51,13 +52,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     frequent = once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     frequent = cut(frequent, "frequent-lines")
 
-    placed = base.select("doc_id", F.xxhash64("body").alias("body_hash"), F.posexplode_outer(F.transform(lines, line_key)).alias("pos", "key"))
+    placed = base.select("doc_id", "body_hash", F.posexplode_outer(F.transform(lines, line_key)).alias("pos", "key"))
     placed = placed.where(F.char_length("key") >= min_chars).select("doc_id", "body_hash", "pos", *_hashed(F.col("key")))
     hits = placed.join(broadcast_if_small(frequent, 64), ["h1", "h2"])
     hits = cut(hits.groupBy("doc_id", "body_hash").agg(F.collect_set("pos").alias("dropped")), "dropped-lines")
     size = hits.agg(F.sum(F.size("dropped") * 8 + 64)).first()[0] or 0
 
-    split = base.select(F.col("doc_id").alias("id"), F.xxhash64("body").alias("hash"), lines.alias("lines"))
+    split = base.select(F.col("doc_id").alias("id"), F.col("body_hash").alias("hash"), lines.alias("lines"))
     joined = split.join(F.broadcast(hits) if fits(size) else hits, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("body_hash")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("dropped", F.array().cast("array<int>")))
     return joined.select(
