@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import cut, new_path, remove_tables, shared_dir  # noqa: F401
+
 #: A table is broadcast only while its measured size is below this many bytes.
 BROADCAST_BYTES = 32 << 20
 #: Parts that the rows of a hot key are dealt to, each with its own copy of the key's row on the other side.
@@ -23,42 +23,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where it is unset, a temporary folder is set for a local master (one machine, as in
-    tests); on a cluster that is an error, as executors don't see each other's disks.
-    """
-    if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master.startswith("local") and not master.startswith("local-cluster")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A new path in the run's own folder, quantloom-<application id>, of the shared one."""
-    return f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Delete all that this application wrote to the shared folder, once no result that is still to be read needs it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "x")).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it: later stages start from
-    files that survive a lost executor, and nothing above is computed twice."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fits(size: int) -> bool:
     """Whether so many measured bytes may be broadcast."""
     return size <= BROADCAST_BYTES

@@ -9,6 +9,10 @@ EDGES = [
 ]
 
 
+#: Names that the operators use inside or in their results.
+CLASHES = ["__gone", "__bad", "__uid", "__bucket", "__rank", "_salt", "_n", "uid", "bucket", "rank", "rep", "token", "body_hash", "set_hash", "component_id", "kept", "item_id", "bound", "layout", "turns", "piece", "start", "indices"]
+
+
 def words(rng, n, kinds=400):
     return " ".join(f"w{rng.randrange(kinds)}" for _ in range(n))
 
@@ -28,8 +32,16 @@ def docs(spark):
         rows.append((i, " ".join(own)))
     for i in range(300, 330):
         rows.append((i, "copied   text number %d" % (i % 3)))
-    schema = "doc_id long, text string, pos int, key string, n long, row string, body string, gid int, h long, shared int"
-    return spark.createDataFrame([(i, t, 0, "k", 1, "r", "b", 2, 3, 4) for i, t in rows], schema)
+    schema = "doc_id long, text string, pos int, key string, n long, row string, body string, gid int, h long, shared int, length int, sequence_id int, own int, " + ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, 0, "k", 1, "r", "b", 2, 3, 4, 5, 6, 7, *CLASHES) for i, t in rows], schema)
+
+
+@pytest.fixture
+def shuffled(monkeypatch):
+    """Nothing is small enough to be broadcast."""
+    from quantloom.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -59,11 +60,25 @@ def _sets(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n,percent", [(3, 85), (5, 80)])
-@pytest.mark.parametrize("hot,block", [(64, 200), (4, 7)])
-def test_near_duplicates_equal_brute_force(docs, rows, n, percent, hot, block, monkeypatch):
+def test_line_counts_are_of_distinct_ids(spark):
+    rows = [(1, "common line\nown")] * 10 + [(2, "Common line ")] + [(i, "ten of them") for i in range(3, 13)] + [(None, "no id")] * 10
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    assert {(r["doc_id"], r["n_dropped"]) for r in out} == {(1, 0), (2, 0), (None, 1), *((i, 1) for i in range(3, 13))}
+
+
+def test_lines_by_shuffled_joins(docs, rows, shuffled):
+    test_line_dedup_equals_brute_force(docs, rows, 3, 0)
+
+
+def test_copies_by_shuffled_joins(docs, rows, shuffled):
+    test_exact_dedup_equals_grouping(docs, rows, 48, 8)
+
+
+@pytest.mark.parametrize("n,percent,hot,block,shingles", [(3, 85, 64, 200, 1 << 21), (5, 80, 4, 7, 1 << 21), (3, 85, 4, 200, 900)])
+def test_near_duplicates_equal_brute_force(docs, rows, n, percent, hot, block, shingles, monkeypatch):
     monkeypatch.setattr(minhash, "HOT", hot)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
     sets = _sets(rows, n)
     ids = sorted(i for i in sets if i is not None)
     find = {i: i for i in ids}
@@ -83,6 +98,32 @@ def test_near_duplicates_equal_brute_force(docs, rows, n, percent, hot, block, m
     assert out[None]["kept"] and out[None]["component_id"] is None
 
 
+def test_near_duplicates_by_shuffled_joins(docs, rows, shuffled, monkeypatch):
+    test_near_duplicates_equal_brute_force(docs, rows, 3, 85, 4, 7, 1 << 21, monkeypatch)
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(2))
+    rows = [(1, a), (2, b), (5, a), (5, b), (5, ""), (6, a + " end"), (7, "alone here"), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = minhash.near_duplicates(df, 3, 85).collect()
+    by = {i: {r["component_id"] for r in out if r["doc_id"] == i} for i in (1, 2, 5, 6, 7)}
+    assert by[1] == by[6] == {1} and by[2] == {2} and by[5] in ({1}, {2}) and by[7] == {7}
+    kept = sorted(r["doc_id"] for r in minhash.drop_near_duplicates(df, 3, 85).collect())
+    assert kept == [1, 2, 7, 7]
+
+
+def test_one_text_in_all_rows(spark):
+    df = spark.createDataFrame([(i, "the same five words here and more") for i in range(40)], "doc_id long, text string")
+    assert [r["doc_id"] for r in minhash.drop_near_duplicates(df).collect()] == [0]
+    assert [r["doc_id"] for r in exact_dedup.drop_copies(df).collect()] == [0]
+
+
+def test_a_smaller_miss_asks_for_fewer_matches():
+    assert minhash.least_matches(80, miss=1e-12) < minhash.least_matches(80) < minhash.least_matches(80, miss=0.01)
+
+
 def test_near_duplicates_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0 and minhash.drop_near_duplicates(none).count() == 0
 
@@ -103,6 +144,31 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("make", ["sorted chain", "shuffled chain", "star of the largest", "tree"])
+def test_components_take_logarithmic_rounds(spark, make):
+    n, rng = 10_000, random.Random(3)
+    name = list(range(n + 1))
+    if make == "shuffled chain":
+        rng.shuffle(name)
+    pairs = [(name[i], name[i + 1]) for i in range(n)] if "chain" in make else [(n, i) for i in range(n)] if make.startswith("star") else [(i, rng.randrange(i)) for i in range(1, n + 1)]
+    rounds = []
+    out = components(spark.createDataFrame(pairs, "a long, b long"), rounds)
+    assert out.count() == n + 1 and out.where("component <> 0").isEmpty() and len(rounds) < 20, rounds
+
+
+def test_components_of_many_small_graphs(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(600), rng.randrange(600)) for _ in range(350)] + [(None, 1), (1, None)]
+    find = {}
+    root = lambda x: x if find.setdefault(x, x) == x else root(find[x])
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            x, y = root(a), root(b)
+            find[max(x, y)] = min(x, y)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in find}
+
+
 def test_containment_equals_brute_force(spark, docs, rows):
     long = next(t for i, t in rows if i == 100).split()
     items = [(1, " ".join(long[500:530])), (2, " ".join(long[900:920] + ["zz"] * 1)), (3, "one TWO, three four five six"), (4, "One two"), (5, None), (6, " ".join(long[10:30] + long[4000:4020])), (7, "not there at all in any text")]
@@ -118,6 +184,27 @@ def test_containment_equals_brute_force(spark, docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(i not in bad for i, _ in rows)
 
 
+def test_containment_by_shuffled_joins(spark, docs, rows, shuffled):
+    test_containment_equals_brute_force(spark, docs, rows)
+
+
+def test_classes_bound_what_is_probed(spark, monkeypatch):
+    """Of a document's shingles only those within its classes' bounds are probed, and none is missed for it."""
+    rng = random.Random(6)
+    text = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    items = [(k, " ".join(text[at : at + n])) for k, (at, n) in enumerate([(0, 9), (200, 40), (500, 150), (1000, 600)])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:30])), (3, " ".join(text[190:250])), (4, "none of it")], "doc_id long, text string")
+    probed = []
+    passed = decontaminate.passed
+    from quantloom.llm import shared
+
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(decontaminate, "passed", lambda probes, sketch: probed.append(probes.count()) or passed(probes, sketch))
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 1)] and probed[0] < 3000
+
+
 def test_containment_of_nothing(docs, none, spark):
     assert decontaminate.contaminated(none, docs.select(docs["doc_id"].alias("item_id"), "text")).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0

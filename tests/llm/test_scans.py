@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,24 @@ import numpy as np
 from quantloom.llm import license_rules, license_scan, quality, secret_scan
 
 
+def test_hundreds_of_rules_are_written_and_leave_other_texts_alone():
+    written = license_rules.WRITTEN.strip().splitlines()
+    assert len(written) >= 300 and len({tuple(line.split(" | ")[1:3]) for line in written}) == len(written)
+    gate, by, _ = license_scan._compiled()
+    for text in """the driver showed her license to the officer | apache helicopters flew over | she studied at mit for years | the zip file needs a key | a fair price for the boat | the wolf is a public enemy
+        permission was granted to leave early | copyright law is complicated | the general public was invited | he has a beer | mozilla makes a browser | an eclipse of the sun | the boost was welcome | artistic freedom matters
+        python is a snake | ruby is a red stone | she used the w3c validator | the isc bank opened | a commons debate | curl your hair | the unicode consortium met | you may not be able to copy that | all rights matter | the academic free day
+        open software is nice | the business source of the leak | elastic bands | the server side was down | creative people with common sense | use for any purpose is fine | the trade was no secret | redistribution of wealth | version 3 or later trains""".replace("\n", "|").split("|"):
+        assert license_scan.detections(text.strip(), gate, by) == [], text
+
+
+def test_suppression_is_near_linear():
+    found = [(k, k + 5, 1 + k % 7, "x", 0.5) for k in range(0, 400_000, 2)]
+    start = time.time()
+    assert license_scan.unsuppressed(found)
+    assert time.time() - start < 5
+
+
 def test_rules_are_hundreds_and_their_keywords_stand_in_what_they_find():
     rules = license_rules.rules()
     assert len(rules) > 300 and all(re.compile(r.regex) for r in rules)
@@ -135,11 +154,31 @@ def test_guess_costs_rank_values():
     assert [k for _, _, k in spans] == [3, 3] and len(costs) == 2
 
 
+def _segment_cost(x):
+    """The cheapest way to guess a value as one segment."""
+    c = secret_scan
+    known, low, spread = c.words(), x.lower(), [c._spread(ch) for ch in x]
+    costs = [sum(spread)]
+    for text, more in ((low, 0.0), (low.translate(c._LEET), 0.7)):
+        if len(x) > 2 and text in known.rank:
+            costs.append(np.log10(known.rank[text] + 1) + more + 0.3 * (x != low))
+            break
+    if re.fullmatch(DATE, x):
+        costs.append(2.1 if len(x) == 4 else 4.6)
+    costs += [sum(spread[:u]) + np.log10(len(x)) for u in range(1, 9) if len(x) % u == 0 and len(x) >= 2 * u and x == x[:u] * (len(x) // u)]
+    if len(x) >= 3 and all(low[i : i + 2] in c._NEXT for i in range(len(x) - 1)):
+        costs.append(1.7 + np.log10(len(x)))
+    return min(costs)
+
+
+DATE = r"(?:19|20)\d\d(?:[-./_]?(?:0[1-9]|1[0-2])(?:[-./_]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d"
+
+
 def _cost_over_all_segments(value):
     n, low, c = len(value), value.lower(), secret_scan
     known = c.words()
     plain, spread = low.translate(c._LEET), [c._spread(x) for x in value]
-    date = r"(?:19|20)\d\d(?:[-./_]?(?:0[1-9]|1[0-2])(?:[-./_]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./_](?:0?[1-9]|1[0-2])[-./_](?:19|20)?\d\d"
+    date = DATE
     best = [0.0]
     for e in range(1, n + 1):
         of = []
@@ -159,6 +198,27 @@ def _cost_over_all_segments(value):
     return best[n]
 
 
+def test_words_rank_by_frequency():
+    known = secret_scan.words()
+    assert len(known.rank) > 20_000 and known.rank["password"] < known.rank["love"] and known.rank["monkey"] < known.rank["the"] < known.rank["elephant"]
+    for value in ("asdfghjklovemonkey", "zxcvbnmonkey", "elephant", "butterfly", "sunshine", "Dragon2019", "helloworld"):
+        assert secret_scan.guess_cost(value) < secret_scan.LEAST_COST, value
+    for value in ("9fK2xQ7mZt4Lw8", "k8#Zq1!vTx9$", "Zx81kLm29QpWv7"):
+        assert secret_scan.guess_cost(value) >= secret_scan.LEAST_COST, value
+
+
+def test_guess_costs_are_least_over_all_splits_of_short_values():
+    """Every way to cut a value of up to 12 characters into segments, one by one."""
+    rng = random.Random(11)
+    one = lambda x: _segment_cost(x)
+    for k in range(60):
+        value = "".join(rng.choice(["love", "qwe", "ab", "aa", "7", "19", "2019", "P@ss", "k#", "zx", "cat"]) for _ in range(5))[: 3 + k % 10]
+        n = len(value)
+        cost = {(s, e): one(value[s:e]) for s in range(n) for e in range(s + 1, n + 1)}
+        best = min(sum(cost[s, e] for s, e in zip(cuts, cuts[1:])) + secret_scan.SEGMENT * (len(cuts) - 1) for mask in range(1 << (n - 1)) for cuts in [[0, *(i + 1 for i in range(n - 1) if mask >> i & 1), n]])
+        assert abs(secret_scan.guess_cost(value) - best) < 1e-9, value
+
+
 def test_guess_costs_are_least_over_all_segments():
     cost = secret_scan.guess_cost
     assert cost("aabaabaabaab") < 6 < 8 < secret_scan._spread("a") * 12
@@ -188,6 +248,70 @@ def test_values_that_the_base_pattern_cannot_take():
     assert secret_scan.find(b"token=24be64439e3e49cf46b2d7c9 password: abcdefgh12, secret = changeme")[0] == [(0, 30, 0), (6, 30, 2), (31, 51, 0), (53, 70, 0)]
 
 
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        theta, s, grade = np.sort(rng.normal(0, 2, 2)) + [0, 0.05], rng.normal(0, 3), int(rng.integers(3))
+        loss, by_score, slopes = quality.loss_and_slopes(s, theta, grade)
+        tails = 1 / (1 + np.exp(-(s - theta)))
+        assert abs(loss + np.log([1 - tails[0], tails[0] - tails[1], tails[1]][grade])) < 1e-9
+        at = lambda score, th: quality.loss_and_slopes(score, th, grade)[0]
+        assert abs((at(s + 1e-6, theta) - at(s - 1e-6, theta)) / 2e-6 - by_score) < 1e-4
+        for k in range(2):
+            step = np.eye(2)[k] * 1e-6
+            assert abs((at(s, theta + step) - at(s, theta - step)) / 2e-6 - dict(slopes).get(k, 0.0)) < 1e-4
+
+
+def _plain_fit(rows, epochs=3, rounds=5, rate=0.2, decay=1e-3):
+    """The model as dictionaries, one document at a time: what fit() computes with one shard."""
+    often = {}
+    for x, _ in rows:
+        for i in set(x):
+            often[i] = often.get(i, 0) + 1
+    rows, w, theta = [([i for i in x if often[i] >= 3], g) for x, g in rows], {}, [-1.0, 0.0]
+    sig = lambda v: 1 / (1 + np.exp(-min(35, max(-35, v))))
+    for k in range(rounds):
+        own, seen, seen_t = rate / (1 + k / 2), {}, [1.0, 1.0]
+        rng = np.random.Generator(np.random.PCG64(k))
+        for _ in range(epochs):
+            for r in rng.permutation(len(rows)):
+                x, g = rows[r]
+                s = sum(w.get(i, 0.0) for i in x)
+                up, down = sig(theta[g] - s) if g < 2 else 1.0, sig(theta[g - 1] - s) if g else 0.0
+                p = max(1e-9, up - down)
+                for i in x:
+                    step = 1 - up - down + decay * w.get(i, 0.0)
+                    seen[i] = seen.get(i, 1.0) + step * step
+                    w[i] = w.get(i, 0.0) - own * step / seen[i] ** 0.5
+                for at, slope in ((g, -up * (1 - up) / p), (g - 1, down * (1 - down) / p)):
+                    if 0 <= at < 2:
+                        slope = min(2, max(-2, slope))
+                        seen_t[at] += slope * slope
+                        theta[at] -= own * slope / seen_t[at] ** 0.5
+                if theta[1] <= theta[0]:
+                    theta[1] = max(theta[0], theta[1] + 1e-3)
+    return w, theta
+
+
+def test_quality_equals_a_plain_fit(spark, docs, rows):
+    """Every grade of whole texts, edge cases included, against plain Python."""
+    more = [(1000 + i, f"w{i % 7} words of grade " + "vile " * (i % 3 == 0) + "&& " * (i % 3 == 1) * 3 + f"w{i % 5}") for i in range(120)]
+    df = docs.select("doc_id", "text", "kept").unionByName(spark.createDataFrame([(i, t, "") for i, t in more], "doc_id long, text string, kept string"))
+    lab = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 0)) for i, _ in more] + [(1002, 1, 1), (8, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    grades = {i: 0 if i % 3 == 0 else 1 if i % 3 == 1 else 2 for i, _ in more} | {1002: 0, 8: 2}
+    every = rows + more
+    fit = sorted(((i, t or "") for i, t in every if i in grades), key=lambda r: r[0])
+    w, theta = _plain_fit([(quality.features(t.encode()).tolist(), grades[i]) for i, t in fit])
+    want = []
+    for i, t in every:
+        s = sum(w.get(k, 0.0) for k in quality.features((t or "").encode()).tolist())
+        some, good = (1 / (1 + np.exp(-(s - x))) for x in theta)
+        want.append((str(i), some + good, some, good))
+    got = sorted((str(r["doc_id"]), r["expected_grade"], r["p_not_toxic"], r["p_good"], r["kept"]) for r in quality.classify(df, lab).collect())
+    for a, b in zip(sorted(want), got, strict=True):
+        assert a[0] == b[0] and np.allclose(a[1:], b[1:4], atol=2e-4) and (b[4] == (b[3] >= 0.5))
+
+
 def test_ordinal_model_tells_grades_apart(spark):
     rng = np.random.default_rng(1)
     texts, labels = [], []

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -63,6 +65,37 @@ def test_dictionary_s_sample_leaves_out_nulls_and_repeats(spark):
     assert train(texts + texts[:30] * 20 + [(i, texts[i][1] + " later") for i in range(60)]) == plain
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 40])
+def test_every_store_has_a_dictionary(spark, n):
+    for texts in ([f"text number {i} of a few" for i in range(n)], [""] * n, [None] * n):
+        for ids in (list(range(n)), [None] * n):
+            manifest = token_store.write_store(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
+            assert {r["dictionary"] for r in manifest.collect()}.isdisjoint({hashlib.sha256(b"").hexdigest()})
+            got = token_store.read_store(spark, manifest, ids=True).collect()
+            assert sorted(np.array(r["ids"], "<u4").tobytes() for r in got) == sorted(CODER._whole(t or "") + (2).to_bytes(4, "little") for t in texts)
+
+
+def test_packing_by_shuffled_joins(spark, docs, rows, none, shuffled, monkeypatch):
+    test_packing_of_documents(spark, docs, rows, none, 5, monkeypatch)
+
+
+def test_packing_keeps_other_columns(spark):
+    df = spark.createDataFrame([(i, 1 + i % 9, "u", "b", "r", -1) for i in range(50)], "id int, length int, __uid string, bucket string, row string, offset int")
+    out = packing.pack(df, 10)
+    assert out.columns == ["id", "length", "__uid", "bucket", "row", "sequence_id", "offset"] and {(r["__uid"], r["bucket"], r["row"]) for r in out.collect()} == {("u", "b", "r")}
+    _check_packing(out.collect(), 10)
+    for bad in (0, 11, None):
+        with pytest.raises(ValueError):
+            packing.pack(spark.createDataFrame([(bad,)], "length int"), 10)
+
+
+def test_a_plan_of_many_equal_items_is_short():
+    counts, start = {1400: 5_000_000, 1348: 5_000_000}, time.time()
+    runs, bins = packing.plan(counts, 4096)
+    assert time.time() - start < 1 and len(runs) < 40
+    assert -(-sum(x * n for x, n in counts.items()) // 4096) <= bins <= _plain(counts, 4096)
+
+
 @pytest.mark.parametrize("bucket", [20_000, 5])
 def test_packing_of_documents(spark, docs, rows, none, bucket, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", bucket)
@@ -173,3 +206,31 @@ def test_formatting_is_reversible(spark):
         assert [tuple(t) for t in out[k]["turns"]] == turns
         assert out[k]["loss_text"] == "".join(t for r, t in turns if r == "assistant")
     assert chat_format.read_back(chat_format.format_chats(df.limit(0), "k"), "k").count() == 0
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    kind = "k long, turns array<struct<role:string,text:string>>, layout int"
+    one, two = [("user", "a"), ("assistant", "b")], [("user", "c"), ("assistant", "d"), ("assistant", None)]
+    rows = [(1, one, 0), (1, two, 0), (1, one, 0), (None, one, 0), (None, two, 0), (2, None, 0), (3, [], 0), (4, [(None, None)], 0), (5, [None, ("user", "x")], 0)]
+    made = chat_format.format_chats(spark.createDataFrame(rows, kind), "k").collect()
+    text = lambda turns: "".join(f"<|turn|>{r or ''}\n{t or ''}<|end|>\n" for r, t in (x for x in turns or [] if x))
+    assert sorted((str(r["k"]), r["formatted"]) for r in made) == sorted((str(k), text(t)) for k, t, _ in rows)
+    read = chat_format.read_back(chat_format.format_chats(spark.createDataFrame(rows, kind), "k"), "k").collect()
+    assert sorted((str(r["k"]), r["loss_text"], len(r["turns"])) for r in read) == sorted((str(k), "".join(x or "" for r, x in (y for y in t or [] if y) if r == "assistant"), len([y for y in t or [] if y])) for k, t, _ in rows)
+
+
+def test_reading_a_very_long_conversation_is_linear(spark):
+    took = []
+    for n in (2_000, 20_000):
+        df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.when(i % 2 == 0, "assistant").otherwise("user").alias("role"), F.repeat(F.lit("é word </s> "), 10).alias("text"))).alias("turns"))
+        start = time.time()
+        r = chat_format.read_back(chat_format.format_chats(df, "id"), "id").first()
+        took.append(time.time() - start)
+        assert len(r["turns"]) == n and r["loss_text"] == "é word </s> " * 10 * (n // 2)
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_native_plan_of_chats_runs_no_python(spark):
+    df = spark.createDataFrame([(1, [("user", "a")])], "k long, turns array<struct<role:string,text:string>>")
+    plan = chat_format.read_back(chat_format.format_chats(df, "k"), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
