@@ -323,7 +323,7 @@ proprietary | unauthorized copying | unauthorized\s+copying\s+of\s+this\s+(?:fil
 proprietary | unauthorised copying | unauthorised\s+copying\s+of\s+this\s+(?:file|software) | 0.85
 proprietary | no part of this | no\s+part\s+of\s+this\s+(?:publication|book|document|work)\s+may\s+be\s+reproduced | 0.85
 proprietary | trade secret | \bcontains?\s+(?:valuable\s+)?trade\s+secrets?\s+(?:of|and)\b | 0.8
-proprietary | license agreement | \bend[\s-]user\s+license\s+agreement\b | 0.7
+proprietary | license agreement | \bend[\s-]+user\s+license\s+agreement\b | 0.7
 proprietary | internal use only | \bfor\s+internal\s+use\s+only\b | 0.6
 proprietary | for redistribution | \bnot\s+for\s+redistribution\b | 0.7
 proprietary | evaluation purposes | \bfor\s+evaluation\s+purposes\s+only\b | 0.7
