@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -33,9 +34,24 @@ _AS_CHAR = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _
 #: White space to str.split() but not to the vocabulary's rules.
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \t-\r\x85\xa0  -     　]+")
+#: The rules under which words can be encoded one by one, and Latin ones be cut by _PIECES: fixed values, as such vocabulary files have them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _coders: dict[str, "WordCoder"] = {}
 
 
+def splits_at_blanks(rules: dict) -> bool:
+    """Whether a vocabulary file's rules, as JSON, are those above, with special tokens that are neither stripped nor hold blanks."""
+    tokens = rules.get("added_tokens") or []
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"]) and not re.search(r"\s", t["content"]) and t["content"].startswith("<|") for t in tokens)
+    return plain and rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == SPLITTER and rules["model"].get("type") == "BPE"
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -48,8 +64,8 @@ class WordCoder:
     For a vocabulary that drops white space and never looks across it, a text's ids are its
     words' ids in a row, so each word is encoded once and kept. Latin words are cut into
     pieces here and the pieces go to the library's model; any other word goes through its
-    normalizer and splitter first, one with a special token through the whole library. Other kinds of vocabulary are
-    encoded text by text.
+    normalizer and splitter first, one with a special token through the whole library. Vocabularies with other rules
+    (splits_at_blanks) are encoded text by text, whatever their names.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,7 +74,8 @@ class WordCoder:
 
         self.coder = Tokenizer.from_file(path)
         self.model = self.coder.model
-        self.by_word = [self._whole("a b\n c"), self._whole("it's  ok")] == [self._whole("a") + self._whole("b") + self._whole("c"), self._whole("it's") + self._whole("ok")] and path.rsplit("/", 1)[-1].startswith("word_bpe")
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_blanks(json.load(f))
         self.specials = tuple(t.content for t in self.coder.get_added_tokens_decoder().values())
         self.words, self.pieces = Cache(CACHE_WORDS), Cache(CACHE_PIECES)
 
