@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.shared import broadcast_if_small, cut, join_hot, repeated, slices, whole
+from quantloom.llm.shared import broadcast_if_small, cut, join_hot, repeated, slices, small_batches, whole
 from quantloom.llm.shingles import shingle_sets
 
 #: Signature coordinates, and the chance at most that a pair just at the threshold has too few matches.
@@ -135,8 +135,9 @@ def family_links(lists: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
         return rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     family = components(rows.select(F.col("hub").alias("a"), F.col("rep").alias("b"))).select(F.col("id").alias("rep"), F.col("component").alias("family"))
     members = cut(rows.drop("hub").distinct().join(family, "rep"), "families")
-    parts = cut(members.groupBy("family", "component").agg(F.when(F.count("*") >= BLOCK, F.struct(F.lit(1).alias("own"), F.col("component").alias("id"))).otherwise(F.struct(F.lit(0).alias("own"), F.lit(0).cast("long").alias("id"))).alias("part")), "parts")
-    members = cut(join_hot(members, parts, ["family", "component"], 64), "part-members")
+    large = members.groupBy("family", "component").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK).select("family", "component", F.struct(F.lit(1).alias("own"), F.col("component").alias("id")).alias("part"))
+    members = join_hot(members, cut(large, "large-components"), ["family", "component"], 64, "left")
+    members = cut(members.withColumn("part", F.coalesce("part", F.struct(F.lit(0).alias("own"), F.lit(0).cast("long").alias("id")))), "part-members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     sizes = cut(members.groupBy("family", "part").agg(blocks.alias("blocks")), "blocks")
     members = join_hot(members, sizes, ["family", "part"], 64).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -195,6 +196,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sets the one of least hash counts, and all its rows get that component. An empty table gives an empty
     result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body")).withColumn("body_hash", F.xxhash64("body"))
     rows = cut(signed(base, n), "signed")
     need = least_matches(percent, miss=miss)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, join_hot, slices, whole
+from quantloom.llm.shared import broadcast_if_small, cut, slices, small_batches, whole
 from quantloom.llm.tokens import coder, default_path
 
 #: Rows of one length and bucket that a task ranks together, about.
@@ -155,6 +155,7 @@ def token_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1
     Null and empty texts are one piece, the end id alone. A null id is kept, repeated rows give their
     pieces again, an empty table gives none. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_path()
     kind = docs.schema[id_col].dataType
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
@@ -200,7 +201,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut(sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
     ranked = items.withColumn("own", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid")) - 1)
-    ranked = join_hot(ranked, sizes, ["length", "bucket"], 48).select("row", "length", (F.col("own") + F.col("before")).alias("rank"))
+    # Buckets hold few rows by their number, so no key of this join is hot.
+    ranked = ranked.join(broadcast_if_small(sizes, 48), ["length", "bucket"]).select("row", "length", (F.col("own") + F.col("before")).alias("rank"))
     # One sorted key for length and rank; ranks stay below 2^48.
     keys = (runs[:, 0] << 48) + runs[:, 1]
 
