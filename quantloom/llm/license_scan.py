@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.license_rules import Rule, rules
-from quantloom.llm.shared import slices, whole
+from quantloom.llm.shared import slices, small_batches, whole
 
 #: Phrases that are always reported, by the place of their words, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -84,6 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Null text counts as empty: no words, null first and last, empty labels, score 0.
     Repeated rows give repeated results; an empty table an empty one. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("score", pa.float64()), ("priority", pa.int32())]))
 

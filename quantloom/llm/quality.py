@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, slices, smallest_hashes, whole
+from quantloom.llm.shared import cut, slices, small_batches, smallest_hashes, whole
 from quantloom.llm.shingles import _BYTE, CHUNK, _powers, mix
 
 #: Hashed features; behind them stand BINS one-hot bins for each of SHAPES measures of the whole text.
@@ -173,15 +173,20 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5, id_col:
     Null text counts as empty and is graded by its shape alone. Repeated rows are graded alike. With no labels
     every grade comes from the neutral thresholds, and all is kept. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body"), *([F.struct("*").alias("row")] if carry else []))
-    model = fit(base.select("doc_id", "body"), graded(labels), **how)
-    weights, thresholds = model.weights.astype("f4"), model.thresholds
+    small_batches(docs.sparkSession)
+    # With the row goes its text, so that it isn't sent twice.
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row") if carry else whole(text_col).alias("body"))
+    model = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body")), graded(labels), **how)
+    weights, thresholds, place = model.weights.astype("f4"), model.thresholds, docs.columns.index(text_col)
     own = docs.sparkSession.sparkContext.broadcast(weights)  # a fixed 1 MB
 
+    def text_of(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("row").field(place) if carry else batch.column("body")
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = own.value
-        for b in (part for batch in batches for part in slices(batch, "body")):
-            s = np.array([w[features(t)].sum(dtype="f8") for t in b.column("body").cast(pa.binary()).to_pylist()])
+        for b in (part for batch in batches for part in slices(batch, text_of)):
+            s = np.array([w[features(t or b"")].sum(dtype="f8") for t in text_of(b).cast(pa.binary()).to_pylist()])
             some, good = (_sigmoid(s - t) for t in thresholds)
             cols = {"doc_id": b.column("doc_id"), "expected_grade": pa.array(some + good), "p_not_toxic": pa.array(some), "p_good": pa.array(good), "kept": pa.array(good >= keep_from)}
             yield pa.record_batch(cols | ({"row": b.column("row")} if carry else {}))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import slices, whole
+from quantloom.llm.shared import slices, small_batches, whole
 
 #: Kinds in the order in which spans of one start are told.
 KINDS = ("assign", "access", "hex", "guess")
@@ -234,6 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Null text counts as empty: no spans, null max_cost. Repeated rows give repeated
     results; an empty table an empty one. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import cut, new_path, slices, smallest_hashes, whole
+from quantloom.llm.shared import cut, new_path, slices, small_batches, smallest_hashes, whole
 from quantloom.llm.tokens import coder, default_path
 
 MAGIC = b"QLTOK001"
@@ -87,6 +87,7 @@ def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
     import zstandard
 
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_path()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("body"))
     dictionary, width = train_dictionary(base, vocabulary, end_id), _width(vocabulary, end_id)
