@@ -20,6 +20,21 @@ def test_ids_equal_the_library_s(rows):
     assert all(CODER.encode(t) == CODER._whole(t) for t in texts)
 
 
+def test_other_vocabularies_are_encoded_text_by_text(tmp_path):
+    """A file's name doesn't matter, its rules do."""
+    import json
+
+    import public_tokenizers
+
+    rules = json.load(open(tokens.default_path(), encoding="utf-8"))
+    assert tokens.splits_at_blanks(rules)
+    rules["normalizer"]["normalizers"].pop()
+    (tmp_path / "word_bpe_own.json").write_text(json.dumps(rules))
+    for path in (str(tmp_path / "word_bpe_own.json"), public_tokenizers.path("byte_bpe_50k.json")):
+        own = tokens.WordCoder(path)
+        assert not own.by_word and all(own.encode(t) == own._whole(t) for t in ("Two WORDS  and\nmore", "it's <|endoftext|> 'LL", ""))
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     coder = tokens.WordCoder(tokens.default_path())
     coder.words.most = coder.pieces.most = 3
