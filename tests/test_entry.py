@@ -15,7 +15,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
-@pytest.mark.parametrize("name", ["sma_returns", "w5_ema_w2_macd", "a13_sentiment_a9_a12_j11", "a25_a19_repair", "a7_forecast_metrics_a3_a4_a5", "j9_f11_snapshot_diff"])
+@pytest.mark.parametrize("name", ["sma_returns", "w5_ema_w2_macd", "a13_sentiment_a9_a12_j11", "a25_a19_repair", "a7_forecast_metrics_a3_a4_a5", "j9_f11_snapshot_diff", "s7_s14_s15_u4_inbox", "x4_stream_changes", "x2_x3_daily_counts", "w25_indicator_table", "w29_decision_table", "p18_flat_fundamentals", "a8_validation_score", "f7_l3_w24_eligible", "l2_a26_archive", "t9_open_override", "w32_trailing_stats"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
