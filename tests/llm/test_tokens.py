@@ -80,14 +80,13 @@ def test_dictionary_s_sample_leaves_out_nulls_and_repeats(spark):
     assert train(texts + texts[:30] * 20 + [(i, texts[i][1] + " later") for i in range(60)]) == plain
 
 
-@pytest.mark.parametrize("n", [1, 7, 8, 40])
-def test_every_store_has_a_dictionary(spark, n):
-    for texts in ([f"text number {i} of a few" for i in range(n)], [""] * n, [None] * n):
-        for ids in (list(range(n)), [None] * n):
-            manifest = token_store.write_store(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"))
-            assert {r["dictionary"] for r in manifest.collect()}.isdisjoint({hashlib.sha256(b"").hexdigest()})
-            got = token_store.read_store(spark, manifest, ids=True).collect()
-            assert sorted(np.array(r["ids"], "<u4").tobytes() for r in got) == sorted(CODER._whole(t or "") + (2).to_bytes(4, "little") for t in texts)
+@pytest.mark.parametrize("n,ids,texts", [(1, True, "text"), (7, True, "text"), (8, True, "text"), (40, True, "text"), (8, True, ""), (1, True, None), (7, False, "text"), (1, False, None)])
+def test_every_store_has_a_dictionary(spark, n, ids, texts):
+    rows = [(i if ids else None, texts and f"{texts} number {i} of a few") for i in range(n)]
+    manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["dictionary"] for r in manifest.collect()}.isdisjoint({hashlib.sha256(b"").hexdigest()})
+    got = token_store.read_store(spark, manifest, ids=True).collect()
+    assert sorted(np.array(r["ids"], "<u4").tobytes() for r in got) == sorted(CODER._whole(t or "") + (2).to_bytes(4, "little") for _, t in rows)
 
 
 def test_packing_by_shuffled_joins(spark, docs, rows, none, shuffled, monkeypatch):
