@@ -57,7 +57,7 @@ def repair(bars: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     return flagged.where("__k = 1").drop("__k", "__down", "reason", "repaired"), report
 
 
-#: Names of tables that hold no stock.
+#: Names of tables that hold no stock: fixed values.
 NON_STOCK = ("SUMMARY", "META", "METADATA", "CONFIG", "DASHBOARD", "INDEX", "SHEET1")
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quantloom.functions.scalars import last_by
 
 
+#: What spam says: fixed values.
+SPAM = "giveaway|airdrop|claim now|join my"
+
+
 def tag_entities(posts: DataFrame, aliases: DataFrame, key: str, text: str, default: str | None = "GENERAL") -> DataFrame:
     """A row per (post, ticker) whose text holds one of the ticker's terms between non-alphanumerics, in any case.
 
@@ -29,7 +33,7 @@ def tag_entities(posts: DataFrame, aliases: DataFrame, key: str, text: str, defa
 
 def is_spam(text: Column, followers: Column, name: Column) -> Column:
     """Give-away words, under 25 followers (null passes), or a blank display name."""
-    return F.coalesce(text.rlike("(?i)giveaway|airdrop|claim now|join my"), F.lit(False)) | F.coalesce(followers < 25, F.lit(False)) | (F.trim(F.coalesce(name, F.lit(""))) == "")
+    return F.coalesce(text.rlike(f"(?i){SPAM}"), F.lit(False)) | F.coalesce(followers < 25, F.lit(False)) | (F.trim(F.coalesce(name, F.lit(""))) == "")
 
 
 def retain(df: DataFrame, ts: str, cutoff) -> DataFrame:
