@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, minhash, packing, quality, secret_scan, token_store
+from quantloom.llm import chat_format, decontaminate, exact_dedup, license_scan, line_dedup, minhash, packing, quality, secret_scan, tiered_packing, token_store, vector_codes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,5 +135,50 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256 FROM n
 """
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_pack, op3_secret_scan, op4_decontaminate, op5_chat_format, op6_minhash_near_dedup, op7_quality, op8_token_store, op9_line_dedup, op10_exact_dedup)}
-SQL = {"op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "pair")
+    return out.select("vec_id", "n", "deviation", "identity_error", each).select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "pair.whitened", "pair.explained", "identity_error")
+
+
+def op12_tiered_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiered_packing.pack_tiers(tiered_packing.token_items(_table(spark, sf_dir, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _assigned(books: str) -> str:
+    """Each part's nearest entry of a codebook: rows (id, p, v, label, d * 64 + e)."""
+    return f"""SELECT x.r, x.p, any_value(x.v) AS v, min(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + b.e) AS best
+  FROM parts x JOIN {books} b ON x.p = b.p GROUP BY x.r, x.p"""
+
+
+def _moved(books: str, assigned: str) -> str:
+    return f"""SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+    SELECT p, e, list(floor(total::DOUBLE / n)::BIGINT ORDER BY c) AS v FROM (
+      SELECT p, best % 64 AS e, c, sum(y)::BIGINT AS total, count(*) AS n FROM (SELECT p, best, unnest(v) AS y, unnest(range(len(v))) AS c FROM {assigned}) GROUP BY p, best % 64, c) GROUP BY p, e
+  ) m ON m.p = b.p AND m.e = b.e"""
+
+
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS v FROM (SELECT r, v, unnest(range(16)) AS p FROM kept)),
+b0 AS (SELECT p, r AS e, v FROM parts WHERE r < 64),
+a0 AS ({_assigned("b0")}),
+b1 AS ({_moved("b0", "a0")}),
+a1 AS ({_assigned("b1")}),
+b2 AS ({_moved("b1", "a1")}),
+a2 AS ({_assigned("b2")}),
+codes AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM kept JOIN codes USING (r)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_pack, op3_secret_scan, op4_decontaminate, op5_chat_format, op6_minhash_near_dedup, op7_quality, op8_token_store, op9_line_dedup, op10_exact_dedup, op11_embedding_whitening, op12_tiered_pack, op13_vector_codes)}
+SQL = {"op4_decontaminate": OP4_SQL, "op5_chat_format": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op13_vector_codes": OP13_SQL}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, packing, token_store, tokens
+from quantloom.llm import chat_format, packing, tiered_packing, token_store, tokens
 
 CODER = tokens.coder(tokens.default_path())
 
@@ -248,3 +248,77 @@ def test_native_plan_of_chats_runs_no_python(spark):
     df = spark.createDataFrame([(1, [("user", "a")])], "k long, turns array<struct<role:string,text:string>>")
     plan = chat_format.read_back(chat_format.format_chats(df, "k"), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def _check_tiers(runs, counts, tiers):
+    """Every item is cut without gap into parts, every sequence is filled without gap."""
+    items, sequences = {}, {}
+    for item, start, rank, n, length, sequence, offset, tier, _ in runs.tolist():
+        for q in range(n):
+            items.setdefault((item, rank + q), []).append((start, length))
+            sequences.setdefault(sequence + q, [tier]).append((offset, length))
+    assert Counter(x for x, _ in items) == Counter({x: n for x, n in counts.items() if n}) and Counter(s[0] for s in sequences.values()) == tiers
+    for own, whole in [*((v, k[0]) for k, v in items.items()), *((v[1:], v[0]) for v in sequences.values())]:
+        at = 0
+        for start, length in sorted(own):
+            assert start == at and length > 0
+            at += length
+        assert at == whole
+
+
+def test_tier_plans_have_no_padding():
+    rng = random.Random(9)
+    for _ in range(60):
+        counts = {x: rng.randint(1, 40) for x in rng.sample(range(1, 257), rng.randint(1, 50))}
+        runs, tiers = tiered_packing.plan(counts, 256, 32)
+        assert all(t & (t - 1) == 0 and t <= 256 for t in tiers)
+        _check_tiers(runs, counts, tiers)
+    for counts in ({}, {1: 1}, {256: 3}, {1: 3000}, {255: 500}, {129: 77, 128: 1}):
+        _check_tiers(*(lambda p: (p[0], counts, p[1]))(tiered_packing.plan(counts, 256, 32)))
+
+
+def test_tier_plans_don_t_grow_with_the_corpus():
+    rng = random.Random(10)
+    counts = {x: rng.randint(1, 90) for x in range(1, 2049)}
+    small, large = (tiered_packing.plan({x: n * k for x, n in counts.items()}) for k in (1, 10_000))
+    assert len(large[0]) < 5 * len(small[0]) and sum(large[0][:, 3] * large[0][:, 4]) == 10_000 * sum(x * n for x, n in counts.items())
+    start = time.time()
+    runs, _ = tiered_packing.plan({1025: 10**9, 3: 10**9})
+    assert time.time() - start < 2 and len(runs) < 20_000
+
+
+def test_steps_are_balanced():
+    tiers = {256: 1000, 64: 777, 32: 5, 8: 1}
+    tier = np.concatenate([np.full(n, t) for t, n in tiers.items()])
+    step = tiered_packing.steps(tier, np.concatenate([np.arange(n) for n in tiers.values()]), tiers, 1024)
+    assert set(step.tolist()) == set(range(step.max() + 1))
+    for s in range(step.max() + 1):
+        own = tier[step == s]
+        assert len(set(own.tolist())) == 1 and len(own) <= 1024 // own[0]
+    for t, n in tiers.items():
+        sizes = Counter(step[tier == t].tolist()).values()
+        assert max(sizes) - min(sizes) <= 1 and len(sizes) == -(-n * t // 1024)
+
+
+def test_tiered_packing_of_documents(spark, docs, rows, none):
+    out = tiered_packing.pack_tiers(tiered_packing.token_items(docs.repartition(5), capacity=256), 256, 32, 1024).collect()
+    ids = {}
+    for i, t in rows:
+        ids.setdefault(str(i), []).append(CODER._whole(t or "") + (1).to_bytes(4, "little"))
+    for i, own in ids.items():
+        mine = [r for r in out if str(r["doc_id"]) == i]
+        for r in mine:
+            assert any(zlib.crc32(x[4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] and 4 * r["doc_tokens"] == len(x) for x in own)
+        if len(own) == 1:
+            ends = sorted(r["start"] + r["length"] for r in mine)
+            assert sorted(r["start"] for r in mine) == [0, *ends[:-1]] and ends[-1] == len(own[0]) // 4
+        assert sum(r["length"] for r in mine) == sum(len(x) for x in own) // 4
+    full = {r["sequence_id"]: r["tier"] for r in out}
+    assert all(t & (t - 1) == 0 for t in full.values()) and _check_packing(out, 256) == len(full)
+    assert {s: sum(r["length"] for r in out if r["sequence_id"] == s) for s in full} == full
+    assert len({(r["sequence_id"], r["step"]) for r in out}) == len(full)
+    assert tiered_packing.pack_tiers(tiered_packing.token_items(none)).count() == 0
+
+
+def test_tiered_packing_by_shuffled_joins(spark, docs, rows, none, shuffled):
+    test_tiered_packing_of_documents(spark, docs, rows, none)
