@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate, groupby
 
@@ -22,6 +22,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_RUN = re.compile("[ \t-\r]{2,}")
 _SEP, _IN = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", rb"[0-9a-z\x80-\xff]"
 
 
@@ -61,13 +62,30 @@ def unsuppressed(found: list[tuple[int, int, int, str, float]]) -> list[tuple[in
     return sorted(kept)
 
 
+def collapsed(low: str) -> tuple[str, Callable[[int], int]]:
+    """The text with one space for each run of ASCII white space, and the place in ``low`` of each place there."""
+    runs = [m.span() for m in _RUN.finditer(low)]
+    if not runs:
+        return low, lambda at: at
+    removed = list(accumulate((end - start - 1 for start, end in runs), initial=0))
+    places = [start - gone for (start, _), gone in zip(runs, removed)]
+    return _RUN.sub(" ", low), lambda at: at + removed[bisect_left(places, at)]
+
+
 def detections(low: str, gate, by) -> list[tuple[int, int, int, str, float]]:
     """What the rules find in lower-case text; only rules whose keyword is there are run. Keywords are
-    looked up with each run of white space as one space, as the rules take any run."""
+    looked up with each run of white space as one space, as the rules take any run.
+
+    Rules run over the text with such runs as one space too, and places are carried back: neighbouring optional
+    blanks of a rule then have one character at most to share, so that a rule takes time in proportion to any run of blanks, hyphens or commas."""
+    keywords = {k for _, k in gate.iter(" ".join(low.split()))}
+    if not keywords:
+        return []
+    flat, place = collapsed(low)
     found = []
-    for keyword in {k for _, k in gate.iter(" ".join(low.split()))}:
+    for keyword in keywords:
         for rule, regex in by[keyword]:
-            found += [(m.start(), m.end(), rule.priority, rule.label, rule.score) for m in regex.finditer(low)]
+            found += [(place(m.start()), place(m.end() - 1) + 1, rule.priority, rule.label, rule.score) for m in regex.finditer(flat)]
     return unsuppressed(found)
 
 

@@ -80,6 +80,33 @@ def test_no_rule_is_lost_to_its_keyword():
                     assert {d[3] for d in license_scan.detections(text, gate, defaultdict(list, {rule.keyword: [(rule, regex)]}))} == {rule.label}, (rule, text)
 
 
+def test_rules_are_linear_in_runs():
+    """Each rule's openings, cut at each of its gaps, with runs of hyphens, commas or a mix behind, and the optional parts' own with 20,000."""
+    gate, by, _ = license_scan._compiled()
+    rng, openings = random.Random(4), set()
+    for rule, _ in [x for own in by.values() for x in own]:
+        parts = [x or " " for x in _sample(re._parser.parse(rule.regex, re.S), rng)]
+        openings |= {"".join(parts[:k]).lower().rstrip() for k, x in enumerate(parts) if x in " -" and k} | {"".join(parts[:-1]).lower()}
+    hits = [o for o in sorted(openings) if any(gate.iter(" ".join(o.split())))]
+    assert len(hits) > 500
+    for run in ("-", ",", " \t- ,"):
+        text, start = run * (1500 // len(run)), time.process_time()
+        license_scan.detections(" | ".join(o + text for o in hits), gate, by)
+        assert time.process_time() - start < 20, run
+    start = time.process_time()
+    for text in ("creative commons attribution" + " " * 20_000, "gnu general public license" + " \n" * 20_000 + "3", "creative commons attribution" + " -" * 20_000 + " licence", "gnu general public license" + ", " * 20_000, "cc" + "- " * 20_000 + "by"):
+        license_scan.detections(text, gate, by)
+    assert time.process_time() - start < 0.5
+
+
+def test_places_are_those_of_the_text():
+    gate, by, _ = license_scan._compiled()
+    for blank in (" ", "\n\n", " \t" * 300):
+        text = blank + "é" + blank + blank.join("the gnu general public license, version 3".split()) + blank + "and the mit" + blank + "license" + blank
+        found = license_scan.detections(text, gate, by)
+        assert {(text[s:e].split()[0], text[s:e].split()[-1], d) for s, e, _, d, _ in found} == {("gnu", "3", "gpl-3.0"), ("mit", "license", "mit")}
+
+
 def test_wrapped_names_keep_their_labels():
     gate, by, _ = license_scan._compiled()
     for text, label in {
