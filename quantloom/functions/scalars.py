@@ -70,6 +70,8 @@ def row_hash(*cells: Column) -> Column:
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in an explicit order."""
+    """The last row of each key in an explicit order. Without keys all rows would be one group, so that is an error."""
+    if not keys:
+        raise ValueError("last_by() needs a key")
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")

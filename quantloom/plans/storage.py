@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,6 +117,22 @@ def s8_merge(spark, sf_dir):
     return rounded(sinks.current(spark, root), "close")
 
 
+@query("s8_s14_missing_keys", f"""WITH {_TWO}, n AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY close DESC) AS k FROM b)
+SELECT 'merged' AS side, symbol, date, {_r('close', 'close')} FROM a UNION ALL SELECT 'merged', symbol, NULL, {_r('close', 'close')} FROM n WHERE k = 1
+UNION ALL SELECT 'drained', symbol, date, {_r('close', 'close')} FROM a UNION ALL SELECT 'drained', symbol, NULL, {_r('close', 'close')} FROM b""")
+def s8_missing(spark, sf_dir):
+    """A batch that lacks a key replaces only rows that lack it too; without any key, no row replaces another."""
+    first, second = _two(spark, sf_dir)
+    second = second.drop("date")
+    root, inbox, out = (new_path(spark, x) for x in ("merged", "inbox", "delivered"))
+    for rows in (first, second):
+        sinks.merge_stage(rows, root, ["symbol", "date"], ["close"])
+        sinks.stage(rows, inbox, replace=False)
+    sinks.drain(spark, inbox, sinks.Once(out), ["absent"], ["close"])
+    both = sinks.current(spark, root).withColumn("side", F.lit("merged")).unionByName(sinks.Once(out).rows(spark).withColumn("side", F.lit("drained")))
+    return rounded(both, "close", keys=("side", "symbol", "date"))
+
+
 @query("s10_p12_aligned_append", f"""WITH {BARS} SELECT symbol, date, {_r('close', 'close')}, CASE WHEN day(date) % 3 <> 0 THEN 1 ELSE 0 END AS predicted, '' AS forecast FROM bars WHERE day(date) % 3 <> 0
 UNION ALL SELECT symbol, date, {_r('close', 'close')}, 0, '' FROM bars WHERE day(date) % 2 = 0""")
 def s10_append(spark, sf_dir):
@@ -152,11 +169,12 @@ def s12_documents(spark, sf_dir):
 
 
 def _feed(spark, parts: list[DataFrame], label: str) -> DataFrame:
-    """The parts as files that a stream takes one a batch, in order."""
+    """The parts as equal numbers of files, as many as shuffles have partitions, that a stream takes a part a batch, in order."""
     path = new_path(spark, label)
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), *[df.count() for df in parts]))
     for k, df in enumerate(parts):
-        df.coalesce(1).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+        df.repartition(files).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
 
 
 @query("x1_stream_bars", f"WITH {BARS} SELECT symbol, date, {_r('close', 'close')} FROM bars")
@@ -218,7 +236,7 @@ def x5_watermarks(spark, sf_dir):
     b, state = bars(spark, sf_dir).select("symbol", "date"), new_path(spark, "watermarks")
     y = F.year("date")
     flows.stream_watermarks(_feed(spark, [b.where(y > 1999), b.where(y <= 1995), b.where((y > 1995) & (y <= 1999))], "bar-files"), state, new_path(spark, "ck")).awaitTermination()
-    return sinks.current(spark, state).select("symbol", F.col("last_date").cast("string").alias("last_date"))
+    return flows.watermarks(spark, state).select("symbol", F.col("last_date").cast("string").alias("last_date"))
 
 
 @query("x6_retry_inbox", f"WITH {_TWO} SELECT symbol, date, {_r('close', 'close')} FROM u WHERE k = 1")
@@ -236,6 +254,27 @@ def x6_inbox(spark, sf_dir):
     return rounded(spark.read.parquet(out), "close")
 
 
+@query("x6_s14_delivery_ledger", f"WITH {_TWO} SELECT symbol, date, {_r('close', 'close')}, 2 AS deliveries FROM a UNION ALL SELECT symbol, date, {_r('close', 'close')}, 2 FROM b")
+def x6_ledger(spark, sf_dir):
+    """The stream dies after the first delivery was written and before it is noted as done; started again from its checkpoint, it delivers each row once."""
+
+    class Dies(sinks.Once):
+        def write(self, df: DataFrame, delivery: str) -> int:
+            super().write(df, delivery)
+            raise RuntimeError("lost after delivery")
+
+    out, checkpoint, inbox = new_path(spark, "delivered"), new_path(spark, "ck"), new_path(spark, "inbox")
+    feed = _feed(spark, list(_two(spark, sf_dir)), "batch-files")
+    for sink in (Dies(out), sinks.Once(out)):
+        try:
+            flows.stream_inbox(feed, inbox, ["symbol", "date"], ["close"], sink, checkpoint).awaitTermination()
+        except StreamingQueryException:
+            if not isinstance(sink, Dies):
+                raise
+    rows, n = sinks.Once(out).rows(spark), len(sinks.Once(out).deliveries(spark))
+    return rounded(rows.withColumn("deliveries", F.lit(n).cast("long")), "close", "deliveries")
+
+
 @query("l1_chronological", f"""WITH {BARS}, r AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY close, date) AS seq, CASE WHEN day(date) % 9 <> 0 THEN date END AS date FROM bars)
 SELECT symbol, seq, lag(seq) OVER (PARTITION BY symbol ORDER BY date NULLS FIRST, seq) AS before FROM r""", dated=False)
 def l1_chronological(spark, sf_dir):

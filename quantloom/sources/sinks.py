@@ -1,13 +1,14 @@
 """Sinks: an inbox of staged batches, upserted tables, aligned appends, per-symbol files and nested documents.
 
 A Spark job can't overwrite what it reads, so data goes to new folders, and small log rows
-then say which folders count. What a failed job leaves is never named by the log.
+then say which folders count. What a failed job leaves is never named by the log. A root has one writer at a time, as log rows
+are numbered by those there are; readers may come at any time.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -16,25 +17,36 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by
 from quantloom.functions.tables import remove
-from quantloom.operators.changes import upsert
 
 _LOG = "folder string, part string, seq long, live boolean"
+_ATTEMPTS = "delivery string, folders array<string>, open boolean"
+_LEDGER = "delivery string, n long"
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame:
-    """The log of a root: one row a change of a folder; empty if there is none."""
+def _rows_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A small table that rows are appended to; empty if it isn't there."""
     try:
-        return spark.read.schema(_LOG).parquet(f"{root}/_log")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _LOG)
+        return spark.createDataFrame([], schema)
+
+
+def _append(spark: SparkSession, path: str, schema: str, rows: list[tuple]) -> None:
+    """Rows in one file, so that they count together."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    """The log of a root: one row a change of a folder; empty if there is none."""
+    return _rows_of(spark, f"{root}/_log", _LOG)
 
 
 def _append_log(spark: SparkSession, root: str, rows: list[tuple[str, str, bool]]) -> None:
     """Rows (folder, part, live), all with the next number of the log, in one file, so that they count together."""
     seq = (_log(spark, root).agg(F.max("seq")).first()[0] or 0) + 1
-    spark.createDataFrame([(f, p, seq, live) for f, p, live in rows], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/_log")
+    _append(spark, f"{root}/_log", _LOG, [(f, p, seq, live) for f, p, live in rows])
 
 
 def _batches(spark: SparkSession, root: str) -> list[str]:
@@ -48,42 +60,101 @@ def _union(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def stage(df: DataFrame, root: str, replace: bool = True) -> bool:
-    """A new pending batch, in place of those before it or (``replace`` off) behind them; nothing without rows."""
+def _last(rows: DataFrame, keys: list[str] | None, order: Iterable[str]) -> DataFrame:
+    """The last row of each key, by those keys that the rows have; all rows where they have none."""
+    keys = [k for k in keys or [] if k in rows.columns]
+    return last_by(rows, keys, list(order)) if keys else rows
+
+
+def stage(df: DataFrame, root: str, replace: bool = True, name: str | None = None) -> bool:
+    """A new pending batch, in place of those before it or (``replace`` off) behind them; nothing without rows. A batch with
+    a ``name`` is staged once: again under that name, whether it waits or was delivered, it changes nothing."""
     if df.isEmpty():
         return False
-    spark, folder = df.sparkSession, f"b-{uuid.uuid4().hex}"
+    spark, folder = df.sparkSession, f"b-{name or uuid.uuid4().hex}"
+    if name and not _log(spark, root).where(F.col("folder") == folder).isEmpty():
+        return False
     old = _batches(spark, root) if replace else []
-    df.write.parquet(f"{root}/{folder}")
+    df.write.mode("overwrite").parquet(f"{root}/{folder}")
     _append_log(spark, root, [(folder, "", True), *((f, "", False) for f in old)])
     return True
 
 
 def pending(spark: SparkSession, root: str, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame | None:
-    """All rows that wait, or None. With ``keys`` the last of each counts, later batches over earlier ones."""
+    """All rows that wait, or None. With ``keys`` the last of each counts, later batches over earlier ones; keys that no batch has don't
+    count, and rows of a batch without one that others have are null there."""
     folders = _batches(spark, root)
-    if not folders:
-        return None
-    rows = _union(spark, root, folders)
-    return last_by(rows, [k for k in keys if k in rows.columns], ["_batch", *(order or [])]).drop("_batch") if keys else rows.drop("_batch")
+    return _last(_union(spark, root, folders), keys, ["_batch", *(order or [])]).drop("_batch") if folders else None
 
 
-def drain(spark: SparkSession, root: str, sink: Callable[[DataFrame], int], keys: list[str] | None = None, order: list[str] | None = None) -> int | None:
-    """Hand what waits to ``sink``; just those batches are done if it wrote all their rows, so a batch staged meanwhile
-    waits on. None if nothing waits."""
-    folders = _batches(spark, root)
-    if not folders:
-        return None
-    rows = _union(spark, root, folders)
-    rows = last_by(rows, [k for k in keys if k in rows.columns], ["_batch", *(order or [])]).drop("_batch") if keys else rows.drop("_batch")
+class Once:
+    """A table that takes each delivery once, told apart by its id: rows go to the delivery's own folder, which only a row of a ledger
+    makes count. Written again after a failure, a folder is replaced; an id in the ledger is left as it is."""
+
+    def __init__(self, root: str) -> None:
+        self.root = root
+
+    def deliveries(self, spark: SparkSession) -> dict[str, int]:
+        """The rows of each delivery that counts."""
+        return {r["delivery"]: r["n"] for r in _rows_of(spark, f"{self.root}/_ledger", _LEDGER).collect()}
+
+    def write(self, df: DataFrame, delivery: str) -> int:
+        """The rows that the delivery has, whether now or by an earlier call."""
+        spark, folder = df.sparkSession, f"{self.root}/d-{delivery}"
+        n = self.deliveries(spark).get(delivery)
+        if n is None:
+            df.write.mode("overwrite").parquet(folder)
+            n = spark.read.parquet(folder).count()
+            _append(spark, f"{self.root}/_ledger", _LEDGER, [(delivery, n)])
+        return n
+
+    def rows(self, spark: SparkSession) -> DataFrame | None:
+        """What was delivered; None before the first delivery."""
+        done = sorted(self.deliveries(spark))
+        return spark.read.option("mergeSchema", True).parquet(*[f"{self.root}/d-{d}" for d in done]) if done else None
+
+
+def _attempt(spark: SparkSession, root: str) -> tuple[str, list[str]] | None:
+    """The delivery that was begun and isn't known to have ended."""
+    rows = _rows_of(spark, f"{root}/_attempts", _ATTEMPTS).groupBy("delivery").agg(F.first("folders").alias("folders"), F.bool_and("open").alias("open")).where("open").collect()
+    return next(((r["delivery"], r["folders"]) for r in rows), None)
+
+
+def _hand_over(spark: SparkSession, root: str, sink: Callable[[DataFrame], int] | Once, delivery: str, folders: list[str], keys: list[str] | None, order: list[str] | None) -> int:
+    rows = _last(_union(spark, root, folders), keys, ["_batch", *(order or [])]).drop("_batch")
     n = rows.count()
-    written = sink(rows)
+    written = sink.write(rows, delivery) if isinstance(sink, Once) else sink(rows)
     if written == n:
         _append_log(spark, root, [(f, "", False) for f in folders])
     return written
 
 
-def collect(spark: SparkSession, root: str, fetch: Callable[[], DataFrame], sink: Callable[[DataFrame], int], enabled: bool = True, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame | None:
+def drain(spark: SparkSession, root: str, sink: Callable[[DataFrame], int] | Once, keys: list[str] | None = None, order: list[str] | None = None) -> int | None:
+    """Hand what waits to ``sink``; just those batches are done if it wrote all their rows, so a batch staged meanwhile
+    waits on. None if nothing waits.
+
+    A function may get rows again when the run fails between its return and the note that they are done. A Once table gets each row once: which batches
+    go under which id is noted before, and a run that finds such a note without its end hands over just those batches under that
+    id again, which the table knows, before it turns to what was staged since."""
+    ours, written = isinstance(sink, Once), None
+    if ours and (begun := _attempt(spark, root)):
+        delivery, folders = begun
+        if set(folders) <= set(_batches(spark, root)):  # else only the note of its end is missing
+            written = _hand_over(spark, root, sink, delivery, folders, keys, order)
+        _append(spark, f"{root}/_attempts", _ATTEMPTS, [(delivery, folders, False)])
+    folders = _batches(spark, root)
+    if not folders:
+        return written
+    delivery = uuid.uuid4().hex
+    if ours:
+        _append(spark, f"{root}/_attempts", _ATTEMPTS, [(delivery, folders, True)])
+    more = _hand_over(spark, root, sink, delivery, folders, keys, order)
+    if ours:
+        _append(spark, f"{root}/_attempts", _ATTEMPTS, [(delivery, folders, False)])
+    return more + (written or 0)
+
+
+def collect(spark: SparkSession, root: str, fetch: Callable[[], DataFrame], sink: Callable[[DataFrame], int] | Once, enabled: bool = True, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame | None:
     """One ingest run: drain what waits, then, if collection is on, stage what ``fetch`` brings behind
     what a failed sink left; returns what waits now. Nothing retained is lost, whether a sink fails or not."""
     drain(spark, root, sink, keys, order)
@@ -101,7 +172,9 @@ def _current(spark: SparkSession, root: str) -> dict[str, str]:
 def current(spark: SparkSession, root: str, parts: list[str] | None = None) -> DataFrame | None:
     """The rows of a merged table that count, or those of some parts; None if there are none."""
     folders = {p: f for p, f in _current(spark, root).items() if parts is None or p in parts}
-    return spark.read.parquet(*[f"{root}/{f}/_part={p}" for p, f in sorted(folders.items())]) if folders else None
+    # Batches may differ in columns, so the folders' schemas are merged where there are several.
+    reader = spark.read.option("mergeSchema", len(set(folders.values())) > 1)
+    return reader.parquet(*[f"{root}/{f}/_part={p}" for p, f in sorted(folders.items())]) if folders else None
 
 
 def _part(part: Column | None) -> Column:
@@ -119,22 +192,19 @@ def _publish(df: DataFrame, root: str, part: Column | None = None) -> int:
 
 
 def merge_stage(df: DataFrame, root: str, keys: list[str], order: list[str], part: Column | None = None) -> int:
-    """Upsert into a merged table: the last of each key wins, fresh rows over retained ones; keys that the rows lack don't count.
+    """Upsert into a merged table: the last of each key wins, fresh rows over retained ones.
 
-    With ``part``, an expression over the keys such as a month, only the parts that ``df`` has rows
+    Keys are those that fresh or retained rows have; rows of the side that lacks one are null there, and meet only
+    rows that are null there too. Where neither side has any, no row replaces another. With ``part``, an expression over the keys such as a month, only the parts that ``df`` has rows
     of are read and written anew. Returns the number of rows written."""
     spark = df.sparkSession
-    keys = [k for k in keys if k in df.columns]
     touched = [r[0] for r in df.select(_part(part).alias("p")).distinct().collect()]
+    if not touched:
+        return 0
     old = current(spark, root, touched)
-    return _publish(last_by(df, keys, order) if old is None else upsert(old, df, keys, order), root, part) if touched else 0
-
-
-def clear(spark: SparkSession, root: str, schema) -> None:
-    """Make a merged table of one part empty."""
-    folder = f"v-{uuid.uuid4().hex}"
-    spark.createDataFrame([], schema).write.parquet(f"{root}/{folder}/_part=all")
-    _append_log(spark, root, [(folder, "all", True)])
+    rows = df.withColumn("__batch", F.lit(1))
+    rows = rows if old is None else old.withColumn("__batch", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    return _publish(_last(rows, keys, ["__batch", *order]).drop("__batch"), root, part)
 
 
 def vacuum(spark: SparkSession, root: str) -> int:

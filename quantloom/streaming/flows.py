@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quantloom.operators.changes import actionable, diff_snapshots
-from quantloom.sources.sinks import _publish, clear, current, merge_stage
+from quantloom.sources.sinks import Once, _publish, current, drain, merge_stage, stage
 
 
-def _run(sdf: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return sdf.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _run(sdf: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return sdf.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _name(checkpoint: str) -> str:
+    """A stream's name: batches are numbered within a checkpoint."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
 def stream_bars(sdf: DataFrame, target: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
@@ -53,25 +61,60 @@ def stream_changes(sdf: DataFrame, state: str, on_change: Callable[[DataFrame],
     return _run(sdf, each, checkpoint)
 
 
-def stream_watermarks(sdf: DataFrame, state: str, checkpoint: str) -> StreamingQuery:
-    """The last date seen by symbol, as an upserted table; a late batch never moves it back."""
+class _LastDate(StatefulProcessor):
+    """The last date of one symbol, as a value state; a row comes out when it moves."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("symbol").agg(F.max("date").alias("last_date"))
-        old = current(batch.sparkSession, state)
-        both = last if old is None else last.unionByName(old)
-        merge_stage(both.groupBy("symbol").agg(F.max("last_date").alias("last_date")), state, ["symbol"], ["last_date"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "last_date date")
 
-    return _run(sdf, each, checkpoint)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = max((pdf["date"].max() for pdf in rows), default=None)
+        before = self.state.get()[0] if self.state.exists() else None
+        if last is not None and (before is None or last > before):
+            self.state.update((last,))
+            yield pd.DataFrame({"symbol": [key[0]], "last_date": [last]})
 
+    def close(self) -> None:
+        pass
 
-def stream_inbox(sdf: DataFrame, inbox: str, keys: list[str], order: list[str | Column], sink: Callable[[DataFrame], bool], checkpoint: str) -> StreamingQuery:
-    """Batches join what is retained; a sink that fails (returns False) leaves all for the next batch."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        merge_stage(batch, inbox, keys, order)
-        held = current(batch.sparkSession, inbox)
-        if held is not None and sink(held):
-            clear(batch.sparkSession, inbox, held.schema)
+def last_dates(sdf: DataFrame) -> DataFrame:
+    """Rows (symbol, last_date) each time that a symbol's last date moves on, from keyed state; a late row never moves it back. A task has the
+    state of its symbols in a store that is part of the checkpoint, so a restart goes on from there. Rows are pre-aggregated before they are dealt by symbol, so that
+    a symbol with most of them isn't much to its task. Rows without date tell nothing; those without symbol are left out."""
+    spark = sdf.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = sdf.schema["symbol"].dataType.simpleString()
+
+    def latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = pa.table(batch).group_by("symbol").aggregate([("date", "max")]).select(["symbol", "date_max"]).rename_columns(["symbol", "date"])
+            yield from last.to_batches()
+
+    rows = sdf.where("symbol is not null and date is not null").select("symbol", F.col("date").cast("date").alias("date")).mapInArrow(latest, f"symbol {kind}, date date")
+    return rows.groupBy("symbol").transformWithStateInPandas(_LastDate(), f"symbol {kind}, last_date date", "Update", "None")
+
+
+def stream_watermarks(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """The last date seen by symbol, from keyed state (last_dates). A batch writes only the symbols whose date moves, once, as a folder of its own; ``watermarks``
+    reads the table."""
+    table = Once(target)
+    return _run(last_dates(sdf), lambda batch, k: table.write(batch, f"{_name(checkpoint)}-{k}") and None, checkpoint, mode="update")
+
+
+def watermarks(spark: SparkSession, target: str) -> DataFrame | None:
+    """The table of stream_watermarks: a row a symbol; None before its first batch."""
+    rows = Once(target).rows(spark)
+    return rows.groupBy("symbol").agg(F.max("last_date").alias("last_date")) if rows is not None else None
+
+
+def stream_inbox(sdf: DataFrame, inbox: str, keys: list[str], order: list[str | Column], sink: Callable[[DataFrame], bool] | Once, checkpoint: str) -> StreamingQuery:
+    """Batches join what is retained; a sink that fails (returns False) leaves all for the next batch. A batch is staged under the stream's name and its number, so that
+    one which runs again after a failure isn't staged again; with a Once table each row is delivered once wherever the run fails."""
+    whole = sink if isinstance(sink, Once) else lambda df: df.count() if sink(df) else -1
+
+    def each(batch: DataFrame, k: int) -> None:
+        stage(batch, inbox, replace=False, name=f"{_name(checkpoint)}-{k}")
+        drain(batch.sparkSession, inbox, whole, keys, order)
 
     return _run(sdf, each, checkpoint)

@@ -184,3 +184,71 @@ def test_export_blank_rows_and_nested_financials(spark):
     df = spark.sql("select 1 as id, 2.5D as debt, cast(null as double) as equity")
     back = fundamentals.decode_financials(fundamentals.encode_financials(df, ["debt", "equity"]).unionByName(spark.sql("select 2 as id, 'bad' as financials")), ["debt", "equity"])
     assert sorted(((r["id"], r["debt"], r["equity"]) for r in back.collect()), key=str) == [(1, 2.5, None), (2, None, None)]
+
+
+def test_rows_that_lack_a_key_are_kept(spark, tmp_path):
+    make = lambda rows, schema="ticker string, hash int": spark.createDataFrame(rows, schema)
+    root = str(tmp_path / "m")
+    sinks.merge_stage(make([("x", 1), ("x", 2), ("y", 3)]), root, ["ticker", "hash"], [])
+    assert sinks.merge_stage(make([("x",)], "ticker string"), root, ["ticker", "hash"], []) == 4
+    assert sinks.merge_stage(make([("x", 2, 5)], "ticker string, hash int, more int"), root, ["ticker", "hash"], []) == 4
+    assert sorted(map(str, sinks.current(spark, root).collect())) == sorted(map(str, make([("x", 1, None), ("x", 2, 5), ("y", 3, None), ("x", None, None)], "ticker string, hash int, more int").collect()))
+    bare = str(tmp_path / "b")
+    assert sinks.merge_stage(make([("x", 1), ("x", 1)]), bare, ["absent"], []) == 2 and sinks.merge_stage(make([("x", 1)]), bare, ["absent"], []) == 3
+    inbox = str(tmp_path / "i")
+    for rows in ([("x", 1), ("x", 2)], [("y", 1)]):
+        sinks.stage(make(rows), inbox, replace=False)
+    assert sinks.pending(spark, inbox, ["absent"]).count() == 3 and sinks.pending(spark, inbox, ["ticker", "absent"]).count() == 2
+    got = []
+    assert sinks.drain(spark, inbox, lambda df: got.extend(df.collect()) or len(got), ["absent"]) == 3 and len(got) == 3
+    with pytest.raises(ValueError):
+        scalars.last_by(make([("x", 1)]), [], ["hash"])
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_a_delivery_counts_once_wherever_a_run_dies(spark, tmp_path, monkeypatch, at):
+    """The at-th note or table of the first drain isn't written; the next run delivers what is missing, and nothing twice."""
+    inbox, out = str(tmp_path / "i"), sinks.Once(str(tmp_path / "o"))
+    make = lambda *rows: spark.createDataFrame(rows, "key string, v int")
+    assert sinks.stage(make(("a", 1), ("b", 1)), inbox, replace=False, name="one") and not sinks.stage(make(("a", 9)), inbox, replace=False, name="one")
+    steps, append = [], sinks._append
+
+    def fails(*args):
+        steps.append(args[1])
+        if len(steps) == at + 1:
+            raise OSError("lost")
+        return append(*args)
+
+    monkeypatch.setattr(sinks, "_append", fails)
+    died = False
+    try:
+        sinks.drain(spark, inbox, out, ["key"], ["v"])
+    except OSError:
+        died = True
+    monkeypatch.setattr(sinks, "_append", append)
+    assert died == (at < 4) and len(steps) == min(at + 1, 4)
+    assert not sinks.stage(make(("a", 9)), inbox, replace=False, name="one")
+    sinks.stage(make(("b", 2), ("c", 2)), inbox, replace=False, name="two")
+    sinks.drain(spark, inbox, out, ["key"], ["v"])
+    # Where the first run noted nothing, the batches go together and the last row of a key counts.
+    assert sorted(map(tuple, out.rows(spark).collect())) == ([("a", 1), ("b", 2), ("c", 2)] if at == 0 else [("a", 1), ("b", 1), ("b", 2), ("c", 2)])
+    assert sinks.drain(spark, inbox, out, ["key"], ["v"]) is None and sinks.pending(spark, inbox) is None and sinks._attempt(spark, inbox) is None
+
+
+def test_watermark_state_goes_on_after_a_restart(spark, tmp_path):
+    day, kind = lambda d: dt.date(2024, 1, d), "symbol string, date date, more int"
+    feed, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
+
+    def run(k, rows):
+        spark.createDataFrame([(*r, 1) for r in rows], kind).repartition(2).write.parquet(f"{feed}/{k}")
+        sdf = spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(feed)
+        flows.stream_watermarks(sdf, target, checkpoint).awaitTermination(120)
+        return sorted((r["symbol"], r["last_date"].day) for r in flows.watermarks(spark, target).collect())
+
+    assert flows.watermarks(spark, target) is None
+    assert run(0, [("a", day(5)), ("a", day(3)), ("b", day(2)), (None, day(9)), ("n", None)]) == [("a", 5), ("b", 2)]
+    # A new query from the checkpoint: a late row moves nothing back, and only what moves is written.
+    assert run(1, [("a", day(4)), ("b", day(7)), ("c", day(1))]) == [("a", 5), ("b", 7), ("c", 1)]
+    assert sorted((r["symbol"], r["last_date"].day) for r in sinks.Once(target).rows(spark).collect()) == [("a", 5), ("b", 2), ("b", 7), ("c", 1)]
+    assert run(2, [("b", day(7)), ("c", day(1))]) == [("a", 5), ("b", 7), ("c", 1)]
+    assert sinks.Once(target).rows(spark).count() == 4
