@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by
 from quantloom.functions.schemas import drop_labels
+from quantloom.functions.tables import cut
 
 
 def sheet_hash(rows: DataFrame) -> DataFrame:
@@ -16,14 +17,62 @@ def sheet_hash(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sheet").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sheet_hash"))
 
 
-def diff_snapshots(prev: DataFrame, cur: DataFrame) -> DataFrame:
+#: Rows of a block, and blocks of a group, of a hash tree.
+FAN = 1024
+
+
+def _digest(number: str, digest: str) -> Column:
+    """SHA-256 over a group's numbered hashes in order."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("k"), F.coalesce(F.col(digest), F.lit("")).alias("h")))), lambda x: F.concat(F.coalesce(x["k"].cast("string"), F.lit("")), F.lit(":"), x["h"]))
+    return F.sha2(F.array_join(lines, "\n"), 256)
+
+
+def hash_tree(rows: DataFrame, fan: int = FAN) -> DataFrame:
+    """The lowest level of a snapshot's hash tree: (sheet, block, n, block_hash) of each ``fan`` row numbers. A block is equal in two
+    snapshots if its hash is, and a fan-th of the rows' number in size."""
+    blocks = rows.select("sheet", F.floor(F.col("row_no") / fan).alias("block"), "row_no", "row_hash").groupBy("sheet", "block")
+    return blocks.agg(F.count("*").alias("n"), _digest("row_no", "row_hash").alias("block_hash"))
+
+
+def tree_hash(tree: DataFrame, fan: int = FAN) -> DataFrame:
+    """The root of each sheet's tree, over groups of ``fan`` blocks: (sheet, n, sheet_hash)."""
+    groups = tree.groupBy("sheet", F.floor(F.col("block") / fan).alias("group")).agg(F.sum("n").alias("n"), _digest("block", "block_hash").alias("group_hash"))
+    return groups.groupBy("sheet").agg(F.sum("n").alias("n"), _digest("group", "group_hash").alias("sheet_hash"))
+
+
+def unequal_blocks(before: DataFrame, after: DataFrame, fan: int = FAN) -> DataFrame:
+    """Two trees' blocks that differ or are there once, as a table: (sheet, block, sheet_before, sheet_after), the latter rows of the
+    whole sheet. Only sheets with unequal roots have their blocks compared."""
+    side = lambda tree, name: tree_hash(tree, fan).select(F.col("sheet").alias(f"sheet_{name}"), F.col("n").alias(f"rows_{name}"), F.col("sheet_hash").alias(f"hash_{name}"))
+    sheets = side(before, "a").join(side(after, "b"), F.col("sheet_a").eqNullSafe(F.col("sheet_b")), "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+    sheets = cut(sheets.select(F.coalesce("sheet_a", "sheet_b").alias("_sheet"), F.coalesce("rows_a", F.lit(0)).alias("sheet_before"), F.coalesce("rows_b", F.lit(0)).alias("sheet_after")), "sheets")
+    both = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1))).join(sheets, F.col("sheet").eqNullSafe(F.col("_sheet")))
+    hashes = both.groupBy("sheet", "block", "sheet_before", "sheet_after").agg(*[F.max(F.when(F.col("side") == k, F.col("block_hash"))).alias(f"h{k}") for k in (0, 1)])
+    return cut(hashes.where(~F.col("h0").eqNullSafe(F.col("h1"))).drop("h0", "h1"), "blocks")
+
+
+def rows_in(rows: DataFrame, blocks: DataFrame, fan: int = FAN) -> DataFrame:
+    """Those rows of a snapshot that lie in the blocks; no others leave the scan's stage where the blocks are few."""
+    at = blocks.select(F.col("sheet").alias("_sheet"), F.col("block").alias("_block"))
+    same = F.col("sheet").eqNullSafe(F.col("_sheet")) & F.floor(F.col("row_no") / fan).eqNullSafe(F.col("_block"))
+    return rows.select("sheet", "row_no", "row_hash").join(at, same, "left_semi")
+
+
+def diff_snapshots(prev: DataFrame, cur: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None, fan: int = FAN) -> DataFrame:
     """Rows (sheet, row_no, row_hash) against those before: a row per sheet with change and counts; sheets
-    without edits are left out, as are ones that only shrank."""
-    joined = prev.select("sheet", "row_no", F.col("row_hash").alias("before")).join(cur.select("sheet", "row_no", F.col("row_hash").alias("after")), ["sheet", "row_no"], "full")
-    out = joined.groupBy("sheet").agg(
-        F.count_if(F.col("before").isNull()).alias("added_rows"), F.count_if(F.col("before").isNotNull() & F.col("after").isNotNull() & ~F.col("before").eqNullSafe(F.col("after"))).alias("modified_rows"),
-        F.count_if(F.col("after").isNull()).alias("removed_rows"), F.count("before").alias("n_before"), F.count("after").alias("n_after"),
+    without edits are left out, as are ones that only shrank.
+
+    The snapshots' hash trees, ``before`` and ``after`` or else made here, are compared from their roots down, and rows are joined only under blocks that
+    differ, so that where little has changed little is read of ``prev`` and nothing but hashes is shuffled. A sheet of equal hash is no change."""
+    blocks = unequal_blocks(hash_tree(prev, fan) if before is None else before, hash_tree(cur, fan) if after is None else after, fan)
+    old, new = (rows_in(rows, blocks, fan).withColumnRenamed("row_hash", name) for rows, name in ((prev, "was"), (cur, "now")))
+    joined = old.withColumn("there", F.lit(1)).join(new.withColumn("here", F.lit(1)), ["sheet", "row_no"], "full")
+    counts = joined.groupBy("sheet").agg(
+        F.count_if(F.col("there").isNull()).alias("added_rows"), F.count_if(F.col("there").isNotNull() & F.col("here").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).alias("modified_rows"),
+        F.count_if(F.col("here").isNull()).alias("removed_rows"),
     )
+    sizes = blocks.groupBy(F.col("sheet").alias("_sheet")).agg(F.max("sheet_before").alias("n_before"), F.max("sheet_after").alias("n_after"))
+    out = counts.join(sizes, F.col("sheet").eqNullSafe(F.col("_sheet"))).drop("_sheet")
     change = F.when(F.col("n_before") == 0, "sheet_added").when(F.col("n_after") == 0, "sheet_removed").when(F.col("added_rows") + F.col("modified_rows") > 0, "updated")
     return out.withColumn("change", change).where("change is not null").drop("n_before", "n_after")
 

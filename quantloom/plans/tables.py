@@ -159,6 +159,23 @@ def a29_hash(spark, sf_dir):
     return changes.sheet_hash(snapshots(spark, sf_dir)[1])
 
 
+@query("j9_a29_hash_tree", f"""WITH {SNAPSHOTS}, s AS (SELECT 'cur' AS side, * FROM cur UNION ALL SELECT 'prev', * FROM prev),
+b AS (SELECT side, sheet, row_no // 16 AS block, count(*) AS n, sha256(string_agg(row_no || ':' || h, chr(10) ORDER BY row_no)) AS h FROM s GROUP BY 1, 2, 3),
+g AS (SELECT side, sheet, block // 16 AS grp, sum(n) AS n, sha256(string_agg(block || ':' || h, chr(10) ORDER BY block)) AS h FROM b GROUP BY 1, 2, 3),
+t AS (SELECT side, sheet, sum(n)::BIGINT AS n, sha256(string_agg(grp || ':' || h, chr(10) ORDER BY grp)) AS sheet_hash FROM g GROUP BY 1, 2)
+SELECT coalesce(c.sheet, p.sheet) AS sheet, c.n AS rows_now, p.n AS rows_before, c.sheet_hash, c.sheet_hash IS NOT DISTINCT FROM p.sheet_hash AS same,
+  (SELECT count(*) FROM (SELECT sheet, block FROM b GROUP BY sheet, block HAVING min(h) <> max(h) OR count(*) = 1) u WHERE u.sheet = coalesce(c.sheet, p.sheet)) AS unequal_blocks
+FROM (SELECT * FROM t WHERE side = 'cur') c FULL JOIN (SELECT * FROM t WHERE side = 'prev') p USING (sheet)""", dated=False)
+def j9_tree(spark, sf_dir):
+    """Roots of both snapshots' trees of 16 rows a block and 16 blocks a group, and how many blocks differ."""
+    before, after = (changes.hash_tree(rows, 16) for rows in snapshots(spark, sf_dir))
+    old = changes.tree_hash(before, 16).select("sheet", F.col("n").alias("rows_before"), F.col("sheet_hash").alias("old_hash"))
+    n = changes.unequal_blocks(before, after, 16).groupBy("sheet").agg(F.count("*").alias("unequal_blocks"))
+    out = changes.tree_hash(after, 16).withColumnRenamed("n", "rows_now").join(old, "sheet", "full").join(n, "sheet", "left")
+    same = F.col("sheet_hash").eqNullSafe(F.col("old_hash"))
+    return out.select("sheet", "rows_now", "rows_before", "sheet_hash", same.alias("same"), F.coalesce("unequal_blocks", F.lit(0).cast("long")).alias("unequal_blocks"))
+
+
 @query("j6_j15_merge_changed_cells", f"""WITH {BARS}, n AS (SELECT symbol, row_number() OVER ({_W}) AS row_no, close FROM bars)
 SELECT symbol, row_no, 'forecast' AS "column", CAST(row_no * 2 AS VARCHAR) AS value FROM n WHERE row_no % 4 = 0 UNION ALL SELECT symbol, row_no, 'predicted', '1' FROM n WHERE row_no % 4 = 0 AND row_no % 8 <> 0""", dated=False)
 def j6_cells(spark, sf_dir):

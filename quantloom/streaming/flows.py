@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from quantloom.operators.changes import actionable, diff_snapshots
+from quantloom.functions.tables import cut
+from quantloom.operators.changes import actionable, diff_snapshots, hash_tree
 from quantloom.sources.sinks import Once, _publish, current, drain, merge_stage, stage
 
 
@@ -46,17 +47,23 @@ def sliding_sentiment(sdf: DataFrame, days: int = 7, late: str = "7 days") -> Da
 def stream_changes(sdf: DataFrame, state: str, on_change: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Each batch is a snapshot (sheet, row_no, row_hash). The first one only becomes the state; later ones
     are compared with it, actionable changes are handed on, and only then the state moves, so a
-    failed hand-over is tried again."""
+    failed hand-over is tried again. The state's hash tree is kept beside it, so of the state only rows under unequal blocks are read, and
+    a snapshot of equal hashes isn't written again."""
 
     def each(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        old = current(batch.sparkSession, state)
-        if old is not None:
-            changes = actionable(diff_snapshots(old, batch))
+        spark = batch.sparkSession
+        rows, tree = cut(batch.select("sheet", "row_no", "row_hash"), "snapshot"), f"{state}-tree"
+        after, old, before = cut(hash_tree(rows), "tree"), current(spark, state), current(spark, tree)
+        if old is not None and before is not None:
+            if before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty():
+                return
+            changes = actionable(diff_snapshots(old, rows, before, after))
             if not changes.isEmpty():
                 on_change(changes)
-        _publish(batch.select("sheet", "row_no", "row_hash"), state)
+        _publish(rows, state)
+        _publish(after, tree)
 
     return _run(sdf, each, checkpoint)
 

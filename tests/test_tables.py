@@ -252,3 +252,18 @@ def test_watermark_state_goes_on_after_a_restart(spark, tmp_path):
     assert sorted((r["symbol"], r["last_date"].day) for r in sinks.Once(target).rows(spark).collect()) == [("a", 5), ("b", 2), ("b", 7), ("c", 1)]
     assert run(2, [("b", day(7)), ("c", day(1))]) == [("a", 5), ("b", 7), ("c", 1)]
     assert sinks.Once(target).rows(spark).count() == 4
+
+
+def test_only_rows_under_unequal_hashes_are_joined(spark):
+    kind = "sheet string, row_no int, row_hash string"
+    old = [("same", k, f"h{k}") for k in range(40)] + [("edit", k, f"h{k}") for k in range(40)] + [("gone", 1, "x"), ("less", 0, "a"), ("less", 9, "b"), (None, 1, "n"), ("nulls", None, "p"), ("nulls", 2, None)]
+    new = [("same", k, f"h{k}") for k in range(40)] + [("edit", k, "new" if k == 13 else f"h{k}") for k in range(41)] + [("new", 5, "x"), ("less", 0, "a"), (None, 1, "m"), ("nulls", None, "p"), ("nulls", 2, "q")]
+    prev, cur = (spark.createDataFrame(rows, kind) for rows in (old, new))
+    blocks = changes.unequal_blocks(changes.hash_tree(prev, 8), changes.hash_tree(cur, 8), 8)
+    assert {(r["sheet"], r["block"]) for r in blocks.collect()} == {("edit", 1), ("edit", 5), ("gone", 0), ("less", 1), ("new", 0), (None, 0), ("nulls", 0)}
+    reach = changes.rows_in(prev, blocks, 8).collect()
+    assert not any(r["sheet"] == "same" for r in reach) and sorted(r["row_no"] for r in reach if r["sheet"] == "edit") == list(range(8, 16))
+    out = {r["sheet"]: (r["change"], r["added_rows"], r["modified_rows"], r["removed_rows"]) for r in changes.diff_snapshots(prev, cur, fan=8).collect()}
+    assert out == {"edit": ("updated", 1, 1, 0), "gone": ("sheet_removed", 0, 0, 1), "new": ("sheet_added", 1, 0, 0), "nulls": ("updated", 0, 1, 0)} | ({None: out[None]} if None in out else {})
+    assert changes.diff_snapshots(prev, prev, fan=8).count() == 0 and changes.diff_snapshots(prev.limit(0), prev.limit(0)).count() == 0
+    assert changes.diff_snapshots(prev, cur, changes.hash_tree(prev, 8), changes.hash_tree(cur, 8), 8).count() == len(out)
