@@ -14,7 +14,7 @@ from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
 from quantloom.plans.tables import SNAPSHOTS, snapshots
 from quantloom.plans.texts import POSTS, aliases, posts, tagged
-from quantloom.sources import readers, sinks
+from quantloom.sources import feeds, readers, sinks
 from quantloom.streaming import flows
 
 _OHLCV = ("open", "high", "low", "close", "volume")
@@ -53,6 +53,38 @@ def s4_listing(spark, sf_dir):
     return out.select("title", "score", F.to_date("ts").cast("string").alias("day"), "url")
 
 
+def _pages(spark, sf_dir, where: str, root: str) -> None:
+    """Posts of a channel and day as a page, the day its number."""
+    d, day = F.col("doc_id"), F.unix_timestamp(F.col("date").cast("timestamp"))
+    post = F.struct(F.concat(F.lit("t"), d).alias("title"), F.col("body").alias("selftext"), "score", day.cast("double").alias("created_utc"), F.concat(F.lit("/r/"), d).alias("permalink"))
+    rows = posts(spark, sf_dir).where(where).select(F.col("channel").alias("feed"), F.floor(day / 86_400).alias("page"), F.col("doc_id").alias("seq"), post.alias("post"))
+    feeds.write_pages(rows, root)
+
+
+_PAGED = "SELECT 't' || doc_id AS title, channel AS feed, score, length(body) AS size, CAST(date AS VARCHAR) AS day, 'https://www.reddit.com/r/' || doc_id AS url"
+
+
+@query("s4_l4_u4_feed_pages", f"WITH {POSTS} {_PAGED} FROM posts WHERE date >= DATE '2024-02-01' AND channel IN ('news', 'reddit')", dated=False)
+def s4_pages(spark, sf_dir):
+    """Two feeds of three, read page by page from the newest to the first that is older than a day."""
+    path = new_path(spark, "feeds")
+    _pages(spark, sf_dir, "true", path)
+    out = feeds.read_feed(spark, path).where((F.col("ts") >= F.lit("2024-02-01").cast("timestamp")) & F.col("feed").isin("news", "reddit"))
+    return out.select("title", "feed", "score", F.length("body").cast("long").alias("size"), F.to_date("ts").cast("string").alias("day"), "url")
+
+
+@query("s4_l4_feed_stream", f"WITH {POSTS} {_PAGED} FROM posts WHERE date >= DATE '2024-02-01'", dated=False)
+def s4_stream(spark, sf_dir):
+    """The feeds as a stream that is started twice: the first run goes back to its first old page, the second has the pages that came since."""
+    path, out, checkpoint = new_path(spark, "feeds"), new_path(spark, "posts"), new_path(spark, "ck")
+    for days in ("date < '2024-03-01'", "date >= '2024-03-01'"):
+        _pages(spark, sf_dir, days, path)
+        sdf = feeds.stream_feed(spark, path, cutoff="2024-02-01")
+        sdf.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select("title", "feed", "score", F.length("body").cast("long").alias("size"), F.to_date("ts").cast("string").alias("day"), "url")
+
+
 @query("s5_news_items", "SELECT 'n' || doc_id AS title, 'http://n/' || doc_id AS url, source FROM documents WHERE doc_id % 5 <> 0", dated=False)
 def s5_news(spark, sf_dir):
     """Items in the nested and the flat shape; every fifth lacks its link or its time."""
