@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.operators import blocks, labels, regime
 from quantloom.operators import indicators as ind
-from quantloom.operators import labels, regime
-from quantloom.plans.fixtures import BARS, DEEP, INDEX, MACD_ROWS, bars, deep_bars, index
+from quantloom.plans.fixtures import BARS, DEEP, INDEX, MACD_ROWS, NUMBERED, bars, deep_bars, index, table
 from quantloom.plans.registry import query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
@@ -193,6 +193,27 @@ def w25_indicators(spark, sf_dir):
     return rounded(df, *[c for c in df.columns if c not in ("symbol", "date")])
 
 
+#: All events as bars of one symbol, one after the other, and its exponential means over windows beyond which weights are below a double's precision.
+EVENT_BARS = "bars AS (SELECT 0 AS symbol, event_id AS date, value AS open, value + event_id % 5 AS high, value - event_id % 3 AS low, value AS close, CAST(event_id % 7 AS DOUBLE) AS volume FROM events)"
+
+
+def _mean_sql(name: str, span: int, src: str = "num", x: str = "close") -> str:
+    a = f"(2.0::DOUBLE / {span + 1})"
+    return f"{name} AS (SELECT symbol, n, list_reduce(list({x}) OVER (PARTITION BY symbol ORDER BY n ROWS 1100 PRECEDING), lambda y, x: {a} * x + (1 - {a}) * y) AS y FROM {src})"
+
+
+_LONG = _W25.replace(f"WITH RECURSIVE {BARS}, {MACD_ROWS}", f"WITH {EVENT_BARS}, {NUMBERED}, {', '.join(_mean_sql(f'e{n}', n) for n in (12, 26, 50))}, m AS (SELECT a.symbol, a.n, a.y - b.y AS close FROM e12 a JOIN e26 b ON a.symbol = b.symbol AND a.n = b.n), {_mean_sql('s', 9, 'm')}")
+
+
+@query("w25_long_symbol", _LONG, dated=False)
+def w25_long(spark, sf_dir):
+    """One symbol that has all rows, by blocks."""
+    e, value = F.col("event_id"), F.col("value")
+    b = table(spark, sf_dir, "events").select(F.lit(0).alias("symbol"), e.alias("date"), value.alias("open"), (value + e % 5).alias("high"), (value - e % 3).alias("low"), value.alias("close"), (e % 7).cast("double").alias("volume"))
+    df = blocks.long_indicators(b, size=2048)
+    return rounded(df, *[c for c in df.columns if c not in ("symbol", "date")])
+
+
 @query("j2_index_merge", f"WITH {INDEX}, a AS (SELECT date, mkt_close FROM idx WHERE day(date) % 7 <> 0), b AS (SELECT date, vol_close FROM idx WHERE day(date) % 5 <> 0) SELECT date, {_r('mkt_close', 'mkt_close')}, {_r('vol_close', 'vol_close')} FROM a FULL JOIN b USING (date)")
 def j2_merge(spark, sf_dir):
     i = index(spark, sf_dir)

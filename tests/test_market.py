@@ -113,3 +113,34 @@ def test_sequence_model_hook(spark):
 def test_common_features(spark):
     df = spark.sql("select * from values (1, 1.0, null), (2, 2.0, 3.0) as t(symbol, a, b)")
     assert dataset.common_features(df, ["a", "b"]) == ["a"]
+
+
+@pytest.mark.parametrize("shift", [0, 1])
+def test_long_symbols_equal_the_windows(spark, shift):
+    """A symbol of eight blocks, one of a part of a block, one that ends with a block, one of a single bar."""
+    from quantloom.operators import blocks
+
+    size = 1400
+    rng, rows = np.random.default_rng(5), []
+    for s, n in ((0, 8 * size - 77), (1, 300), (2, 2 * size), (3, 1)):
+        close = 100 + np.cumsum(rng.normal(0, 0.2, n))
+        rows += [(s, dt.date(1900, 1, 1) + dt.timedelta(i), float(c - 0.2), float(c + abs(rng.normal())), float(c - 1), float(c), float(rng.integers(0, 1000)), "x") for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "symbol int, date date, open double, high double, low double, close double, volume double, block string")
+    out = blocks.long_indicators(bars.drop("block").repartition(3), shift, size).withColumn("task", F.spark_partition_id())
+    got, want = _pandas(out), _pandas(indicators.indicators(bars.drop("block"), shift))
+    assert set(got.columns) == {*want.columns, "task"} and len(got) == len(want)
+    for c in want.columns:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True) if c != "date" else (got[c] == want[c]).all(), c
+
+
+def test_blocks_of_a_symbol_are_many_tasks_work(spark):
+    from quantloom.operators import blocks
+
+    bars = spark.range(50_000).select(F.lit(1).alias("symbol"), F.col("id").alias("date"), *[F.sin("id").alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
+    rows = blocks.with_halo(bars, 5_000, 100)
+    counts = {r["block"]: (r["own"], r["all"]) for r in rows.groupBy("block").agg(F.count_if("own").alias("own"), F.count("*").alias("all")).collect()}
+    assert counts == {k: (5_000, 5_000 + 100 * (k > 0)) for k in range(10)}
+    placed = rows.repartition(4, "symbol", "block").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(placed) > 1
+    with pytest.raises(ValueError):
+        blocks.with_halo(bars, 10, 11)
