@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,16 +86,18 @@ def find_date(names: list[str], df: DataFrame | None = None) -> str | None:
 
 
 def clean_headers(names: list[str]) -> list[str]:
-    """Distinct, non-blank headers: blanks at the end go, others are called Column_n by their place, and of equal ones
-    the second and later get their number behind them."""
+    """Non-blank headers that are distinct in any case, as columns of a DataFrame must be: blanks at the end go, others are called Column_n by their
+    place, and of equal ones the second and later get the next number, from 2 on, that no other header has behind its name."""
     filled = [n.strip() for n in names]
     filled = filled[: max((k for k, n in enumerate(filled, 1) if n), default=0)]
     filled = [n if n else f"Column_{k}" for k, n in enumerate(filled, 1)]
-    times: Counter[str] = Counter()
-    out = []
+    taken, seen, out = {n.lower() for n in filled}, set(), []
     for n in filled:
-        times[n] += 1
-        out.append(f"{n}_{times[n]}" if times[n] > 1 else n)
+        own, k = n, 2
+        while own.lower() in seen or (own != n and own.lower() in taken):
+            own, k = f"{n}_{k}", k + 1
+        seen.add(own.lower())
+        out.append(own)
     return out
 
 

@@ -55,7 +55,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str | None
 
     Rows are range-partitioned by keys and order, which should be total, each range is summed up by key, and a
     range's rows are ranked on their own and moved up by the ranges before it. Ranges are written
-    first, so that summing and ranking see the same ones."""
+    first, so that summing and ranking see the same ones. Rows with a null key are left out."""
     placed = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     placed = cut(placed, "ranges")
     w = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -76,3 +76,27 @@ def median(df: DataFrame, value: str) -> DataFrame:
     holds = lambda r: (F.col("rank") <= r) & (r < F.col("rank") + F.col("times"))
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     return rows.agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias(value))
+
+
+#: A table is broadcast only while its measured rows, at ROW_BYTES each, stay below this many bytes.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 16
+
+
+def join_keyed(df: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``df``, whose keys may be hot, with ``keyed``, a written table of few rows a key: a broadcast while that is small, else a shuffle in which
+    a key's rows go to SALTS parts, each with a copy of the key's rows on the other side."""
+    if keyed.count() * ROW_BYTES <= BROADCAST_BYTES:
+        return df.join(F.broadcast(keyed), on, how)
+    salt = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.lit(SALTS)).cast("int")
+    salted = df.withColumn("_salt", salt)
+    return salted.join(keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
+def tie_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, average, total) of the distinct non-null values within ``keys``, which have no nulls: their average rank from 1 on, and how many rows
+    there are. Values are counted first and ranked by ranges, so neither a group nor a frequent value is one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("times"))
+    rows = ranked(counts, keys, [value], "times")
+    return rows.select(*keys, value, (F.col("rank") + (F.col("times") + 1) / 2.0).alias("average"), "total")

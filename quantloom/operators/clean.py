@@ -69,8 +69,10 @@ def select_symbols(df: DataFrame, names: list[str] | None = None, exclude: tuple
 
 
 def missing_symbols(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Names that have no row."""
-    return wanted.join(df.select(F.upper("symbol").alias("symbol")).distinct(), "symbol", "left_anti")
+    """Wanted rows whose symbol has no row, in any case and whatever blanks stand around it; a null is missing."""
+    plain = F.upper(F.trim(F.col("symbol").cast("string")))
+    there = df.select(plain.alias("__name")).distinct()
+    return wanted.withColumn("__name", plain).join(there, "__name", "left_anti").drop("__name")
 
 
 def newer_than(df: DataFrame, checkpoints: DataFrame) -> DataFrame:

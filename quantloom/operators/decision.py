@@ -15,12 +15,21 @@ def cross(fast: Column, slow: Column, up: str, down: str) -> Column:
     return F.when(fast.isNull() | slow.isNull(), "").when(fast > slow, up).when(fast < slow, down).otherwise("neutral")
 
 
+def _points(c: str) -> dict[str, Column]:
+    """Whether a column has enough values, and its 25, 50 and 75 percent points, as aggregates."""
+    return {f"{c}_enough": F.count(c) >= LEAST, f"{c}_p": F.percentile(c, [0.25, 0.5, 0.75])}
+
+
+def _picked(c: str) -> dict[str, Column]:
+    """The points of _points(), or the fallback without enough values."""
+    return {f"{c}_p{q}": F.when(F.col(f"{c}_enough"), F.col(f"{c}_p")[k]).otherwise(FALLBACK[k]) for k, q in enumerate((25, 50, 75))}
+
+
 def thresholds(df: DataFrame, cols: list[str], pooled: DataFrame | None = None) -> DataFrame:
     """25, 50 and 75 percent points of each column by symbol, over both sources if two are given; and whether there are enough values."""
     rows = df.select("symbol", *cols) if pooled is None else df.select("symbol", *cols).unionByName(pooled.select("symbol", *cols))
-    p = rows.groupBy("symbol").agg(*[x for c in cols for x in ((F.count(c) >= LEAST).alias(f"{c}_enough"), F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}_p"))])
-    pick = lambda c, k: F.when(F.col(f"{c}_enough"), F.col(f"{c}_p")[k]).otherwise(FALLBACK[k])
-    return p.select("symbol", *[f"{c}_enough" for c in cols], *[pick(c, k).alias(f"{c}_p{q}") for c in cols for k, q in enumerate((25, 50, 75))])
+    p = rows.groupBy("symbol").agg(*[x.alias(name) for c in cols for name, x in _points(c).items()])
+    return p.select("symbol", *[f"{c}_enough" for c in cols], *[x.alias(name) for c in cols for name, x in _picked(c).items()])
 
 
 def rsi_bin(col: str) -> Column:
@@ -37,8 +46,8 @@ def decision_features(bars: DataFrame) -> DataFrame:
     df = df.withColumns({"__pb": (F.col("close") - F.col("bb_lower")) / F.nullif(width, F.lit(0.0)), "__bw": width / F.nullif(F.col("bb_middle"), F.lit(0.0))})
     # The thresholds of thresholds(), over each symbol's rows where they are.
     own, cols = Window.partitionBy("symbol"), ("rsi_7", "rsi_14", "__bw")
-    df = df.withColumns({f"{c}_enough": F.count(c).over(own) >= LEAST for c in cols} | {f"{c}_p": F.percentile(c, [0.25, 0.5, 0.75]).over(own) for c in cols})
-    df = df.withColumns({f"{c}_p{q}": F.when(F.col(f"{c}_enough"), F.col(f"{c}_p")[k]).otherwise(FALLBACK[k]) for c in cols for k, q in enumerate((25, 50, 75))})
+    df = df.withColumns({f"{c}_enough": F.count(c).over(own) >= LEAST for c in cols} | {f"{c}_p": _points(c)[f"{c}_p"].over(own) for c in cols})
+    df = df.withColumns({name: x for c in cols for name, x in _picked(c).items()})
     trend = F.when(F.col("__pb").isNull(), "").when(F.col("__pb") > 0.6, "bullish").when(F.col("__pb") < 0.4, "bearish").otherwise("neutral")
     obos = F.when(F.col("__pb").isNull(), "").when(F.col("__pb") >= 1.0, "overbought").when(F.col("__pb") <= 0.0, "oversold").otherwise("neutral")
     vol = F.when(F.col("__bw").isNull(), "").when(~F.col("__bw_enough"), "normal volatility").when(F.col("__bw") > F.col("__bw_p75"), "high volatility").when(F.col("__bw") < F.col("__bw_p25"), "low volatility").otherwise("normal volatility")

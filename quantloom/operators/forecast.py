@@ -75,11 +75,6 @@ def to_wide(df: DataFrame, keys: list[str], value: str, days: int = 5) -> DataFr
     return out.select(*keys, *[F.col(f"`{h}`").alias(f"forecast_close_t{h}") for h in range(1, days + 1)])
 
 
-def anchor_close(bars: DataFrame) -> DataFrame:
-    """The close before each bar, which a forecast of that bar starts from."""
-    return bars.withColumn("anchor_close", F.lag("close").over(Window.partitionBy("symbol").orderBy("date")))
-
-
 def backtest_table(bars: DataFrame, pred: DataFrame, split_end: str, horizons: int = 5) -> DataFrame:
     """Forecasts (symbol, date, horizon, q50) with anchor and realised closes: a row a (symbol, date, horizon) with predicted and
     realised return and price, the day of the outcome, and whether that is within the split. Outcomes not yet known are null."""

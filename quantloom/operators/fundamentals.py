@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import quarter_label, ratio, truthy, yoy
-from quantloom.operators.regime import pct_rank
+from quantloom.operators.regime import large_rank
 
 
 def quarter_financials(df: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def attach_fundamentals(bars: DataFrame, flat: DataFrame) -> DataFrame:
 
 
 def sector_rank(df: DataFrame, col: str = "pe") -> DataFrame:
-    return pct_rank(df, col, "sector", f"{col}_sector_rank")
+    """Average rank within the sector by share of its non-null values."""
+    return large_rank(df, col, "sector", f"{col}_sector_rank")
 
 
 def encode_financials(df: DataFrame, cols: list[str]) -> DataFrame:

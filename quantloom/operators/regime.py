@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import cut, join_keyed, tie_ranks
 from quantloom.operators.indicators import by_symbol, full, lag, trailing
 
 
@@ -64,7 +65,7 @@ def calendar(df: DataFrame, date: str = "date") -> DataFrame:
 
 
 def pct_rank(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFrame:
-    """Average rank by share of the non-null values; null stays null."""
+    """Average rank by share of the non-null values; null stays null. A group is one window, as the symbols of a day are; large_rank() has no such bound."""
     group = Window.partitionBy(by)
     rank = F.rank().over(group.orderBy(F.col(col).asc_nulls_last()))
     ties = F.count("*").over(Window.partitionBy(by, col))
@@ -72,6 +73,18 @@ def pct_rank(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFr
     return df.withColumn(out or f"{col}_rank", F.when(F.col(col).isNotNull(), value))
 
 
+def large_rank(df: DataFrame, col: str, by: str, out: str | None = None) -> DataFrame:
+    """pct_rank() for groups of any size: ranks of the distinct values, made by ranges, are joined back to the rows. Rows without
+    group are one group, as there."""
+    kind = df.schema[by].dataType
+    filled = F.coalesce(F.col(by), F.lit("") if kind.typeName() == "string" else F.lit("0").cast(kind))
+    rows = df.withColumns({"__by": filled, "__blank": F.col(by).isNull(), "__value": F.col(col)})
+    keys = ["__by", "__blank"]
+    ranks = tie_ranks(rows.select(*keys, "__value"), keys, "__value").select(*keys, "__value", (F.col("average") / F.col("total")).alias("__rank"))
+    ranks = cut(ranks, "ranks")
+    return join_keyed(rows, ranks, [*keys, "__value"], "left").withColumn(out or f"{col}_rank", F.col("__rank")).drop(*keys, "__value", "__rank")
+
+
 def trailing_stats(bars: DataFrame, n: int = 20) -> DataFrame:
     """Last finite close, mean of the last n finite volumes, and median relative range of the last n valid bars, held to .005-.05.
 

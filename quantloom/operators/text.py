@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by
+from quantloom.functions.tables import cut, join_keyed
 
 
 #: What spam says: fixed values.
@@ -19,16 +20,20 @@ SPAM = "giveaway|airdrop|claim now|join my"
 def tag_entities(posts: DataFrame, aliases: DataFrame, key: str, text: str, default: str | None = "GENERAL") -> DataFrame:
     """A row per (post, ticker) whose text holds one of the ticker's terms between non-alphanumerics, in any case.
 
-    Tokens, without their texts, meet the terms' first tokens in an equi-join; only what meets fetches its text by ``key``, which is
-    unique, and looks for the whole term with its boundaries. Posts without a hit get ``default``, or go if it is None."""
-    tokens = lambda c: F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
-    terms = aliases.select("ticker", F.lower("term").alias("term"), F.element_at(tokens(F.col("term")), 1).alias("__t"))
-    near = posts.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("__t")).join(terms, "__t").select(key, "ticker", "term")
-    hits = posts.select(key, text).join(near, key)
-    found = F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace("term", "([^a-z0-9 ])", "\\\\$1"), F.lit("($|[^a-z0-9])"))
-    hits = hits.where(F.regexp_like(F.lower(text), found)).select(key, "ticker").distinct()
-    out = posts.join(hits, key, "left" if default is not None else "inner")
-    return out.withColumn("ticker", F.coalesce("ticker", F.lit(default))) if default is not None else out
+    The posts' tokens that any term has are written, without their texts, and counted. A term is looked for where its rarest token stands, so that
+    one of frequent words meets few posts; a post's terms come to it by ``key``, which is unique, and the whole term with its boundaries is looked for
+    in the text where that is. Posts without a hit get ``default``, or go if it is None. Texts are read twice and shuffled once."""
+    tokens = lambda c: F.array_distinct(F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), ""))
+    terms = cut(aliases.select("ticker", F.lower("term").alias("term"), F.explode(tokens(F.col("term"))).alias("__t")).distinct(), "terms")
+    words = cut(terms.select("__t").distinct(), "words")
+    there = cut(join_keyed(posts.select(key, F.explode(tokens(F.col(text))).alias("__t")), words, ["__t"]), "tokens")
+    counts = there.groupBy("__t").agg(F.count("*").alias("__n"))
+    rarest = cut(terms.join(counts, "__t").groupBy("ticker", "term").agg(F.min_by("__t", F.struct("__n", "__t")).alias("__t")), "rarest")
+    near = join_keyed(there, rarest, ["__t"]).groupBy(key).agg(F.collect_set(F.struct("ticker", "term")).alias("__near"))
+    found = lambda term: F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace(term, "([^a-z0-9 ])", "\\\\$1"), F.lit("($|[^a-z0-9])"))
+    hits = F.array_distinct(F.transform(F.filter("__near", lambda x: F.regexp_like(F.lower(text), found(x["term"]))), lambda x: x["ticker"]))
+    out = posts.join(near, key, "left").withColumn("ticker", F.explode_outer(hits)).drop("__near")
+    return out.withColumn("ticker", F.coalesce("ticker", F.lit(default))) if default is not None else out.where("ticker is not null")
 
 
 def is_spam(text: Column, followers: Column, name: Column) -> Column:
@@ -52,11 +57,13 @@ def latest_sentiment(df: DataFrame) -> DataFrame:
     return last_by(df, ["ticker", "source"], ["date"])
 
 
-def prepare_text(df: DataFrame, channel: str) -> DataFrame:
-    """Text and raw engagement by channel: news has its title; reddit title and body; x its body."""
-    text = {"news": F.coalesce("title", F.lit("")), "reddit": F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("body", F.lit(""))), F.lit(" \n\t\r")), "x": F.coalesce("body", F.lit(""))}[channel]
-    raw = F.lit(0.0) if channel == "news" else F.greatest(F.coalesce("score", F.lit(0)), F.lit(0)).cast("double")
-    return df.withColumns({"text": text, "engagement_raw": raw, "source_label": F.lit(None).cast("string") if channel == "x" else F.col("source_label")})
+def prepare_text(df: DataFrame, channel: str | Column) -> DataFrame:
+    """Text and raw engagement by channel, a name or a column of names: news has its title; reddit title and body; x its body. Text and engagement of other channels are null."""
+    at = F.lit(channel) if isinstance(channel, str) else channel
+    title, body = F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))
+    text = F.when(at == "news", title).when(at == "reddit", F.trim(F.concat(title, F.lit("\n"), body), F.lit(" \n\t\r"))).when(at == "x", body)
+    raw = F.when(at == "news", 0.0).when(at.isin("reddit", "x"), F.greatest(F.coalesce("score", F.lit(0)), F.lit(0)).cast("double"))
+    return df.withColumns({"text": text, "engagement_raw": raw, "source_label": F.when(at != "x", F.col("source_label"))})
 
 
 def engagement(c: Column) -> Column:
@@ -94,8 +101,7 @@ def page_text(html: Column) -> Column:
 
 def asof_expand(items: DataFrame, k: int, key: str = "ticker") -> DataFrame:
     """Each item on every day whose trailing ``k`` days hold it, up to its key's last day: a range join by explode."""
-    last = items.groupBy(key).agg(F.max("date").alias("__last"))
-    days = items.join(last, key).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    days = items.withColumn("__last", F.max("date").over(Window.partitionBy(key))).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     return days.withColumn("asof", F.date_add("date", F.col("offset"))).where(F.col("asof") <= F.col("__last")).drop("__last")
 
 
@@ -117,13 +123,12 @@ def aggregate_sentiment(scored: DataFrame, weight: str = "weight", baseline: int
         mean(1.5, near).alias("sent_mean_3d"), mean(3.0, F.lit(True)).alias("sent_mean_7d"), (F.sum("pos") / F.sum("n")).alias("sent_pos_share"), (F.sum("neg") / F.sum("n")).alias("sent_neg_share"),
         F.coalesce(F.sum(F.when(near, F.col("n"))), F.lit(0)).alias("n_3d"), F.sum("n").alias("n_7d"), F.coalesce(F.sum(F.when(F.col("offset") == 0, F.col("n"))), F.lit(0)).alias("today"),
     )
-    # A day's own row is in its trailing window or has no items, so active days alone make the baseline.
-    grid = out.select("__key", "asof", "today").withColumn("d", F.datediff("asof", F.lit("1970-01-01").cast("date")))
-    w = Window.partitionBy("__key").orderBy("d").rangeBetween(-(baseline - 1), 0)
+    # A day's own row is in its trailing window or has no items, so active days alone make the baseline. All is by key by now: no further exchange.
+    w = Window.partitionBy("__key").orderBy(F.datediff("asof", F.lit("1970-01-01").cast("date"))).rangeBetween(-(baseline - 1), 0)
     active = F.when(F.col("today") > 0, F.col("today").cast("double"))
-    z = (F.col("today") - F.avg(active).over(w)) / F.nullif(F.stddev_pop(active).over(w), F.lit(0.0))
-    grid = grid.select("__key", "asof", F.coalesce(F.when(F.stddev_pop(active).over(w) > 1e-12, z), F.lit(0.0)).alias("sent_volume_z"))
-    return out.join(grid, ["__key", "asof"]).select("__key.ticker", F.col("asof").alias("date"), "__key.source", "sent_mean_3d", "sent_mean_7d", "sent_pos_share", "sent_neg_share", "sent_volume_z", "n_3d", "n_7d")
+    out = out.withColumns({"__mean": F.avg(active).over(w), "__std": F.stddev_pop(active).over(w)})
+    z = F.coalesce(F.when(F.col("__std") > 1e-12, (F.col("today") - F.col("__mean")) / F.col("__std")), F.lit(0.0)).alias("sent_volume_z")
+    return out.select("__key.ticker", F.col("asof").alias("date"), "__key.source", "sent_mean_3d", "sent_mean_7d", "sent_pos_share", "sent_neg_share", z, "n_3d", "n_7d")
 
 
 def score_text(df: DataFrame, text: str, scorer: Callable[[], Callable[[list[str]], pd.DataFrame]], batch: int = 32, longest: int = 512) -> DataFrame:

@@ -108,6 +108,24 @@ def f5_missing(spark, sf_dir):
     return gone.withColumn("found", F.lit(False)).unionByName(want.join(gone, "symbol", "left_anti").withColumn("found", F.lit(True)))
 
 
+@query("u2_missing_in_any_case", f"WITH {BARS}, want AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN ' stock' WHEN 1 THEN 'Stock' ELSE 'STOCK' END || s_suppkey * 3 || CASE s_suppkey % 2 WHEN 0 THEN ' ' ELSE '' END AS symbol FROM supplier), have AS (SELECT DISTINCT upper(trim({_NAMES})) AS symbol FROM bars) SELECT symbol FROM want WHERE upper(trim(symbol)) NOT IN (SELECT symbol FROM have)", dated=False)
+def u2_missing(spark, sf_dir):
+    """Names are wanted in lower, mixed and upper case, some with blanks around them."""
+    k = F.col("s_suppkey")
+    df = bars(spark, sf_dir).withColumn("symbol", F.expr(_NAMES.replace("'stock' || symbol", "concat('stock', symbol)")))
+    start = F.element_at(F.array(F.lit(" stock"), F.lit("Stock"), F.lit("STOCK")), (k % 3 + 1).cast("int"))
+    want = table(spark, sf_dir, "supplier").select(F.concat(start, k * 3, F.when(k % 2 == 0, " ").otherwise("")).alias("symbol"))
+    return clean.missing_symbols(df, want)
+
+
+@query("p5_headers_in_any_case", f"""WITH {BARS} SELECT symbol, date, {_r('close', 'Close')}, {_r('open', 'close_3')}, {_r('high', 'CLOSE_2')}, {_r('low', 'Column_6')}, volume AS volume FROM bars""")
+def p5_headers(spark, sf_dir):
+    """Headers that differ in their case only, one that has the number which the next would get, and a blank one."""
+    heads = schemas.clean_headers(["symbol", "date", "Close", "close", "CLOSE_2", " ", "volume", ""])
+    df = bars(spark, sf_dir).select("symbol", "date", "close", "open", "high", "low", "volume").toDF(*heads)
+    return rounded(df, *heads[2:])
+
+
 @query("f10_writable", f"""WITH {BARS}, p AS (SELECT symbol, date, row_number() OVER ({_W}) - 1 AS pos FROM bars)
 SELECT symbol, date, pos, pos % 2 = 0 AS fresh FROM p WHERE pos % 5 > 2""")
 def f10_writable(spark, sf_dir):

@@ -275,6 +275,18 @@ def w29_table(spark, sf_dir):
     return _decided(bars(spark, sf_dir))
 
 
+@query("a16_pooled_thresholds", f"""WITH {DEEP}, live AS (SELECT symbol, close, volume FROM bars WHERE date >= DATE '1998-08-01'), old AS (SELECT symbol, close, volume FROM bars WHERE date < DATE '1992-03-01'),
+b AS (SELECT * FROM live UNION ALL SELECT * FROM old), t AS (SELECT symbol, 'pooled' AS side, * EXCLUDE symbol FROM b UNION ALL SELECT symbol, 'live', * EXCLUDE symbol FROM live WHERE symbol <> 0 OR volume > 1000000)
+SELECT symbol, side, {', '.join(f"count({c}) >= 30 AS {c}_enough, " + ', '.join(_r(f"CASE WHEN count({c}) >= 30 THEN quantile_cont({c}, {q / 100}) ELSE {d}.0 END", f"{c}_p{q}") for q, d in ((25, 30), (50, 50), (75, 70))) for c in ("close", "volume"))} FROM t GROUP BY symbol, side""", dated=False)
+def a16_pooled(spark, sf_dir):
+    """Thresholds over live and archived rows together, and over the live ones alone, of which a symbol has none."""
+    b = deep_bars(spark, sf_dir)
+    live, old = b.where("date >= date '1998-08-01'"), b.where("date < date '1992-03-01'")
+    both = decision.thresholds(live, ["close", "volume"], old).withColumn("side", F.lit("pooled"))
+    out = both.unionByName(decision.thresholds(live.where("symbol <> 0 or volume > 1000000"), ["close", "volume"]).withColumn("side", F.lit("live")))
+    return rounded(out, *[f"{c}_{x}" for c in ("close", "volume") for x in ("enough", "p25", "p50", "p75")], keys=("symbol", "side"))
+
+
 def _decided(df: DataFrame) -> DataFrame:
     out = decision.decision_features(df.withColumn("close", F.col("close")))
     return rounded(out.drop("open", "high", "low", "close", "volume", "rsi_7"), *_STATES, "bb_indicator").join(

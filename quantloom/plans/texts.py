@@ -53,9 +53,7 @@ def f3_f4(spark, sf_dir):
 
 def weighted(spark, sf_dir) -> DataFrame:
     names = spark.sql("SELECT * FROM VALUES ('src0', 1.0D), ('SRC1', 0.8D) AS t(name, weight)")
-    df = tagged(spark, sf_dir)
-    parts = [text.prepare_text(df.where(F.col("channel") == c), c) for c in ("news", "reddit", "x")]
-    df = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("neutral", 1.0 - F.col("positive") - F.col("negative"))
+    df = text.prepare_text(tagged(spark, sf_dir), F.col("channel")).withColumn("neutral", 1.0 - F.col("positive") - F.col("negative"))
     df = text.source_quality(df, names).withColumn("source_weight", F.when(F.col("channel") == "x", 1.0).otherwise(F.col("source_weight")))
     return text.importance(df).withColumns({"polarity": F.col("positive") - F.col("negative"), "source": F.col("channel")})
 

@@ -144,3 +144,28 @@ def test_blocks_of_a_symbol_are_many_tasks_work(spark):
     assert len(placed) > 1
     with pytest.raises(ValueError):
         blocks.with_halo(bars, 10, 11)
+
+
+def _ranked(df, by, value):
+    out = df.toPandas()
+    return out.assign(want=out.groupby(by, dropna=False)[value].rank(method="average") / out.groupby(by, dropna=False)[value].transform("count"))
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_ranks_of_large_groups_equal_the_window_s(spark, monkeypatch, shuffled):
+    from quantloom.functions import tables
+    from quantloom.operators import regime
+
+    if shuffled:
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    rng = np.random.default_rng(2)
+    rows = [(k, [None, "a", "b"][k % 3], None if k % 11 == 0 else float(rng.integers(0, 40))) for k in range(900)] + [(k, "b", 7.0) for k in range(900, 1300)] + [(1300, "none", None)]
+    df = spark.createDataFrame(rows, "k int, g string, v double")
+    out = _ranked(regime.large_rank(df, "v", "g"), "g", "v").sort_values("k")
+    assert len(out) == 1301 and np.allclose(out["v_rank"].astype(float), out["want"], equal_nan=True)
+    same = regime.pct_rank(df, "v", "g").toPandas().sort_values("k")
+    assert np.allclose(same["v_rank"].astype(float), out["v_rank"].astype(float), equal_nan=True)
+    plan = regime.large_rank(df, "v", "g")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    by_number = regime.large_rank(spark.createDataFrame([(None, 1.0), (0, 1.0), (0, 2.0)], "g int, v double"), "v", "g").collect()
+    assert sorted((str(r["g"]), r["v_rank"]) for r in by_number) == [("0", 0.5), ("0", 1.0), ("None", 1.0)]

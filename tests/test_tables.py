@@ -267,3 +267,46 @@ def test_only_rows_under_unequal_hashes_are_joined(spark):
     assert out == {"edit": ("updated", 1, 1, 0), "gone": ("sheet_removed", 0, 0, 1), "new": ("sheet_added", 1, 0, 0), "nulls": ("updated", 0, 1, 0)} | ({None: out[None]} if None in out else {})
     assert changes.diff_snapshots(prev, prev, fan=8).count() == 0 and changes.diff_snapshots(prev.limit(0), prev.limit(0)).count() == 0
     assert changes.diff_snapshots(prev, cur, changes.hash_tree(prev, 8), changes.hash_tree(cur, 8), 8).count() == len(out)
+
+
+def test_headers_are_distinct_in_any_case(spark):
+    assert schemas.clean_headers(["Close", "close"]) == ["Close", "close_2"] and schemas.clean_headers(["a", "a", "a_2"]) == ["a", "a_3", "a_2"]
+    assert schemas.clean_headers(["a", "A", "a", "A_2", "", "column_5"]) == ["a", "A_3", "a_4", "A_2", "Column_5", "column_5_2"]
+    names = schemas.clean_headers(["x", "X", "x_2", "X_2", "", "Column_5", " x "])
+    assert len({n.lower() for n in names}) == len(names) and spark.createDataFrame([tuple(range(len(names)))], names).select(*names).count() == 1
+
+
+def test_missing_symbols_in_any_case(spark):
+    have = spark.createDataFrame([("INFY",), (" tcs ",), (None,)], "symbol string")
+    want = spark.createDataFrame([("infy", 1), (" Tcs", 2), ("none", 3), (None, 4)], "symbol string, k int")
+    assert sorted(r["k"] for r in clean.missing_symbols(have, want).collect()) == [3, 4]
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_tags_by_rarest_tokens(spark, monkeypatch, shuffled):
+    from quantloom.functions import tables
+
+    if shuffled:
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    posts = [(1, "The Bank of X rose; the bank fell"), (2, "the river bank"), (3, None), (4, "AT&T and at t"), (5, "the the the"), (6, "bank of xy"), (7, "at&tx")] + [(k, "the common text") for k in range(10, 60)]
+    terms = [("BX", "the bank of x"), ("RIV", "river"), ("RIV", "the river"), ("ATT", "AT&T"), ("EMPTY", "!!"), ("NULL", None), ("GONE", "the zebra")]
+    df = spark.createDataFrame(posts, "id int, body string").repartition(3)
+    out = text.tag_entities(df, spark.createDataFrame(terms, "ticker string, term string"), "id", "body")
+    assert sorted((r["id"], r["ticker"]) for r in out.where("ticker <> 'GENERAL'").collect()) == [(1, "BX"), (2, "RIV"), (4, "ATT")]
+    assert out.count() == len(posts) and set(out.columns) == {"id", "body", "ticker"}
+    inner = text.tag_entities(df, spark.createDataFrame(terms, "ticker string, term string"), "id", "body", None)
+    assert sorted(r["id"] for r in inner.collect()) == [1, 2, 4]
+    assert text.tag_entities(df, spark.createDataFrame([], "ticker string, term string"), "id", "body").where("ticker = 'GENERAL'").count() == len(posts)
+
+
+def test_sentiment_reads_posts_once_more_and_shuffles_eight_times(spark, tmp_path):
+    """With the tokens written, the plan has one scan of the posts and at most eight exchanges."""
+    from quantloom.plans import registry
+
+    spark.range(50).select(F.col("id").alias("doc_id"), F.lit("a thing of attion").alias("text"), F.lit("src0").alias("source"), F.lit(9).cast("long").alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = text.aggregate_sentiment(registry.texts.weighted(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("text:string") == 1 and plan.count("Exchange hashpartitioning") <= 8, plan
