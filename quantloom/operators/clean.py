@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalars import last_by, parse_date, to_number
@@ -40,23 +40,56 @@ def repaired_cells(raw: DataFrame) -> DataFrame:
     return raw.withColumn("repaired", sum((F.coalesce(x, F.lit(False)).cast("int") for x in own), F.lit(0)))
 
 
+def typed_cells(raw: DataFrame) -> DataFrame:
+    """typed() and repaired_cells() at once: each cell is parsed once."""
+    values = {"date": parse_date(F.col("date"))} | {c: to_number(F.col(c)) for c in ("open", "high", "low", "close", "volume")}
+    df = raw.withColumns({f"__{c}": v for c, v in values.items()})
+    text = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), ",", ""))
+    own = [F.trim("date") != F.col("__date").cast("string"), text("volume") != F.col("__volume").cast("long").cast("string")]
+    own += [text(c) != F.col(f"__{c}").cast("string") for c in ("open", "high", "low", "close")]
+    repaired = sum((F.coalesce(x, F.lit(False)).cast("int") for x in own), F.lit(0))
+    return df.withColumn("repaired", repaired).withColumns({c: F.col(f"__{c}") for c in values}).drop(*[f"__{c}" for c in values])
+
+
+def _states(bars: DataFrame, order: str) -> DataFrame:
+    """Bars with the reason against them, whether their day goes back, and their number among the good ones of their day, the last first. Windows by symbol
+    come first, so that all are in one partitioning."""
+    flagged = flag_malformed(bars)
+    flagged = flagged.withColumn("__down", F.col("date") < F.lag("date").over(Window.partitionBy("symbol").orderBy(order)))
+    w = Window.partitionBy("symbol", "date", F.col("reason").isNull()).orderBy(F.col(order).desc())
+    return flagged.withColumn("__k", F.when(F.col("reason").isNull(), F.row_number().over(w)))
+
+
+def _totals(bars: DataFrame) -> dict[str, Column]:
+    fixed = F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("repaired"))), F.lit(0)) if "repaired" in bars.columns else F.lit(0).cast("long")
+    return {"before": F.count("*"), "after": F.count_if(F.col("__k") == 1), "malformed": F.count_if(F.col("reason").isNotNull()), "duplicates": F.count_if(F.col("__k") > 1), "repaired_cells": fixed}
+
+
 def repair(bars: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Good bars, the last of each (symbol, date), and a report by symbol: rows before and after, malformed, duplicates,
     whether dates were in order, repaired cells of valid rows (from a column ``repaired``, if there is one), status."""
-    flagged = flag_malformed(bars)
-    fixed = F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("repaired"))), F.lit(0)) if "repaired" in bars.columns else F.lit(0).cast("long")
-    w = Window.partitionBy("symbol", "date").orderBy(F.col(order).desc())
-    by_order = Window.partitionBy("symbol").orderBy(order)
-    flagged = flagged.withColumn("__k", F.when(F.col("reason").isNull(), F.row_number().over(w.partitionBy("symbol", "date", F.col("reason").isNull()))))
-    flagged = flagged.withColumn("__down", (F.col("date") < F.lag("date").over(by_order)))
-    report = flagged.groupBy("symbol").agg(
-        F.count("*").alias("before"), F.count_if(F.col("__k") == 1).alias("after"), F.count_if(F.col("reason").isNotNull()).alias("malformed"), F.count_if(F.col("__k") > 1).alias("duplicates"), (F.count_if(F.col("__down")) == 0).alias("was_sorted"), fixed.alias("repaired_cells"),
-    )
+    flagged = _states(bars, order)
+    totals = _totals(bars) | {"was_sorted": F.count_if("__down") == 0}
+    report = flagged.groupBy("symbol").agg(*[x.alias(c) for c, x in totals.items()]).select("symbol", "before", "after", "malformed", "duplicates", "was_sorted", "repaired_cells")
     same = (F.col("before") == F.col("after")) & (F.col("repaired_cells") == 0)
     report = report.withColumn("status", F.when(F.col("after") == 0, "error").when(same, F.when(F.col("was_sorted"), "clean").otherwise("sorted")).otherwise("repaired"))
     return flagged.where("__k = 1").drop("__k", "__down", "reason", "repaired"), report
 
 
+#: What can be wrong with a bar: flag_malformed()'s reasons.
+REASONS = ("date", "price", "range", "close")
+
+
+def repair_into(bars: DataFrame, path: str, order: str = "seq") -> dict[str, int]:
+    """Writes the good bars of repair() and returns its totals over all symbols, with the malformed ones by reason: metrics that the
+    writing pass observes, so nothing is computed a second time for them."""
+    seen = Observation()
+    totals = _totals(bars) | {f"malformed_{r}": F.count_if(F.col("reason") == r) for r in REASONS}
+    rows = _states(bars, order).observe(seen, *[x.alias(c) for c, x in totals.items()])
+    rows.where("__k = 1").drop("__k", "__down", "reason", "repaired").write.parquet(path)
+    return seen.get
+
+
 #: Names of tables that hold no stock: fixed values.
 NON_STOCK = ("SUMMARY", "META", "METADATA", "CONFIG", "DASHBOARD", "INDEX", "SHEET1")
 

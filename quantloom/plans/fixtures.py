@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import new_path
 from quantloom.operators.bars import bars_from_trades
 
 SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -55,3 +56,13 @@ BARS = _bars_sql("l_suppkey", "bars")
 DEEP = _bars_sql("l_suppkey % 5", "bars")
 INDEX = """idx AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice) / sum(l_quantity) AS mkt_close,
   stddev_samp(l_extendedprice / l_quantity) AS vol_close FROM lineitem GROUP BY 1)"""
+
+
+def feed(spark: SparkSession, parts: list[DataFrame], label: str, path: str | None = None, done: int = 0) -> DataFrame:
+    """The parts as equal numbers of files, as many as shuffles have partitions, that a stream takes a part a batch, in order. Parts behind the
+    ``done`` ones that ``path`` has already are for a stream that goes on from a checkpoint."""
+    path = path or new_path(spark, label)
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), *[df.count() for df in parts]))
+    for k, df in enumerate(parts, done):
+        df.repartition(files).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)

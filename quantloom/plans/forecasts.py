@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import cut, new_path
 from quantloom.operators import dataset, forecast, indicators, labels, metrics, regime
-from quantloom.plans.fixtures import BARS, DEEP, bars, deep_bars, table
-from quantloom.plans.registry import query
+from quantloom.plans.fixtures import BARS, DEEP, bars, deep_bars, feed, table
+from quantloom.plans.registry import SQL, query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
+from quantloom.streaming import flows
 
 _W = "PARTITION BY symbol ORDER BY date"
 _F20 = f"OVER ({_W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
@@ -184,13 +186,26 @@ c AS (SELECT *, sum(qty) OVER (PARTITION BY symbol, side ORDER BY seq) AS hi FRO
 SELECT b.symbol, sum(least(b.hi, s.hi) - greatest(b.hi - b.qty, s.hi - s.qty)) AS qty, sum((least(b.hi, s.hi) - greatest(b.hi - b.qty, s.hi - s.qty)) * (s.price - b.price)) AS pnl
 FROM c b JOIN c s ON b.symbol = s.symbol AND b.side = 'buy' AND s.side = 'sell' AND b.hi - b.qty < s.hi AND s.hi - s.qty < b.hi GROUP BY b.symbol""", dated=False)
 def a33_fifo(spark, sf_dir):
+    return metrics.fifo_pnl(_trades(spark, sf_dir))
+
+
+def _trades(spark, sf_dir):
     from pyspark.sql import Window
 
     t = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("symbol").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     t = t.withColumn("symbol", F.col("l_suppkey"))
-    t = t.select("symbol", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.row_number().over(w).alias("seq"))
-    return metrics.fifo_pnl(t)
+    return t.select("symbol", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("qty"), F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("double").alias("price"), F.row_number().over(w).alias("seq"))
+
+
+@query("a33_lots_as_state", SQL["a33_fifo_pnl"], dated=False)
+def a33_lots(spark, sf_dir):
+    """The same profit from trades in three batches, of which two are in a run that goes on from a checkpoint."""
+    t = cut(_trades(spark, sf_dir), "trades")
+    path, target, checkpoint = (new_path(spark, x) for x in ("trade-files", "profits", "ck"))
+    for done, parts in ((0, [t.where("seq <= 100")]), (1, [t.where("seq > 100 and seq <= 250"), t.where("seq > 250")])):
+        flows.stream_lots(feed(spark, parts, "trade-files", path, done), target, checkpoint).awaitTermination()
+    return flows.profits(spark, target)
 
 
 @query("r6_j13_backtest_table", f"""WITH {PREDICTIONS}, o AS (SELECT symbol, date, close, {', '.join(f'lead(date, {h}) OVER ({_W}) AS d{h}, lead(close, {h}) OVER ({_W}) AS c{h}' for h in range(1, 6))} FROM bars),

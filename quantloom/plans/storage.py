@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.tables import new_path
 from quantloom.operators import clean, text
-from quantloom.plans.fixtures import BARS, bars, table
+from quantloom.plans.fixtures import BARS, bars, feed, table
 from quantloom.plans.registry import query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
@@ -200,21 +200,12 @@ def s12_documents(spark, sf_dir):
     return read.select("ticker", F.explode("items").alias("item", "v")).select("ticker", "item", "v.url", "v.score")
 
 
-def _feed(spark, parts: list[DataFrame], label: str) -> DataFrame:
-    """The parts as equal numbers of files, as many as shuffles have partitions, that a stream takes a part a batch, in order."""
-    path = new_path(spark, label)
-    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), *[df.count() for df in parts]))
-    for k, df in enumerate(parts):
-        df.repartition(files).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
-
-
 @query("x1_stream_bars", f"WITH {BARS} SELECT symbol, date, {_r('close', 'close')} FROM bars")
 def x1_bars(spark, sf_dir):
     """Three batches by year, the second with rows of the first again."""
     b, out = bars(spark, sf_dir).withColumn("ts", F.col("date").cast("timestamp")), new_path(spark, "stream-bars")
     y = F.year("date")
-    flows.stream_bars(_feed(spark, [b.where(y <= 1995), b.where((y <= 1998) & ((y > 1995) | (F.month("date") == 12))), b.where(y > 1998)], "bar-files"), out, new_path(spark, "ck")).awaitTermination()
+    flows.stream_bars(feed(spark, [b.where(y <= 1995), b.where((y <= 1998) & ((y > 1995) | (F.month("date") == 12))), b.where(y > 1998)], "bar-files"), out, new_path(spark, "ck")).awaitTermination()
     return rounded(sinks.current(spark, out), "close")
 
 
@@ -231,12 +222,12 @@ def _updates(spark, sf_dir, make, key: str) -> DataFrame:
     watermark (one takes effect on late rows a batch after the next). The last update of each window counts."""
     e, out = _events(spark, sf_dir), new_path(spark, "updates")
     at = lambda d: F.lit(f"2024-01-{d}").cast("timestamp")
-    feed = _feed(spark, [e.where((F.col("ts") >= at(12)) & (F.col("ts") < at(20))), e.where(F.col("ts") >= at(20)), e.where(F.col("ts") < at(12))], "event-files")
+    batches = feed(spark, [e.where((F.col("ts") >= at(12)) & (F.col("ts") < at(20))), e.where(F.col("ts") >= at(20)), e.where(F.col("ts") < at(12))], "event-files")
 
     def each(batch: DataFrame, k: int) -> None:
         sinks.merge_stage(batch.select(F.to_date(f"{key}.start").alias("day"), *[c for c in batch.columns if c != key], F.lit(k).alias("k")), out, ["day", "ticker"], ["k"])
 
-    make(feed).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", new_path(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
+    make(batches).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", new_path(spark, "ck")).trigger(availableNow=True).start().awaitTermination()
     return sinks.current(spark, out)
 
 
@@ -258,8 +249,8 @@ def x3_sliding(spark, sf_dir):
 def x4_changes(spark, sf_dir):
     """The first snapshot tells nothing, the second its changes, and the same one again nothing."""
     out, (prev, cur) = new_path(spark, "changes"), snapshots(spark, sf_dir)
-    feed = _feed(spark, [prev, cur, cur], "snapshot-files")
-    flows.stream_changes(feed, new_path(spark, "state"), lambda df: df.write.mode("append").parquet(out), new_path(spark, "ck")).awaitTermination()
+    batches = feed(spark, [prev, cur, cur], "snapshot-files")
+    flows.stream_changes(batches, new_path(spark, "state"), lambda df: df.write.mode("append").parquet(out), new_path(spark, "ck")).awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -267,7 +258,7 @@ def x4_changes(spark, sf_dir):
 def x5_watermarks(spark, sf_dir):
     b, state = bars(spark, sf_dir).select("symbol", "date"), new_path(spark, "watermarks")
     y = F.year("date")
-    flows.stream_watermarks(_feed(spark, [b.where(y > 1999), b.where(y <= 1995), b.where((y > 1995) & (y <= 1999))], "bar-files"), state, new_path(spark, "ck")).awaitTermination()
+    flows.stream_watermarks(feed(spark, [b.where(y > 1999), b.where(y <= 1995), b.where((y > 1995) & (y <= 1999))], "bar-files"), state, new_path(spark, "ck")).awaitTermination()
     return flows.watermarks(spark, state).select("symbol", F.col("last_date").cast("string").alias("last_date"))
 
 
@@ -282,7 +273,7 @@ def x6_inbox(spark, sf_dir):
             df.write.mode("append").parquet(out)
         return len(tries) > 1
 
-    flows.stream_inbox(_feed(spark, list(_two(spark, sf_dir)), "batch-files"), new_path(spark, "inbox"), ["symbol", "date"], ["close"], sink, new_path(spark, "ck")).awaitTermination()
+    flows.stream_inbox(feed(spark, list(_two(spark, sf_dir)), "batch-files"), new_path(spark, "inbox"), ["symbol", "date"], ["close"], sink, new_path(spark, "ck")).awaitTermination()
     return rounded(spark.read.parquet(out), "close")
 
 
@@ -296,10 +287,10 @@ def x6_ledger(spark, sf_dir):
             raise RuntimeError("lost after delivery")
 
     out, checkpoint, inbox = new_path(spark, "delivered"), new_path(spark, "ck"), new_path(spark, "inbox")
-    feed = _feed(spark, list(_two(spark, sf_dir)), "batch-files")
+    batches = feed(spark, list(_two(spark, sf_dir)), "batch-files")
     for sink in (Dies(out), sinks.Once(out)):
         try:
-            flows.stream_inbox(feed, inbox, ["symbol", "date"], ["close"], sink, checkpoint).awaitTermination()
+            flows.stream_inbox(batches, inbox, ["symbol", "date"], ["close"], sink, checkpoint).awaitTermination()
         except StreamingQueryException:
             if not isinstance(sink, Dies):
                 raise

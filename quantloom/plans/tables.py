@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalars
+from quantloom.functions.tables import new_path
 from quantloom.operators import changes, clean, decision, fundamentals
 from quantloom.plans.fixtures import BARS, DEEP, EMA_ROWS, bars, deep_bars, table
 from quantloom.plans.registry import query
@@ -49,7 +50,19 @@ g AS (SELECT symbol, count(*) AS before, count(*) FILTER (k = 1) AS after, count
 SELECT *, CASE WHEN after = 0 THEN 'error' WHEN before = after AND repaired_cells = 0 THEN CASE WHEN was_sorted THEN 'clean' ELSE 'sorted' END ELSE 'repaired' END AS status FROM g""", dated=False)
 def a25_repair(spark, sf_dir):
     """The days alone are written otherwise than in the repaired table."""
-    return clean.repair(clean.typed(clean.repaired_cells(dirty_text(spark, sf_dir))))[1]
+    return clean.repair(clean.typed_cells(dirty_text(spark, sf_dir)))[1]
+
+
+@query("a25_a28_observed_repair", f"""WITH {DIRTY}, k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY symbol, date, reason IS NULL ORDER BY seq DESC) END AS k FROM flagged),
+t AS (SELECT count(*) AS before, count(*) FILTER (k = 1) AS after, count(*) FILTER (reason IS NOT NULL) AS malformed, count(*) FILTER (k > 1) AS duplicates, count(*) FILTER (reason IS NULL) AS repaired_cells, count(*) FILTER (reason = 'date') AS malformed_date, count(*) FILTER (reason = 'range') AS malformed_range FROM k)
+SELECT symbol, date, {_r('close', 'close')}, before, after, malformed, duplicates, repaired_cells, malformed_date, malformed_range FROM k, t WHERE k = 1""")
+def a25_observed(spark, sf_dir):
+    """The repaired table as written, with the run's totals, which the writing job observed."""
+    path = new_path(spark, "repaired")
+    totals = clean.repair_into(clean.typed_cells(dirty_text(spark, sf_dir)), path)
+    names = ("before", "after", "malformed", "duplicates", "repaired_cells", "malformed_date", "malformed_range")
+    rows = spark.read.parquet(path).withColumns({c: F.lit(totals[c]).cast("long") for c in names})
+    return rounded(rows, "close", *names)
 
 
 @query("a23_integrity", f"""WITH {DIRTY}, d AS (SELECT *, CASE WHEN symbol % 6 <> 0 THEN close END AS adj, date < lag(date) OVER (PARTITION BY symbol ORDER BY seq) AS down FROM raw),

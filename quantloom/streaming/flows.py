@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,10 @@ from quantloom.operators.changes import actionable, diff_snapshots, hash_tree
 from quantloom.sources.sinks import Once, _publish, current, drain, merge_stage, stage
 
 
+#: Keyed state of several kinds needs this state store.
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _run(sdf: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     return sdf.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -90,7 +95,7 @@ def last_dates(sdf: DataFrame) -> DataFrame:
     state of its symbols in a store that is part of the checkpoint, so a restart goes on from there. Rows are pre-aggregated before they are dealt by symbol, so that
     a symbol with most of them isn't much to its task. Rows without date tell nothing; those without symbol are left out."""
     spark = sdf.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(_STORE, _ROCKS)
     kind = sdf.schema["symbol"].dataType.simpleString()
 
     def latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +120,58 @@ def watermarks(spark: SparkSession, target: str) -> DataFrame | None:
     return rows.groupBy("symbol").agg(F.max("last_date").alias("last_date")) if rows is not None else None
 
 
+class _Lots(StatefulProcessor):
+    """One symbol's trades that no trade of the other side has met yet, oldest first, as a list state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("lots", "side string, qty double, price double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        trades = pd.concat(list(rows)).sort_values("seq")
+        lots = deque(self.state.get()) if self.state.exists() else deque()
+        done = pnl = 0.0
+        for side, qty, price in trades[["side", "qty", "price"]].itertuples(index=False):
+            while qty > 0 and lots and lots[0][0] != side:
+                of, there, at = lots.popleft()
+                part = min(qty, there)
+                done, pnl, qty = done + part, pnl + part * ((price - at) if side == "sell" else (at - price)), qty - part
+                if there > part:
+                    lots.appendleft((of, there - part, at))
+            if qty > 0:
+                lots.append((side, qty, price))
+        if lots:
+            self.state.put(list(lots))
+        else:
+            self.state.clear()
+        if done:
+            yield pd.DataFrame({"symbol": [key[0]], "qty": [done], "pnl": [pnl]})
+
+    def close(self) -> None:
+        pass
+
+
+def realised_lots(sdf: DataFrame) -> DataFrame:
+    """What each batch of trades (symbol, side buy or sell, qty, price, seq) realises by symbol, as metrics.fifo_pnl() has it over all of them: the sum of
+    qty and pnl is the same however trades are cut into batches, in order of seq. Open lots are a list state a symbol, of one side at a time, so a batch meets what is open and no earlier
+    trade is read again. A symbol's trades of one batch are sorted in its task. Rows without symbol, or with a null, are left out."""
+    spark = sdf.sparkSession
+    spark.conf.set(_STORE, _ROCKS)
+    kind = sdf.schema["symbol"].dataType.simpleString()
+    rows = sdf.select("symbol", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), "seq").na.drop()
+    return rows.groupBy("symbol").transformWithStateInPandas(_Lots(), f"symbol {kind}, qty double, pnl double", "Update", "None")
+
+
+def stream_lots(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Realised quantities and profits, each batch's once; ``profits`` reads their sums."""
+    table = Once(target)
+    return _run(realised_lots(sdf), lambda batch, k: table.write(batch, f"{_name(checkpoint)}-{k}") and None, checkpoint, mode="update")
+
+
+def profits(spark: SparkSession, target: str) -> DataFrame | None:
+    rows = Once(target).rows(spark)
+    return rows.groupBy("symbol").agg(F.sum("qty").alias("qty"), F.sum("pnl").alias("pnl")) if rows is not None else None
+
+
 def stream_inbox(sdf: DataFrame, inbox: str, keys: list[str], order: list[str | Column], sink: Callable[[DataFrame], bool] | Once, checkpoint: str) -> StreamingQuery:
     """Batches join what is retained; a sink that fails (returns False) leaves all for the next batch. A batch is staged under the stream's name and its number, so that
     one which runs again after a failure isn't staged again; with a Once table each row is delivered once wherever the run fails."""

@@ -310,3 +310,41 @@ def test_sentiment_reads_posts_once_more_and_shuffles_eight_times(spark, tmp_pat
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("text:string") == 1 and plan.count("Exchange hashpartitioning") <= 8, plan
+
+
+def test_open_lots_are_kept_between_batches(spark, tmp_path):
+    """Trades cut into batches anywhere, some runs from the checkpoint, give the profit of the whole table."""
+    import random
+
+    from quantloom.operators import metrics
+
+    rng, kind = random.Random(4), "symbol string, side string, qty double, price double, seq int"
+    rows = [(rng.choice("ab"), rng.choice(["buy", "sell"]), float(rng.randint(1, 9)), float(rng.randint(50, 90)), k) for k in range(120)] + [("only", "buy", 5.0, 1.0, 500)]
+    want = sorted((r["symbol"], r["qty"], round(r["pnl"], 6)) for r in metrics.fifo_pnl(spark.createDataFrame(rows, kind)).collect())
+    cuts = sorted(rng.sample(range(1, 120), 3))
+    feed, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, None])):
+        spark.createDataFrame([*rows[a:b], (None, "buy", 1.0, 1.0, 0)], kind).repartition(2).write.parquet(f"{feed}/{k}")
+        if k != 1:  # the second run has two batches' files at once
+            flows.stream_lots(spark.readStream.schema(kind).option("recursiveFileLookup", True).parquet(feed), target, checkpoint).awaitTermination(120)
+    assert sorted((r["symbol"], r["qty"], round(r["pnl"], 6)) for r in flows.profits(spark, target).collect()) == want
+    example = spark.createDataFrame([("a", "buy", 10.0, 1000.0, 1), ("a", "buy", 10.0, 1200.0, 2), ("a", "sell", 15.0, 1500.0, 3)], kind)
+    example.write.parquet(str(tmp_path / "e"))
+    flows.stream_lots(spark.readStream.schema(kind).parquet(str(tmp_path / "e")), str(tmp_path / "p"), str(tmp_path / "d")).awaitTermination(120)
+    assert flows.profits(spark, str(tmp_path / "p")).first()["pnl"] == 6500
+
+
+def test_repair_totals_are_observed(spark, tmp_path):
+    raw = spark.createDataFrame([("a", 1, "2024-01-02", 1.0, 2.0, 0.5, 1.5), ("a", 2, "2024-01-01", 1.0, 2.0, 0.5, 1.5), ("a", 3, "2024-01-02", 1.0, 2.0, 0.5, 1.6), ("b", 1, None, 1.0, 2.0, 0.5, 1.5), ("b", 2, "2024-01-01", 1.0, 0.1, 0.5, 1.5), ("b", 3, "2024-01-03", None, 2.0, 0.5, 1.0)], "symbol string, seq int, date string, open double, high double, low double, close double")
+    bars = raw.withColumn("date", F.col("date").cast("date"))
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("observed"))
+    spark.sparkContext.setJobGroup("observed", "one pass")
+    try:
+        totals = clean.repair_into(bars, str(tmp_path / "good"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows, report = clean.repair(bars)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "good")).collect())) == sorted(map(tuple, rows.collect()))
+    sums = report.agg(*[F.sum(c).alias(c) for c in ("before", "after", "malformed", "duplicates", "repaired_cells")]).first().asDict()
+    assert {c: totals[c] for c in sums} == sums and (totals["malformed_date"], totals["malformed_range"], totals["malformed_price"], totals["malformed_close"]) == (1, 1, 1, 0)
+    assert jobs() <= 2  # with adaptive execution a shuffle's stages are a job of their own
