@@ -131,16 +131,17 @@ def format_chats(df: DataFrame, key: str, turns: str = "turns", loss_role: str =
     Each turn is ``<|turn|>role``, a line break, its text, ``<|end|>`` and a line break,
     with control strings in role and text escaped. ``loss`` has the (start, length) in
     code points of every text of ``loss_role``, in order. Starts are running sums over the
-    turns as rows, so the work is linear in the turns. Rows of one key, null included, are conversations of their own, and
-    repeated rows, which are counted before they are shuffled, come out as often as they went in. A
+    turns as rows, so the work is linear in the turns. Rows of one key, null included, are conversations of their own, told apart by a 64-bit hash of their turns, and
+    repeated rows, which are counted before they are shuffled, come out as often as they went in. All is by key and hash, so there is
+    one exchange, or none where the rows are dealt by key already. A
     conversation without turns, or with null ones, is the empty text with an empty mask. Null roles and
     texts inside count as empty. Other columns aren't kept; an empty table gives an empty one.
     """
     role, text = _escape_role(F.coalesce("turn.role", F.lit(""))), escape(F.coalesce("turn.text", F.lit("")))
     head = F.concat(F.lit(OPEN), role, F.lit("\n"))
-    rows = df.select(F.col(key).alias("key"), F.col(turns).alias("turns")).groupBy("key", "turns").agg(F.count("*").cast("int").alias("times"))
-    # The hash in a select of its own: beside a generator it would be computed again for each turn.
-    rows = rows.withColumn("own", F.xxhash64("turns")).select("key", "own", "times", F.posexplode_outer("turns").alias("pos", "turn")).where("pos is null or turn is not null")
+    rows = df.select(F.col(key).alias("key"), F.col(turns).alias("turns")).withColumn("own", F.xxhash64("turns"))
+    rows = rows.groupBy("key", "own").agg(F.first("turns").alias("turns"), F.count("*").cast("int").alias("times"))
+    rows = rows.select("key", "own", "times", F.posexplode_outer("turns").alias("pos", "turn")).where("pos is null or turn is not null")
     rows = rows.select("key", "own", "times", "pos", F.col("turn.role").eqNullSafe(loss_role).alias("learn"), F.char_length(head).alias("before"), F.char_length(text).alias("length"), F.concat(head, text, F.lit(CLOSE)).alias("piece"))
     ends = F.sum(F.char_length("piece").cast("long")).over(Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("start", ends - F.char_length("piece") + F.col("before"))
@@ -157,24 +158,31 @@ def read_back(df: DataFrame, key: str, formatted: str = "formatted", loss: str =
 
     Turns become rows with their places, and each span of the mask is looked up in the turn that
     it lies in by a window over both in order of their places; so the work is linear in the turns, as
-    no text is gone through once a span. Repeated rows are counted, read once, and come out as often. A null text
+    no text is gone through once a span. There is one exchange, or none where rows are dealt by key already. Repeated rows are counted, read once, and come out as often. A null text
     gives no turns and an empty loss_text; other columns aren't kept.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(formatted).alias("text"), F.col(loss).alias("spans")).groupBy("key", "text", "spans").agg(F.count("*").cast("int").alias("times"))
-    rows = rows.withColumn("own", F.xxhash64("text", "spans"))
-    pieces = F.filter(F.split("text", "<\\|end\\|>\\n", -1), lambda p: p != "")
-    places = Window.partitionBy("key", "own").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    turns = rows.select("key", "own", F.posexplode(pieces).alias("pos", "piece"))
-    turns = turns.withColumn("at", F.coalesce(F.sum(F.char_length("piece").cast("long") + len(CLOSE)).over(places), F.lit(0)))
-    spans = rows.select("key", "own", F.posexplode("spans").alias("span", "s")).select("key", "own", F.col("s.start").cast("long").alias("at"), "span", F.col("s.length").alias("length"))
-    both = turns.select("key", "own", "at", "pos", "piece").unionByName(spans, allowMissingColumns=True)
-    upto = Window.partitionBy("key", "own").orderBy("at", F.col("span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select(F.col(key).alias("key"), F.col(formatted).alias("text"), F.col(loss).alias("spans")).withColumn("own", F.xxhash64("text", "spans"))
+    rows = rows.groupBy("key", "own").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").cast("int").alias("times"))
+    kind = "struct<pos:int,piece:string,at:bigint,span:int,length:int,text:string>"
+    none = F.lit(None)
+    pieces = F.coalesce(F.filter(F.split("text", "<\\|end\\|>\\n", -1), lambda p: p != ""), F.array().cast("array<string>"))
+    # One array of all that becomes rows, the text once among them, so that a generator makes them and the text isn't copied.
+    entries = F.concat(
+        F.array(F.struct(none.alias("pos"), none.alias("piece"), none.alias("at"), none.alias("span"), none.alias("length"), "text").cast(kind)),
+        F.transform(pieces, lambda p, i: F.struct(i.alias("pos"), p.alias("piece"), none.alias("at"), none.alias("span"), none.alias("length"), none.alias("text")).cast(kind)),
+        F.transform(F.coalesce("spans", F.array().cast(df.schema[loss].dataType)), lambda s, i: F.struct(none.alias("pos"), none.alias("piece"), s["start"].alias("at"), i.alias("span"), s["length"].alias("length"), none.alias("text")).cast(kind)),
+    )
+    both = rows.select("key", "own", "times", F.explode(entries).alias("entry")).select("key", "own", "times", "entry.*")
+    places = Window.partitionBy("key", "own").orderBy(F.col("pos").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.char_length("piece").cast("long") + len(CLOSE)).over(places), F.lit(0))
+    both = both.withColumn("at", F.when(F.col("piece").isNotNull(), start).otherwise(F.col("at")))
+    upto = Window.partitionBy("key", "own").orderBy(F.col("at").asc_nulls_first(), F.col("span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     held = F.last(F.when(F.col("piece").isNotNull(), F.struct("at", "piece")), ignorenulls=True).over(upto)
     both = both.withColumn("held", F.when(F.col("span").isNotNull(), held))
     told = unescape(F.substring("held.piece", (F.col("at") - F.col("held.at") + 1).cast("int"), F.col("length").cast("int")))
     body = F.substring("piece", F.lit(len(OPEN) + 1), F.char_length("piece"))
     role = F.substring_index(body, "\n", 1)
     turn = F.struct(_unescape_role(role).alias("role"), unescape(F.substring(body, F.char_length(role) + 2, F.char_length(body))).alias("text"))
-    both = both.select("key", "own", F.when(F.col("piece").isNotNull(), F.struct("pos", turn.alias("turn"))).alias("turn"), F.when(F.col("span").isNotNull(), F.struct("span", told.alias("told"))).alias("under"))
-    read = both.unionByName(rows.select("key", "own", "text", "times"), allowMissingColumns=True).groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.max("times").alias("times"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
+    both = both.select("key", "own", "times", "text", F.when(F.col("piece").isNotNull(), F.struct("pos", turn.alias("turn"))).alias("turn"), F.when(F.col("span").isNotNull(), F.struct("span", told.alias("told"))).alias("under"))
+    read = both.groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.max("times").alias("times"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
     return read.select(F.col("key").alias(key), F.col("text").alias(formatted), F.transform("turns", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("under", lambda x: x["told"]), "").alias("loss_text"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")

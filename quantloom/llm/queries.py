@@ -47,14 +47,15 @@ GROUP BY d.id, b.id HAVING count(*) * 100 >= any_value(item_shingles) * 80
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as message records, and -7 as a prompt and response record; both
-    go through their layout's mapping. The digests are read back from the formatted text."""
-    kind = "array<struct<role:string,content:string>>"
-    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("rows"))
-    messages = F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).cast(kind)
-    told = rows.select("conv_id", F.struct(messages.alias("messages"), F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("response")).alias("record"))
-    said = F.lit("</s>[INST] ok [/INST]")
-    own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.struct(F.lit(None).cast(kind).alias("messages"), said.alias("prompt"), said.alias("response")).alias("record"))
-    made = chat_format.format_chats(chat_format.canonical(told.unionByName(own), "record"), "conv_id")
+    go through their layout's mapping. The digests are read back from the formatted text. Rows are dealt by conversation once."""
+    said, blank = F.lit("</s>[INST] ok [/INST]"), F.lit(None).cast("string")
+    row = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))
+    told = _table(spark, sf_dir, "conversations").select("conv_id", row.alias("row"), blank.alias("said"))
+    own = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(None).cast(told.schema["row"].dataType).alias("row"), said.alias("said"))
+    rows = told.unionByName(own).groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.max("said").alias("said"))
+    messages = F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    record = F.struct(F.when(F.col("said").isNull(), messages).alias("messages"), F.col("said").alias("prompt"), F.col("said").alias("response"))
+    made = chat_format.format_chats(chat_format.canonical(rows.select("conv_id", record.alias("record")), "record"), "conv_id")
     read = chat_format.read_back(made, "conv_id")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
