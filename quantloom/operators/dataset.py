@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.blocks import with_halo
 from quantloom.operators.indicators import by_symbol
 
 
@@ -131,6 +134,44 @@ def score_sequences(df: DataFrame, keys: list[str], model: Callable[[], Callable
     return df.select(*keys, "features").mapInPandas(run, schema)
 
 
+def sequence_blocks(df: DataFrame, cols: list[str], n: int = 20, include_anchor: bool = True, size: int = 4096) -> DataFrame:
+    """The sequences of sequences() without their n-fold copy: a row a block of ``size`` bars of a symbol, with the rows before it that its first sequences
+    reach back to: (symbol, block, rows), rows an array of (date, own, values) in order of their dates. A symbol's bars are cut by ranges, so no task has a long one whole, and
+    sequences are cut out of a block where they are read (score_blocks)."""
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = with_halo(df.select("symbol", "date", values.alias("values")), size, n - 1 if include_anchor else n)
+    return rows.groupBy("symbol", "block").agg(F.array_sort(F.collect_list(F.struct("date", "own", "values"))).alias("rows"))
+
+
+def score_blocks(blocks: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]], n: int = 20, include_anchor: bool = True, horizons: int = 5, batch: int = 1024) -> DataFrame:
+    """score_sequences() over sequence_blocks() with the same ``n`` and ``include_anchor``: (symbol, date, horizon, pred). The model gets ``batch`` sequences at a time as a view of their
+    block; sequences with a value that is null or not finite go."""
+    kinds = {f.name: f.dataType for f in blocks.schema["rows"].dataType.elementType}
+    schema = f"symbol {blocks.schema['symbol'].dataType.simpleString()}, date {kinds['date'].simpleString()}, horizon int, pred double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, skip = model(), 0 if include_anchor else 1
+        for rows in batches:
+            for k in range(rows.num_rows):
+                own = rows.column("rows").slice(k, 1).flatten()
+                values = pc.cast(own.field("values").flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                if len(values) < n + skip:
+                    continue
+                bad = np.concatenate([[0], np.cumsum(~np.isfinite(values).all(1))])
+                ends = np.arange(n - 1 + skip, len(values))  # the rows that the sequences are of
+                last = ends - skip
+                keep = (bad[last + 1] == bad[last + 1 - n]) & own.field("own").to_numpy(zero_copy_only=False)[ends]
+                views = np.lib.stride_tricks.sliding_window_view(values, n, axis=0).transpose(0, 2, 1)
+                for at in np.split(np.flatnonzero(keep), range(batch, int(keep.sum()), batch)):
+                    if len(at):
+                        out = np.asarray(score(views[at]), float)[:, :horizons]
+                        place = pa.array(np.repeat(ends[at], horizons))
+                        symbol = rows.column("symbol").take(pa.array(np.full(len(place), k)))
+                        yield pa.record_batch([symbol, own.field("date").take(place), pa.array(np.tile(np.arange(1, horizons + 1, dtype="i4"), len(at))), pa.array(out.ravel())], names=["symbol", "date", "horizon", "pred"])
+
+    return blocks.select("symbol", "rows").mapInArrow(run, schema)
+
+
 def momentum(steps: int = 5) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     """The default sequence model: the mean change of the last feature, carried on."""
     return lambda: lambda x: np.diff(x[:, :, -1], axis=1).mean(1, keepdims=True) * np.arange(1, steps + 1)

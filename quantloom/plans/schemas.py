@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalars, schemas
+from quantloom.functions.tables import cut
 from quantloom.operators import changes, clean, dataset, fundamentals, labels, text
 from quantloom.plans.fixtures import BARS, bars, table
-from quantloom.plans.registry import query
+from quantloom.plans.registry import SQL, query
 from quantloom.plans.rounding import rounded
 from quantloom.plans.rounding import sql_round as _r
 from quantloom.plans.tables import STATEMENTS, statements
@@ -261,3 +262,10 @@ def u1_lexicon(spark, sf_dir):
 def u2_scorer(spark, sf_dir):
     seq = dataset.sequences(bars(spark, sf_dir), ["open", "close"], 20)
     return rounded(dataset.score_sequences(seq, ["symbol", "date"], dataset.momentum()), "pred", keys=("symbol", "date", "horizon"))
+
+
+@query("u2_t1_block_sequences", SQL["u2_sequence_scorer"], dated=False)
+def u2_blocks(spark, sf_dir):
+    """The same scores from sequences that are written as blocks of bars."""
+    blocks = cut(dataset.sequence_blocks(bars(spark, sf_dir), ["open", "close"], 20, size=256), "sequence-blocks")
+    return rounded(dataset.score_blocks(blocks, dataset.momentum(), 20), "pred", keys=("symbol", "date", "horizon"))

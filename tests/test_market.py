@@ -169,3 +169,27 @@ def test_ranks_of_large_groups_equal_the_window_s(spark, monkeypatch, shuffled):
     assert "Window" not in plan
     by_number = regime.large_rank(spark.createDataFrame([(None, 1.0), (0, 1.0), (0, 2.0)], "g int, v double"), "v", "g").collect()
     assert sorted((str(r["g"]), r["v_rank"]) for r in by_number) == [("0", 0.5), ("0", 1.0), ("None", 1.0)]
+
+
+@pytest.mark.parametrize("anchor", [True, False])
+def test_sequences_in_blocks_equal_their_copies(spark, tmp_path, anchor):
+    rng = np.random.default_rng(8)
+    rows = [(s, dt.date(2000, 1, 1) + dt.timedelta(i), None if rng.random() < 0.01 else float(rng.normal()), float("nan") if rng.random() < 0.005 else float(rng.normal())) for s, n in ((0, 900), (1, 64), (2, 20), (3, 19), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol int, date date, a double, b double")
+    model = lambda: lambda x: np.stack([x.sum((1, 2)), x[:, 0, 0] - x[:, -1, 1]], 1)
+    want = dataset.score_sequences(dataset.sequences(df, ["a", "b"], 20, anchor), ["symbol", "date"], model, 2)
+    blocks = dataset.sequence_blocks(df, ["a", "b"], 20, anchor, size=64)
+    got = dataset.score_blocks(blocks, model, 20, anchor, 2, batch=50)
+    key = lambda d: sorted((r["symbol"], r["date"], r["horizon"], round(r["pred"], 9)) for r in d.collect())
+    assert key(got) == key(want) and got.count() > 500
+    assert blocks.groupBy("symbol").count().where("symbol = 0").first()["count"] == 15
+    assert dataset.score_blocks(dataset.sequence_blocks(df.limit(0), ["a", "b"]), model).count() == 0
+
+
+def test_sequences_in_blocks_are_no_twentyfold_copy(spark, tmp_path):
+    df = spark.range(40_000).select((F.col("id") % 5).alias("symbol"), F.col("id").alias("date"), *[F.rand(k).alias(c) for k, c in enumerate("abcd")])
+    df.write.parquet(str(tmp_path / "bars"))
+    df = spark.read.parquet(str(tmp_path / "bars"))
+    dataset.sequence_blocks(df, list("abcd"), 20, size=2048).write.parquet(str(tmp_path / "blocks"))
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
+    assert size("blocks") < 2 * size("bars")
