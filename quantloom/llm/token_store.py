@@ -12,10 +12,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ MAGIC = b"QLTOK001"
 LEAST_DICTIONARY = 64
 #: How zstandard's trained dictionaries begin; raw content must not.
 TRAINED = b"\x37\xa4\x30\xec"
-MANIFEST = "path string, first_id long, n_docs long, n_tokens long, id_bytes int, dictionary string"
+MANIFEST = "path string, task int, part int, first_id long, n_docs long, n_tokens long, id_bytes int, dictionary string"
+#: A shard is closed, and another one begun, when it has so many documents or bytes of frames.
+SHARD_DOCS, SHARD_BYTES = 1 << 18, 256 << 20
+#: Characters of a text that rows of one id are dealt by.
+TIE_CHARS = 256
 
 
 def _open(path: str):
@@ -77,8 +83,9 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int, sample_docs:
 def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` into shards under the shared folder; returns the manifest, a row a shard.
 
-    Rows are range-partitioned by id and sorted, so shards hold disjoint, ascending ids.
-    Each task streams its rows into one file with a name of its own; only files that the
+    Rows are range-partitioned by id, and those of one id by the beginnings of their texts, and sorted, so shards hold ascending ids.
+    Each task streams its rows into files with names of their own, each of at most SHARD_DOCS documents and, but for its last one, SHARD_BYTES bytes, so neither
+    the index that a task holds nor what is read by one task grows with the corpus; only files that the
     manifest names count, and Spark commits one attempt of each task to it, so a task that
     is run again leaves no trace in the result. Null text counts as empty and gives just
     ``end_id``; rows with a null id come first; repeated ids stand next to each other, ordered
@@ -100,36 +107,56 @@ def write_store(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2,
         f.write(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(vocabulary)
+        own, task = coder(vocabulary), TaskContext.get().partitionId()
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=level)
-        files, at = _open(folder)
-        name, out, place = f"shard-{uuid.uuid4().hex}.tok", None, len(MAGIC) + 32
-        ids, tokens, ends = [], [], []
+        shard, n = None, 0
         for batch in batches:
-            if out is None and batch.num_rows:
-                out = files.open_output_stream(f"{at}/{name}")
-                out.write(MAGIC + digest)
             for part in slices(batch, 1):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if shard is None:
+                        shard = _Writer(folder, digest, width)
                     raw = _narrow(own.encode(text) + end, width)
-                    frame = packer.compress(raw)
-                    out.write(frame)
-                    place += len(frame)
-                    ids.append(doc)
-                    tokens.append(len(raw) // width)
-                    ends.append(place)
-        if out is not None:
-            valid = np.array([i is not None for i in ids], "u1")
-            for part in (valid, np.array([i or 0 for i in ids], "<i8"), np.array(tokens, "<u4"), np.array(ends, "<u8"), np.array([len(ids), width], "<u8")):
-                out.write(part.tobytes())
-            out.write(MAGIC)
-            out.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_id": ids[0], "n_docs": len(ids), "n_tokens": sum(tokens), "id_bytes": width, "dictionary": digest.hex()}], pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()), ("dictionary", pa.string())]))
-
-    ranged = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body")
+                    shard.add(doc, packer.compress(raw), len(raw) // width)
+                    if len(shard.ids) >= SHARD_DOCS or shard.place >= SHARD_BYTES:
+                        yield shard.close(task, n)
+                        shard, n = None, n + 1
+        if shard is not None:
+            yield shard.close(task, n)
+
+    ranged = base.repartitionByRange("doc_id", F.substring("body", 1, TIE_CHARS)).sortWithinPartitions("doc_id", "body")
     manifest = cut(ranged.mapInArrow(write, MANIFEST), "token-manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))  # a row a shard
+    before = Window.orderBy("task", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
+class _Writer:
+    """A shard that is being written, with its index in arrays of some twenty bytes a document."""
+
+    def __init__(self, folder: str, digest: bytes, width: int) -> None:
+        files, at = _open(folder)
+        name = f"shard-{uuid.uuid4().hex}.tok"
+        self.path, self.digest, self.width, self.place = f"{folder}/{name}", digest, width, len(MAGIC) + 32
+        self.valid, self.ids, self.tokens, self.ends = bytearray(), array("q"), array("I"), array("Q")
+        self.out = files.open_output_stream(f"{at}/{name}")
+        self.out.write(MAGIC + digest)
+
+    def add(self, doc: int | None, frame: bytes, tokens: int) -> None:
+        self.out.write(frame)
+        self.place += len(frame)
+        self.valid.append(doc is not None)
+        self.ids.append(doc or 0)
+        self.tokens.append(tokens)
+        self.ends.append(self.place)
+
+    def close(self, task: int, part: int) -> pa.RecordBatch:
+        """Writes the index; the shard's row of the manifest."""
+        for column, kind in ((self.valid, "u1"), (self.ids, "<i8"), (self.tokens, "<u4"), (self.ends, "<u8"), ([len(self.ids), self.width], "<u8")):
+            self.out.write(np.array(column, kind).tobytes())
+        self.out.write(MAGIC)
+        self.out.close()
+        row = {"path": self.path, "task": task, "part": part, "first_id": self.ids[0] if self.valid[0] else None, "n_docs": len(self.ids), "n_tokens": sum(self.tokens), "id_bytes": self.width, "dictionary": self.digest.hex()}
+        kinds = [("path", pa.string()), ("task", pa.int32()), ("part", pa.int32()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("id_bytes", pa.int32()), ("dictionary", pa.string())]
+        return pa.RecordBatch.from_pylist([row], pa.schema(kinds))
 
 
 class Shard:

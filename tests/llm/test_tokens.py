@@ -322,3 +322,42 @@ def test_tiered_packing_of_documents(spark, docs, rows, none):
 
 def test_tiered_packing_by_shuffled_joins(spark, docs, rows, none, shuffled):
     test_tiered_packing_of_documents(spark, docs, rows, none)
+
+
+def test_chats_are_dealt_once(spark, tmp_path):
+    """One exchange an operator, and one for both and the query where rows are dealt by conversation before."""
+    from quantloom.llm import queries
+
+    df = spark.createDataFrame([(1, [("user", "a")])], "k long, turns array<struct<role:string,text:string>>")
+    spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        made = chat_format.format_chats(df, "k")
+        assert plan(made) == 1 and plan(chat_format.read_back(made, "k")) == 2
+        assert plan(chat_format.read_back(chat_format.format_chats(df.repartition("k"), "k"), "k")) == 1
+        assert plan(queries.op5_chat_format(spark, str(tmp_path))) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("most", [(50, 1 << 40), (10**9, 3_000)])
+def test_shards_are_bounded(spark, monkeypatch, most):
+    """Many rows of one id and of none: shards of few documents or bytes, several a task, and the starts of one whole store."""
+    monkeypatch.setattr(token_store, "SHARD_DOCS", most[0])
+    monkeypatch.setattr(token_store, "SHARD_BYTES", most[1])
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k * 7919 % 1000} of many" + " more" * (k % 50)) for k in range(1200)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = manifest.orderBy("start").collect()
+    assert max(r["n_docs"] for r in shards) <= most[0] and len(shards) >= (20 if most[0] == 50 else 8) and max(r["part"] for r in shards) > 0
+    assert len({r["task"] for r in shards if r["first_id"] == 7}) > 1 and len({r["task"] for r in shards if r["first_id"] is None}) > 1
+    out = sorted((r.asDict() for r in token_store.read_store(spark, manifest, ids=True).collect()), key=lambda r: r["start"])
+    start = 0
+    for r, (i, t) in zip(out, sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), strict=True):
+        ids = CODER._whole(t) + (2).to_bytes(4, "little")
+        assert (r["doc_id"], r["start"], np.array(r["ids"], "<u4").tobytes()) == (i, start, ids)
+        start += len(ids) // 4
