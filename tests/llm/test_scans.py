@@ -4,6 +4,8 @@ import time
 from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import license_rules, license_scan, quality, secret_scan
 
@@ -289,46 +291,57 @@ def test_slopes_are_those_of_the_loss():
             assert abs((at(s, theta + step) - at(s, theta - step)) / 2e-6 - dict(slopes).get(k, 0.0)) < 1e-4
 
 
-def _plain_fit(rows, epochs=3, rounds=5, rate=0.2, decay=1e-3):
-    """The model as dictionaries, one document at a time: what fit() computes with one shard."""
+def _plain_fit(shards, epochs=3, rounds=5, rate=0.2, decay=1e-3):
+    """The model as dictionaries, one document at a time: what fit() computes, of each weight the mean over the shards that moved it."""
     often = {}
-    for x, _ in rows:
+    for x, _ in (r for rows in shards for r in rows):
         for i in set(x):
             often[i] = often.get(i, 0) + 1
-    rows, w, theta = [([i for i in x if often[i] >= 3], g) for x, g in rows], {}, [-1.0, 0.0]
+    shards, model, thresholds = [[([i for i in x if often[i] >= 3], g) for x, g in rows] for rows in shards], {}, [-1.0, 0.0]
     sig = lambda v: 1 / (1 + np.exp(-min(35, max(-35, v))))
     for k in range(rounds):
-        own, seen, seen_t = rate / (1 + k / 2), {}, [1.0, 1.0]
-        rng = np.random.Generator(np.random.PCG64(k))
-        for _ in range(epochs):
-            for r in rng.permutation(len(rows)):
-                x, g = rows[r]
-                s = sum(w.get(i, 0.0) for i in x)
-                up, down = sig(theta[g] - s) if g < 2 else 1.0, sig(theta[g - 1] - s) if g else 0.0
-                p = max(1e-9, up - down)
-                for i in x:
-                    step = 1 - up - down + decay * w.get(i, 0.0)
-                    seen[i] = seen.get(i, 1.0) + step * step
-                    w[i] = w.get(i, 0.0) - own * step / seen[i] ** 0.5
-                for at, slope in ((g, -up * (1 - up) / p), (g - 1, down * (1 - down) / p)):
-                    if 0 <= at < 2:
-                        slope = min(2, max(-2, slope))
-                        seen_t[at] += slope * slope
-                        theta[at] -= own * slope / seen_t[at] ** 0.5
-                if theta[1] <= theta[0]:
-                    theta[1] = max(theta[0], theta[1] + 1e-3)
-    return w, theta
-
-
-def test_quality_equals_a_plain_fit(spark, docs, rows):
-    """Every grade of whole texts, edge cases included, against plain Python."""
+        moved, thetas = defaultdict(list), []
+        for rows in shards:
+            own, w, theta, seen, seen_t = rate / (1 + k / 2), dict(model), list(thresholds), {}, [1.0, 1.0]
+            rng = np.random.Generator(np.random.PCG64(k))
+            for _ in range(epochs):
+                for r in rng.permutation(len(rows)):
+                    x, g = rows[r]
+                    s = sum(w.get(i, 0.0) for i in x)
+                    up, down = sig(theta[g] - s) if g < 2 else 1.0, sig(theta[g - 1] - s) if g else 0.0
+                    p = max(1e-9, up - down)
+                    for i in x:
+                        step = 1 - up - down + decay * w.get(i, 0.0)
+                        seen[i] = seen.get(i, 1.0) + step * step
+                        w[i] = w.get(i, 0.0) - own * step / seen[i] ** 0.5
+                    for at, slope in ((g, -up * (1 - up) / p), (g - 1, down * (1 - down) / p)):
+                        if 0 <= at < 2:
+                            slope = min(2, max(-2, slope))
+                            seen_t[at] += slope * slope
+                            theta[at] -= own * slope / seen_t[at] ** 0.5
+                    if theta[1] <= theta[0]:
+                        theta[1] = max(theta[0], theta[1] + 1e-3)
+            for i in seen:
+                moved[i].append(w[i])
+            thetas.append(theta)
+        model |= {i: sum(v) / len(v) for i, v in moved.items()}
+        thresholds = [sum(t[j] for t in thetas) / len(thetas) for j in (0, 1)]
+    return model, thresholds
+
+
+@pytest.mark.parametrize("least,shards", [(1500, 1), (40, 3)])
+def test_quality_equals_a_plain_fit(spark, docs, rows, monkeypatch, least, shards):
+    """Every grade of whole texts, edge cases included, against plain Python, by one shard and by several."""
+    monkeypatch.setattr(quality, "LEAST_ROWS", least)
     more = [(1000 + i, f"w{i % 7} words of grade " + "vile " * (i % 3 == 0) + "&& " * (i % 3 == 1) * 3 + f"w{i % 5}") for i in range(120)]
     df = docs.select("doc_id", "text", "kept").unionByName(spark.createDataFrame([(i, t, "") for i, t in more], "doc_id long, text string, kept string"))
     lab = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 0)) for i, _ in more] + [(1002, 1, 1), (8, 1, 0), (None, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     grades = {i: 0 if i % 3 == 0 else 1 if i % 3 == 1 else 2 for i, _ in more} | {1002: 0, 8: 2}
     every = rows + more
     fit = sorted(((i, t or "") for i, t in every if i in grades), key=lambda r: r[0])
-    w, theta = _plain_fit([(quality.features(t.encode()).tolist(), grades[i]) for i, t in fit])
+    at = {r["id"]: r["shard"] for r in spark.createDataFrame([(i,) for i in grades], "id long").select("id", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).alias("shard")).collect()}
+    assert len(set(at.values())) == shards
+    w, theta = _plain_fit([[(quality.features(t.encode()).tolist(), grades[i]) for i, t in fit if at[i] == k] for k in range(shards)])
     want = []
     for i, t in every:
         s = sum(w.get(k, 0.0) for k in quality.features((t or "").encode()).tolist())
