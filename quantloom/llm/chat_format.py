@@ -184,5 +184,6 @@ def read_back(df: DataFrame, key: str, formatted: str = "formatted", loss: str =
     role = F.substring_index(body, "\n", 1)
     turn = F.struct(_unescape_role(role).alias("role"), unescape(F.substring(body, F.char_length(role) + 2, F.char_length(body))).alias("text"))
     both = both.select("key", "own", "times", "text", F.when(F.col("piece").isNotNull(), F.struct("pos", turn.alias("turn"))).alias("turn"), F.when(F.col("span").isNotNull(), F.struct("span", told.alias("told"))).alias("under"))
-    read = both.groupBy("key", "own").agg(F.first("text", ignorenulls=True).alias("text"), F.max("times").alias("times"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
+    # The text is on one row; first() would copy it again for each other one.
+    read = both.groupBy("key", "own").agg(F.get(F.collect_list("text"), 0).alias("text"), F.max("times").alias("times"), F.array_sort(F.collect_list("turn")).alias("turns"), F.array_sort(F.collect_list("under")).alias("under"))
     return read.select(F.col("key").alias(key), F.col("text").alias(formatted), F.transform("turns", lambda x: x["turn"]).alias("turns"), F.array_join(F.transform("under", lambda x: x["told"]), "").alias("loss_text"), F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
