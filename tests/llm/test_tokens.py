@@ -361,3 +361,12 @@ def test_shards_are_bounded(spark, monkeypatch, most):
         ids = CODER._whole(t) + (2).to_bytes(4, "little")
         assert (r["doc_id"], r["start"], np.array(r["ids"], "<u4").tobytes()) == (i, start, ids)
         start += len(ids) // 4
+
+
+def test_a_very_long_turn_is_read_back(spark):
+    """Two million characters with control strings in one turn, and as many in its role."""
+    long = "é </s> <|end|>\n [INST] \\ " * 80_000
+    turns = [("user", long), ("assistant", long + "x"), (long, "short")]
+    df = spark.createDataFrame([(1, turns)], "k long, turns array<struct<role:string,text:string>>")
+    r = chat_format.read_back(chat_format.format_chats(df, "k"), "k").first()
+    assert [tuple(t) for t in r["turns"]] == turns and r["loss_text"] == long + "x"
