@@ -45,7 +45,7 @@ def unequal_blocks(before: DataFrame, after: DataFrame, fan: int = FAN) -> DataF
     whole sheet. Only sheets with unequal roots have their blocks compared."""
     side = lambda tree, name: tree_hash(tree, fan).select(F.col("sheet").alias(f"sheet_{name}"), F.col("n").alias(f"rows_{name}"), F.col("sheet_hash").alias(f"hash_{name}"))
     sheets = side(before, "a").join(side(after, "b"), F.col("sheet_a").eqNullSafe(F.col("sheet_b")), "full").where(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-    sheets = cut(sheets.select(F.coalesce("sheet_a", "sheet_b").alias("_sheet"), F.coalesce("rows_a", F.lit(0)).alias("sheet_before"), F.coalesce("rows_b", F.lit(0)).alias("sheet_after")), "sheets")
+    sheets = sheets.select(F.coalesce("sheet_a", "sheet_b").alias("_sheet"), F.coalesce("rows_a", F.lit(0)).alias("sheet_before"), F.coalesce("rows_b", F.lit(0)).alias("sheet_after"))
     both = before.withColumn("side", F.lit(0)).unionByName(after.withColumn("side", F.lit(1))).join(sheets, F.col("sheet").eqNullSafe(F.col("_sheet")))
     hashes = both.groupBy("sheet", "block", "sheet_before", "sheet_after").agg(*[F.max(F.when(F.col("side") == k, F.col("block_hash"))).alias(f"h{k}") for k in (0, 1)])
     return cut(hashes.where(~F.col("h0").eqNullSafe(F.col("h1"))).drop("h0", "h1"), "blocks")
@@ -58,23 +58,32 @@ def rows_in(rows: DataFrame, blocks: DataFrame, fan: int = FAN) -> DataFrame:
     return rows.select("sheet", "row_no", "row_hash").join(at, same, "left_semi")
 
 
+def _change(rows: DataFrame) -> DataFrame:
+    change = F.when(F.col("n_before") == 0, "sheet_added").when(F.col("n_after") == 0, "sheet_removed").when(F.col("added_rows") + F.col("modified_rows") > 0, "updated")
+    return rows.withColumn("change", change).where("change is not null").drop("n_before", "n_after")
+
+
 def diff_snapshots(prev: DataFrame, cur: DataFrame, before: DataFrame | None = None, after: DataFrame | None = None, fan: int = FAN) -> DataFrame:
     """Rows (sheet, row_no, row_hash) against those before: a row per sheet with change and counts; sheets
     without edits are left out, as are ones that only shrank.
 
-    The snapshots' hash trees, ``before`` and ``after`` or else made here, are compared from their roots down, and rows are joined only under blocks that
-    differ, so that where little has changed little is read of ``prev`` and nothing but hashes is shuffled. A sheet of equal hash is no change."""
-    blocks = unequal_blocks(hash_tree(prev, fan) if before is None else before, hash_tree(cur, fan) if after is None else after, fan)
-    old, new = (rows_in(rows, blocks, fan).withColumnRenamed("row_hash", name) for rows, name in ((prev, "was"), (cur, "now")))
+    With the hash tree that was kept of the snapshot before (``before``; ``after`` is made here if it isn't given), trees are compared from their roots down, and
+    rows are joined only under blocks that differ, so that where little has changed little is read of ``prev``, and a sheet of equal hash is no change. Without one,
+    making it would shuffle as much as the join of all rows, which is then done."""
+    old, new = (rows.select("sheet", "row_no", F.col("row_hash").alias(name)) for rows, name in ((prev, "was"), (cur, "now")))
+    blocks = None
+    if before is not None:
+        blocks = unequal_blocks(before, cut(hash_tree(cur, fan), "tree") if after is None else after, fan)
+        old, new = (rows_in(rows, blocks, fan).withColumnRenamed("row_hash", name) for rows, name in ((prev, "was"), (cur, "now")))
     joined = old.withColumn("there", F.lit(1)).join(new.withColumn("here", F.lit(1)), ["sheet", "row_no"], "full")
     counts = joined.groupBy("sheet").agg(
         F.count_if(F.col("there").isNull()).alias("added_rows"), F.count_if(F.col("there").isNotNull() & F.col("here").isNotNull() & ~F.col("was").eqNullSafe(F.col("now"))).alias("modified_rows"),
-        F.count_if(F.col("here").isNull()).alias("removed_rows"),
+        F.count_if(F.col("here").isNull()).alias("removed_rows"), F.count("there").alias("n_before"), F.count("here").alias("n_after"),
     )
+    if blocks is None:
+        return _change(counts)
     sizes = blocks.groupBy(F.col("sheet").alias("_sheet")).agg(F.max("sheet_before").alias("n_before"), F.max("sheet_after").alias("n_after"))
-    out = counts.join(sizes, F.col("sheet").eqNullSafe(F.col("_sheet"))).drop("_sheet")
-    change = F.when(F.col("n_before") == 0, "sheet_added").when(F.col("n_after") == 0, "sheet_removed").when(F.col("added_rows") + F.col("modified_rows") > 0, "updated")
-    return out.withColumn("change", change).where("change is not null").drop("n_before", "n_after")
+    return _change(counts.drop("n_before", "n_after").join(sizes, F.col("sheet").eqNullSafe(F.col("_sheet"))).drop("_sheet"))
 
 
 def actionable(changes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalars
-from quantloom.functions.tables import new_path
+from quantloom.functions.tables import cut, new_path
 from quantloom.operators import changes, clean, decision, fundamentals
 from quantloom.plans.fixtures import BARS, DEEP, EMA_ROWS, bars, deep_bars, table
 from quantloom.plans.registry import query
@@ -167,6 +167,14 @@ def f11_actionable(spark, sf_dir):
     return changes.actionable(changes.diff_snapshots(*snapshots(spark, sf_dir)))
 
 
+@query("j9_a29_kept_trees", f"{_DIFF} SELECT * FROM d WHERE change IS NOT NULL", dated=False)
+def j9_kept(spark, sf_dir):
+    """The snapshot before was written with its hash tree; its rows are read under unequal blocks only."""
+    prev, cur = snapshots(spark, sf_dir)
+    kept = cut(prev, "snapshot")
+    return changes.diff_snapshots(kept, cut(cur, "snapshot"), cut(changes.hash_tree(kept, 64), "tree"), fan=64)
+
+
 @query("a29_sheet_hash", f"WITH {SNAPSHOTS} SELECT sheet, sha256(string_agg(row_no || ':' || h, chr(10) ORDER BY row_no)) AS sheet_hash FROM cur GROUP BY sheet", dated=False)
 def a29_hash(spark, sf_dir):
     return changes.sheet_hash(snapshots(spark, sf_dir)[1])
