@@ -50,6 +50,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_of(df: DataFrame, rows: int = 1 << 18) -> int:
+    """How many partitions ``df`` needs for ``rows`` rows each, those of a shuffle at least: a task's memory stays the same
+    however large the table is. Counting a table of files reads their footers only."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], weight: str | None = None) -> DataFrame:
     """Adds ``rank``, the rows (or the ``weight``) before a row within ``keys`` by ``order``, and ``total``, all of them, however few keys there are.
 

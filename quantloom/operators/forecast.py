@@ -15,10 +15,19 @@ def normalize_weights(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ensemble(df: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
-    """The weighted mean of rows (keys, model, pred); the weights are a literal of a few entries."""
+    """The weighted mean of rows (keys, model, pred) with normalize_weights(); the weights are a literal of a few entries. One aggregate, no window."""
     own = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("model")), F.lit(0.0))
-    rows = normalize_weights(df.withColumn("weight", own), keys)
-    return rows.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("pred")).alias("pred"))
+    held = F.greatest(own, F.lit(0.0))
+    out = df.groupBy(*keys).agg(F.sum(held).alias("__total"), F.sum(held * F.col("pred")).alias("__held"), F.sum("pred").alias("__sum"), F.count("*").alias("__n"))
+    return out.select(*keys, F.when(F.col("__total") > 0, F.col("__held") / F.nullif("__total", F.lit(0.0))).otherwise(F.col("__sum") / F.col("__n")).alias("pred"))
+
+
+def ensemble_columns(df: DataFrame, weights: dict[str, float], out: str = "pred") -> DataFrame:
+    """ensemble() of models that are columns, each row on its own: a null is a model that isn't at hand. Nothing is shuffled or sorted."""
+    add = lambda f: sum((F.when(F.col(m).isNotNull(), f(m, max(0.0, w))).otherwise(0.0) for m, w in weights.items()), F.lit(0.0))
+    total, n = add(lambda m, w: F.lit(float(w))), add(lambda m, w: F.lit(1.0))
+    held, plain = add(lambda m, w: w * F.col(m)), add(lambda m, w: F.col(m))
+    return df.withColumn(out, F.when(total > 0, held / F.nullif(total, F.lit(0.0))).otherwise(plain / F.nullif(n, F.lit(0.0))))
 
 
 def sort_quantiles(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.tables import new_path
+from quantloom.functions.tables import new_path, parts_of
 from quantloom.operators.bars import bars_from_trades
 
 SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -20,7 +20,8 @@ def trades(spark: SparkSession, sf_dir: str, symbol: str = "l_suppkey") -> DataF
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf_dir))
+    """Many symbols with hardly more than a trade a day."""
+    return bars_from_trades(trades(spark, sf_dir), parts_of(table(spark, sf_dir, "lineitem")))
 
 
 def deep_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,3 +193,35 @@ def test_sequences_in_blocks_are_no_twentyfold_copy(spark, tmp_path):
     dataset.sequence_blocks(df, list("abcd"), 20, size=2048).write.parquet(str(tmp_path / "blocks"))
     size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).rglob("*.parquet"))
     assert size("blocks") < 2 * size("bars")
+
+
+def test_an_ensemble_of_columns_is_that_of_rows_and_has_no_exchange(spark):
+    rows = [(0, 1.0, 2.0, 4.0), (1, None, 2.0, 4.0), (2, None, None, None), (3, 1.0, None, 5.0)]
+    wide = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    long = wide.select("k", F.explode(F.create_map(*[x for m in "abc" for x in (F.lit(m), F.col(m))])).alias("model", "pred")).where("pred is not null")
+    for weights in ({"a": 0.2, "b": 0.3, "c": 0.5}, {"a": -1.0, "b": 0.0, "c": 0.0}, {"a": 1.0, "b": -3.0, "c": 3.0}):
+        a = {r["k"]: r["pred"] for r in forecast.ensemble_columns(wide, weights).collect()}
+        b = {r["k"]: r["pred"] for r in forecast.ensemble(long, weights, ["k"]).collect()}
+        assert a.pop(2) is None and a == pytest.approx(b)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(forecast.ensemble_columns(wide, weights)) and "Window" not in plan(forecast.ensemble(long, weights, ["k"]))
+
+
+def test_bars_dealt_by_symbol_need_one_exchange_and_partitions_grow_with_the_rows(spark):
+    from quantloom.functions.tables import parts_of
+    from quantloom.operators.bars import bars_from_trades
+
+    t = spark.range(200).selectExpr("id % 7 symbol", "date_add(date '2020-01-01', cast(id % 11 as int)) date", "cast(id * 37 % 101 as double) price", "1.0d qty", "id seq")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(bars_from_trades(t, 5)) == key(bars_from_trades(t))
+    assert parts_of(t) == 4 and parts_of(t, 10) == 20
+    plan = labels.forward_labels(bars_from_trades(t, 5), range(1, 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_rounding_by_whole_numbers_is_that_of_decimals(spark):
+    from quantloom.plans.rounding import NUDGE, nudged
+
+    df = spark.createDataFrame([(x,) for x in (0.0, -0.0, 1.00004, -1.00006, 12345.678949, -2.5e-5, 3e8 + 0.12345, 1e15 + 0.3, float("nan"), float("inf"), None)], "x double")
+    a, b = ([str(r[0]) for r in df.select(c).collect()] for c in (nudged(F.col("x"), 4), F.round(F.col("x") + NUDGE, 4) + 0.0))
+    assert a == b
