@@ -78,10 +78,9 @@ def errors(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def to_wide(df: DataFrame, keys: list[str], value: str, days: int = 5) -> DataFrame:
-    """One column per horizon; explicit values, so no pass over the data to find them."""
+    """One column per horizon, of rows unique by (keys, horizon); one aggregate by the keys, where a pivot has another by horizon below it, with a table of all rows."""
     days = days if days > 0 else 5
-    out = df.groupBy(*keys).pivot("horizon", list(range(1, days + 1))).agg(F.first(value))
-    return out.select(*keys, *[F.col(f"`{h}`").alias(f"forecast_close_t{h}") for h in range(1, days + 1)])
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col("horizon") == h, F.col(value))).alias(f"forecast_close_t{h}") for h in range(1, days + 1)])
 
 
 def backtest_table(bars: DataFrame, pred: DataFrame, split_end: str, horizons: int = 5) -> DataFrame:
