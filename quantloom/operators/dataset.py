@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators.blocks import with_halo
@@ -48,8 +48,9 @@ def realised_mask(df: DataFrame, horizon: int, split_end: str) -> DataFrame:
     return df.withColumn("realised_date", day).withColumn("realised", F.coalesce(F.col("realised_date") <= F.to_date(F.lit(split_end)), F.lit(False)))
 
 
-def _counted(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__i": F.row_number().over(by_symbol()) - 1, "__n": F.count("*").over(Window.partitionBy("symbol"))})
+def _counted(df: DataFrame, *within: str) -> DataFrame:
+    w = Window.partitionBy("symbol", *within)
+    return df.withColumns({"__i": F.row_number().over(w.orderBy("date")) - 1, "__n": F.count("*").over(w)})
 
 
 def embargo_split(df: DataFrame, share: float = 0.10, gap: int = 5) -> DataFrame:
@@ -66,26 +67,30 @@ def ratio_split(df: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFra
     return df.withColumn("part", part).drop("__i", "__n")
 
 
-def even_sample(df: DataFrame, k: int) -> DataFrame:
-    """Of each symbol k rows evenly spaced from first to last, all if there are no more; one is the first."""
-    df = _counted(df)
+def _sampled(k: int) -> Column:
+    """Whether row __i of __n is one of k evenly spaced ones."""
     steps = F.lit(1.0 if k == 1 else k - 1.0)
     # Row i is taken if some j < k has floor(j (n - 1) / (k - 1)) = i.
     j = F.ceil(F.col("__i") * steps / F.nullif(F.col("__n") - 1, F.lit(0)))
     hit = (j < k) & (F.floor(j * (F.col("__n") - 1) / steps) == F.col("__i"))
-    return df.where((F.col("__n") <= k) | (F.col("__i") == 0 if k == 1 else hit)).drop("__i", "__n")
+    return (F.col("__n") <= k) | (F.col("__i") == 0 if k == 1 else hit)
+
+
+def even_sample(df: DataFrame, k: int) -> DataFrame:
+    """Of each symbol k rows evenly spaced from first to last, all if there are no more; one is the first."""
+    return _counted(df).where(_sampled(k)).drop("__i", "__n")
 
 
 def incremental_examples(df: DataFrame, checkpoints: DataFrame, val: int = 5, replay: int = 12) -> DataFrame:
     """New rows beyond each symbol's checkpoint: the last min(val, max(1, n / 3)) validate, the others
-    train; an even sample of ``replay`` older rows is added to them. A symbol without checkpoint is all new."""
+    train; an even sample of ``replay`` older rows is added to them. A symbol without checkpoint is all new. New and old rows are numbered
+    in one window, so ``df`` is read once."""
     rows = df.join(checkpoints.select("symbol", "last_date"), "symbol", "left")
-    new = F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))
-    fresh = _counted(rows.where(new))
+    rows = rows.withColumn("__new", F.col("last_date").isNull() | (F.col("date") > F.col("last_date"))).where("__new is not null")
+    rows = _counted(rows, "__new")
     held = F.least(F.lit(val), F.greatest(F.lit(1), F.floor(F.col("__n") / 3)))
-    fresh = fresh.withColumn("part", F.when(F.col("__i") >= F.col("__n") - held, "validation").otherwise("train")).drop("__i", "__n")
-    old = even_sample(rows.where(~new), replay).withColumn("part", F.lit("replay"))
-    return fresh.unionByName(old).drop("last_date")
+    part = F.when(~F.col("__new"), "replay").when(F.col("__i") >= F.col("__n") - held, "validation").otherwise("train")
+    return rows.where(F.col("__new") | _sampled(replay)).withColumn("part", part).drop("__i", "__n", "__new", "last_date")
 
 
 def sequences(df: DataFrame, cols: list[str], n: int = 20, include_anchor: bool = True) -> DataFrame:
