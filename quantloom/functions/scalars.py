@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 #: Date formats that are tried in order.
 FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "dd-MMM-yyyy", "yyyyMMdd")
 
+#: What a text of a format must be like.
+SHAPES = {
+    "yyyy-MM-dd": "%-__-__", "yyyy-MM-dd HH:mm:ss": "%-__-__ __:__:__", "dd-MM-yyyy": "__-__-%", "dd/MM/yyyy": "__/__/%", "MM/dd/yyyy": "__/__/%",
+    "yyyy/MM/dd": "%/__/__", "dd-MMM-yyyy": "__-%-%", "yyyyMMdd": "",
+}
+
 
 def parse_date(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """A day from text in any of the formats; null if none fits."""
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats]))
+    """A day from text in any of the formats; null if none fits. A format is tried on texts with its separators only, as a failing try costs an exception."""
+    text = F.trim(c)
+
+    def tried(f: str) -> Column:
+        value = F.try_to_timestamp(text, F.lit(f))
+        return F.when(text.like(SHAPES[f]) if f != "yyyyMMdd" else ~text.contains("/"), value) if f in SHAPES else value
+
+    return F.to_date(F.coalesce(*[tried(f) for f in formats]))
 
 
 def to_number(c: Column) -> Column:

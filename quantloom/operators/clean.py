@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalars import last_by, parse_date, to_number
+from quantloom.functions.scalars import parse_date, to_number
 from quantloom.functions.schemas import FeatureError
 
 
@@ -119,11 +119,19 @@ def eligible(df: DataFrame, mode: str = "default", start: int = 20, refresh: boo
     They lie beyond a checkpoint, position ``start`` or a symbol's first predicted row if that is later, and
     aren't predicted or have a null forecast, or any of them with ``refresh``. all_eligible takes
     ``start`` alone as the checkpoint, force_all also every row beyond it, latest_only the last of the default ones."""
-    first = F.min(F.when(F.col("predicted") == 1, F.col("pos"))).over(Window.partitionBy("symbol"))
-    mark = F.lit(start) if mode in ("all_eligible", "force_all") else F.greatest(F.coalesce(first, F.lit(start)), F.lit(start))
-    wanted = (F.coalesce("predicted", F.lit(0)) == 0) | F.col("forecast").isNull() | F.lit(refresh or mode == "force_all")
-    rows = df.withColumn("__mark", mark).where((F.col("pos") > F.col("__mark")) & wanted).drop("__mark")
-    return last_by(rows, ["symbol"], ["pos"]) if mode == "latest_only" else rows
+    return eligible_modes(df, ("refresh" if refresh and mode == "default" else mode,), start, refresh, "__mode").drop("__mode")
+
+
+def eligible_modes(df: DataFrame, modes: tuple[str, ...], start: int = 20, refresh: bool = False, out: str = "mode") -> DataFrame:
+    """The rows of eligible() for several modes, told by ``out``, from one pass over ``df``; the mode refresh is default with ``refresh``. A symbol's positions differ."""
+    w = Window.partitionBy("symbol")
+    df = df.withColumn("__mark", F.greatest(F.coalesce(F.min(F.when(F.col("predicted") == 1, F.col("pos"))).over(w), F.lit(start)), F.lit(start)))
+    pos, beyond = F.col("pos"), F.col("pos") > F.col("__mark")
+    wanted = F.lit(refresh) | (F.coalesce("predicted", F.lit(0)) == 0) | F.col("forecast").isNull()
+    df = df.withColumn("__last", F.max(F.when(beyond & wanted, pos)).over(w))
+    hits = {"default": beyond & wanted, "refresh": beyond, "latest_only": beyond & wanted & (pos == F.col("__last")), "all_eligible": (pos > start) & wanted, "force_all": pos > start}
+    named = F.array_compact(F.array(*[F.when(hits[m], F.lit(m)) for m in modes]))
+    return df.withColumn(out, F.explode(named)).drop("__mark", "__last")
 
 
 def writable(df: DataFrame, skip_predicted: bool = True) -> DataFrame:
@@ -133,10 +141,18 @@ def writable(df: DataFrame, skip_predicted: bool = True) -> DataFrame:
 
 def split_rolling(df: DataFrame, keep: int = 30) -> tuple[DataFrame, DataFrame]:
     """The newest ``keep`` dated rows of each symbol with all undated ones, and the rest to archive, the last of each date."""
+    rows = rolling_parts(df, keep)
+    return tuple(rows.where(F.col("part") == p).drop("part") for p in ("keep", "archive"))
+
+
+def rolling_parts(df: DataFrame, keep: int = 30) -> DataFrame:
+    """Both tables of split_rolling() as one, told by ``part`` (keep or archive), from one pass and one sort."""
     w = Window.partitionBy("symbol").orderBy(F.col("date").desc_nulls_last(), F.col("seq").desc())
-    rows = df.withColumn("__k", F.when(F.col("date").isNotNull(), F.row_number().over(w)))
-    old = rows.where(F.col("__k") > keep).drop("__k")
-    return rows.where(F.col("__k").isNull() | (F.col("__k") <= keep)).drop("__k"), last_by(old, ["symbol", "date"], ["seq"])
+    rows = df.withColumns({"__k": F.row_number().over(w), "__after": F.lag("date").over(w)})
+    # Newest first, a date's first row beyond the limit is its last one there.
+    last = (F.col("__k") == keep + 1) | (F.col("date") != F.col("__after"))
+    part = F.when(F.col("date").isNull() | (F.col("__k") <= keep), "keep").when(last, "archive")
+    return rows.withColumn("part", part).where("part is not null").drop("__k", "__after")
 
 
 def archive_report(df: DataFrame, archive: DataFrame, keep: int = 30) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,8 +85,7 @@ def l2_archive(spark, sf_dir):
 @query("l2_rolling_split", f"""WITH {DIRTY}, k AS (SELECT *, CASE WHEN date IS NOT NULL THEN row_number() OVER (PARTITION BY symbol ORDER BY date DESC NULLS LAST, seq DESC) END AS k FROM raw)
 SELECT symbol, seq, 'keep' AS part FROM k WHERE k IS NULL OR k <= 30 UNION ALL SELECT symbol, max(seq), 'archive' FROM k WHERE k > 30 GROUP BY symbol, date""", dated=False)
 def l2_split(spark, sf_dir):
-    keep, archive = clean.split_rolling(dirty(spark, sf_dir))
-    return keep.select("symbol", "seq", F.lit("keep").alias("part")).unionByName(archive.select("symbol", "seq", F.lit("archive").alias("part")))
+    return clean.rolling_parts(dirty(spark, sf_dir)).select("symbol", "seq", "part")
 
 
 @query("j3_append_upsert", f"""WITH {BARS}, a AS (SELECT symbol, date, close, 0 AS batch FROM bars WHERE day(date) % 3 <> 0), b AS (SELECT symbol, date, close + 1 AS close, 1 AS batch FROM bars WHERE day(date) % 2 = 0),
@@ -126,8 +123,8 @@ def f7_eligible(spark, sf_dir):
 
     p = positions(bars(spark, sf_dir))
     p = p.withColumns({"predicted": ((F.col("pos") % 3 == 0) & (F.col("pos") > F.col("symbol") % 40)).cast("int"), "forecast": F.when(F.col("pos") % 9 != 0, 1.0)})
-    out = [clean.eligible(p, "default" if m == "refresh" else m, refresh=m == "refresh").select("symbol", "date", F.col("pos").cast("long").alias("pos"), F.lit(m).alias("mode")) for m in ("default", "latest_only", "all_eligible", "force_all", "refresh")]
-    return rounded(reduce(DataFrame.unionByName, out), "pos", "mode")
+    out = clean.eligible_modes(p, ("default", "latest_only", "all_eligible", "force_all", "refresh"))
+    return rounded(out.withColumn("pos", F.col("pos").cast("long")), "pos", "mode")
 
 
 @query("f9_safe_market_date", """SELECT event_id, CAST(d AS VARCHAR) AS safe_date, CAST(d - CASE isodow(d) WHEN 6 THEN 1 WHEN 7 THEN 2 ELSE 0 END AS VARCHAR) AS safe_weekday
