@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.tables import median, ranked
+from quantloom.functions.tables import cut, median, parts_of, ranked
 from quantloom.operators.regime import pct_rank
 
 
@@ -39,18 +39,30 @@ def pinball_loss(y: Column, quantiles: dict[float, Column]) -> Column:
 
 def rank_ic(df: DataFrame, y: str, p: str, by: str, keys: list[str]) -> DataFrame:
     """Mean Spearman correlation of groups with two rows and no constant side, and their number, by ``keys``."""
-    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumn("__g", F.struct(*keys, by))
+    each = _correlations(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()), y, p, by, keys)
+    return each.where(_VARIED).groupBy(*keys).agg(F.avg("ic").alias("spearman_ic"), F.count("*").alias("spearman_groups"))
+
+
+def _correlations(rows: DataFrame, y: str, p: str, by: str, keys: list[str], *more: Column) -> DataFrame:
+    """A row a group: n, the correlation ic of its ranks, their spreads a and b, and ``more`` aggregates."""
+    rows = rows.withColumn("__g", F.struct(*keys, by))
     rows = pct_rank(pct_rank(rows, y, "__g", "__ry"), p, "__g", "__rp")
-    each = rows.groupBy(*keys, by).agg(F.count("*").alias("n"), F.corr("__ry", "__rp").alias("ic"), F.stddev_pop("__ry").alias("a"), F.stddev_pop("__rp").alias("b"))
-    return each.where("n >= 2 and a > 1e-12 and b > 1e-12").groupBy(*keys).agg(F.avg("ic").alias("spearman_ic"), F.count("*").alias("spearman_groups"))
+    return rows.groupBy("__g").agg(F.count("*").alias("n"), F.corr("__ry", "__rp").alias("ic"), F.stddev_pop("__ry").alias("a"), F.stddev_pop("__rp").alias("b"), *more).select("__g.*", "*").drop("__g")
+
+
+_VARIED = F.expr("n >= 2 and a > 1e-12 and b > 1e-12")
 
 
 def forecast_metrics(df: DataFrame) -> DataFrame:
-    """By horizon, over rows with an outcome: n, pinball, mae_q50, coverage of q10..q90, rank correlation per date and its groups."""
+    """By horizon, over rows with an outcome: n, pinball, mae_q50, coverage of q10..q90, rank correlation per date and its groups. All are summed with the
+    correlations of a date, so ``df`` is read once."""
     rows = df.where("y is not null and q50 is not null")
     loss = pinball_loss(F.col("y"), {0.1: F.col("q10"), 0.5: F.col("q50"), 0.9: F.col("q90")})
-    main = rows.groupBy("horizon").agg(F.count("*").alias("n"), F.avg(loss).alias("pinball"), F.avg(F.abs(F.col("y") - F.col("q50"))).alias("mae_q50"), F.avg(F.col("y").between(F.col("q10"), F.col("q90")).cast("double")).alias("coverage_q10_q90"))
-    return main.join(rank_ic(rows, "y", "q50", "date", ["horizon"]), "horizon", "left").withColumn("spearman_groups", F.coalesce("spearman_groups", F.lit(0)))
+    rows = rows.select("horizon", "date", "y", "q50", loss.alias("__loss"), F.abs(F.col("y") - F.col("q50")).alias("__error"), F.col("y").between(F.col("q10"), F.col("q90")).cast("double").alias("__in"))
+    means = {"pinball": "__loss", "mae_q50": "__error", "coverage_q10_q90": "__in"}
+    each = _correlations(rows, "y", "q50", "date", ["horizon"], *[f(c).alias(f"{c}_{k}") for c in means.values() for k, f in (("sum", F.sum), ("n", F.count))])
+    ic = F.when(_VARIED, F.col("ic"))
+    return each.groupBy("horizon").agg(F.sum("n").alias("n"), *[(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0))).alias(m) for m, c in means.items()], F.avg(ic).alias("spearman_ic"), F.count_if(_VARIED).alias("spearman_groups"))
 
 
 def quality_summary(metrics: DataFrame) -> DataFrame:
@@ -75,25 +87,34 @@ def validation_score(df: DataFrame, tilt: float = 1.0, horizons: int = 5, by_vol
 
     Weights go evenly from 1 to max(0.2, tilt), with mean 1. The normaliser, the same for all rows, is the median absolute outcome or,
     ``by_volatility``, the median over (symbol, date) of the spread of their absolute outcomes over the horizons; 1e-4 at
-    least. Fewer than ``least`` outcomes are an error. Medians and windows come from counts of ranges."""
+    least. Fewer than ``least`` outcomes are an error. Rows are written once; medians come from counts and windows from the first
+    (date, symbol) of each, so rows aren't shuffled for either."""
     top = max(0.2, tilt)
     raw = [1.0 + (top - 1.0) * k / max(1, horizons - 1) for k in range(horizons)]
     mean = sum(raw) / horizons
     weight = F.element_at(F.array(*[F.lit(x / mean) for x in raw]), F.col("horizon").cast("int"))
     e = F.col("y") - F.col("q50")
+    df = cut(df.select("symbol", "date", "horizon", "y", "q50"), "scored")
     rows = df.where("y is not null and q50 is not null")
     if least > 1 and (n := rows.count()) < least:
         raise ValueError(f"too few validation points: {n}")
-    size = F.abs("y").alias("v")
-    usual = median(rows.groupBy("symbol", "date").agg(F.stddev_pop(F.abs("y")).alias("v")) if by_volatility else rows.select(size), "v")
+    if by_volatility or windows:
+        spread = F.stddev_pop(F.when(F.col("q50").isNotNull(), F.abs("y"))) if by_volatility else F.lit(None).cast("double")
+        points = cut(df.repartition(parts_of(df, 1 << 20), "symbol").groupBy("symbol", "date").agg(spread.alias("v")), "points")
+    usual = median(points if by_volatility else rows.select(F.abs("y").alias("v")), "v")
     rows = rows.withColumn("window", F.lit(None).cast("int"))
     if windows:
-        days = ranked(df.select("symbol", "date").distinct(), [], ["date", "symbol"])
+        days = ranked(points.select("symbol", "date"), [], ["date", "symbol"])
         # The first total % windows runs have one row more.
         each, more = F.floor(F.col("total") / windows), F.col("total") % windows
         at = F.when(F.col("rank") < more * (each + 1), F.floor(F.col("rank") / (each + 1))).otherwise(more + F.floor((F.col("rank") - more * (each + 1)) / F.greatest(each, F.lit(1))))
-        rows = rows.unionByName(rows.drop("window").join(days.select("symbol", "date", (at + 1).cast("int").alias("window")), ["symbol", "date"]))
-    out = rows.groupBy("window").agg(F.sqrt(F.avg(e * e * weight)).alias("rmse"), F.avg(F.abs(e) * weight).alias("mae"), F.avg((F.signum("y") == F.signum("q50")).cast("double")).alias("directional_accuracy"))
+        starts = days.groupBy(at.alias("at")).agg(F.min(F.struct("date", "symbol")).alias("first")).collect()  # a row a window
+        kinds = {c: df.schema[c].dataType for c in ("date", "symbol")}
+        own = F.struct("date", "symbol")
+        begun = [own >= F.struct(*[F.lit(r["first"][c]).cast(kinds[c]).alias(c) for c in kinds]) for r in starts]
+        rows = rows.withColumn("window", sum((b.cast("int") for b in begun), F.lit(0)))
+    grouped = rows.rollup("window") if windows else rows.groupBy("window")
+    out = grouped.agg(F.sqrt(F.avg(e * e * weight)).alias("rmse"), F.avg(F.abs(e) * weight).alias("mae"), F.avg((F.signum("y") == F.signum("q50")).cast("double")).alias("directional_accuracy"))
     out = out.withColumn("normalizer", F.greatest(usual.scalar(), F.lit(1e-4)))
     return out.withColumn("score", 0.4 * F.col("rmse") / F.col("normalizer") + 0.3 * F.col("mae") / F.col("normalizer") - 0.3 * F.col("directional_accuracy"))
 
