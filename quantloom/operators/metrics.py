@@ -50,7 +50,7 @@ def _correlations(rows: DataFrame, y: str, p: str, by: str, keys: list[str], *mo
     return rows.groupBy("__g").agg(F.count("*").alias("n"), F.corr("__ry", "__rp").alias("ic"), F.stddev_pop("__ry").alias("a"), F.stddev_pop("__rp").alias("b"), *more).select("__g.*", "*").drop("__g")
 
 
-_VARIED = F.expr("n >= 2 and a > 1e-12 and b > 1e-12")
+_VARIED = "n >= 2 and a > 1e-12 and b > 1e-12"
 
 
 def forecast_metrics(df: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def forecast_metrics(df: DataFrame) -> DataFrame:
     rows = rows.select("horizon", "date", "y", "q50", loss.alias("__loss"), F.abs(F.col("y") - F.col("q50")).alias("__error"), F.col("y").between(F.col("q10"), F.col("q90")).cast("double").alias("__in"))
     means = {"pinball": "__loss", "mae_q50": "__error", "coverage_q10_q90": "__in"}
     each = _correlations(rows, "y", "q50", "date", ["horizon"], *[f(c).alias(f"{c}_{k}") for c in means.values() for k, f in (("sum", F.sum), ("n", F.count))])
-    ic = F.when(_VARIED, F.col("ic"))
-    return each.groupBy("horizon").agg(F.sum("n").alias("n"), *[(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0))).alias(m) for m, c in means.items()], F.avg(ic).alias("spearman_ic"), F.count_if(_VARIED).alias("spearman_groups"))
+    ic = F.when(F.expr(_VARIED), F.col("ic"))
+    return each.groupBy("horizon").agg(F.sum("n").alias("n"), *[(F.sum(f"{c}_sum") / F.nullif(F.sum(f"{c}_n"), F.lit(0))).alias(m) for m, c in means.items()], F.avg(ic).alias("spearman_ic"), F.count_if(F.expr(_VARIED)).alias("spearman_groups"))
 
 
 def quality_summary(metrics: DataFrame) -> DataFrame:
