@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.tables import cut, join_keyed, tie_ranks
-from quantloom.operators.indicators import by_symbol, full, lag, trailing
+from quantloom.operators.indicators import by_symbol, lag
 
 
 def days():
@@ -43,8 +43,8 @@ def regime(index: DataFrame) -> DataFrame:
 
 
 def attach_regime(bars: DataFrame, index: DataFrame) -> DataFrame:
-    """A row a day; Spark broadcasts it as long as it is small."""
-    return bars.join(index, "date", "left")
+    """A row a day, written first, so that Spark knows its size and broadcasts it as long as it is small; bars stay by symbol then."""
+    return bars.join(cut(index, "index"), "date", "left")
 
 
 def relative_strength(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -53,11 +53,24 @@ def relative_strength(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def beta(bars: DataFrame, n: int = 60) -> DataFrame:
-    df = bars.withColumn("__r", F.ln("close") - lag(F.ln("close")))
-    both = F.when(F.col("__r").isNotNull() & F.col("mkt_log_return").isNotNull(), 1)
-    cov = F.when(F.count(both).over(trailing(n)) == n, F.covar_samp("__r", "mkt_log_return").over(trailing(n)))
-    var = full(F.var_samp("mkt_log_return").over(trailing(n)), F.col("mkt_log_return"), n)
-    return df.withColumn(f"beta_{n}d", cov / F.nullif(var, F.lit(0.0))).drop("__r")
+    """Covariance of own and market returns by the market's variance over the last n rows, which must have both.
+
+    A window is the end of one block of n rows and the beginning of the next, so a row adds to two running moments instead of
+    n rows to its own, and merged moments are as good as those of the window itself."""
+    df = bars.withColumns({"__x": F.ln("close") - lag(F.ln("close")), "__i": F.row_number().over(by_symbol()) - 1})
+    both = F.col("__x").isNotNull() & F.col("mkt_log_return").isNotNull()
+    df = df.withColumns({"__x": F.when(both, F.col("__x")), "__y": F.when(both, F.col("mkt_log_return")), "__b": F.floor(F.col("__i") / n), "__k": F.col("__i") % n})
+    block, rows = Window.partitionBy("symbol", "__b"), Window.partitionBy("symbol").orderBy("__b", "date")
+    kinds = {"n": F.count("__x"), "x": F.avg("__x"), "y": F.avg("__y"), "c": F.covar_pop("__x", "__y"), "v": F.var_pop("__y"), "lo": F.min("__y"), "hi": F.max("__y")}
+    run = lambda side, order: {f"__{side}_{k}": f.over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for k, f in kinds.items()}
+    df = df.withColumns(run("end", F.col("date").desc())).withColumns(run("own", F.col("date").asc()))
+    df = df.withColumns({f"__end_{k}": F.when(F.col("__k") < n - 1, F.lag(f"__end_{k}", n - 1).over(rows)) for k in kinds})
+    a, b = (lambda k: F.col(f"__end_{k}")), (lambda k: F.col(f"__own_{k}"))
+    size, whole = F.col("__k") + 1, F.coalesce(a("n"), F.lit(0)) + b("n") == n
+    merged = lambda k, x, y: F.when(F.col("__k") == n - 1, b(k) * n).otherwise(a(k) * (n - size) + b(k) * size + (a(x) - b(x)) * (a(y) - b(y)) * size * (n - size) / n)
+    varies = F.least(a("lo"), b("lo")) < F.greatest(a("hi"), b("hi"))
+    df = df.withColumn(f"beta_{n}d", F.when(whole & varies, merged("c", "x", "y") / F.nullif(merged("v", "y", "y"), F.lit(0.0))))
+    return df.drop("__x", "__y", "__i", "__b", "__k", *[f"__{s}_{k}" for s in ("end", "own") for k in kinds])
 
 
 def calendar(df: DataFrame, date: str = "date") -> DataFrame:
