@@ -225,3 +225,66 @@ def test_rounding_by_whole_numbers_is_that_of_decimals(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, -0.0, 1.00004, -1.00006, 12345.678949, -2.5e-5, 3e8 + 0.12345, 1e15 + 0.3, float("nan"), float("inf"), None)], "x double")
     a, b = ([str(r[0]) for r in df.select(c).collect()] for c in (nudged(F.col("x"), 4), F.round(F.col("x") + NUDGE, 4) + 0.0))
     assert a == b
+
+
+def test_wide_forecasts_take_one_aggregate(spark):
+    df = spark.createDataFrame([(0, h, 10.0 + h) for h in (1, 2, 3, 5)] + [(1, 4, 7.0)], "symbol int, horizon int, price double")
+    out = forecast.to_wide(df, ["symbol"], "price")
+    assert sorted(map(tuple, out.collect())) == [(0, 11.0, 12.0, 13.0, None, 15.0), (1, None, None, None, 7.0, None)]
+    plan = forecast.to_wide(df, ["symbol"], "price")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate(") == 2 and "pivot" not in plan
+
+
+def test_incremental_examples_read_their_rows_once(spark):
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(i)) for s in (1, 2) for i in range(40)]
+    df, marks = spark.createDataFrame(rows, "symbol int, date date"), spark.createDataFrame([(1, dt.date(2020, 1, 31))], "symbol int, last_date date")
+    out = dataset.incremental_examples(df, marks)
+    assert sorted((r["symbol"], r["part"], r["count"]) for r in out.groupBy("symbol", "part").count().collect()) == [(1, "replay", 12), (1, "train", 6), (1, "validation", 3), (2, "train", 35), (2, "validation", 5)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2 and "Union" not in plan
+
+
+def test_scores_write_their_rows_once_and_join_nothing(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, dt.date(2020, 1, 1) + dt.timedelta(i), h, float(rng.normal()), float(rng.normal())) for s in range(3) for i in range(5) for h in (1, 2)]
+    df = spark.createDataFrame(rows, "symbol int, date date, horizon int, y double, q50 double")
+    for by_volatility in (False, True):
+        out = metrics.validation_score(df, horizons=2, windows=4, by_volatility=by_volatility)
+        got = {r["window"]: r["mae"] for r in out.collect()}
+        days = sorted({(r[1], r[0]) for r in rows})
+        w = {d: 1 + k for k, part in enumerate(np.array_split(np.arange(15), 4)) for d in (days[i] for i in part)}
+        for k in (1, 2, 3, 4, None):
+            assert got[k] == pytest.approx(np.mean([abs(r[3] - r[4]) for r in rows if k in (None, w[r[1], r[0]])]))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert len(got) == 5 and "Union" not in plan and not any("Join" in x and "symbol" in x for x in plan.splitlines())
+    assert metrics.validation_score(df, horizons=2).count() == 1
+
+
+def test_ranks_take_one_exchange_of_the_rows_and_medians_rank_the_middle(spark):
+    from quantloom.functions.tables import median, ranked
+
+    df = spark.range(1000).selectExpr("id % 2 k", "id * 7919 % 1000 v")
+    out = ranked(df, ["k"], ["v"])
+    assert all(r["rank"] == r["v"] // 2 and r["total"] == 500 for r in out.collect())
+    for values in ([3.0], [1.0, 2.0], [5.0] * 99 + [7.0], [float(x * x) for x in range(20001)], [1.0, 9.0] * 50):
+        assert median(spark.createDataFrame([(x,) for x in values], "v double"), "v").first()[0] == np.median(values)
+    assert median(spark.createDataFrame([(None,)], "v double"), "v").first()[0] is None
+
+
+def test_beta_equals_that_of_each_window_and_a_still_market_has_none(spark):
+    rng = np.random.default_rng(5)
+    close, mkt = np.exp(np.cumsum(rng.normal(0, 0.02, 50))), rng.normal(0, 0.01, 50)
+    mkt[20:34] = 0.1
+    rows = [(0, dt.date(2020, 1, 1) + dt.timedelta(i), float(close[i]), None if i == 40 else float(mkt[i])) for i in range(50)]
+    df = spark.createDataFrame(rows, "symbol int, date date, close double, mkt_log_return double")
+    from quantloom.operators import regime
+
+    got = regime.beta(df, 7).toPandas().sort_values("date")["beta_7d"].to_numpy()
+    r = np.diff(np.log(close), prepend=np.nan)
+    for i in range(50):
+        y = np.array([np.nan if k == 40 else mkt[k] for k in range(max(0, i - 6), i + 1)])
+        x = r[max(0, i - 6):i + 1]
+        if len(y) < 7 or np.isnan(x).any() or np.isnan(y).any() or y.min() == y.max():
+            assert np.isnan(got[i])
+        else:
+            assert got[i] == pytest.approx(np.cov(x, y)[0, 1] / y.var(ddof=1), rel=1e-9)

@@ -349,3 +349,28 @@ def test_repair_totals_are_observed(spark, tmp_path):
     sums = report.agg(*[F.sum(c).alias(c) for c in ("before", "after", "malformed", "duplicates", "repaired_cells")]).first().asDict()
     assert {c: totals[c] for c in sums} == sums and (totals["malformed_date"], totals["malformed_range"], totals["malformed_price"], totals["malformed_close"]) == (1, 1, 1, 0)
     assert jobs() <= 2  # with adaptive execution a shuffle's stages are a job of their own
+
+
+def test_a_rolling_split_is_one_pass(spark):
+    from quantloom.operators import clean
+
+    rows = [(1, k, None if k % 7 == 0 else dt.date(2020, 1, 1) + dt.timedelta(k // 3)) for k in range(40)]
+    df = spark.createDataFrame(rows, "symbol int, seq int, date date")
+    dated = sorted((r for r in rows if r[2]), key=lambda r: (r[2], r[1]), reverse=True)
+    old = {}
+    for r in dated[5:]:
+        old.setdefault(r[2], r[1])
+    keep, archive = clean.split_rolling(df, 5)
+    assert {r["seq"] for r in keep.collect()} == {r[1] for r in rows if not r[2]} | {r[1] for r in dated[:5]} and sorted(r["seq"] for r in archive.collect()) == sorted(old.values())
+    plan = clean.rolling_parts(df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Sort [") == 1
+
+
+def test_dates_are_tried_by_shape_with_the_same_days(spark):
+    from quantloom.functions import scalars
+
+    texts = ["2020-01-02", "2020-1-2", " 2020-01-02 ", "2020-01-02 03:04:05", "02-01-2020", "02/01/2020", "13/12/2020", "12/13/2020", "2020/01/02", "02-Jan-2020", "20200102", "2020-01-02T03:04:05", "", "x", "/", "31/02/2020", "+12020-01-02", "02-JAN-2020", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.to_date(F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in scalars.FORMATS]))
+    assert all(r[0] == r[1] for r in df.select(plain.cast("string"), scalars.parse_date(F.col("t")).cast("string")).collect())
+    assert set(scalars.SHAPES) == set(scalars.FORMATS)
