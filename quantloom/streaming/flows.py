@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,44 +122,59 @@ def watermarks(spark: SparkSession, target: str) -> DataFrame | None:
 
 
 class _Lots(StatefulProcessor):
-    """One symbol's trades that no trade of the other side has met yet, oldest first, as a list state."""
+    """Of a bucket of symbols, the trades that no trade of the other side has met yet, oldest first: a map state from a symbol to their side, and their quantities and
+    prices as packed doubles. A list state would hand over each lot on its own, in and out, and a group a symbol costs more than its trades."""
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("lots", "side string, qty double, price double")
+        self.state = handle.getMapState("open", f"symbol {self.kind}", "side string, lots binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        trades = pd.concat(list(rows)).sort_values("seq")
-        lots = deque(self.state.get()) if self.state.exists() else deque()
-        done = pnl = 0.0
-        for side, qty, price in trades[["side", "qty", "price"]].itertuples(index=False):
-            while qty > 0 and lots and lots[0][0] != side:
-                of, there, at = lots.popleft()
-                part = min(qty, there)
-                done, pnl, qty = done + part, pnl + part * ((price - at) if side == "sell" else (at - price)), qty - part
-                if there > part:
-                    lots.appendleft((of, there - part, at))
-            if qty > 0:
-                lots.append((side, qty, price))
-        if lots:
-            self.state.put(list(lots))
-        else:
-            self.state.clear()
-        if done:
-            yield pd.DataFrame({"symbol": [key[0]], "qty": [done], "pnl": [pnl]})
+        trades = defaultdict(list)
+        for pdf in rows:
+            for symbol, *trade in zip(*(pdf[c].tolist() for c in ("symbol", "seq", "side", "qty", "price"))):
+                trades[symbol].append(trade)
+        out = []
+        for symbol, batch in trades.items():
+            before = self.state.getValue((symbol,))
+            held, lots = (before[0], deque(np.frombuffer(before[1]).reshape(-1, 2).tolist())) if before else (None, deque())
+            done = pnl = 0.0
+            for _, side, qty, price in sorted(batch, key=lambda t: t[0]):
+                while qty > 0 and lots and held != side:
+                    there, at = lots.popleft()
+                    part = min(qty, there)
+                    done, pnl, qty = done + part, pnl + part * ((price - at) if side == "sell" else (at - price)), qty - part
+                    if there > part:
+                        lots.appendleft([there - part, at])
+                if qty > 0:
+                    held = side
+                    lots.append([qty, price])
+            if lots:
+                self.state.updateValue((symbol,), (held, np.array(lots, "f8").tobytes()))
+            elif before:
+                self.state.removeKey((symbol,))
+            if done:
+                out.append((symbol, done, pnl))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "qty", "pnl"])
 
     def close(self) -> None:
         pass
 
 
-def realised_lots(sdf: DataFrame) -> DataFrame:
+def realised_lots(sdf: DataFrame, buckets: int = 1024) -> DataFrame:
     """What each batch of trades (symbol, side buy or sell, qty, price, seq) realises by symbol, as metrics.fifo_pnl() has it over all of them: the sum of
-    qty and pnl is the same however trades are cut into batches, in order of seq. Open lots are a list state a symbol, of one side at a time, so a batch meets what is open and no earlier
-    trade is read again. A symbol's trades of one batch are sorted in its task. Rows without symbol, or with a null, are left out."""
+    qty and pnl is the same however trades are cut into batches, in order of seq. Open lots are a map state, a value a symbol, of one side at a time, so a batch meets what is open and no earlier
+    trade is read again. Symbols are dealt to ``buckets`` keys of the state, which stay the same for a checkpoint; a bucket's trades of one batch are its task's at once, so there should be
+    buckets enough for a batch. Rows without symbol, or with a null, are left out."""
     spark = sdf.sparkSession
     spark.conf.set(_STORE, _ROCKS)
     kind = sdf.schema["symbol"].dataType.simpleString()
     rows = sdf.select("symbol", "side", F.col("qty").cast("double").alias("qty"), F.col("price").cast("double").alias("price"), "seq").na.drop()
-    return rows.groupBy("symbol").transformWithStateInPandas(_Lots(), f"symbol {kind}, qty double, pnl double", "Update", "None")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Lots(kind), f"symbol {kind}, qty double, pnl double", "Update", "None")
 
 
 def stream_lots(sdf: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

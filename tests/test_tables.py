@@ -374,3 +374,32 @@ def test_dates_are_tried_by_shape_with_the_same_days(spark):
     plain = F.to_date(F.coalesce(*[F.try_to_timestamp(F.trim("t"), F.lit(f)) for f in scalars.FORMATS]))
     assert all(r[0] == r[1] for r in df.select(plain.cast("string"), scalars.parse_date(F.col("t")).cast("string")).collect())
     assert set(scalars.SHAPES) == set(scalars.FORMATS)
+
+
+def test_open_lots_of_a_bucket_are_read_and_written_once_a_symbol():
+    """A bucket's symbols come out as one frame, and each is one read and one write of the state, however many lots it has open."""
+    import pandas as pd
+
+    calls, held = [], {}
+
+    class State:
+        def getValue(self, key):
+            calls.append("get")
+            return held.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("put")
+            held[key] = value
+
+        def removeKey(self, key):
+            calls.append("remove")
+            del held[key]
+
+    lots = flows._Lots("string")
+    lots.init(type("Handle", (), {"getMapState": lambda *_: State()})())
+    frame = lambda rows: pd.DataFrame(rows, columns=["symbol", "seq", "side", "qty", "price"])
+    assert list(lots.handleInputRows((0,), iter([frame([(s, k, "buy", 1.0, float(k)) for k in range(200) for s in "ab"])]), None)) == []
+    out = list(lots.handleInputRows((0,), iter([frame([("b", 301, "sell", 150.5, 500.0)]), frame([("a", 300, "sell", 200.0, 10.0), ("a", 302, "sell", 2.0, 10.0)])]), None))
+    assert len(out) == 1 and sorted(out[0].itertuples(index=False, name=None)) == [("a", 200.0, 2000.0 - sum(range(200))), ("b", 150.5, 150.5 * 500 - sum(range(150)) - 75.0)]
+    assert calls == ["get", "put"] * 4 and held[("a",)][0] == "sell"
+    assert [t for pdf in lots.handleInputRows((0,), iter([frame([("a", 400, "buy", 2.0, 4.0)])]), None) for t in pdf.itertuples(index=False, name=None)] == [("a", 2.0, 12.0)] and ("a",) not in held
