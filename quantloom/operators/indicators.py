@@ -169,13 +169,80 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
     return _macd(Ema(bars).add("close", {"__fast": fast, "__slow": slow}), "__fast", "__slow", signal).done().drop("__fast", "__slow")
 
 
+def spans(df: DataFrame, wanted: dict[str, tuple[str, int, str]]) -> DataFrame:
+    """Adds to ``df`` for each (column, n, kind) of ``wanted`` the sum, least, greatest or square (squared deviations from the mean) of the last n rows, null unless all of them
+    have a value.
+
+    Spans of 1, 2, 4, ... rows are made of two half as long each, and n rows of the spans that its binary digits name, so a row costs some 2 log n lags where a
+    frame costs n updates. Only sums are added up, never taken off, so nothing cancels. All spans of one length share a window operator."""
+    name = lambda kind, w, c: f"__{kind}_{w}_{c}"
+    parts = {c: {("sum" if k == "square" else k) for d, _, k in wanted.values() if d == c} | {k for d, _, k in wanted.values() if d == c} for c, _, _ in wanted.values()}
+    most = {(c, k): max(n for d, n, kind in wanted.values() if d == c and k in (kind, "sum")) for c, kinds in parts.items() for k in kinds}
+    start = {"sum": lambda c: F.col(c).cast("double"), "square": lambda c: F.when(F.col(c).isNotNull(), 0.0), "least": F.col, "greatest": F.col}
+    df, made, w = df.withColumns({name(k, 1, c): start[k](c) for c, k in most}), [name(k, 1, c) for c, k in most], 1
+
+    def joined(kind: str, a: tuple[str | None, str], na: int, b: tuple[str | None, str], nb: int, back: int) -> Column:
+        """The value of a span of na rows (its sum's column and its own) and of one of nb rows that ends ``back`` rows earlier."""
+        x, y = F.col(a[1]), lag(b[1], back)
+        if kind == "sum":
+            return x + y
+        if kind == "square":
+            d = F.col(a[0]) * float(nb) - lag(b[0], back) * float(na)
+            return x + y + d * d / float(na * nb * (na + nb))
+        return F.when(x.isNotNull() & y.isNotNull(), getattr(F, kind)(x, y))
+
+    while w <= max(most.values()):
+        new, held = {}, lambda kind, c: (name("sum", w, c), name(kind, w, c))
+        for (c, k), n in most.items():
+            if n >= 2 * w:
+                new[name(k, 2 * w, c)] = joined(k, held(k, c), w, held(k, c), w, w)
+        for out, (c, n, kind) in wanted.items():
+            if kind in ("least", "greatest"):  # two spans that may overlap
+                if w <= n < 2 * w:
+                    new[out] = joined(kind, held(kind, c), w, held(kind, c), w, n - w) if n > w else F.col(name(kind, w, c))
+            elif n & w:
+                done = n & (w - 1)
+                for k, to in {kind: out, "sum": f"__sum_{out}"}.items() if kind == "square" else ((kind, out),):
+                    new[to] = joined(k, (f"__sum_{out}", to), done, held(k, c), w, done) if done else F.col(name(k, w, c))
+        df, made, w = df.withColumns(new), made + [c for c in new if c not in wanted], 2 * w
+    return df.drop(*made)
+
+
 def indicators(bars: DataFrame, shift: int = 1) -> DataFrame:
     """The whole table of indicators, lagged ``shift`` bars so that a row knows only earlier ones; bars as they are. All
-    that needs rows by (symbol, date) comes first, the exponential means after it, so there are one exchange and two sorts."""
-    df = bars.withColumns({f"sma_{n}": sma(n) for n in (5, 20, 50)})
-    for step in (rsi, stochastic, adx, bollinger, atr, obv, vwap, returns, roc, cci, williams_r):
-        df = step(df)
-    e = Ema(df).add("close", {f"ema_{n}": n for n in (12, 26, 50)})
+    that needs rows by (symbol, date) comes first, the exponential means after it, so there are one exchange and two sorts.
+
+    It has what the functions above have one by one, but windows that don't need each other are made together and sums over windows by spans()."""
+    close, high, low, zero = F.col("close"), F.col("high"), F.col("low"), F.lit(0.0)
+    d, up, down = close - lag("close"), high - lag("high"), lag("low") - low
+    df = returns(bars).withColumns({
+        "__tp": (high + low + close) / 3.0, "__signed": F.coalesce(F.signum(d), zero) * F.col("volume"), "__tr": true_range(), "__back": lag("close", 12),
+        "__gain": F.when(d > 0, d).otherwise(0.0), "__loss": F.when(d < 0, -d).otherwise(0.0),
+        "__plus": F.when((up > 0) & (up > F.greatest(down, zero)), up).otherwise(0.0), "__minus": F.when((down > 0) & (down > F.greatest(up, zero)), down).otherwise(0.0),
+    })
+    df = spans(df, {
+        **{f"__close_{n}": ("close", n, "sum") for n in (5, 20, 50)}, "__squares": ("close", 20, "square"), "__typical": ("__tp", 20, "sum"),
+        **{f"{c}_14": (c, 14, "sum") for c in ("__gain", "__loss", "__plus", "__minus", "__tr")}, "__low": ("low", 14, "least"), "__high": ("high", 14, "greatest"),
+    })
+    col, ratio = F.col, lambda x, y: x / F.nullif(y, zero)
+    width, tr = F.col("__high") - F.col("__low"), F.nullif(F.col("__tr_14"), zero)
+    df = df.withColumns({
+        "stoch_k": ratio(100.0 * (close - col("__low")), width), "williams_r_14": ratio(-100.0 * (col("__high") - close), width),
+        "__pdi": 100.0 * col("__plus_14") / tr, "__mdi": 100.0 * col("__minus_14") / tr, "__mean": col("__typical") / 20.0,
+    }).withColumn("__dx", ratio(100.0 * F.abs(col("__pdi") - col("__mdi")), F.abs(col("__pdi") + col("__mdi"))))
+    upto = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    apart = sum((F.abs(lag("__tp", k) - col("__mean")) for k in range(1, 20)), F.abs(col("__tp") - col("__mean")))
+    df = df.withColumns({
+        "stoch_d": mean(col("stoch_k"), 3), "adx_14": mean(col("__dx"), 14), "obv": F.sum("__signed").over(upto),
+        "vwap": ratio(F.sum(col("__tp") * col("volume")).over(upto), F.sum("volume").over(upto)), "cci_20": ratio(col("__tp") - col("__mean"), 0.015 * (apart / 20)),
+    })
+    sma_20, band = col("__close_20") / 20.0, 2.0 * F.sqrt(col("__squares") / 19.0)
+    table = {f"sma_{n}": col(f"__close_{n}") / float(n) for n in (5, 20, 50)} | {
+        "rsi_14": 100.0 - 100.0 / (1.0 + ratio(col("__gain_14"), col("__loss_14"))), "stoch_k": col("stoch_k"), "stoch_d": col("stoch_d"), "adx_14": col("adx_14"), "bb_upper": sma_20 + band,
+        "bb_middle": sma_20, "bb_lower": sma_20 - band, "atr_14": col("__tr_14") / 14.0, "obv": col("obv"), "vwap": col("vwap"), "daily_return_pct": col("daily_return_pct"),
+        "log_return_pct": col("log_return_pct"), "roc_12": ratio(close - col("__back"), col("__back")) * 100.0, "cci_20": col("cci_20"), "williams_r_14": col("williams_r_14"),
+    }
+    e = Ema(df.select(*bars.columns, *[c.alias(name) for name, c in table.items()])).add("close", {f"ema_{n}": n for n in (12, 26, 50)})
     e = _macd(e, "ema_12", "ema_26")
     new = [c for c in e.df.columns if c not in (*bars.columns, "__pos", "__block", "__k")]
     return e.df.select(*bars.columns, *[(F.lag(c, shift).over(e.rows) if shift else F.col(c)).alias(c) for c in new])

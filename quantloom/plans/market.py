@@ -189,6 +189,10 @@ SELECT symbol, date, {', '.join(_r(c, c) for c in ('open', 'high', 'low', 'close
 
 @query("w25_indicator_table", _W25)
 def w25_indicators(spark, sf_dir):
+    """Java compiles no method of more than 8,000 bytes, as one that rounds all columns is in whole-stage code, so such stages are left without it (for the session, unless the user has a limit)."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(limit)) == 65535:
+        spark.conf.set(limit, "8000")
     df = ind.indicators(bars(spark, sf_dir))
     return rounded(df, *[c for c in df.columns if c not in ("symbol", "date")])
 
