@@ -89,8 +89,12 @@ def backtest_table(bars: DataFrame, pred: DataFrame, split_end: str, horizons: i
     w = Window.partitionBy("symbol").orderBy("date")
     outcome = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(w).alias("realised_date"), F.lead("close", h).over(w).alias("realised_price")) for h in range(1, horizons + 1)])
     wide = bars.select("symbol", "date", F.col("close").alias("anchor"), outcome.alias("outcomes"))
-    long = wide.select("symbol", "date", "anchor", F.explode("outcomes").alias("o")).select("symbol", "date", "anchor", "o.*")
-    out = long.join(pred.select("symbol", "date", "horizon", "q50"), ["symbol", "date", "horizon"])
+    # Both sides are grouped by (symbol, date) as one table, so that where both are dealt by symbol no row is shuffled again; a join would deal five rows a bar of each by all its keys.
+    bar, forecast = F.struct("anchor", "outcomes"), F.struct("horizon", "q50")
+    both = wide.select("symbol", "date", bar.alias("bar")).unionByName(pred.select("symbol", "date", forecast.alias("forecast")), allowMissingColumns=True)
+    met = both.where("symbol is not null and date is not null").groupBy("symbol", "date").agg(F.collect_list("bar").alias("bar"), F.collect_list("forecast").alias("forecast"))
+    met = met.withColumn("bar", F.explode("bar")).withColumn("forecast", F.explode("forecast")).select("symbol", "date", "forecast.horizon", "bar.anchor", "bar.outcomes", "forecast.q50").where(F.col("horizon").between(1, horizons))
+    out = met.withColumn("o", F.element_at("outcomes", F.col("horizon").cast("int"))).select("symbol", "date", "horizon", "anchor", "o.realised_date", "o.realised_price", "q50")
     return out.withColumns({
         "predicted_price": to_price(F.col("anchor"), F.col("q50")), "realised_return": F.ln(F.col("realised_price") / F.nullif(F.col("anchor"), F.lit(0.0))),
         "in_split": F.coalesce(F.col("realised_date") <= F.to_date(F.lit(split_end)), F.lit(False)),

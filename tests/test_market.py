@@ -314,3 +314,15 @@ def test_the_table_has_what_its_functions_have_in_fewer_windows(spark):
             assert (r[c] is None) == (got[key][c] is None) and (r[c] is None or abs(r[c] - got[key][c]) < 1e-8 * max(1.0, abs(r[c]))), (key, c, r[c], got[key][c])
     plan = indicators.indicators(bars)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") <= 17, plan.count("Window [")
+
+
+def test_a_backtest_table_deals_rows_by_symbol_once(spark):
+    """A forecast twice is there twice, one without a bar, of an unknown horizon or without symbol isn't; both sides dealt by symbol aren't shuffled again."""
+    days = [dt.date(2020, 1, k) for k in (1, 2, 3)]
+    bars = spark.createDataFrame([("a", d, float(k + 1)) for k, d in enumerate(days)] + [(None, days[0], 1.0)], "symbol string, date date, close double").repartition(3, "symbol")
+    pred = spark.createDataFrame([("a", days[0], 1, 0.1), ("a", days[0], 1, 0.2), ("a", days[0], 5, None), ("a", days[1], 1, 0.0), ("a", days[0], 6, 0.0), ("b", days[0], 1, 0.0), (None, days[0], 1, 0.0)], "symbol string, date date, horizon int, q50 double").repartition(3, "symbol")
+    out = forecast.backtest_table(bars, pred, "2020-01-02")
+    assert sorted(tuple(r) for r in out.select("symbol", "date", "horizon", "anchor", "realised_date", "realised_price", F.coalesce("q50", F.lit(-1.0)), "in_split").collect()) == [
+        ("a", days[0], 1, 1.0, days[1], 2.0, 0.1, True), ("a", days[0], 1, 1.0, days[1], 2.0, 0.2, True), ("a", days[0], 5, 1.0, None, None, -1.0, False), ("a", days[1], 1, 2.0, days[2], 3.0, 0.0, False)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan
