@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.tables import new_path, parts_of
+from quantloom.functions.tables import cut, new_path, parts_of
 from quantloom.operators.bars import bars_from_trades
 
 SEQ = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -60,10 +60,15 @@ INDEX = """idx AS (SELECT CAST(l_shipdate AS DATE) AS date, sum(l_extendedprice)
 
 
 def feed(spark: SparkSession, parts: list[DataFrame], label: str, path: str | None = None, done: int = 0) -> DataFrame:
-    """The parts as equal numbers of files, as many as shuffles have partitions, that a stream takes a part a batch, in order. Parts behind the
-    ``done`` ones that ``path`` has already are for a stream that goes on from a checkpoint."""
-    path = path or new_path(spark, label)
-    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), *[df.count() for df in parts]))
-    for k, df in enumerate(parts, done):
-        df.repartition(files).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
+    """The parts as equal numbers of files, as many as shuffles have partitions, that a stream takes a part a batch, in order of their times. Parts behind
+    the ``done`` ones that ``path`` has already are for a stream that goes on from a checkpoint. Each is made once; where one has too few rows for its files, all
+    are written again, in order, in that number."""
+    path, schema = path or new_path(spark, label), parts[0].schema
+    at = [f"{path}/{k}" for k in range(done, done + len(parts))]
+    for df, p in zip(parts, at):
+        df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(p)
+    count = lambda p: len(spark.read.schema(schema).parquet(p).inputFiles())
+    while len(files := {count(p) for p in at}) > 1:
+        for p in at:
+            cut(spark.read.schema(schema).parquet(p), label).repartition(min(files)).write.mode("overwrite").parquet(p)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files.pop()).option("recursiveFileLookup", True).parquet(path)

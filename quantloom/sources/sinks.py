@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from quantloom.functions.scalars import last_by
 from quantloom.functions.tables import remove
 
+#: Rows of a part that one task merges and writes as a file.
+SLICE_ROWS = 1 << 18
+
 _LOG = "folder string, part string, seq long, live boolean"
 _ATTEMPTS = "delivery string, folders array<string>, open boolean"
 _LEDGER = "delivery string, n long"
@@ -183,9 +186,9 @@ def _part(part: Column | None) -> Column:
 
 def _publish(df: DataFrame, root: str, part: Column | None = None) -> int:
     spark, folder = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    rows = df.withColumn("_part", _part(part))
-    # Few files a part; Spark splits a part that is too large for one task.
-    (rows if part is None else rows.hint("rebalance", "_part")).write.partitionBy("_part").parquet(f"{root}/{folder}")
+    rows = df if "_part" in df.columns else df.withColumn("_part", _part(part))
+    # Few files a part; Spark splits a part that is too large for one task. Rows that have their part are placed.
+    (rows if part is None or "_part" in df.columns else rows.hint("rebalance", "_part")).write.partitionBy("_part").parquet(f"{root}/{folder}")
     parts = [r[0] for r in spark.read.parquet(f"{root}/{folder}").select(F.col("_part").cast("string")).distinct().collect()]
     _append_log(spark, root, [(folder, p, True) for p in parts])
     return spark.read.parquet(f"{root}/{folder}").count() if parts else 0
@@ -196,15 +199,25 @@ def merge_stage(df: DataFrame, root: str, keys: list[str], order: list[str], par
 
     Keys are those that fresh or retained rows have; rows of the side that lacks one are null there, and meet only
     rows that are null there too. Where neither side has any, no row replaces another. With ``part``, an expression over the keys such as a month, only the parts that ``df`` has rows
-    of are read and written anew. Returns the number of rows written."""
+    of are read and written anew, and rows are dealt once, by part and slices of its keys, to be merged and written. ``df`` is gone through twice.
+    Returns the number of rows written."""
     spark = df.sparkSession
-    touched = [r[0] for r in df.select(_part(part).alias("p")).distinct().collect()]
+    counted = lambda t: {r["p"]: r["n"] for r in t.groupBy(_part(part).alias("p")).agg(F.count("*").alias("n")).collect()}
+    touched = counted(df)
     if not touched:
         return 0
-    old = current(spark, root, touched)
+    old = current(spark, root, list(touched))
     rows = df.withColumn("__batch", F.lit(1))
     rows = rows if old is None else old.withColumn("__batch", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    return _publish(_last(rows, keys, ["__batch", *order]).drop("__batch"), root, part)
+    own = [k for k in keys if k in rows.columns]
+    if part is None or not own:
+        return _publish(_last(rows, keys, ["__batch", *order]).drop("__batch"), root, part)
+    kept = counted(old) if old is not None else {}
+    slices = {p: -(-(n + kept.get(p, 0)) // SLICE_ROWS) for p, n in touched.items()}
+    rows = rows.withColumns({"_part": _part(part), "__slice": F.pmod(F.xxhash64(*own), F.lit(max(slices.values()))).cast("int")})
+    n = sum(slices.values())
+    rows = rows.repartition(*([n] if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else []), "_part", "__slice")
+    return _publish(_last(rows, ["_part", "__slice", *own], ["__batch", *order]).drop("__batch", "__slice"), root, part)
 
 
 def vacuum(spark: SparkSession, root: str) -> int:

@@ -33,10 +33,11 @@ def _name(checkpoint: str) -> str:
 
 def stream_bars(sdf: DataFrame, target: str, checkpoint: str, late: str = "7 days") -> StreamingQuery:
     """Bars without repeats within the watermark, upserted by (symbol, date). A batch rewrites the
-    months that it has rows of, and one that runs again after a failure gives the same table."""
+    months that it has rows of, and one that runs again after a failure gives the same table. It is written before it is merged, as each job on
+    a batch would go through its keys' state again. Spark's default store has a batch's keys in the executors' heaps; RocksDB, if the user sets it, on their disks."""
     fresh = sdf.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "date"])
     month = F.date_format("date", "yyyy-MM")
-    return _run(fresh, lambda batch, _: merge_stage(batch, target, ["symbol", "date"], ["ts"], month) and None, checkpoint)
+    return _run(fresh, lambda batch, _: merge_stage(cut(batch, "fresh"), target, ["symbol", "date"], ["ts"], month) and None, checkpoint)
 
 
 def daily_counts(sdf: DataFrame, late: str = "7 days") -> DataFrame:

@@ -403,3 +403,42 @@ def test_open_lots_of_a_bucket_are_read_and_written_once_a_symbol():
     assert len(out) == 1 and sorted(out[0].itertuples(index=False, name=None)) == [("a", 200.0, 2000.0 - sum(range(200))), ("b", 150.5, 150.5 * 500 - sum(range(150)) - 75.0)]
     assert calls == ["get", "put"] * 4 and held[("a",)][0] == "sell"
     assert [t for pdf in lots.handleInputRows((0,), iter([frame([("a", 400, "buy", 2.0, 4.0)])]), None) for t in pdf.itertuples(index=False, name=None)] == [("a", 2.0, 12.0)] and ("a",) not in held
+
+
+def test_a_batch_of_bars_goes_through_its_state_once_and_its_parts_are_few_files(spark, tmp_path, monkeypatch):
+    import json
+
+    from quantloom.plans import fixtures
+
+    monkeypatch.setattr(sinks, "SLICE_ROWS", 50, raising=False)
+    rows = spark.range(400).select((F.col("id") % 40).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 40).cast("int") * 6).alias("date"), F.col("id").cast("double").alias("close"))
+    rows = rows.withColumn("ts", F.col("date").cast("timestamp"))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    made = rows.mapInArrow(counted, rows.schema)
+    feed = fixtures.feed(spark, [made.where("date < '2024-02-10'"), rows.where("date >= '2024-02-10'").unionByName(rows.where("date > '2024-02-03' and date < '2024-02-10'"))], "bars")
+    assert runs.value == 400
+    out = str(tmp_path / "out")
+    q = flows.stream_bars(feed, out, str(tmp_path / "ck"))
+    q.awaitTermination()
+    passed = [json.loads(p.json) for p in q.recentProgress]
+    assert [p["numInputRows"] for p in passed if p["numInputRows"]] == [280, 160]
+    table = sinks.current(spark, out)
+    assert sorted(map(tuple, table.select("symbol", "date", "close").collect())) == sorted(map(tuple, rows.select("symbol", "date", "close").collect()))
+    # A part has a file a slice of its keys at most, whatever the number of tasks; none is a task's whole.
+    files = [f.split("_part=")[1].split("/")[0] for f in table.inputFiles()]
+    assert 2 <= files.count("2024-01") <= 5 and 2 <= files.count("2024-02") <= 5
+
+
+def test_parts_of_a_feed_have_equal_numbers_of_files(spark):
+    from quantloom.plans import fixtures
+
+    feed = fixtures.feed(spark, [spark.range(1000), spark.range(2), spark.range(500)], "uneven")
+    seen = []
+    feed.writeStream.foreachBatch(lambda df, _: seen.append(df.count())).trigger(availableNow=True).option("checkpointLocation", fixtures.new_path(spark, "ck")).start().awaitTermination()
+    assert seen == [1000, 2, 500]
