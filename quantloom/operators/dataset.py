@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -128,15 +127,21 @@ def score_sequences(df: DataFrame, keys: list[str], model: Callable[[], Callable
     and maps an array (rows, steps, features) to (rows, horizons). Sequences of one batch have one shape."""
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", horizon int, pred double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model()
         for rows in batches:
-            if len(rows):
-                out = np.asarray(score(np.array([[list(step) for step in seq] for seq in rows["features"]], float)), float)
-                long = rows[keys].loc[rows.index.repeat(horizons)].reset_index(drop=True)
-                yield long.assign(horizon=np.tile(np.arange(1, horizons + 1), len(rows)).astype("int32"), pred=out[:, :horizons].ravel())
-
-    return df.select(*keys, "features").mapInPandas(run, schema)
+            if rows.num_rows:
+                seqs = rows.column("features")
+                steps = seqs.flatten()
+                if any(pc.count_distinct(pc.list_value_length(x), mode="all").as_py() != 1 for x in (seqs, steps)):
+                    raise ValueError("sequences of one batch have one shape")
+                values = np.array(pc.cast(steps.flatten(), pa.float64()).to_numpy(zero_copy_only=False))
+                out = np.asarray(score(values.reshape(rows.num_rows, len(steps) // rows.num_rows, -1)), float)[:, :horizons]
+                place = pa.array(np.repeat(np.arange(rows.num_rows), horizons))
+                h = pa.array(np.tile(np.arange(1, horizons + 1, dtype="i4"), rows.num_rows))
+                yield pa.record_batch([*[rows.column(k).take(place) for k in keys], h, pa.array(out.ravel())], names=[*keys, "horizon", "pred"])
+
+    return df.select(*keys, "features").mapInArrow(run, schema)
 
 
 def sequence_blocks(df: DataFrame, cols: list[str], n: int = 20, include_anchor: bool = True, size: int = 4096) -> DataFrame:

@@ -326,3 +326,16 @@ def test_a_backtest_table_deals_rows_by_symbol_once(spark):
         ("a", days[0], 1, 1.0, days[1], 2.0, 0.1, True), ("a", days[0], 1, 1.0, days[1], 2.0, 0.2, True), ("a", days[0], 5, 1.0, None, None, -1.0, False), ("a", days[1], 1, 2.0, days[2], 3.0, 0.0, False)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2, plan
+
+
+def test_sequences_are_scored_as_arrays_without_objects(spark):
+    rows = [("s", dt.date(2024, 1, k), [[float(k), None], [k + 1.0, float(k * k)]]) for k in range(1, 6)]
+    df = spark.createDataFrame(rows, "symbol string, date date, features array<array<double>>")
+    seen = lambda x: np.stack([np.nan_to_num(x).sum((1, 2)), x[:, 1, 1] - x[:, 0, 0]], 1)
+    out = dataset.score_sequences(df, ["symbol", "date"], lambda: seen, 2)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["symbol"], r["date"].day, r["horizon"], r["pred"]) for r in out.collect())
+    assert got == [("s", k, h, float(2 * k + 1 + k * k if h == 1 else k * k - k)) for k in range(1, 6) for h in (1, 2)]
+    uneven = df.limit(1).unionByName(df.limit(1).withColumn("features", F.concat("features", "features", "features"))).coalesce(1)
+    with pytest.raises(Exception, match="one shape"):
+        dataset.score_sequences(uneven, ["symbol"], lambda: seen, 2).collect()
