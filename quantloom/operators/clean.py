@@ -157,13 +157,19 @@ def rolling_parts(df: DataFrame, keep: int = 30) -> DataFrame:
 
 def archive_report(df: DataFrame, archive: DataFrame, keep: int = 30) -> DataFrame:
     """By symbol: rows seen, undated ones (which stay), candidates beyond the newest ``keep``, those appended, those that the archive or a
-    later row of the same day has, rows removed, oldest and newest appended day (of all candidates if none is), status and reason."""
-    w = Window.partitionBy("symbol").orderBy(F.col("date").desc_nulls_last(), F.col("seq").desc())
-    rows = df.withColumn("__k", F.row_number().over(w))
-    old = F.col("date").isNotNull() & (F.col("__k") > keep)
-    rows = rows.join(archive.select("symbol", "date", F.lit(True).alias("__seen")), ["symbol", "date"], "left").withColumn("__old", old)
+    later row of the same day has, rows removed, oldest and newest appended day (of all candidates if none is), status and reason. Rows and archive meet in
+    one window by symbol, so dealt alike they aren't dealt again."""
+    rows = df.select("symbol", "date", "seq", F.lit(False).alias("__there"))
+    there = archive.where("date is not null").select("symbol", "date", F.lit(None).cast(df.schema["seq"].dataType).alias("seq"), F.lit(True).alias("__there"))
+    # Newest first, a day's archived row before its others.
+    w = Window.partitionBy("symbol").orderBy(F.col("date").desc_nulls_last(), F.col("__there").desc(), F.col("seq").desc())
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.unionByName(there).withColumns({
+        "__k": F.count(F.when(~F.col("__there"), 1)).over(upto), "__seen": F.last(F.when(F.col("__there"), F.col("date")), ignorenulls=True).over(upto), "__after": F.lag("date").over(w)})
+    rows = rows.where(~F.col("__there")).withColumn("__old", F.col("date").isNotNull() & (F.col("__k") > keep))
     # Of a day with rows on both sides of the limit, the last one beyond it counts.
-    rows = rows.withColumn("__new", F.col("__old") & F.col("__seen").isNull() & (F.row_number().over(Window.partitionBy("symbol", "date", "__old").orderBy(F.col("seq").desc())) == 1))
+    last = (F.col("__k") == keep + 1) | ~F.col("date").eqNullSafe(F.col("__after"))
+    rows = rows.withColumn("__new", F.col("__old") & ~F.col("__seen").eqNullSafe(F.col("date")) & last)
     over = lambda f, c: F.coalesce(f(F.when(F.col("__new"), F.col("date"))), f(F.when(F.col("__old"), F.col("date")))).alias(c)
     out = rows.groupBy("symbol").agg(
         F.count("*").alias("rows_seen"), F.count_if(F.col("date").isNull()).alias("undated"), F.count_if("__old").alias("candidates"), F.count_if("__new").alias("appended"), over(F.min, "oldest"), over(F.max, "newest")

@@ -442,3 +442,16 @@ def test_parts_of_a_feed_have_equal_numbers_of_files(spark):
     seen = []
     feed.writeStream.foreachBatch(lambda df, _: seen.append(df.count())).trigger(availableNow=True).option("checkpointLocation", fixtures.new_path(spark, "ck")).start().awaitTermination()
     assert seen == [1000, 2, 500]
+
+
+def test_an_archive_report_sorts_once_and_joins_nothing(spark):
+    day = lambda d: d and dt.date(2024, 1, d)
+    make = lambda rows: spark.createDataFrame([(s, day(d), q) for s, d, q in rows], "symbol string, date date, seq int")
+    df = make([("a", 9, 1), ("a", 8, 2), ("a", 8, 3), ("a", 8, 4), ("a", 7, 5), ("a", 6, 6), ("a", 6, 7), ("a", None, 8), ("b", 9, 1), ("c", 5, 1), ("c", 4, 2), ("c", 3, 3)])
+    # An archive that has a day twice, days of its own, a row without day and a symbol of its own.
+    archive = make([("a", 7, 0), ("a", 7, 0), ("a", 2, 0), ("a", None, 0), ("c", 3, 0), ("z", 1, 0)])
+    out = clean.archive_report(df.repartition(3, "symbol"), archive.repartition(3, "symbol"), keep=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count(" Sort [") == 1
+    got = {r["symbol"]: (r["rows_seen"], r["undated"], r["candidates"], r["appended"], r["duplicates"], r["oldest"], r["newest"], r["status"]) for r in out.collect()}
+    assert got == {"a": (8, 1, 5, 2, 3, day(6), day(8), "ok"), "b": (1, 0, 0, 0, 0, None, None, "skipped"), "c": (3, 0, 1, 0, 1, day(3), day(3), "ok")}
