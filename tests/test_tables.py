@@ -455,3 +455,18 @@ def test_an_archive_report_sorts_once_and_joins_nothing(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and plan.count(" Sort [") == 1
     got = {r["symbol"]: (r["rows_seen"], r["undated"], r["candidates"], r["appended"], r["duplicates"], r["oldest"], r["newest"], r["status"]) for r in out.collect()}
     assert got == {"a": (8, 1, 5, 2, 3, day(6), day(8), "ok"), "b": (1, 0, 0, 0, 0, None, None, "skipped"), "c": (3, 0, 1, 0, 1, day(3), day(3), "ok")}
+
+
+def test_symbol_folders_are_listed_by_few_tasks(spark, tmp_path):
+    sinks.write_features(spark.range(90).select(F.col("id").alias("symbol"), (F.col("id") * 2).alias("v")), str(tmp_path / "f"))
+    limit, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(limit)
+    sc.setJobGroup("list-folders", "")
+    try:
+        rows = readers.read_symbol_dirs(spark, str(tmp_path / "f"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [x for j in sc.statusTracker().getJobIdsForGroup("list-folders") for x in sc.statusTracker().getJobInfo(j).stageIds]
+    tasks = [sc.statusTracker().getStageInfo(x).numTasks for x in stages]
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism and spark.conf.get(limit) == before
+    assert rows.count() == 90 and rows.where("v <> symbol * 2").isEmpty()
