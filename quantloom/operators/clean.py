@@ -204,12 +204,13 @@ def _listed(flags: dict[str, Column]) -> Column:
 
 
 def integrity_report(df: DataFrame, required: tuple[str, ...] = ()) -> DataFrame:
-    """By symbol in row order: required columns without any value (or absent), dates, duplicate dates, whether they ascend, the problems as text, and ok."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    rows = df.withColumn("__down", F.col("date") < F.lag("date").over(w))
+    """By symbol in row order: required columns without any value (or absent), dates, duplicate dates, whether they ascend, the problems as text, and ok. Duplicates follow one
+    another by date, so that a task has a symbol's counts and sorted rows, but no table of all its dates."""
+    w, by_date = Window.partitionBy("symbol").orderBy("seq"), Window.partitionBy("symbol").orderBy("date")
+    rows = df.withColumns({"__down": F.col("date") < F.lag("date").over(w), "__again": F.col("date") == F.lag("date").over(by_date)})
     lacks = {c: F.count(c) == 0 if c in df.columns else F.count("*") >= 0 for c in required}
     out = rows.groupBy("symbol").agg(
-        (_listed(lacks) if lacks else F.lit("")).alias("missing_columns"), F.count("date").alias("n_dates"), (F.count("date") - F.count_distinct("date")).alias("duplicate_dates"),
+        (_listed(lacks) if lacks else F.lit("")).alias("missing_columns"), F.count("date").alias("n_dates"), F.count_if("__again").alias("duplicate_dates"),
         (F.count_if("__down") == 0).alias("chronological"), (F.count("*") - F.count("date")).alias("blank_dates"),
     )
     problems = _listed({"columns": F.col("missing_columns") != "", "duplicates": F.col("duplicate_dates") > 0, "order": ~F.col("chronological"), "blanks": F.col("blank_dates") > 0})

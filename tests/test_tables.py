@@ -470,3 +470,13 @@ def test_symbol_folders_are_listed_by_few_tasks(spark, tmp_path):
     tasks = [sc.statusTracker().getStageInfo(x).numTasks for x in stages]
     assert tasks and max(tasks) <= 4 * sc.defaultParallelism and spark.conf.get(limit) == before
     assert rows.count() == 90 and rows.where("v <> symbol * 2").isEmpty()
+
+
+def test_integrity_counts_duplicates_without_a_table_of_all_dates(spark):
+    day = lambda k: k and dt.date(2020, 1, k)
+    rows = [("a", n, day(k)) for n, k in enumerate((3, 3, None, 4, 1, None, 1, 3))] + [("b", n, day(n + 1)) for n in range(4)] + [("c", n, None) for n in range(3)] + [("d", 0, day(5)), ("d", 1, None), ("d", 2, day(4))]
+    out = clean.integrity_report(spark.createDataFrame(rows, "symbol string, seq int, date date").repartition(3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    got = {r["symbol"]: (r["n_dates"], r["duplicate_dates"], r["chronological"], r["blank_dates"], r["problems"], r["ok"]) for r in out.collect()}
+    assert got == {"a": (6, 3, False, 2, "duplicates,order,blanks", False), "b": (4, 0, True, 0, "", True), "c": (0, 0, True, 3, "blanks", False), "d": (2, 0, True, 1, "blanks", False)}
+    assert plan.count("HashAggregate(") == 2 and "distinct" not in plan and plan.count("Exchange hashpartitioning") == 1
