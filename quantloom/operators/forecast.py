@@ -50,6 +50,16 @@ def stabilize_path(df: DataFrame, cutoff: int, blend: float, clip: float, keys:
     return df.withColumn("q50_stable", F.when(F.col("horizon") <= max(1, cutoff), path).otherwise((1 - b) * F.col("q50") + b * path)).drop("__step")
 
 
+def stabilize_columns(q50: dict[int, Column], cutoff: int, blend: float, clip: float) -> dict[int, Column]:
+    """stabilize_path() of forecasts that are columns by horizon, each row on its own: nothing is sorted, and no task holds more than its rows."""
+    b, before, path, out = min(1.0, max(0.0, blend)), F.lit(0.0), None, {}
+    for h, q in sorted(q50.items()):
+        step = F.greatest(F.least(q - F.coalesce(before, F.lit(0.0)), F.lit(clip)), F.lit(-clip))
+        path = step if path is None else path + step
+        out[h], before = path if h <= max(1, cutoff) else (1 - b) * q + b * path, q
+    return out
+
+
 def high_low(open_: Column, close: Column, rng: Column) -> tuple[Column, Column]:
     """A high and low around a projected bar: margins of half the usual range or a quarter of the body, within 8 percent."""
     margin = F.greatest(F.greatest(F.abs(open_), F.abs(close), F.lit(1.0)) * rng * 0.5, F.abs(open_ - close) * 0.25)

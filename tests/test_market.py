@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -339,3 +340,25 @@ def test_sequences_are_scored_as_arrays_without_objects(spark):
     uneven = df.limit(1).unionByName(df.limit(1).withColumn("features", F.concat("features", "features", "features"))).coalesce(1)
     with pytest.raises(Exception, match="one shape"):
         dataset.score_sequences(uneven, ["symbol"], lambda: seen, 2).collect()
+
+
+def test_stable_paths_of_columns_are_those_of_rows_and_sort_nothing(spark):
+    wide = spark.createDataFrame([(1, 0.01, 0.2, -0.3, 0.02), (2, None, 0.01, 0.02, None), (3, -0.9, None, 0.0, 0.04), (4, 0.0, -0.0, float("nan"), 0.1)], "k int, h1 double, h2 double, h3 double, h5 double")
+    horizons = (1, 2, 3, 5)
+    rows = wide.select("k", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("q50")) for h in horizons])).alias("f")).select("k", "f.*")
+    for cutoff, blend, clip in ((2, 0.4, 0.05), (0, 1.5, 0.1), (9, -1.0, 0.02)):
+        paths = forecast.stabilize_columns({h: F.col(f"h{h}") for h in reversed(horizons)}, cutoff, blend, clip)
+        got = wide.select("k", *[p.alias(f"p{h}") for h, p in paths.items()])
+        want = {(r["k"], r["horizon"]): r["q50_stable"] for r in forecast.stabilize_path(rows, cutoff, blend, clip, ("k",)).collect()}
+        have = {(r["k"], h): r[f"p{h}"] for r in got.collect() for h in horizons}
+        assert {k: str(v) for k, v in have.items()} == {k: str(v) for k, v in want.items()}
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Sort", "Window", "Exchange"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_stable_path_sorts_its_trades_only(spark):
+    from quantloom.plans.forecasts import r4_path
+
+    plan = r4_path(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1
