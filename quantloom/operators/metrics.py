@@ -69,15 +69,34 @@ def quality_summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.avg("pinball").alias("pinball"), F.avg("coverage_q10_q90").alias("coverage_q10_q90"), F.avg("spearman_ic").alias("spearman_ic"))
 
 
-def decile_lift(df: DataFrame, order: list[str]) -> DataFrame:
+def decile_lift(df: DataFrame, order: list[str], beside: float = 0.001, accuracy: int = 2000) -> DataFrame:
     """Means of the outcome in the top and bottom tenth by q50, ties in ``order``; null under 10 rows.
 
     A rank r of n is in tenth ceil((r - 1) * 10 / (n - 1)) - 1, which is where equal-width
-    quantile edges over 1..n put it. Ranks come from ranges of q50, so a horizon isn't one task."""
-    rows = ranked(df.where("y is not null and q50 is not null").select("horizon", "q50", "y", *order), ["horizon"], ["q50", *order])
-    tenth = F.greatest(F.ceil(F.col("rank") * 10 / F.nullif(F.col("total") - 1, F.lit(0))) - 1, F.lit(0))
-    mean = lambda k: F.avg(F.when((F.col("total") >= 10) & (tenth == k), F.col("y")))
-    out = rows.groupBy("horizon").agg(F.count("*").alias("n"), mean(9).alias("top_decile_mean"), mean(0).alias("bottom_decile_mean"), F.avg(F.when(F.col("total") >= 10, F.col("y"))).alias("overall_mean"))
+    quantile edges over 1..n put it. Approximate percentiles ``beside`` the two edges bound them: rows between are counted and summed by q50 and the
+    first of ``order``, all others by the three zones outside, and these few groups are ranked. Rows are only ranked where an edge is within
+    their group, as where many share its q50, or where it isn't between the percentiles. Both readings of ``df`` are in one plan, so
+    that what it shuffles is shuffled once, and once more if rows are ranked. A row a horizon is broadcast, and a group an edge."""
+    rows = df.where("y is not null and q50 is not null").select("horizon", "q50", "y", *order)
+    bounds = F.percentile_approx(F.nanvl("q50", F.lit(float("inf"))), [0.1 - beside, 0.1 + beside, 0.9 - beside, 0.9 + beside], accuracy)
+    x, at, near, first = F.col("q50"), [F.col("__bounds")[k] for k in range(4)], F.col("__zone").isin(1, 3), order[:1]
+    zone = F.when(x < at[0], 0).when(x <= at[1], 1).when(x < at[2], 2).when(x <= at[3], 3).otherwise(4)
+    zoned = rows.join(F.broadcast(rows.groupBy("horizon").agg(bounds.alias("__bounds"))), "horizon").withColumn("__zone", zone)
+    groups = zoned.groupBy("horizon", "__zone", F.when(near, x).alias("__q50"), *[F.when(near, F.col(c)).alias(c) for c in first])
+    groups = groups.agg(F.min("q50").alias("__lo"), F.max("q50").alias("__hi"), F.count("*").alias("__n"), F.sum("y").alias("__sum")).drop("__q50")
+    groups = ranked(groups, ["horizon"], ["__zone", "__lo", *first], "__n")
+    enough, low, high = F.col("total") >= 10, F.expr("(total - 1) div 10 + 1"), F.expr("(total - 1) * 9 div 10 + 1")  # ranks below low are in the bottom tenth, from high on in the top one
+    mixed = enough & ((F.col("rank") < low) & (low < F.col("rank") + F.col("__n")) | (F.col("rank") < high) & (high < F.col("rank") + F.col("__n")))
+    kept = ["horizon", "rank", "total", "__n", "__sum"]
+    if not groups.where(mixed).isEmpty():
+        edges = groups.where(mixed).select(*[F.col(c).alias(f"__{c}") for c in ("horizon", "rank", "total", *first)], "__zone", "__lo", "__hi")
+        own = [~near | F.col(c).eqNullSafe(F.col(f"__{c}")) for c in first]
+        inside = rows.join(F.broadcast(edges), [F.col("horizon") == F.col("__horizon"), x.between(F.col("__lo"), F.col("__hi")), *own])
+        single = ranked(inside.select("horizon", "__rank", "__total", "q50", "y", *order), ["horizon", "__rank"], ["q50", *order, "y"])
+        single = single.select("horizon", (F.col("__rank") + F.col("rank")).alias("rank"), F.col("__total").alias("total"), F.lit(1).alias("__n"), F.col("y").alias("__sum"))
+        groups = groups.where(~mixed).select(*kept).unionByName(single)
+    mean = lambda those: F.sum(F.when(enough & those, F.col("__sum"))) / F.nullif(F.sum(F.when(enough & those, F.col("__n"))), F.lit(0))
+    out = groups.groupBy("horizon").agg(F.sum("__n").alias("n"), mean(F.col("rank") >= high).alias("top_decile_mean"), mean(F.col("rank") < low).alias("bottom_decile_mean"), mean(F.lit(True)).alias("overall_mean"))
     return out.withColumns({"top_vs_overall": F.col("top_decile_mean") - F.col("overall_mean"), "top_vs_bottom": F.col("top_decile_mean") - F.col("bottom_decile_mean")})
 
 

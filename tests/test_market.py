@@ -80,6 +80,58 @@ def test_decile_lift_follows_quantile_edges(spark):
     assert out["top_decile_mean"] == pytest.approx(y[tenth == 9].mean()) and out["bottom_decile_mean"] == pytest.approx(y[tenth == 0].mean())
 
 
+def test_decile_lift_ranks_only_rows_beside_the_edges(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(metrics, "ranked", lambda df, *a, f=metrics.ranked: seen.append(df) or f(df, *a))
+    order, nan = ["symbol", "date"], "if(id % {} = 0, double('nan'), if(id % 7 = 0, -0.0d, if(id % 6 = 0, 0.0d, -id)))"
+    cases = {  # q50: how, and the most rows of each ranking
+        "cast(id * 7919 % 20011 as double)": ({}, [400]), "cast(id * 7919 % 20011 as float)": ({"beside": 0.0, "accuracy": 2}, [400, 20000]),
+        "1.0d": ({}, [300, 900]), "cast(id % 3 as double)": ({}, [300, 900]), nan.format(8): ({}, [400, 5000]), nan.format(500): ({}, [400, 900]),
+    }
+    for q50, (how, most) in cases.items():
+        df = spark.range(20000).selectExpr("id % 2 horizon", "id % 94 symbol", "id date", f"{q50} q50", "cast(id * 31 % 101 as double) y")
+        df = df.unionByName(spark.range(9).selectExpr("2L horizon", "id symbol", "id date", "1.0d q50", "1.0d y"))
+        seen.clear()
+        out = {r["horizon"]: r for r in metrics.decile_lift(df, order, **how).collect()}
+        counts = [x.count() for x in seen]
+        assert len(counts) == len(most) and all(a <= b for a, b in zip(counts, most)), (q50, counts)
+        rows = df.toPandas()
+        for h in (0, 1):
+            own = rows[rows.horizon == h].sort_values(["q50", *order]).reset_index()  # NaN is last, as in Spark
+            tenth = np.maximum(np.ceil(own.index * 10 / (len(own) - 1)) - 1, 0)
+            want = own.y[tenth == 9].mean(), own.y[tenth == 0].mean(), own.y.mean()
+            assert out[h]["n"] == len(own) and (out[h]["top_decile_mean"], out[h]["bottom_decile_mean"], out[h]["overall_mean"]) == pytest.approx(want)
+        assert out[2]["n"] == 9 and out[2]["top_decile_mean"] is out[2]["bottom_decile_mean"] is out[2]["overall_mean"] is None
+
+
+def test_decile_lift_deals_trades_once(spark, monkeypatch):
+    from quantloom.plans import forecasts
+
+    seen = []
+    monkeypatch.setattr(metrics, "ranked", lambda df, *a, f=metrics.ranked: seen.append(df) or f(df, *a))
+    forecasts.a6_lift(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = seen[0].select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(seen) == 1 and plan.count("+- Exchange hashpartitioning(symbol") == plan.count("ReusedExchange") == plan.count("FileScan") == 1
+
+
+def test_decile_lift_of_equal_rows_infinite_outcomes_and_each_small_number(spark):
+    equal = spark.range(40).selectExpr("1 horizon", "0 symbol", "1.0d q50", "2.0d y")
+    assert tuple(metrics.decile_lift(equal, ["symbol"]).first()) == (1, 40, 2.0, 2.0, 2.0, 0.0, 0.0)
+    high = spark.range(1000).selectExpr("1 horizon", "id symbol", "double(id) q50", "if(id = 999, double('infinity'), 1.0d) y")
+    row = metrics.decile_lift(high, ["symbol"]).first()
+    assert (row["top_decile_mean"], row["bottom_decile_mean"], row["overall_mean"]) == (math.inf, 1.0, math.inf)
+    assert metrics.decile_lift(high.limit(0), ["symbol"]).count() == 0
+    many = spark.range(1, 61).selectExpr("id horizon", "explode(sequence(0L, id - 1)) symbol").selectExpr("*", "double(symbol) q50", "double(symbol) y")
+    for r in metrics.decile_lift(many, ["symbol"]).collect():
+        n = r["horizon"]
+        tenth = np.maximum(np.ceil(np.arange(n) * 10 / max(n - 1, 1)) - 1, 0)
+        assert r["n"] == n and (r["top_decile_mean"], r["bottom_decile_mean"]) == ((None, None) if n < 10 else pytest.approx((np.arange(n)[tenth == 9].mean(), np.arange(n)[tenth == 0].mean())))
+
+
 def test_even_sample_is_linspace(spark):
     for n, k in ((50, 12), (13, 12), (12, 12), (5, 12), (40, 1), (7, 2)):
         df = spark.createDataFrame([(0, dt.date(2020, 1, 1) + dt.timedelta(i), i) for i in range(n)], "symbol int, date date, i int")
